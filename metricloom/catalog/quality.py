@@ -368,7 +368,8 @@ def _(spark, sf):
 @query("quality_warnings", over("dirty", body="""
     WITH c AS (SELECT count(*) AS n, count(*) - count("Sales Total ($)") AS a, count(*) - count("Segment") AS b,
                       min("Unit Price") AS low, count(DISTINCT "Segment") + 1 AS segments,
-                      count(DISTINCT "Sales Total ($)") + 1 AS totals FROM dirty),
+                      count(DISTINCT "Sales Total ($)") + 1 AS totals, count(DISTINCT "Cust Name") AS names
+               FROM dirty),
     d AS (SELECT n, n - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) AS copies FROM c),
     r AS (SELECT CAST(NULL AS VARCHAR) AS column_name, 'duplicate_rows' AS warning_type,
                  CASE WHEN round(100.0 * copies / n, 2) > 20 THEN 'critical' ELSE 'warning' END AS severity,
@@ -378,7 +379,9 @@ def _(spark, sf):
           UNION ALL SELECT 'Unit Price', 'negative_values', 'warning', round(low, 4) FROM c WHERE low < 0
           UNION ALL SELECT 'State', 'constant_column', 'info', 1.0 FROM c
           UNION ALL SELECT 'Sales Total ($)', 'high_cardinality', 'info', totals FROM c
-                    WHERE totals > 500 AND round(100.0 * totals / n, 2) > 70 AND totals / n < 0.95)
+                    WHERE totals > 500 AND round(100.0 * totals / n, 2) > 70 AND totals / n < 0.95
+          UNION ALL SELECT 'Cust Name', 'high_cardinality', 'info', names FROM c
+                    WHERE names > 500 AND round(100.0 * names / n, 2) > 70 AND names / n < 0.95)
     SELECT * FROM r"""))
 def _(spark, sf):
     df = V.dirty(spark, sf)

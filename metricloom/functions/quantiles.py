@@ -1,95 +1,145 @@
 """Exact quantiles of many columns without gathering a column in one task.
 
 Spark's ``percentile`` keeps every distinct value of a group in one aggregation
-buffer, which cannot hold a column of a large table. Here the work is split:
-
-1. an approximate quantile sketch gives cut points just below and above each
-   wanted quantile (any cut points would do, good ones keep step 3 small);
-2. one map-side-combined count per (column, range between cuts) fixes, exactly,
-   in which range each wanted rank lies;
-3. only values of those narrow ranges are counted and ranked.
-
-Steps 2 and 3 move a handful of counters and about ``4 / ACCURACY`` of the rows.
+buffer, which cannot hold a column of a large table. Here each wanted rank is searched
+by counting: the value range of a column is cut into equal cells, a count per cell
+(combined in the map tasks) tells in which cell the rank lies, and the search goes on
+inside that cell until few enough rows are left to be put in order.
+
+Only the bounds of the current cells, a few numbers per column, come to the driver.
+Every round is one scan that shuffles counters, not rows, for all columns at once. As
+ranks come from counts, the result is exact for any distribution; a skewed one only
+takes another round.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from metricloom.model import quoted
 
-ACCURACY = 20_000
-
-
-def cut_points(value: Column, probs) -> Column:
-    """Aggregate: sketch values bracketing each probability, as a sorted array."""
-    slack = 2.0 / ACCURACY
-    wanted = sorted({min(1.0, max(0.0, p + s)) for p in probs for s in (-slack, slack)})
-    # Spark's sketch needs at least one row; an empty column gives null, i.e. no cuts.
-    sketch = F.percentile_approx(value, wanted, ACCURACY)
-    return F.array_sort(F.array_distinct(F.coalesce(sketch, F.array().cast("array<double>"))))
-
-
-def numeric_cells(df: DataFrame, columns) -> DataFrame:
-    """Long form (column_name, num, weight) of the non-null values of numeric columns."""
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(quoted(c)).cast("double").alias("num"))
-        for c in columns]))
-    return (df.select(cells.alias("cell")).select("cell.column_name", "cell.num")
-            .filter(F.col("num").isNotNull()).withColumn("weight", F.lit(1).cast("long")))
-
-
-def column_cuts(df: DataFrame, columns, probs) -> DataFrame:
-    """(column_name, cuts): one row per column, so it is as wide as the schema and no larger."""
-    wide = df.agg(*[cut_points(F.col(quoted(c)).cast("double"), probs).alias(f"c{i}")
-                    for i, c in enumerate(columns)])
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"c{i}").alias("cuts"))
-                               for i, c in enumerate(columns)]))
-    return wide.select(rows.alias("row")).select("row.*")
-
-
-def quantiles_from_cells(cells: DataFrame, cuts: DataFrame, probs) -> DataFrame:
-    """Exact quantiles (linear interpolation) as rows (column_name, prob, quantile).
-
-    ``cells`` is (column_name, num, weight); ``cuts`` holds one row per column.
+CELLS = 1024
+FEW_ROWS = 20_000
+
+_SHAPE = "item int, prob double, position double, rank long"
+
+
+@dataclass(frozen=True)
+class _Item:
+    """A value range of a column, and the ranks wanted inside it, counted from its start."""
+
+    column: str
+    low: float
+    high: float
+    size: int
+    targets: tuple[tuple[float, float, int], ...]  # (prob, position in the column, rank here)
+
+    def value(self) -> Column:
+        number = F.col(quoted(self.column)).cast("double")
+        return F.nanvl(number, F.lit(None).cast("double"))
+
+    def inside(self) -> Column:
+        return self.value().between(self.low, self.high)
+
+    def is_open(self) -> bool:
+        return self.size > FEW_ROWS and self.low < self.high and math.isfinite(self.high - self.low)
+
+
+def _columns(df: DataFrame, columns: Iterable[str], probs: list[float]) -> list[_Item]:
+    """One item per column that has values, over its whole range."""
+    columns = list(columns)
+    whole = [_Item(c, 0.0, 0.0, 0, ()) for c in columns]
+    shape = df.agg(*[f(item.value()).alias(f"{name}{n}") for n, item in enumerate(whole)
+                     for name, f in (("size", F.count), ("low", F.min), ("high", F.max))]).first()
+    items = []
+    for n, column in enumerate(columns):
+        size = shape[f"size{n}"]
+        if size:
+            targets = []
+            for p in probs:
+                position = p * (size - 1)
+                targets += [(p, position, rank) for rank in {math.floor(position), math.ceil(position)}]
+            items.append(_Item(column, shape[f"low{n}"], shape[f"high{n}"], size, tuple(targets)))
+    return items
+
+
+def _cells(df: DataFrame, items: list[_Item], **fields) -> DataFrame:
+    """Rows (item, fields...) for every value inside an item's range."""
+    made = [F.when(item.inside(), F.struct(F.lit(n).alias("item"), *[make(item).alias(name)
+                                                                    for name, make in fields.items()]))
+            for n, item in enumerate(items)]
+    kept = df.filter(reduce(Column.__or__, [item.inside() for item in items]))
+    return kept.select(F.explode(F.array(*made)).alias("c")).filter(F.col("c").isNotNull()).select("c.*")
+
+
+def _narrower(df: DataFrame, items: list[_Item]) -> list[_Item]:
+    """The cells of the items' ranges that hold their ranks, as new items."""
+
+    def cell(item: _Item) -> Column:
+        share = (item.value() - F.lit(item.low)) / F.lit(item.high - item.low)
+        return F.least(F.lit(CELLS - 1), F.floor(share * CELLS).cast("int"))
+
+    counts = (_cells(df, items, cell=cell, num=_Item.value).groupBy("item", "cell")
+              .agg(F.count(F.lit(1)).alias("size"), F.min("num").alias("low"), F.max("num").alias("high")))
+    # At most CELLS rows per item.
+    upto = F.sum("size").over(W.partitionBy("item").orderBy("cell").rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = counts.withColumn("upto", upto)
+    ranks = {n: sorted({t[2] for t in item.targets}) for n, item in enumerate(items)}
+    holds = reduce(Column.__or__, [
+        (F.col("item") == n) & (F.col("upto") > rank) & (F.col("upto") - F.col("size") <= rank)
+        for n, wanted in ranks.items() for rank in wanted])
+    out = []
+    for row in placed.filter(holds).collect():
+        old, before = items[row["item"]], row["upto"] - row["size"]
+        targets = tuple((p, q, rank - before) for p, q, rank in old.targets if before <= rank < row["upto"])
+        out.append(_Item(old.column, row["low"], row["high"], row["size"], targets))
+    return out
+
+
+def column_quantiles(df: DataFrame, columns: Iterable[str], probs: Iterable[float]) -> DataFrame:
+    """Exact quantiles (linear interpolation) of numeric columns: rows (column_name, prob, quantile).
+
+    The search runs when this is called; the last step, which orders the few rows left, is lazy.
     """
-    placed = (cells.join(F.broadcast(cuts), "column_name")
-              .withColumn("range_no", F.size(F.filter("cuts", lambda c: c < F.col("num")))))
-    # At most (cuts + 1) rows per column from here to `targets`.
-    sizes = placed.groupBy("column_name", "range_no").agg(F.sum("weight").alias("size"))
-    by_column = W.partitionBy("column_name")
-    positions = (sizes
-                 .withColumn("total", F.sum("size").over(by_column))
-                 .withColumn("upto", F.sum("size").over(
-                     by_column.orderBy("range_no").rowsBetween(W.unboundedPreceding, W.currentRow)))
-                 .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-                 .withColumn("position", F.col("prob") * (F.col("total") - 1)))
-    targets = (positions
-               .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("position"), F.ceil("position")))))
-               .filter((F.col("rank") >= F.col("upto") - F.col("size")) & (F.col("rank") < F.col("upto")))
-               .select("column_name", "range_no", "prob", "position",
-                       (F.col("rank") - (F.col("upto") - F.col("size"))).alias("local_rank")))
-    wanted_ranges = targets.select("column_name", "range_no").distinct()
-    values = (placed.join(F.broadcast(wanted_ranges), ["column_name", "range_no"], "left_semi")
-              .groupBy("column_name", "range_no", "num").agg(F.sum("weight").alias("size")))
-    ranked = values.withColumn("upto", F.sum("size").over(
-        W.partitionBy("column_name", "range_no").orderBy("num")
-        .rowsBetween(W.unboundedPreceding, W.currentRow)))
-    hits = (ranked.join(F.broadcast(targets), ["column_name", "range_no"])
-            .filter((F.col("local_rank") >= F.col("upto") - F.col("size"))
-                    & (F.col("local_rank") < F.col("upto"))))
-    return (hits.groupBy("column_name", "prob")
-            .agg(F.min("num").alias("low"), F.max("num").alias("high"), F.max("position").alias("position"))
-            .select("column_name", "prob",
-                    (F.col("low") + (F.col("position") - F.floor("position")) * (F.col("high") - F.col("low")))
-                    .alias("quantile")))
-
-
-def column_quantiles(df: DataFrame, columns, probs) -> DataFrame:
-    """Exact quantiles of numeric columns: rows (column_name, prob, quantile)."""
-    return quantiles_from_cells(numeric_cells(df, columns), column_cuts(df, columns, probs), probs)
+    items = _columns(df, columns, [float(p) for p in probs])
+    while any(item.is_open() for item in items):
+        found = _narrower(df, [i for i in items if i.is_open()])
+        items = [i for i in items if not i.is_open()] + found
+    return _in_order(df, items)
+
+
+def _in_order(df: DataFrame, items: list[_Item]) -> DataFrame:
+    spark = df.sparkSession
+    names = F.array(*[F.lit(item.column) for item in items])
+    targets = spark.createDataFrame([(n, *t) for n, item in enumerate(items) for t in item.targets], _SHAPE)
+    settled = [(n, item.low) for n, item in enumerate(items) if item.low == item.high]
+    hits = targets.join(F.broadcast(spark.createDataFrame(settled, "item int, num double")), "item") if settled else None
+    rest = [(n, item) for n, item in enumerate(items) if item.low < item.high]
+    if rest:
+        numbers = F.array(*[F.lit(n) for n, _ in rest])
+        values = (_cells(df, [item for _, item in rest], num=_Item.value).groupBy("item", "num")
+                  .agg(F.count(F.lit(1)).alias("size"))
+                  .withColumn("item", F.element_at(numbers, F.col("item") + 1)))
+        upto = F.sum("size").over(W.partitionBy("item").orderBy("num").rowsBetween(W.unboundedPreceding, W.currentRow))
+        ranked = values.withColumn("upto", upto)
+        found = ranked.join(F.broadcast(targets), "item").filter(
+            (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("size")))
+        found = found.select("item", "prob", "position", "rank", "num")
+        hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
+        return spark.createDataFrame([], "column_name string, prob double, quantile double")
+    # Both neighbours of a position may lie in different items of the same column.
+    part = F.col("position") - F.floor("position")
+    return (hits.withColumn("column_name", F.element_at(names, F.col("item") + 1))
+            .groupBy("column_name", "prob", "position").agg(F.min("num").alias("low"), F.max("num").alias("high"))
+            .select("column_name", "prob", (F.col("low") + part * (F.col("high") - F.col("low"))).alias("quantile")))
 
 
 def spread_quantiles(quantiles: DataFrame, names: dict[float, str]) -> DataFrame:

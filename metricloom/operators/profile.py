@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metricloom.functions.quantiles import cut_points, quantiles_from_cells, spread_quantiles
-from metricloom.model import SemanticModel, quoted
+from metricloom.functions.quantiles import column_quantiles, spread_quantiles
+from metricloom.model import quoted
 
 # Text shapes that count as dates.
 DATE_SHAPES = (
@@ -57,48 +55,66 @@ def _date_like(text: Column) -> Column:
 
 
 def value_cells(df: DataFrame) -> DataFrame:
-    """(column_name, position, text, num, weight): each cell, pre-counted by column and value.
+    """(position, whole, num, text, weight): each cell, pre-counted by column and value.
 
-    Equal values collapse before the shuffle, so a hot value costs one row per task.
+    Whole numbers, fractional numbers and everything else (as text) keep to a column of
+    their own, so numbers are not turned into text row by row. Equal values collapse
+    before the shuffle: a hot value costs one row per task.
     """
     cells = []
     for n, f in enumerate(df.schema.fields, 1):
         column = F.col(quoted(f.name))
-        numeric = isinstance(f.dataType, T.NumericType)
-        # Adding zero turns -0.0 into 0.0, so both count as one value.
-        text = (column + F.lit(0.0)) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else column
-        text = text.cast("string") if _native_type(f.dataType) != "unknown" else F.to_json(F.struct(column))
-        cells.append(F.struct(F.lit(f.name).alias("column_name"), F.lit(n).alias("position"), text.alias("text"),
-                              (column.cast("double") if numeric else F.lit(None).cast("double")).alias("num")))
+        whole, num, text = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
+        if isinstance(f.dataType, T.IntegralType):
+            whole = column.cast("long")
+        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            num = column.cast("double") + F.lit(0.0)  # -0.0 and 0.0 are one value
+        elif _native_type(f.dataType) != "unknown":
+            text = column.cast("string")
+        else:
+            text = F.when(column.isNotNull(), F.to_json(F.struct(column)))
+        cells.append(F.struct(F.lit(n).alias("position"), whole.alias("whole"), num.alias("num"), text.alias("text")))
     return (df.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-            .groupBy("column_name", "position", "text", "num").agg(F.count(F.lit(1)).alias("weight")))
+            .groupBy("position", "whole", "num", "text").agg(F.count(F.lit(1)).alias("weight")))
 
 
-def _direct_stats(df: DataFrame) -> DataFrame:
-    """One global aggregate: per column type, moments, date span and quantile cuts."""
-    aggregates, rows = [], []
-    for n, f in enumerate(df.schema.fields, 1):
-        column, native = F.col(quoted(f.name)), _native_type(f.dataType)
-        number, text = F.lit(None).cast("double"), F.lit(None).cast("string")
-        part = {"min": number, "max": number, "mean": number, "std_dev": number,
-                "min_date": text, "max_date": text, "shaped": F.lit(None).cast("long"),
-                "filled": F.lit(None).cast("long"), "cuts": F.lit(None).cast("array<double>")}
-        if native == "numeric":
-            value = column.cast("double")
-            part |= {"min": F.min(value), "max": F.max(value), "mean": F.avg(value),
-                     "std_dev": F.stddev_samp(value), "cuts": cut_points(value, PROBS)}
-        elif native in ("date", "datetime"):
-            part |= {"min_date": F.min(column).cast("string"), "max_date": F.max(column).cast("string")}
-        elif native is None:
-            filled = F.trim(column) != ""
-            part |= {"shaped": F.count(F.when(filled & _date_like(column), 1)), "filled": F.count(F.when(filled, 1)),
-                     "min_date": F.min(column), "max_date": F.max(column)}
-        for key, value in part.items():
-            aggregates.append(value.alias(f"{key}_{n}"))
-        rows.append(F.struct(F.lit(f.name).alias("column_name"), F.lit(native).cast("string").alias("native"),
-                             *[F.col(f"{key}_{n}").alias(key) for key in part]))
-    real = [a for a in aggregates]
-    return df.agg(*real).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+def _named(df: DataFrame) -> Column:
+    """Column name of a cell's position."""
+    return F.element_at(F.array(*[F.lit(c) for c in df.columns]), F.col("position"))
+
+
+def _natives(df: DataFrame) -> Column:
+    """Type of a cell's column where the schema decides, null for text."""
+    return F.element_at(F.array(*[F.lit(_native_type(f.dataType)).cast("string") for f in df.schema.fields]),
+                        F.col("position"))
+
+
+def _cell_text() -> Column:
+    return F.coalesce(F.col("text"), F.col("whole").cast("string"), F.col("num").cast("string"))
+
+
+def _counts() -> list[Column]:
+    """Aggregates over pre-counted cells: rows, nulls, distinct values, date-shaped text."""
+    weight, trimmed = F.col("weight"), F.trim("text")
+    missing = F.col("whole").isNull() & F.col("num").isNull() & F.col("text").isNull()
+    return [
+        F.sum(weight).alias("row_count"),
+        F.coalesce(F.sum(F.when(missing, weight)), F.lit(0)).alias("null_count"),
+        F.count(F.lit(1)).alias("unique_count"),
+        F.coalesce(F.sum(F.when((trimmed != "") & _date_like(F.col("text")), weight)), F.lit(0)).alias("shaped"),
+        F.coalesce(F.sum(F.when(trimmed != "", weight)), F.lit(0)).alias("filled")]
+
+
+def _moments(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, mean, std_dev) of numeric columns from one global aggregate."""
+    aggregates = []
+    for n, name in enumerate(columns):
+        value = F.col(quoted(name)).cast("double")
+        aggregates += [F.avg(value).alias(f"mean_{n}"), F.stddev_samp(value).alias(f"std_{n}")]
+    rows = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("column_name"), F.col(f"mean_{n}").alias("mean"), F.col(f"std_{n}").alias("std_dev"))
+        for n, name in enumerate(columns)]))
+    return df.agg(*aggregates).select(rows.alias("r")).select("r.*")
 
 
 def detected_type(native: Column, shaped: Column, filled: Column) -> Column:
@@ -122,31 +138,32 @@ def role_of(name: Column, kind: Column, rows: Column, unique: Column) -> Column:
 def profile(df: DataFrame) -> DataFrame:
     """One row per column: type, role, nulls, unique values, samples, numeric and date statistics.
 
-    The data is read twice: for one global aggregate, and for counts per (column, value)
-    from which uniques, samples and exact quantiles follow.
+    Counts per (column, value) give uniques, extremes, date shapes and samples; two
+    global aggregates give moments and quantile cuts.
     """
-    cells, direct = value_cells(df), _direct_stats(df)
-    counts = cells.groupBy("column_name", "position").agg(
-        F.sum("weight").alias("row_count"),
-        F.coalesce(F.sum(F.when(F.col("text").isNull(), F.col("weight"))), F.lit(0)).alias("null_count"),
-        F.count(F.lit(1)).alias("unique_count"))
-    smallest = W.partitionBy("column_name").orderBy(F.col("num").asc_nulls_last(), F.col("text").asc())
-    samples = (cells.filter(F.col("text").isNotNull())
+    numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+    cells = value_cells(df)
+    value = F.coalesce(F.col("num"), F.col("whole").cast("double"))
+    counts = cells.groupBy("position").agg(
+        *_counts(), F.min(value).alias("min"), F.max(value).alias("max"),
+        F.min("text").alias("first_text"), F.max("text").alias("last_text"))
+    smallest = W.partitionBy("position").orderBy("whole", "num", "text")
+    samples = (cells.withColumn("shown", _cell_text()).filter(F.col("shown").isNotNull())
                .withColumn("place", F.row_number().over(smallest)).filter(F.col("place") <= 5)
-               .groupBy("column_name")
-               .agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("s"))
-               .select("column_name", F.transform("s", lambda v: v["text"]).alias("sample_values")))
-    numbers = cells.filter(F.col("num").isNotNull()).select("column_name", "num", "weight")
-    cuts = direct.filter(F.col("cuts").isNotNull()).select("column_name", "cuts")
-    quantiles = spread_quantiles(quantiles_from_cells(numbers, cuts, PROBS), PROBS)
+               .groupBy("position").agg(F.array_sort(F.collect_list(F.struct("place", "shown"))).alias("s"))
+               .select("position", F.transform("s", lambda v: v["shown"]).alias("sample_values")))
     # From here on there is one row per column of the schema.
-    rows = (counts.join(F.broadcast(direct.drop("cuts")), "column_name")
-            .join(F.broadcast(samples), "column_name", "left")
-            .join(F.broadcast(quantiles), "column_name", "left"))
-    kind = detected_type(F.col("native"), F.col("shaped"), F.col("filled"))
-    rows = rows.withColumn("detected_type", kind)
+    rows = (counts.join(F.broadcast(samples), "position", "left")
+            .withColumn("column_name", _named(df)).withColumn("native", _natives(df)))
+    if numbers:
+        quantiles = spread_quantiles(column_quantiles(df, numbers, PROBS), PROBS)
+        rows = (rows.join(F.broadcast(_moments(df, numbers)), "column_name", "left")
+                .join(F.broadcast(quantiles), "column_name", "left"))
+    else:
+        rows = rows.withColumns({c: F.lit(None).cast("double") for c in ("mean", "std_dev", *PROBS.values())})
+    rows = rows.withColumn("detected_type", detected_type(F.col("native"), F.col("shaped"), F.col("filled")))
     is_date = F.col("detected_type").isin("date", "datetime")
-    low, high = (F.when(is_date, F.col(c)) for c in ("min_date", "max_date"))
+    low, high = F.when(is_date, F.col("first_text")), F.when(is_date, F.col("last_text"))
     days = F.date_diff(F.substring(high, 1, 10).try_cast("date"), F.substring(low, 1, 10).try_cast("date"))
     four = [F.round(c, 4).alias(c) for c in ("min", "max", "mean", "median", "std_dev", "q25", "q75")]
     return rows.select(
@@ -163,23 +180,10 @@ def _percent(part: str, whole: str) -> Column:
 
 def type_roles(df: DataFrame) -> DataFrame:
     """(column_name, position, detected_type, role) without the statistics."""
-    counts = value_cells(df).groupBy("column_name", "position").agg(
-        F.sum("weight").alias("row_count"), F.count(F.lit(1)).alias("unique_count"))
-    texts = [f.name for f in df.schema.fields if _native_type(f.dataType) is None]
-    aggregates, rows = [F.count(F.lit(1)).alias("n")], []
-    for n, name in enumerate(df.columns):
-        if name in texts:
-            filled = F.trim(F.col(quoted(name))) != ""
-            aggregates += [F.count(F.when(filled & _date_like(F.col(quoted(name))), 1)).alias(f"s{n}"),
-                           F.count(F.when(filled, 1)).alias(f"f{n}")]
-        native = _native_type(df.schema[name].dataType)
-        rows.append(F.struct(F.lit(name).alias("column_name"), F.lit(native).cast("string").alias("native"),
-                             (F.col(f"s{n}") if name in texts else F.lit(0).cast("long")).alias("shaped"),
-                             (F.col(f"f{n}") if name in texts else F.lit(0).cast("long")).alias("filled")))
-    shapes = df.agg(*aggregates).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    joined = counts.join(F.broadcast(shapes), "column_name").withColumn(
-        "detected_type", detected_type(F.col("native"), F.col("shaped"), F.col("filled")))
-    return joined.select("column_name", "position", "detected_type", role_of(
+    counts = value_cells(df).groupBy("position").agg(*_counts())
+    typed = (counts.withColumn("column_name", _named(df)).withColumn(
+        "detected_type", detected_type(_natives(df), F.col("shaped"), F.col("filled"))))
+    return typed.select("column_name", "position", "detected_type", role_of(
         F.col("column_name"), F.col("detected_type"), F.col("row_count"), F.col("unique_count")).alias("role"))
 
 
@@ -213,18 +217,19 @@ def behaviour_roles(df: DataFrame) -> DataFrame:
     ``role``: binary flag, date, discrete or continuous number, identifier, category.
     ``simple_role``: boolean, numeric (more than 15 values), identifier, categorical.
     """
-    cells = value_cells(df).withColumn("trimmed", F.trim("text"))
-    filled = F.col("text").isNotNull() & (F.col("text") != "")
-    number = F.when(F.col("trimmed") == "", 0.0).otherwise(F.col("trimmed").try_cast("double"))
+    cells = value_cells(df).withColumn("shown", _cell_text()).withColumn("trimmed", F.trim("shown"))
+    filled = F.col("shown").isNotNull() & (F.col("shown") != "")
+    number = F.coalesce(F.col("num"), F.col("whole").cast("double"),
+                        F.when(F.col("trimmed") == "", 0.0).otherwise(F.col("trimmed").try_cast("double")))
     date = (F.length("trimmed") >= 8) & F.col("trimmed").try_cast("timestamp").isNotNull()
-    stats = cells.groupBy("column_name", "position").agg(
+    stats = cells.groupBy("position").agg(
         F.sum("weight").alias("rows"),
         F.coalesce(F.sum(F.when(filled, F.col("weight"))), F.lit(0)).alias("filled"),
         F.count(F.when(filled, 1)).alias("uniques"),
         F.coalesce(F.sum(F.when(filled & number.isNotNull(), F.col("weight"))), F.lit(0)).alias("numbers"),
         F.count(F.when(filled & ~F.lower("trimmed").isin(*FLAG_WORDS), 1)).alias("not_flag"),
         F.count(F.when(filled & ~date, 1)).alias("not_date"),
-        F.count(F.when(filled & ~F.coalesce(number.isin(0.0, 1.0), F.lit(False)), 1)).alias("not_bit"))
+        F.count(F.when(filled & ~F.coalesce(number.isin(0.0, 1.0), F.lit(False)), 1)).alias("not_bit")).withColumn("column_name", _named(df))
     c, name = F.col, F.lower("column_name")
     binary = (c("uniques") <= 2) & (c("not_flag") == 0)
     numeric = (c("filled") > 0) & (c("numbers") / F.greatest(c("filled"), F.lit(1)) > 0.85)

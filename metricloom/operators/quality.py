@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from metricloom.functions.quantiles import column_cuts, numeric_cells, quantiles_from_cells, spread_quantiles
+from metricloom.functions.quantiles import column_quantiles, spread_quantiles
 from metricloom.model import quoted
 from metricloom.operators.cleaning import (
     CleaningPolicy, clean, clean_names, coerce_money, handle_negatives, is_money_name, negative_columns,
@@ -69,7 +70,6 @@ def column_issues(raw: DataFrame, policy: CleaningPolicy | None = None) -> DataF
                         *[F.col(quoted(c)).alias(c) for c in names])
     after = coerce_money(both, money)
     counters, items = [F.count(F.lit(1)).alias("total")], []
-    dropped = F.lit(False)
     for i, c in enumerate(names):
         if c in negatives:
             counters.append(F.count(F.when(F.col(quoted(c)) < 0, 1)).alias(f"neg{i}"))
@@ -145,25 +145,40 @@ def cleaning_report(raw: DataFrame, policy: CleaningPolicy | None = None) -> Dat
 def outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns with values beyond 1.5 interquartile ranges: bounds, count, share, five samples.
 
-    Needs at least ten values and a positive range. Quartiles are exact.
+    Needs at least ten values and a positive range. Quartiles are exact; the bounds, two
+    numbers per column, become literals, so that one pass counts and picks the outliers.
     """
-    probs = {0.25: "q1", 0.75: "q3"}
-    cells = numeric_cells(df, columns)
-    quartiles = spread_quantiles(quantiles_from_cells(cells, column_cuts(df, columns, probs), probs), probs)
-    reach = F.col("q3") - F.col("q1")
-    # One row per examined column.
-    bounds = quartiles.filter(reach > 0).select(
-        "column_name", (F.col("q1") - 1.5 * reach).alias("lower_bound"), (F.col("q3") + 1.5 * reach).alias("upper_bound"))
-    judged = cells.join(F.broadcast(bounds), "column_name")
-    outside = (F.col("num") < F.col("lower_bound")) | (F.col("num") > F.col("upper_bound"))
-    counts = judged.groupBy("column_name", "lower_bound", "upper_bound").agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(outside, 1)).alias("outlier_count"))
+    rows = column_quantiles(df, columns, [0.25, 0.75]).collect()  # two rows per column
+    found = {(r["column_name"], r["prob"]): r["quantile"] for r in rows}
+    bounds = {}
+    for name in columns:
+        q1, q3 = found.get((name, 0.25)), found.get((name, 0.75))
+        if q1 is not None and q3 > q1:
+            bounds[name] = (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
+    spark = df.sparkSession
+    shape = ("column_name string, method string, lower_bound double, upper_bound double, outlier_count long, "
+             "outlier_percentage double, sample_outliers array<double>")
+    if not bounds:
+        return spark.createDataFrame([], shape)
+    names = list(bounds)
+    values = [F.nanvl(F.col(quoted(c)).cast("double"), F.lit(None).cast("double")) for c in names]
+    outside = [(v < bounds[c][0]) | (v > bounds[c][1]) for c, v in zip(names, values)]
+    counts = df.agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(values)],
+                    *[F.count(F.when(o, 1)).alias(f"o{i}") for i, o in enumerate(outside)])
+    per_column = counts.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.lit(bounds[c][0]).alias("lower_bound"),
+                 F.lit(bounds[c][1]).alias("upper_bound"), F.col(f"n{i}").alias("n"),
+                 F.col(f"o{i}").alias("outlier_count")) for i, c in enumerate(names)])).alias("r")).select("r.*")
+    cells = df.filter(reduce(Column.__or__, outside)).select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.when(o, v).alias("num"))
+        for c, v, o in zip(names, values, outside)])).alias("c")).select("c.*").filter(F.col("num").isNotNull())
     smallest = W.partitionBy("column_name").orderBy("num")
-    samples = (judged.filter(outside).withColumn("place", F.row_number().over(smallest))
+    samples = (cells.withColumn("place", F.row_number().over(smallest))
                .filter(F.col("place") <= 5).groupBy("column_name")
                .agg(F.array_sort(F.collect_list(F.round("num", 4))).alias("sample_outliers")))
-    found = counts.filter((F.col("n") >= 10) & (F.col("outlier_count") > 0))
-    return found.join(F.broadcast(samples), "column_name").select(
+    kept = per_column.filter((F.col("n") >= 10) & (F.col("outlier_count") > 0))
+    # One row per examined column on either side.
+    return kept.join(F.broadcast(samples), "column_name").select(
         "column_name", F.lit("IQR").alias("method"), F.round("lower_bound", 4).alias("lower_bound"),
         F.round("upper_bound", 4).alias("upper_bound"), "outlier_count",
         F.round(F.col("outlier_count") * 100.0 / F.col("n"), 2).alias("outlier_percentage"), "sample_outliers")

@@ -79,15 +79,15 @@ def _standard(df: DataFrame, model: SemanticModel, widgets: list[Widget]) -> Dat
             metrics = metrics[:1]
             plan.append((w, "card", None, metrics))
             if date:
-                keys.setdefault(f"_{automatic}", period_start(F.col(quoted(date)), automatic).cast("string"))
+                keys.setdefault(f"_{automatic}", period_start(F.col(quoted(date)), automatic))
                 plan.append((w, "trend", f"_{automatic}", metrics))
         elif w.kind in ("line_chart", "area_chart"):
             grain = w.granularity or automatic
-            keys.setdefault(f"_{grain}", period_start(F.col(quoted(date)), grain).cast("string"))
+            keys.setdefault(f"_{grain}", period_start(F.col(quoted(date)), grain))
             plan.append((w, "series", f"_{grain}", metrics))
         else:
             name = resolve_column(df, w.dimension or model.dimensions[0])
-            keys.setdefault(name, F.col(quoted(name)).cast("string"))
+            keys.setdefault(name, F.col(quoted(name)))
             plan.append((w, "groups", name, metrics))
 
     used = {m: known[m] for _, _, _, metrics in plan for m in metrics}
@@ -107,7 +107,8 @@ def _standard(df: DataFrame, model: SemanticModel, widgets: list[Widget]) -> Dat
                  F.lit(everything if name is None else ids[name]).cast("long").alias("gid"), F.lit(w.limit).alias("most"),
                  F.col(quoted(metrics[0])).alias("sort_value"))
         for n, (w, kind, name, metrics) in enumerate(plan)]), lambda t: t["gid"] == F.col("_gid")))
-    key = F.coalesce(*[F.when(F.col("_gid") == ids[name], F.col(f"_k{n}")) for n, name in enumerate(keys)]) \
+    key = F.coalesce(*[F.when(F.col("_gid") == ids[name], F.col(f"_k{n}").cast("string"))
+                       for n, name in enumerate(keys)]) \
         if keys else F.lit(None).cast("string")
     rows = grouped.withColumn("key", key).withColumn("t", targets)
     by_plan = W.partitionBy("t.plan_no")
