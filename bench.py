@@ -30,6 +30,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("metricloom-bench")
              .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
+             # Column call sites are recorded for error messages only; that costs driver time per expression.
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false")
              .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g")).getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     from metricloom.catalog import CATALOG

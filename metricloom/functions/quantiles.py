@@ -22,6 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from metricloom.model import quoted
 
@@ -40,23 +41,24 @@ class _Item:
     high: float
     size: int
     targets: tuple[tuple[float, float, int], ...]  # (prob, position in the column, rank here)
-
-    def value(self) -> Column:
-        number = F.col(quoted(self.column)).cast("double")
-        return F.nanvl(number, F.lit(None).cast("double"))
-
-    def inside(self) -> Column:
-        return self.value().between(self.low, self.high)
+    whole: bool = False
 
     def is_open(self) -> bool:
         return self.size > FEW_ROWS and self.low < self.high and math.isfinite(self.high - self.low)
 
 
+def _value(df: DataFrame, column: str) -> Column:
+    """The column as a double; not-a-number counts as missing."""
+    number = F.col(quoted(column)).cast("double")
+    if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(number), number)
+    return number
+
+
 def _columns(df: DataFrame, columns: Iterable[str], probs: list[float]) -> list[_Item]:
     """One item per column that has values, over its whole range."""
     columns = list(columns)
-    whole = [_Item(c, 0.0, 0.0, 0, ()) for c in columns]
-    shape = df.agg(*[f(item.value()).alias(f"{name}{n}") for n, item in enumerate(whole)
+    shape = df.agg(*[f(_value(df, c)).alias(f"{name}{n}") for n, c in enumerate(columns)
                      for name, f in (("size", F.count), ("low", F.min), ("high", F.max))]).first()
     items = []
     for n, column in enumerate(columns):
@@ -66,27 +68,48 @@ def _columns(df: DataFrame, columns: Iterable[str], probs: list[float]) -> list[
             for p in probs:
                 position = p * (size - 1)
                 targets += [(p, position, rank) for rank in {math.floor(position), math.ceil(position)}]
-            items.append(_Item(column, shape[f"low{n}"], shape[f"high{n}"], size, tuple(targets)))
+            items.append(_Item(column, shape[f"low{n}"], shape[f"high{n}"], size, tuple(targets), whole=True))
     return items
 
 
-def _cells(df: DataFrame, items: list[_Item], **fields) -> DataFrame:
-    """Rows (item, fields...) for every value inside an item's range."""
-    made = [F.when(item.inside(), F.struct(F.lit(n).alias("item"), *[make(item).alias(name)
-                                                                    for name, make in fields.items()]))
-            for n, item in enumerate(items)]
-    kept = df.filter(reduce(Column.__or__, [item.inside() for item in items]))
-    return kept.select(F.explode(F.array(*made)).alias("c")).filter(F.col("c").isNotNull()).select("c.*")
+def _cells(df: DataFrame, items: list[_Item]) -> DataFrame:
+    """Rows (item, num) for every value inside an item's range.
 
+    Values outside all ranges of their column become null first, so that only the rest
+    is matched to items. Unpivot runs as an Expand inside generated code.
+    """
+    by_column: dict[str, list[int]] = {}
+    for n, item in enumerate(items):
+        by_column.setdefault(item.column, []).append(n)
+
+    def inside(n: int, value: Column) -> Column:
+        return F.lit(True) if items[n].whole else value.between(items[n].low, items[n].high)
+
+    wide = []
+    for k, (column, numbers) in enumerate(by_column.items()):
+        value = _value(df, column)
+        kept = reduce(Column.__or__, [inside(n, value) for n in numbers])
+        wide.append((value if any(items[n].whole for n in numbers) else F.when(kept, value)).alias(str(k)))
+    long = (df.select(*wide).unpivot([], [str(k) for k in range(len(wide))], "slot", "num")
+            .filter(F.col("num").isNotNull()).withColumn("slot", F.col("slot").cast("int")))
+    if len(by_column) == len(items):
+        return long.select(F.col("slot").alias("item"), "num")
+    matches = F.array_compact(F.array(*[
+        F.when((F.col("slot") == k) & inside(n, F.col("num")), n)
+        for k, numbers in enumerate(by_column.values()) for n in numbers]))
+    return long.select(F.explode(matches).alias("item"), "num")
 
-def _narrower(df: DataFrame, items: list[_Item]) -> list[_Item]:
-    """The cells of the items' ranges that hold their ranks, as new items."""
 
-    def cell(item: _Item) -> Column:
-        share = (item.value() - F.lit(item.low)) / F.lit(item.high - item.low)
-        return F.least(F.lit(CELLS - 1), F.floor(share * CELLS).cast("int"))
+def _by_item(numbers: Iterable[float]) -> Column:
+    """The number of the row's item, looked up in a literal array."""
+    return F.element_at(F.array(*[F.lit(float(x)) for x in numbers]), F.col("item") + 1)
 
-    counts = (_cells(df, items, cell=cell, num=_Item.value).groupBy("item", "cell")
+
+def _narrower(df: DataFrame, items: list[_Item]) -> list[_Item]:
+    """The cells of the items' ranges that hold their ranks, as new items."""
+    scale = _by_item(CELLS / (i.high - i.low) for i in items)
+    cell = F.least(F.lit(CELLS - 1), F.floor((F.col("num") - _by_item(i.low for i in items)) * scale).cast("int"))
+    counts = (_cells(df, items).groupBy("item", cell.alias("cell"))
               .agg(F.count(F.lit(1)).alias("size"), F.min("num").alias("low"), F.max("num").alias("high")))
     # At most CELLS rows per item.
     upto = F.sum("size").over(W.partitionBy("item").orderBy("cell").rowsBetween(W.unboundedPreceding, W.currentRow))
@@ -124,7 +147,7 @@ def _in_order(df: DataFrame, items: list[_Item]) -> DataFrame:
     rest = [(n, item) for n, item in enumerate(items) if item.low < item.high]
     if rest:
         numbers = F.array(*[F.lit(n) for n, _ in rest])
-        values = (_cells(df, [item for _, item in rest], num=_Item.value).groupBy("item", "num")
+        values = (_cells(df, [item for _, item in rest]).groupBy("item", "num")
                   .agg(F.count(F.lit(1)).alias("size"))
                   .withColumn("item", F.element_at(numbers, F.col("item") + 1)))
         upto = F.sum("size").over(W.partitionBy("item").orderBy("num").rowsBetween(W.unboundedPreceding, W.currentRow))
