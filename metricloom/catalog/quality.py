@@ -327,7 +327,8 @@ def score(spark, sf):
     SELECT n AS total_rows, c AS clean_rows, n - c AS dropped_rows, n - u AS duplicate_rows,
            neg AS negative_measures, missing AS missing_values FROM d CROSS JOIN s"""))
 def _(spark, sf):
-    return q.cleaning_report(V.dirty(spark, sf), cl.CleaningPolicy(drop_duplicates=True)).drop("quality_score")
+    return q.cleaning_report(V.dirty(spark, sf), cl.CleaningPolicy(drop_duplicates=True)).drop(
+        "quality_score", "malformed_numerics", "invalid_dates")
 
 
 def _outlier_sql(column: str, table: str) -> str:

@@ -55,17 +55,24 @@ def _report(rows: DataFrame, *extra) -> DataFrame:
 
 def _causes(df: DataFrame, model: SemanticModel, metric: str, granularity: str,
             dimension: str) -> tuple[DataFrame, DataFrame]:
-    known = computable_metrics(model)
-    flagged = _flagged(timeseries(df, model, [metric], granularity), [metric])
+    chosen = computable_metrics(model)[metric]
+    segments = (period_metrics(df, model, [chosen], granularity, [dimension])
+                .select(F.col("period").cast("string").alias("side_period"),
+                        F.col(dimension).cast("string").alias("segment"), F.col(metric).alias("amount"))
+                # The join below implies this filter; stated here, both readers share one aggregate.
+                .filter(F.col("side_period").isNotNull()))
+    if chosen.row is not None:
+        # A sum over all rows is the sum over the segments: the data is read once for both.
+        series = segments.groupBy(F.col("side_period").alias("period_start")).agg(F.sum("amount").alias(metric))
+    else:
+        series = timeseries(df, model, [metric], granularity)
+    flagged = _flagged(series, [metric])
     # Each anomaly looks at two periods; an equi-join on the period brings their segments.
     sides = F.explode(F.array(
         F.struct(F.col("period_start").alias("side_period"), F.lit(1).alias("is_current")),
         F.struct(F.col("prior_period").alias("side_period"), F.lit(0).alias("is_current"))))
     looked_at = flagged.select("period_start", "delta", "pct", sides.alias("s")).select(
         "period_start", "delta", "pct", "s.*")
-    segments = (period_metrics(df, model, [known[metric]], granularity, [dimension])
-                .select(F.col("period").cast("string").alias("side_period"),
-                        F.col(dimension).cast("string").alias("segment"), F.col(metric).alias("amount")))
     # `looked_at` has two rows per anomalous period, far fewer than calendar days.
     both = segments.join(F.broadcast(looked_at), "side_period").groupBy("period_start", "delta", "pct", "segment").agg(
         F.coalesce(F.sum(F.when(F.col("is_current") == 1, F.col("amount"))), F.lit(0.0)).alias("current"),

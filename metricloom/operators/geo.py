@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from metricloom.functions.formats import grouped_number
@@ -104,9 +105,9 @@ def geo_breakdown(df: DataFrame, model: SemanticModel, metric: str = "total_reve
     name = F.coalesce(F.col("dimension_value").cast("string"), F.lit("None"))
     top = top.select(name.alias("place"), F.lower(F.trim(name)).alias("place_key"),
                      F.coalesce(chosen.id, F.lit(0.0)).alias("value"), "_row_count")
-    total = top.agg(F.sum("value").alias("total"))
+    top = top.withColumn("total", F.sum("value").over(W.partitionBy()))  # at most 50 rows
     known = places if places is not None else gazetteer(df.sparkSession)
-    rows = top.join(known, "place_key", "left").crossJoin(F.broadcast(total))
+    rows = top.join(known, "place_key", "left")
     latitude, longitude = coordinate_columns(df.columns)
     code = F.upper(F.substring("place", 1, 3))
     if latitude and longitude:

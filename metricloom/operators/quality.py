@@ -108,36 +108,46 @@ PENALTIES = (
 )
 
 
-def quality_score(raw: DataFrame, policy: CleaningPolicy | None = None) -> DataFrame:
-    """One row (total_rows, duplicate_rows, issue_count, quality_score)."""
-    issues = column_issues(raw, policy)
+def _issue_totals(raw: DataFrame, policy: CleaningPolicy) -> DataFrame:
+    """One row: points lost, number of issues, and how many values each group of issues affects."""
+    kind, rows = F.col("issue_type"), F.col("affected_rows")
     penalty = F.lit(0.0)
-    for kind, rate, most in PENALTIES:
-        penalty = F.when(F.col("issue_type") == kind,
-                         F.least(F.col("affected_percentage") * rate, F.lit(most))).otherwise(penalty)
-    lost = issues.agg(F.coalesce(F.sum(penalty), F.lit(0.0)).alias("lost"), F.count(F.lit(1)).alias("issue_count"))
-    copies = duplicate_rows(raw)
-    copy_pct = F.coalesce(F.try_divide(F.col("duplicate_rows") * 100.0, F.col("row_count")), F.lit(0.0))
+    for name, rate, most in PENALTIES:
+        penalty = F.when(kind == name, F.least(F.col("affected_percentage") * rate, F.lit(most))).otherwise(penalty)
+
+    def affected(*names: str) -> Column:
+        return F.coalesce(F.sum(F.when(kind.isin(*names), rows)), F.lit(0))
+
+    return column_issues(raw, policy).agg(
+        F.coalesce(F.sum(penalty), F.lit(0.0)).alias("lost"), F.count(F.lit(1)).alias("issue_count"),
+        affected("negative_measure").alias("negative_measures"),
+        affected("missing_values", "high_nulls").alias("missing_values"),
+        affected("malformed_numeric").alias("malformed_numerics"), affected("invalid_date").alias("invalid_dates"))
+
+
+def _scored(raw: DataFrame, policy: CleaningPolicy) -> DataFrame:
+    copies = duplicate_rows(raw).withColumnRenamed("row_count", "total_rows")
+    copy_pct = F.coalesce(F.try_divide(F.col("duplicate_rows") * 100.0, F.col("total_rows")), F.lit(0.0))
     score = F.lit(100.0) - F.least(copy_pct * 0.5, F.lit(20.0)) - F.col("lost")
-    return copies.crossJoin(F.broadcast(lost)).select(  # two single rows
-        F.col("row_count").alias("total_rows"), "duplicate_rows", "issue_count",
-        F.when(F.col("row_count") == 0, 0.0).otherwise(F.greatest(F.round(score, 1), F.lit(0.0)))
-        .alias("quality_score"))
+    both = copies.crossJoin(F.broadcast(_issue_totals(raw, policy)))  # two single rows
+    return both.withColumn(
+        "quality_score", F.when(F.col("total_rows") == 0, 0.0).otherwise(F.greatest(F.round(score, 1), F.lit(0.0))))
+
+
+def quality_score(raw: DataFrame, policy: CleaningPolicy | None = None) -> DataFrame:
+    """One row (total_rows, duplicate_rows, issue_count, quality_score)."""
+    return _scored(raw, policy or CleaningPolicy()).select(
+        "total_rows", "duplicate_rows", "issue_count", "quality_score")
 
 
 def cleaning_report(raw: DataFrame, policy: CleaningPolicy | None = None) -> DataFrame:
-    """One row: score, row counts before and after, and how often each kind of issue occurs."""
+    """One row: score, row counts before and after, and how many values each kind of issue affects."""
     policy = policy or CleaningPolicy()
-    summary = column_issues(raw, policy).agg(
-        F.coalesce(F.sum(F.when(F.col("issue_type") == "negative_measure", F.col("affected_rows"))), F.lit(0))
-        .alias("negative_measures"),
-        F.coalesce(F.sum(F.when(F.col("issue_type").isin("missing_values", "high_nulls"), F.col("affected_rows"))),
-                   F.lit(0)).alias("missing_values"))
     after = clean(raw, policy).agg(F.count(F.lit(1)).alias("clean_rows"))
-    rows = quality_score(raw, policy).crossJoin(F.broadcast(after)).crossJoin(F.broadcast(summary))  # single rows
+    rows = _scored(raw, policy).crossJoin(F.broadcast(after))  # two single rows
     return rows.select("quality_score", "total_rows", "clean_rows",
-                       (F.col("total_rows") - F.col("clean_rows")).alias("dropped_rows"),
-                       "duplicate_rows", "negative_measures", "missing_values")
+                       (F.col("total_rows") - F.col("clean_rows")).alias("dropped_rows"), "duplicate_rows",
+                       "negative_measures", "missing_values", "malformed_numerics", "invalid_dates")
 
 
 # -- K9 ---------------------------------------------------------------------------------------

@@ -128,6 +128,14 @@ def sparkline(series: DataFrame, points: int = 8) -> DataFrame:
 
 # -- F7 ---------------------------------------------------------------------------------------
 
+def _daily_amounts(df: DataFrame, model: SemanticModel, metric: Metric, segment: str) -> DataFrame:
+    """(day, segment, amount) of a metric that is a plain sum."""
+    day = F.col(quoted(_date_column(df, model))).cast("date")
+    name = F.col(quoted(resolve_column(df, segment)))
+    return (df.filter(day.isNotNull()).groupBy(day.alias("day"), name.cast("string").alias("segment"))
+            .agg(F.sum(metric.row()).cast("double").alias("amount")))
+
+
 def segment_windows(df: DataFrame, model: SemanticModel, metric: Metric, segment: str) -> DataFrame:
     """(segment, curr_val, prior_val, pct_delta): dates from Q3 on against dates in [Q1, Q3).
 
@@ -135,11 +143,8 @@ def segment_windows(df: DataFrame, model: SemanticModel, metric: Metric, segment
     of which there are only as many as calendar days, so `percentile` is safe here.
     """
     day = F.col(quoted(_date_column(df, model))).cast("date")
-    name = F.col(quoted(resolve_column(df, segment)))
-    dated = df.filter(day.isNotNull()).withColumn("day_no", F.unix_date(day))
-    daily = (dated.groupBy("day_no", name.cast("string").alias("segment"))
-             .agg(F.sum(metric.row()).cast("double").alias("amount")))
-    bounds = (dated.groupBy("day_no").agg(F.count(F.lit(1)).alias("rows"))
+    daily = _daily_amounts(df, model, metric, segment).withColumn("day_no", F.unix_date("day"))
+    bounds = (df.filter(day.isNotNull()).groupBy(F.unix_date(day).alias("day_no")).agg(F.count(F.lit(1)).alias("rows"))
               .agg(F.percentile("day_no", [0.25, 0.75], F.col("rows")).alias("q")))
     marked = daily.filter(F.col("segment").isNotNull()).crossJoin(F.broadcast(bounds))
     current = F.col("day_no") >= F.col("q")[1]
@@ -161,9 +166,16 @@ def headline(df: DataFrame, model: SemanticModel, metric_id: str, granularity: s
     """
     df = apply_filters(df, filters)
     metric = computable_metrics(model)[metric_id]
-    series = timeseries(df, model, [metric_id], choose_granularity(df, model, granularity))
-    latest = growth(series).select("metric_id", "growth_percentage", "note")
+    granularity = choose_granularity(df, model, granularity)
     segment = model.segment_column("category", "product", "department")
+    if segment is None or metric.row is None:
+        series = timeseries(df, model, [metric_id], granularity)
+    else:
+        # The same daily sums serve the series and the segment windows.
+        start = period_start(F.col("day"), granularity).cast("string")
+        series = (_daily_amounts(df, model, metric, segment).groupBy(start.alias("period_start"))
+                  .agg(F.sum("amount").alias(metric_id)))
+    latest = growth(series).select("metric_id", "growth_percentage", "note")
     flat = F.lit(f"{metric.label} remained essentially flat versus the prior period.")
     is_flat = F.col("growth_percentage").isNull() | (F.abs("growth_percentage") < 0.5)
     if segment is None or metric.row is None:

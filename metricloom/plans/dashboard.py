@@ -1,4 +1,4 @@
-"""All widgets of a dashboard from one pass over the data."""
+"""All widgets of a dashboard from one shared aggregate."""
 
 from __future__ import annotations
 
@@ -37,8 +37,9 @@ def dashboard_data(df: DataFrame, model: SemanticModel, widgets: Iterable[Widget
                    filters: Iterable[Filter] = ()) -> DataFrame:
     """Rows (widget_id, position, key, metric_id, value, formatted_value) for all widgets.
 
-    Cards, series and breakdowns come from a single grouping-sets aggregate of the
-    filtered data: the empty set for cards, one set per granularity and per dimension.
+    Cards, series and breakdowns share one grouping-sets aggregate of the filtered data
+    (the empty set for cards, one set per granularity and per dimension), so the number
+    of scans does not grow with the number of widgets.
     A KPI card also yields ``<metric>`` rows keyed 'prior_value', 'growth_percentage'
     and 'spark_1'..'spark_8'. Custom KPIs are aggregates of their own.
     """
