@@ -106,56 +106,52 @@ def _standard(df: DataFrame, model: SemanticModel, widgets: list[Widget]) -> Dat
     targets = F.explode(F.filter(F.array(*[
         F.struct(F.lit(w.id).alias("widget_id"), F.lit(kind).alias("part"), F.lit(n).alias("plan_no"),
                  F.lit(everything if name is None else ids[name]).cast("long").alias("gid"), F.lit(w.limit).alias("most"),
-                 F.col(quoted(metrics[0])).alias("sort_value"))
+                 F.lit(metrics[0]).alias("main"), F.col(quoted(metrics[0])).alias("main_value"))
         for n, (w, kind, name, metrics) in enumerate(plan)]), lambda t: t["gid"] == F.col("_gid")))
     key = F.coalesce(*[F.when(F.col("_gid") == ids[name], F.col(f"_k{n}").cast("string"))
-                       for n, name in enumerate(keys)]) \
-        if keys else F.lit(None).cast("string")
-    rows = grouped.withColumn("key", key).withColumn("t", targets)
-    by_plan = W.partitionBy("t.plan_no")
-    # Groups: a dimension may have very many, so the rank is cut at a constant, which Spark
-    # applies in every task before the shuffle.
-    best = by_plan.orderBy(F.col("t.sort_value").desc_nulls_last(), F.col("key").asc_nulls_last())
+                       for n, name in enumerate(keys)]) if keys else F.lit(None).cast("string")
+    part, value, age = F.col("t.part"), F.col("t.main_value"), F.col("age")
+    timed = part.isin("trend", "series")
+    rows = grouped.withColumn("key", key).withColumn("t", targets).filter(~timed | F.col("key").isNotNull())
+
+    # A dimension may have very many groups: their rank is cut at a constant, which Spark
+    # applies in every task before the shuffle. Periods are partitions of their own and all pass.
+    best = W.partitionBy("t.plan_no", F.when(timed, F.col("key"))).orderBy(
+        value.desc_nulls_last(), F.col("key").asc_nulls_last())
     most = max([w.limit for w, kind, _, _ in plan if kind == "groups"], default=1)
-    groups = (rows.filter(F.col("t.part") == "groups").withColumn("position", F.row_number().over(best))
-              .filter(F.col("position") <= most).filter(F.col("position") <= F.col("t.most"))
-              .withColumn("age", F.lit(0)))
-    # Cards and series: one row per period.
-    dated = rows.filter((F.col("t.part") == "card")
-                        | (F.col("t.part").isin("trend", "series") & F.col("key").isNotNull()))
-    dated = (dated.withColumn("position", F.row_number().over(by_plan.orderBy(F.col("key").asc_nulls_last())))
-             .withColumn("age", F.row_number().over(by_plan.orderBy(F.col("key").desc())))
-             .filter((F.col("t.part") != "trend") | (F.col("age") <= 8)))
-    rows = groups.unionByName(dated)
-
-    names = {w.id: tuple(metrics) for w, kind, _, metrics in plan if kind != "trend"}
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric_id"), F.col(quoted(m)).alias("value"),
-                 metric_text(F.col(quoted(m)), used[m].format).alias("formatted_value")) for m in used]))
-    shown = reduce(Column.__or__, [
-        (F.col("widget_id") == w) & F.col("metric_id").isin(*metrics) for w, metrics in names.items()])
-    long = (rows.select(F.col("t.widget_id").alias("widget_id"), F.col("t.part").alias("part"), "position", "age", "key",
-                        cells.alias("c")).select("widget_id", "part", "position", "age", "key", "c.*").filter(shown))
-    out = ("widget_id", "position", "key", "metric_id", "value", "formatted_value")
-    plain = long.filter(F.col("part") != "trend").withColumn(
-        "key", F.when(F.col("part") == "card", "value").otherwise(F.col("key"))).select(*out)
-    trend = long.filter(F.col("part") == "trend")
-    # Growth and spark points of a card: at most eight rows per card reach this aggregate.
-    cards = trend.groupBy("widget_id", "metric_id").agg(
-        F.array_sort(F.collect_list(F.struct("key", "value"))).alias("points"),
-        F.coalesce(F.max(F.when(F.col("age") == 1, F.col("value"))), F.lit(0.0)).alias("current"),
-        F.max(F.when(F.col("age") == 2, F.coalesce("value", F.lit(0.0)))).alias("prior"))
-    change = F.round(F.try_divide(F.round(F.col("current") - F.col("prior"), 2), F.col("prior")) * 100.0, 2)
-    facts = F.array(F.struct(F.lit(2).alias("position"), F.lit("prior_value").alias("key"),
-                             F.round("prior", 2).alias("value")),
-                    F.struct(F.lit(3).alias("position"), F.lit("growth_percentage").alias("key"), change.alias("value")))
-    sparks = F.transform("points", lambda p, n: F.struct(
-        (n + 4).alias("position"), F.concat(F.lit("spark_"), (n + 1).cast("string")).alias("key"),
-        p["value"].alias("value")))
-    extra = (cards.select("widget_id", "metric_id", F.explode(F.concat(facts, sparks)).alias("f"))
-             .select("widget_id", "f.position", "f.key", "metric_id", "f.value",
-                     F.lit(None).cast("string").alias("formatted_value")))
-    return plain.unionByName(extra)
+    rows = (rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most)
+            .filter((part != "groups") | (F.col("rank") <= F.col("t.most"))))
+    # Left are the top groups and one row per period, for each widget.
+    by_plan = W.partitionBy("t.plan_no")
+    in_time = by_plan.orderBy(F.col("key").asc_nulls_last())
+    rows = (rows.withColumn("place", F.row_number().over(in_time))
+            .withColumn("age", F.row_number().over(by_plan.orderBy(F.col("key").desc_nulls_first())))
+            .withColumn("prior", F.lag(F.coalesce(value, F.lit(0.0))).over(in_time))
+            .withColumn("shown", F.least(F.lit(8), F.count(F.lit(1)).over(by_plan)).cast("int"))
+            .filter((part != "trend") | (age <= 8)))
+
+    def cell(position: Column, name: Column, metric: Column, number: Column, text: Column) -> Column:
+        return F.struct(position.cast("int").alias("position"), name.alias("key"), metric.alias("metric_id"),
+                        number.alias("value"), text.alias("formatted_value"))
+
+    main, blank = F.col("t.main"), F.lit(None).cast("string")
+    position = F.when(part == "groups", F.col("rank")).otherwise(F.col("place"))
+    name = F.when(part == "card", "value").otherwise(F.col("key"))
+    wanted = {m: [w.id for w, kind, _, metrics in plan if kind != "trend" and m in metrics] for m in used}
+    cells = [F.when((part != "trend") & F.col("t.widget_id").isin(wanted[m]),
+                    cell(position, name, F.lit(m), F.col(quoted(m)), metric_text(F.col(quoted(m)), used[m].format)))
+             for m in used]
+    # A card's trend: the last values, and from the newest period its growth.
+    spark_no = F.col("shown") - age + 1
+    change = F.round(F.coalesce(value, F.lit(0.0)) - F.col("prior"), 2)
+    growth = F.round(F.try_divide(change, F.col("prior")) * 100.0, 2)
+    newest = (part == "trend") & (age == 1)
+    cells += [
+        F.when(part == "trend", cell(spark_no + 3, F.concat(F.lit("spark_"), spark_no.cast("string")), main, value, blank)),
+        F.when(newest, cell(F.lit(2), F.lit("prior_value"), main, F.round("prior", 2), blank)),
+        F.when(newest, cell(F.lit(3), F.lit("growth_percentage"), main, growth, blank))]
+    return rows.select(F.col("t.widget_id").alias("widget_id"), F.explode(F.array_compact(F.array(*cells))).alias("c")).select(
+        "widget_id", "c.position", "c.key", "c.metric_id", "c.value", "c.formatted_value")
 
 
 # -- P2 ---------------------------------------------------------------------------------------
