@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -131,11 +131,26 @@ def column_quantiles(df: DataFrame, columns: Iterable[str], probs: Iterable[floa
 
     The search runs when this is called; the last step, which orders the few rows left, is lazy.
     """
-    items = _columns(df, columns, [float(p) for p in probs])
+    return _in_order(df, _searched(df, _columns(df, columns, [float(p) for p in probs])))
+
+
+def _searched(df: DataFrame, items: list[_Item]) -> list[_Item]:
     while any(item.is_open() for item in items):
         found = _narrower(df, [i for i in items if i.is_open()])
         items = [i for i in items if not i.is_open()] + found
-    return _in_order(df, items)
+    return items
+
+
+def value_at_rank(df: DataFrame, column: str, rank: int) -> float | None:
+    """The value at a rank (from 0) of a numeric column, nulls left out; None past the end.
+
+    None as well when the column holds whole numbers too large for an exact double.
+    """
+    items = _columns(df, [column], [])
+    if not items or rank >= items[0].size or max(abs(items[0].low), abs(items[0].high)) >= 2 ** 53:
+        return None
+    items = _searched(df, [replace(items[0], targets=((0.0, float(rank), rank),))])
+    return _in_order(df, items).first()["quantile"]
 
 
 def _in_order(df: DataFrame, items: list[_Item]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from metricloom.functions.formats import (
     MONTHS, WEEKDAYS, calendar_rank, kpi_text, metric_text, month_name, period_start)
-from metricloom.functions.metrics import computable_metrics, pick_metrics, ratio, record_count
+from metricloom.functions.metrics import computable_metrics, ratio, record_count
 from metricloom.model import Filter, Metric, SemanticModel, quoted, resolve_column
 from metricloom.operators.filters import _comparable, apply_filters, equality_filters
 

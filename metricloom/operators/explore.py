@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from metricloom.functions.quantiles import value_at_rank
 from metricloom.model import quoted, resolve_column
 
 
@@ -17,11 +18,16 @@ def page_count(df: DataFrame, size: int = 40) -> DataFrame:
         "records", F.greatest(F.lit(1), F.ceil(F.col("records") / size)).cast("long").alias("pages"))
 
 
+# Rows that may be passed over by sorting; beyond, a numeric key is searched by counting.
+SHALLOW = 10_000
+
+
 def page(df: DataFrame, key: str, number: int = 1, size: int = 40) -> DataFrame:
     """One page of the rows in key order; a number past the end gives the last page.
 
-    Reads from the nearer end: top-k keeps only the rows up to that page in each task.
-    For long walks through a table use :func:`page_after`, which costs the same at any depth.
+    Near either end top-k keeps only the rows up to the page. In between, the key at the
+    page's first rank is found by counting (numeric keys) and the rows are read from
+    there. To walk through a table use :func:`page_after`, which needs no ranks.
     """
     key = resolve_column(df, key)
     shape = page_count(df, size).first()
@@ -29,6 +35,12 @@ def page(df: DataFrame, key: str, number: int = 1, size: int = 40) -> DataFrame:
     number = min(max(1, number), pages)
     start, end = (number - 1) * size, min(number * size, records)
     column = F.col(quoted(key))
+    if min(start, records - end) > SHALLOW and isinstance(df.schema[key].dataType, T.NumericType):
+        first = value_at_rank(df, key, start)
+        if first is not None:
+            ahead = df.filter(column < F.lit(first)).count()  # ties of the first key may start earlier
+            return (df.filter((column >= F.lit(first)) | column.isNull()).orderBy(column.asc_nulls_last())
+                    .offset(start - ahead).limit(end - start))
     if end <= records - start:
         return df.orderBy(column.asc_nulls_last()).offset(start).limit(end - start)
     # Past the middle: take from the end, then restore the order of one page.

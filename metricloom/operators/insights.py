@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,18 +67,43 @@ def lowest_margin(df: DataFrame, model: SemanticModel, dimensions: list[str] | N
                     "profit_margin", "total_profit", "total_revenue"))
 
 
-def _insight(order: int, kind: str, title: Column, description: Column, metric: str, dimension: Column,
-             impact: Column, recommendation: Column) -> Column:
+# Wording of the insights. {names} stand for columns of the figures.
+WORDS = {
+    "concentration": (
+        "Revenue Concentration: Top {count} {dimension}s Generate {share}% of Sales",
+        "The top {count} of {groups} {dimension}s ({names}) account for ${top} out of ${total} total revenue.",
+        "Secure supply and customer care for {names}."),
+    "growth_driver": (
+        "Dominant Segment: '{best}' Captures {best_share}% Market Share in {dimension}",
+        "'{best}' is the single largest performance driver in {dimension} with ${best_revenue} in total revenue.",
+        "Look for related sales that start from {best}."),
+    "risk": (
+        "Margin Compression Alert: '{name}' Operating at {margin}% Margin in {dimension}",
+        "'{name}' exhibits low profitability with a margin of {margin}% (${profit} profit from ${revenue} revenue).",
+        "Review prices, discounts and purchase costs of {name}."),
+    "summary": (
+        "Automated Analytics Active",
+        "Dataset successfully normalized into columnar format. Real-time deterministic aggregations are enabled.",
+        "Look at the breakdowns by dimension."),
+}
+
+
+def _text(template: str, figures: dict[str, Column]) -> Column:
+    """A sentence with the figures put in."""
+    parts = [figures[p[1:-1]] if p.startswith("{") else F.lit(p)
+             for p in re.split(r"(\{\w+\})", template) if p]
+    return F.concat(*parts)
+
+
+def _insight(order: int, kind: str, metric: str, dimension: Column, impact: Column,
+             figures: dict[str, Column]) -> Column:
+    title, description, recommendation = (_text(w, figures) for w in WORDS[kind])
     return F.struct(
         F.lit(order).alias("insight_order"), F.lit(kind).alias("type"), title.alias("title"),
         description.alias("description"), F.lit(metric).alias("metric"), dimension.alias("dimension"),
         impact.cast("double").alias("impact_score"), recommendation.alias("recommendation"))
 
 
-def _text(*parts) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-
-
 def insights(df: DataFrame, model: SemanticModel) -> DataFrame:
     """Worded insights, most basic one only when nothing else fires."""
     spark, known = df.sparkSession, computable_metrics(model)
@@ -84,47 +111,26 @@ def insights(df: DataFrame, model: SemanticModel) -> DataFrame:
     found = spark.createDataFrame([], _SHAPE)
     if "total_revenue" in known and dimensions:
         c = F.col
-        dim, count = c("dimension"), c("top_count").cast("string")
-        share = plain_number(c("concentration_pct"), 1)
-        concentration = _insight(
-            1, "concentration",
-            _text("Revenue Concentration: Top ", count, " ", dim, "s Generate ", share, "% of Sales"),
-            _text("The top ", count, " of ", c("groups").cast("string"), " ", dim, "s (", c("top_names"),
-                  ") account for $", grouped_number(c("top_revenue"), 2), " out of $",
-                  grouped_number(c("total_revenue"), 2), " total revenue."),
-            "total_revenue", dim, F.when(c("concentration_pct") > 70, 85.0).otherwise(65.0),
-            _text("Prioritize supply chain availability and VIP relationship management for ",
-                  c("top_names"), "."))
-        driver = _insight(
-            2, "growth_driver",
-            _text("Dominant Segment: '", c("best_name"), "' Captures ", plain_number(c("best_share"), 1),
-                  "% Market Share in ", dim),
-            _text("'", c("best_name"), "' is the single largest performance driver in ", dim, " with $",
-                  grouped_number(c("best_revenue"), 2), " in total revenue."),
-            "total_revenue", dim, F.lit(80.0),
-            _text("Assess potential cross-selling opportunities expanding from ", c("best_name"), "."))
-        found = found.unionByName(pareto(df, model, dimensions)
-                                  .select(F.explode(F.array(concentration, driver)).alias("i")).select("i.*"))
+        figures = {
+            "dimension": c("dimension"), "count": c("top_count").cast("string"), "groups": c("groups").cast("string"),
+            "share": plain_number(c("concentration_pct"), 1), "names": c("top_names"),
+            "top": grouped_number(c("top_revenue"), 2), "total": grouped_number(c("total_revenue"), 2),
+            "best": c("best_name"), "best_share": plain_number(c("best_share"), 1),
+            "best_revenue": grouped_number(c("best_revenue"), 2)}
+        impact = F.when(c("concentration_pct") > 70, 85.0).otherwise(65.0)
+        pair = F.array(_insight(1, "concentration", "total_revenue", c("dimension"), impact, figures),
+                       _insight(2, "growth_driver", "total_revenue", c("dimension"), F.lit(80.0), figures))
+        found = found.unionByName(pareto(df, model, dimensions).select(F.explode(pair).alias("i")).select("i.*"))
     if {"profit_margin", "total_profit", "total_revenue"} <= known.keys() and dimensions:
         c = F.col
-        margin = plain_number(c("profit_margin"), 1)
-        risk = _insight(
-            3, "risk",
-            _text("Margin Compression Alert: '", c("dimension_value"), "' Operating at ", margin,
-                  "% Margin in ", c("dimension")),
-            _text("'", c("dimension_value"), "' exhibits low profitability with a margin of ", margin, "% ($",
-                  grouped_number(c("total_profit"), 2), " profit from $",
-                  grouped_number(c("total_revenue"), 2), " revenue)."),
-            "profit_margin", c("dimension"), F.lit(75.0),
-            _text("Review pricing structures, discounting, and vendor COGS for ", c("dimension_value"), "."))
+        figures = {
+            "dimension": c("dimension"), "name": c("dimension_value"), "margin": plain_number(c("profit_margin"), 1),
+            "profit": grouped_number(c("total_profit"), 2), "revenue": grouped_number(c("total_revenue"), 2)}
+        risk = _insight(3, "risk", "profit_margin", c("dimension"), F.lit(75.0), figures)
         found = found.unionByName(lowest_margin(df, model, dimensions).select(risk.alias("i")).select("i.*"))
-    baseline = spark.range(1).select(_insight(
-        4, "summary", F.lit("Automated Analytics Active"),
-        F.lit("Dataset successfully normalized into columnar format. "
-              "Real-time deterministic aggregations are enabled."),
-        "record_count", F.lit(dimensions[0] if dimensions else None).cast("string"), F.lit(50.0),
-        F.lit("Explore dimension drill-downs and natural-language queries in the AI Analyst drawer."))
-        .alias("i")).select("i.*")
+    first_dimension = F.lit(dimensions[0] if dimensions else None).cast("string")
+    baseline = spark.range(1).select(
+        _insight(4, "summary", "record_count", first_dimension, F.lit(50.0), {}).alias("i")).select("i.*")
     # At most four rows: the baseline stays only when it is the only one.
     first = F.min("insight_order").over(W.partitionBy())
     shown = found.unionByName(baseline).withColumn("first", first)

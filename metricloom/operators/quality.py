@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from metricloom.functions.quantiles import column_quantiles, spread_quantiles
+from metricloom.functions.quantiles import column_quantiles
 from metricloom.model import quoted
 from metricloom.operators.cleaning import (
     CleaningPolicy, clean, clean_names, coerce_money, handle_negatives, is_money_name, negative_columns,
-    parse_date, standardized, text_columns, trim_text)
+    parse_date, text_columns, trim_text)
 from metricloom.operators.profile import NON_NEGATIVE_NAMES, duplicate_rows
 
 _ISSUE = ("column_name", "issue_type", "affected_rows", "affected_percentage", "description")
@@ -24,7 +24,7 @@ def _issue_rows(counts: DataFrame, items: list[tuple[str, str, str]], total: str
         F.struct(F.lit(name).alias("column_name"), F.lit(kind).alias("kind"), F.col(counter).alias("affected_rows"))
         for counter, name, kind in items]))
     rows = counts.select(F.col(total).alias("total"), cells.alias("i")).select("total", "i.*")
-    pct = F.round(F.col("affected_rows") * 100.0 / F.col("total"), 2)
+    pct = F.round(F.try_divide(F.col("affected_rows") * 100.0, F.col("total")), 2)
     rows = rows.filter(F.col("affected_rows") > 0).withColumn("affected_percentage", pct)
     kind = F.when((F.col("kind") == "missing_values") & (F.col("affected_percentage") > 50), "high_nulls").otherwise(
         F.col("kind"))

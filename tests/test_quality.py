@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metricloom.functions import quantiles as quantile_module
+from metricloom.operators import explore
 from metricloom.functions.formats import compact_text, hinted_text, kpi_text, month_name, name_tokens, spaced_words
 from metricloom.functions.quantiles import column_quantiles
 from metricloom.operators import cleaning as cl
@@ -209,6 +210,18 @@ def test_paging(spark):
         ("k", "5", True, False), ("n", None, False, True)]
 
 
+def test_deep_page(spark, monkeypatch):
+    monkeypatch.setattr(explore, "SHALLOW", 10)
+    monkeypatch.setattr(quantile_module, "FEW_ROWS", 20)
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"), (F.col("id") % 10).alias("tens"))
+    assert [r["k"] for r in page(df, "k", 40, 10).collect()] == list(range(390, 400))
+    assert [r["k"] for r in page(df, "k", 99, 10).collect()] == list(range(980, 990))
+    assert [r["tens"] for r in page(df, "tens", 11, 50).collect()] == [5] * 50
+    holes = df.withColumn("k", F.when(F.col("k") < 500, F.col("k")))
+    assert [r["k"] for r in page(holes, "k", 50, 10).collect()] == list(range(490, 500))
+    assert [r["k"] for r in page(holes, "k", 60, 10).collect()] == [None] * 10
+
+
 def test_texts(spark):
     def show(column):
         return spark.range(1).select(column.alias("t")).first()["t"]
