@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricloom.llm.common import read
+from metricloom.llm.decontaminate import contamination
+from metricloom.llm.language_id import fit, identify
 from metricloom.llm.mixing import mix
 from metricloom.llm.sharding import shard
+from metricloom.llm.token_counts import count_tokens
 from metricloom.llm.url_filters import apply_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +34,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def held_out(parts: int) -> Column:
+    """Whether a document is held out: the CRC-32 of its id as text leaves 2."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == 2, F.lit(False))
+
+
 def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled good documents are drawn twice as readily as unlabelled ones, labelled bad ones half as readily."""
     return read(spark, sf_dir, "labels").select(
@@ -68,3 +77,46 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_shard")
 def shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"))
+
+
+@query("op1_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(4).alias("held_out"))
+    model = fit(docs.where("NOT held_out"))
+    return identify(docs.drop("lang"), model).drop("text")
+
+
+@query("op6_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op4_decontamination", sql=r"""
+    WITH words AS (
+        SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    item_words AS (
+        SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    item_starts AS (
+        SELECT item_id, w, least(len(w), 10) AS n, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i
+        FROM item_words WHERE len(w) > 0),
+    windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM item_starts),
+    sizes AS (SELECT DISTINCT n FROM windows),
+    starts AS (
+        SELECT row, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM words, sizes WHERE len(w) >= n),
+    hits AS (
+        SELECT row, i, starts.n, item_id FROM starts
+        JOIN windows ON windows.n = starts.n AND s = array_to_string(w[i:i + starts.n - 1], ' ')),
+    hit_words AS (SELECT DISTINCT row, unnest(generate_series(i, i + n - 1)) AS p FROM hits),
+    n_hits AS (SELECT row, count(*) AS n_hit FROM hit_words GROUP BY row),
+    n_items AS (
+        SELECT row, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+        FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY row)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM words LEFT JOIN n_hits USING (row) LEFT JOIN n_items USING (row)""")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
