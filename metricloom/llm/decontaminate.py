@@ -16,90 +16,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.llm.common import saved
+from metricloom.llm.words import Words
 
 WINDOW, GRAM = 10, 5
 #: Bits of the filter: 8 MB, whatever the benchmark's size.
 FILTER_BITS = 26
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-# Bytes that belong to words (digits, letters, all of non-ASCII), and their lower case.
-_CODES = np.arange(256)
-_IN_WORD = (((_CODES >= 0x30) & (_CODES <= 0x39)) | ((_CODES >= 0x41) & (_CODES <= 0x5A))
-            | ((_CODES >= 0x61) & (_CODES <= 0x7A)) | (_CODES >= 0x80))
-_LOWER = np.where((_CODES >= 0x41) & (_CODES <= 0x5A), _CODES + 32, _CODES).astype(np.uint8)
-
 CANDIDATE = pa.struct([("kind", pa.int32()), ("hash", pa.int64()), ("at", pa.int64()), ("middle", pa.string()),
                        ("before", pa.list_(pa.string())), ("after", pa.list_(pa.string()))])
 FOUND = ("row long, id {kind}, n_words long, found array<struct<kind: int, hash: long, at: long, middle: string, "
          "before: array<string>, after: array<string>>>")
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every bit of the input moves about half of the output's."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_BYTE_HASH = _mixed(np.arange(1, 257, dtype=np.uint64) * _MIX)
-
-
-class Words:
-    """The words of many texts: their bytes, where they start and end, their text and a hash of each."""
-
-    def __init__(self, texts: list[str]):
-        parts = [t.encode() for t in texts]
-        self.bytes = _LOWER[np.frombuffer(b" ".join(parts), dtype=np.uint8)]
-        inside = np.concatenate([[False], _IN_WORD[self.bytes], [False]]).astype(np.int8)
-        edge = np.diff(inside)
-        self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        first = np.cumsum([0, *(len(p) + 1 for p in parts)])
-        self.text = np.searchsorted(first, self.start, side="right") - 1
-        self.counts = np.bincount(self.text, minlength=len(texts))
-        self.first = np.concatenate([[0], np.cumsum(self.counts)])  # of each text, the number of its first word
-        self.hash = self._hashes()
-
-    def _hashes(self) -> np.ndarray:
-        if not len(self.start):
-            return np.zeros(0, dtype=np.uint64)
-        length = self.end - self.start
-        begin = np.cumsum(length) - length
-        letters = self.bytes[inside] if (inside := _IN_WORD[self.bytes]).any() else self.bytes[:0]
-        place = np.arange(len(letters)) - np.repeat(begin, length)
-        power = np.cumprod(np.full(length.max(), _MIX, dtype=np.uint64))
-        return _mixed(np.add.reduceat(_BYTE_HASH[letters] * power[place], begin))
-
-    def grams(self, n: int) -> np.ndarray:
-        """Hashes of all n neighbouring words, also across texts."""
-        if len(self.hash) < n:
-            return np.zeros(0, dtype=np.uint64)
-        total = np.zeros(len(self.hash) - n + 1, dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for i in range(n):
-                total = total * _MIX + self.hash[i:len(self.hash) - n + 1 + i]
-        return _mixed(total + np.uint64(n))
-
-    def within(self, n: int) -> np.ndarray:
-        """For each place, whether n words from there are of one text."""
-        return self.text[:max(0, len(self.text) - n + 1)] == self.text[n - 1:]
-
-    def winnowed(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places and hashes of the 5-grams that are least in a window; of equal ones all, so both texts agree."""
-        grams, whole = self.grams(GRAM), self.within(WINDOW)
-        steps = WINDOW - GRAM + 1
-        if not len(whole):
-            return np.zeros(0, dtype=np.int64), grams[:0]
-        least = grams[:len(whole)].copy()
-        for i in range(1, steps):
-            np.minimum(least, grams[i:len(whole) + i], out=least)
-        chosen = np.zeros(len(grams), dtype=bool)
-        for i in range(steps):
-            chosen[i:len(whole) + i] |= whole & (grams[i:len(whole) + i] == least)
-        at = np.flatnonzero(chosen)
-        return at, grams[at]
-
-    def words(self, a: int, b: int) -> list[str]:
-        return [self.bytes[self.start[i]:self.end[i]].tobytes().decode() for i in range(a, b)]
+def winnowed(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the 5-grams that are least in a window; of equal ones all, so both texts agree."""
+    grams, whole = words.grams(GRAM), words.within(WINDOW)
+    steps = WINDOW - GRAM + 1
+    if not len(whole):
+        return np.zeros(0, dtype=np.int64), grams[:0]
+    least = grams[:len(whole)].copy()
+    for i in range(1, steps):
+        np.minimum(least, grams[i:len(whole) + i], out=least)
+    chosen = np.zeros(len(grams), dtype=bool)
+    for i in range(steps):
+        chosen[i:len(whole) + i] |= whole & (grams[i:len(whole) + i] == least)
+    at = np.flatnonzero(chosen)
+    return at, grams[at]
 
 
 def _candidates(words: Words, texts: np.ndarray, at: np.ndarray, hashes: np.ndarray, kind: int) -> list[tuple]:
@@ -133,7 +74,7 @@ def _find(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None, kinds: lis
                     own = words.counts[words.text[at]] == kind
                     at, hashes = at[own], hashes[own]
             else:
-                at, hashes = words.winnowed()
+                at, hashes = winnowed(words)
             if bits is not None:
                 passed = _passes(hashes, bits)
                 at, hashes = at[passed], hashes[passed]
@@ -163,13 +104,13 @@ def _equal_run(mine: str, theirs: str, reach: int) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id",
-                  item_text: str = "text", item_id: str = "item_id", keep_row: bool = False) -> DataFrame:
+                  item_text: str = "text", item_id: str = "item_id"
+                  ) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A null text has no words. A word inside any occurrence of ten consecutive item words (of a shorter item: of all its
     words) is hit. Items of one id count once, those without id only through their hits. Repeated rows are judged each;
-    an empty benchmark hits nothing; other columns are ignored. ``keep_row`` keeps ``row``, the number that
-    monotonically_increasing_id() gives the rows of ``docs``.
+    an empty benchmark hits nothing; other columns are ignored.
     """
     def located(df: DataFrame, text_: str, id_: str) -> DataFrame:
         return df.select(F.monotonically_increasing_id().alias("row"), F.col(id_).alias("id"),
@@ -209,7 +150,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
     out = (scanned.select("row", "id", "n_words").join(per_row.select("row", covered.alias("n_hit"), "items"), "row",
                                                        "left")
            .withColumn("items", F.coalesce("items", none)))
-    return out.select(*(["row"] if keep_row else []), F.col("id").alias("doc_id"), "n_words",
+    return out.select(F.col("id").alias("doc_id"), "n_words",
                       F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
                       F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),

@@ -45,7 +45,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: Sequence[flo
     """Words that a mix of sources takes from every document.
 
     ``quality``: (doc_id, quality) with a positive weight, its mean where an id has several; without one it is 1. Gives
-    doc_id, size (words of the text; null: 0), source_size, target (of its source), taken (size times the epochs taken).
+    doc_id, size (words of the text; null: 0), source_size, target (of its source), taken (words), copies (how often the document is taken whole).
     Sources weigh ``weights`` in turn by code point, the null source last. A document is taken whole: the one in which
     a target ends counts if that brings the sum nearer. Keys come from hashes, so reruns agree; only rows alike in id
     and text tie, which are interchangeable. Empty texts take 0; an empty table gives an empty result.
@@ -83,6 +83,6 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: Sequence[flo
                                  .rowsBetween(Window.unboundedPreceding, 0))
     whole = rows.where(~cut).withColumn("chosen", F.col("before") + F.col("bucket_size") <= F.col("rest"))
     ended = rows.where(cut).withColumn("chosen", F.col("before") + running - F.col("size") / 2 <= F.col("rest"))
-    taken = F.col("size") * (F.col("epochs") + F.col("chosen").cast("long"))
+    copies = F.col("epochs") + F.col("chosen").cast("long")
     return whole.unionByName(ended).select("doc_id", "size", "source_size", F.col("target").cast("double"),
-                                           taken.alias("taken"))
+                                           (F.col("size") * copies).alias("taken"), copies.alias("copies"))

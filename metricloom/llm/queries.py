@@ -12,6 +12,7 @@ from metricloom.llm.common import read
 from metricloom.llm.decontaminate import contamination
 from metricloom.llm.language_id import fit, identify
 from metricloom.llm.mixing import mix
+from metricloom.llm.near_dedup import near_duplicates
 from metricloom.llm.sharding import shard
 from metricloom.llm.token_counts import count_tokens
 from metricloom.llm.url_filters import apply_rules
@@ -120,3 +121,8 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM words LEFT JOIN n_hits USING (row) LEFT JOIN n_items USING (row)""")
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op10_near_duplicates")
+def near_duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
