@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from metricloom.llm.common import read
 from metricloom.llm.decontaminate import contamination
+from metricloom.llm.fingerprints import fingerprints
 from metricloom.llm.language_id import fit, identify
 from metricloom.llm.mixing import mix
 from metricloom.llm.near_dedup import near_duplicates
@@ -126,3 +127,8 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_near_duplicates")
 def near_duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op2_fingerprints")
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(read(spark, sf_dir, "documents"))
