@@ -26,7 +26,7 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: its lineage ends there, and every executor sees it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -14,6 +14,7 @@ from metricloom.llm.fingerprints import fingerprints
 from metricloom.llm.language_id import fit, identify
 from metricloom.llm.mixing import mix
 from metricloom.llm.near_dedup import near_duplicates
+from metricloom.llm.repeats import without_repeats
 from metricloom.llm.sharding import shard
 from metricloom.llm.token_counts import count_tokens
 from metricloom.llm.url_filters import apply_rules
@@ -132,3 +133,8 @@ def near_duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_fingerprints")
 def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read(spark, sf_dir, "documents"))
+
+
+@query("op8_remove_repeats")
+def remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(read(spark, sf_dir, "documents"))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+#: Bytes of text that are worked on at once.
+PORTION = 4 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 # Bytes that belong to words (digits, letters, all of non-ASCII), and their lower case.
@@ -23,6 +29,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _BYTE_HASH = mixed(np.arange(1, 257, dtype=np.uint64) * MIX)
 
 
+def portions(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds at most PORTION bytes of text, or one longer text."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(ends):
+            done = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, done + PORTION, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 class Words:
     """The words of many texts: their bytes, where they start and end, their text and a hash of each."""
 
@@ -39,14 +57,21 @@ class Words:
         self.hash = self._hashes()
 
     def _hashes(self) -> np.ndarray:
-        if not len(self.start):
-            return np.zeros(0, dtype=np.uint64)
+        out = np.zeros(len(self.start), dtype=np.uint64)
         length = self.end - self.start
-        begin = np.cumsum(length) - length
-        letters = self.bytes[inside] if (inside := _IN_WORD[self.bytes]).any() else self.bytes[:0]
-        place = np.arange(len(letters)) - np.repeat(begin, length)
-        power = np.cumprod(np.full(length.max(), MIX, dtype=np.uint64))
-        return mixed(np.add.reduceat(_BYTE_HASH[letters] * power[place], begin))
+        ends = np.cumsum(length)
+        power = np.cumprod(np.full(length.max(initial=0), MIX, dtype=np.uint64))
+        at = 0
+        while at < len(out):  # so many words at once that their letters fill a portion, or one longer word
+            done = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, done + PORTION // 4, side="right")))
+            text = self.bytes[self.start[at]:self.end[stop - 1]]
+            letters = text[_IN_WORD[text]]
+            begin = ends[at:stop] - length[at:stop] - done
+            place = np.arange(len(letters)) - np.repeat(begin, length[at:stop])
+            out[at:stop] = mixed(np.add.reduceat(_BYTE_HASH[letters] * power[place], begin))
+            at = stop
+        return out
 
     def grams(self, n: int) -> np.ndarray:
         """Hashes of all n neighbouring words, also across texts."""
