@@ -12,6 +12,7 @@ from metricloom.llm.common import read
 from metricloom.llm.decontaminate import contamination
 from metricloom.llm.fingerprints import fingerprints
 from metricloom.llm.language_id import fit, identify
+from metricloom.llm.lm_score import lm_scores
 from metricloom.llm.mixing import mix
 from metricloom.llm.near_dedup import near_duplicates
 from metricloom.llm.repeats import without_repeats
@@ -138,3 +139,9 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_remove_repeats")
 def remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(read(spark, sf_dir, "documents"))
+
+
+@query("op7_lm_score")
+def lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", held_out(7))
+    return lm_scores(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -16,6 +16,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 _CODES = np.arange(256)
 _IN_WORD = (((_CODES >= 0x30) & (_CODES <= 0x39)) | ((_CODES >= 0x41) & (_CODES <= 0x5A))
             | ((_CODES >= 0x61) & (_CODES <= 0x7A)) | (_CODES >= 0x80))
+#: All bytes but white space, for words that only white space ends.
+_NO_SPACE = (_CODES != 0x20) & ((_CODES < 0x09) | (_CODES > 0x0D))
 _LOWER = np.where((_CODES >= 0x41) & (_CODES <= 0x5A), _CODES + 32, _CODES).astype(np.uint8)
 
 
@@ -29,25 +31,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _BYTE_HASH = mixed(np.arange(1, 257, dtype=np.uint64) * MIX)
 
 
-def portions(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds at most PORTION bytes of text, or one longer text."""
+def portions(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds at most ``size`` bytes of text, or one longer text."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < len(ends):
             done = ends[at - 1] if at else 0
-            stop = max(at + 1, int(np.searchsorted(ends, done + PORTION, side="right")))
+            stop = max(at + 1, int(np.searchsorted(ends, done + size, side="right")))
             yield batch.slice(at, stop - at)
             at = stop
 
 
 class Words:
-    """The words of many texts: their bytes, where they start and end, their text and a hash of each."""
+    """The words of many texts: their bytes, where they start and end, their text and a hash of each.
 
-    def __init__(self, texts: list[str]):
+    Words are runs of digits, letters and non-ASCII, or, if ``spaced``, whatever white space leaves. A-Z are lower-cased.
+    """
+
+    def __init__(self, texts: list[str], spaced: bool = False):
+        self.member = _NO_SPACE if spaced else _IN_WORD
         parts = [t.encode() for t in texts]
         self.bytes = _LOWER[np.frombuffer(b" ".join(parts), dtype=np.uint8)]
-        inside = np.concatenate([[False], _IN_WORD[self.bytes], [False]]).astype(np.int8)
+        inside = np.concatenate([[False], self.member[self.bytes], [False]]).astype(np.int8)
         edge = np.diff(inside)
         self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         first = np.cumsum([0, *(len(p) + 1 for p in parts)])
@@ -66,7 +72,7 @@ class Words:
             done = ends[at - 1] if at else 0
             stop = max(at + 1, int(np.searchsorted(ends, done + PORTION // 4, side="right")))
             text = self.bytes[self.start[at]:self.end[stop - 1]]
-            letters = text[_IN_WORD[text]]
+            letters = text[self.member[text]]
             begin = ends[at:stop] - length[at:stop] - done
             place = np.arange(len(letters)) - np.repeat(begin, length[at:stop])
             out[at:stop] = mixed(np.add.reduceat(_BYTE_HASH[letters] * power[place], begin))
