@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from metricloom.llm.words import portions
+
 #: Characters that are looked up at once, and texts of one presence matrix.
 SLICE, TEXTS = 1 << 20, 512
 
@@ -108,7 +110,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", per_label:
     """Fit on a bounded sample: ``per_label`` distinct texts of each label, those below ``prefer_below`` characters
     first, otherwise by hash. The first ``landmarks_per_label`` of them are the landmarks.
 
-    Rows without text or label are left out. Without any labelled row it raises ValueError.
+    Rows without text, letter or label are left out. Without any labelled row the model has no labels.
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
         F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"),
@@ -120,7 +122,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", per_label:
     sample = (rows.join(F.broadcast(chosen.select("label", "hash", "place")), ["label", "hash"])
               .groupBy("label", "place").agg(F.min("text").alias("text")).orderBy("label", "place").collect())
     if not sample:
-        raise ValueError("no labelled text to learn from")
+        return Model(make_kernel([], longest), [], np.zeros((0, 0), dtype=np.float32))
     texts, labels = [r["text"].lower() for r in sample], [r["label"] for r in sample]
     kernel = make_kernel([t for t, r in zip(texts, sample) if r["place"] <= landmarks_per_label], longest)
     return solve(kernel, texts, labels, ridge)
@@ -142,8 +144,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All rows and columns with lang_pred and score (0 to 1) added.
 
     A null text, or one without a letter, is ``und`` with score 0. Every other text gets a learned label, also where no
-    n-gram of it is known. Columns named lang_pred or score are replaced. An empty table gives an empty result.
+    n-gram of it is known; from a model without labels it is ``und``. Columns named lang_pred or score are replaced. An
+    empty table gives an empty result.
     """
+    if not model.labels:
+        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by landmarks and their n-grams
     kept = docs.drop("lang_pred", "score")
     schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()),
@@ -151,7 +156,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
-        for batch in batches:
+        for batch in portions(batches, text):
             texts = [t.lower() if t else "" for t in batch[text].to_pylist()]
             labels, scores = [], [np.zeros(0)]
             for part in _groups(np.array([len(t) for t in texts])):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.llm.common import saved
-from metricloom.llm.words import MIX, Words, mixed
+from metricloom.llm.words import MIX, Words, mixed, portions
 
 SHINGLE = 5
 REGISTERS, BANDS, ROWS = 128, 25, 5
@@ -80,7 +80,7 @@ def _parts(counts: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """row, two hashes of the shingle multiset, band hashes (none for a text without words)."""
-    for batch in batches:
+    for batch in portions(batches):
         texts = [t or "" for t in batch["text"].to_pylist()]
         words = Words(texts)
         text, value, count = shingles(words)
@@ -109,7 +109,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """row and its distinct shingles."""
-    for batch in batches:
+    for batch in portions(batches):
         texts = [t or "" for t in batch["text"].to_pylist()]
         text, value, _ = shingles(Words(texts))
         offsets = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(texts)))]).astype(np.int32)
@@ -188,8 +188,12 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, text: str = "text", doc
     one class from the start. A text without words is linked to texts equal to it only; a null text is one of its own
     kind. A class of null ids has a null class_id. An empty table gives an empty result; other columns are ignored.
     """
-    rows = saved(docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("id"),
-                             F.col(text).alias("text")), "near-rows")
+    return classes(saved(docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("id"),
+                                     F.col(text).alias("text")), "near-rows"), least)
+
+
+def classes(rows: DataFrame, least: float = 0.8) -> DataFrame:
+    """The same for rows (row, id, text) of a table that is written down, with a number of its own for each."""
     sketch = saved(rows.select("row", "text").mapInArrow(
         _sketch, "row long, mark long, mark2 long, bands array<long>"), "sketch")
     wordless = rows.join(sketch.where("size(bands) = 0").select("row"), "row").select(
@@ -221,9 +225,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, text: str = "text", doc
     if not found.isEmpty():
         roots = components(links.unionByName(found))
 
-    classes = heads.join(roots.withColumnRenamed("node", "head"), "head", "left").select(
+    placed = heads.join(roots.withColumnRenamed("node", "head"), "head", "left").select(
         "row", F.coalesce("root", "head").alias("root"))
-    named = rows.select("row", "id").join(classes, "row")
+    named = rows.select("row", "id").join(placed, "row")
     best = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"))
     return named.join(best, "root").select(F.col("id").alias("doc_id"), F.col("best.id").alias("class_id"),
                                            (F.col("row") == F.col("best.row")).alias("kept"))

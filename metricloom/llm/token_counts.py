@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from metricloom.llm.words import portions
+
 #: The model writes a space as U+2581 and takes that sign in a text for a space.
 PRE_TOKEN = re.compile("[ ▁]+[^ ▁]*")
 #: Pre-tokens whose counts a worker remembers from batch to batch; beyond it the memory starts anew.
@@ -34,7 +36,7 @@ def _count(batches: Iterator[pa.RecordBatch], model_path: str) -> Iterator[pa.Re
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
     known: dict[str, int] = {}
-    for batch in batches:
+    for batch in portions(batches):
         split = [PRE_TOKEN.findall(" " + t) if t else [] for t in batch["text"].to_pylist()]
         codes, distinct = pd.factorize(np.fromiter(chain.from_iterable(split), dtype=object))
         if len(known) > REMEMBERED:
