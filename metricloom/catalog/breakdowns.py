@@ -84,12 +84,14 @@ _DIMS = ("category", "product", "brand", "segment", "country", "region")
 
 @query("multi_breakdown", over("sales", body="WITH " + ", ".join(
     f"g_{d} AS (SELECT '{d}' AS dimension, {d} AS dimension_value, {M['total_revenue']} AS v, "
-    f"row_number() OVER (ORDER BY {M['total_revenue']} DESC NULLS LAST, {d}) AS rank "
+    f"row_number() OVER (ORDER BY {M['total_revenue']} DESC NULLS LAST, {d}) AS rank, "
+    f"sum({M['total_revenue']}) OVER () AS total "
     f"FROM sales GROUP BY {d})" for d in _DIMS) + ", t AS (" + " UNION ALL ".join(
         f"SELECT * FROM g_{d} WHERE rank <= 8" for d in _DIMS) + """)
     SELECT dimension, rank, dimension_value, round(v, 2) AS value, format('${:,.2f}', v) AS formatted_value,
            'currency' AS metric_type,
-           round(v / sum(v) OVER (PARTITION BY dimension) * 100.0, 1) AS share_percentage FROM t"""))
+           round(v / total * 100.0, 1) AS share_percentage,
+           round(v / sum(v) OVER (PARTITION BY dimension) * 100.0, 1) AS share_of_shown FROM t"""))
 def _(spark, sf):
     return multi_breakdown(V.sales(spark, sf), V.SALES_MODEL, "total_revenue")
 
@@ -112,14 +114,14 @@ def _(spark, sf):
 _PARETO = f"""
     WITH g AS (SELECT product AS name, {M['total_revenue']} AS v,
                       row_number() OVER (ORDER BY {M['total_revenue']} DESC NULLS LAST, product) AS rank
-               FROM sales GROUP BY product ORDER BY rank LIMIT 100),
-    n AS (SELECT count(*) AS groups, greatest(1, CAST(floor(count(*) * 0.2) AS INTEGER)) AS top_count,
+               FROM sales GROUP BY product),
+    n AS (SELECT count(*) AS groups, CAST(greatest(1, count(*) // 5) AS INTEGER) AS top_count,
                  sum(v) AS total_revenue FROM g)"""
 
 
 @query("insight_pareto", over("sales", body=_PARETO + """
     SELECT 'product' AS dimension, groups, top_count,
-           (SELECT string_agg(name, ', ' ORDER BY rank) FROM g WHERE rank <= top_count) AS top_names,
+           (SELECT string_agg(name, ', ' ORDER BY rank) FROM g WHERE rank <= least(top_count, 20)) AS top_names,
            round((SELECT sum(v) FROM g WHERE rank <= top_count), 2) AS top_revenue,
            round(total_revenue, 2) AS total_revenue,
            round((SELECT sum(v) FROM g WHERE rank <= top_count) / total_revenue * 100.0, 1) AS concentration_pct
@@ -178,7 +180,7 @@ def _(spark, sf):
 def _(spark, sf):
     df = V.sales(spark, sf, ["category", "product", "region", "quantity", "sale_price", "cost_price"])
     model = SemanticModel(mappings=dict(V.SALES_MODEL.mappings), dimensions=("product", "category", "region"))
-    return insights(df, model).drop("recommendation")
+    return insights(df, model)
 
 
 # -- geography --------------------------------------------------------------------------------
@@ -189,15 +191,16 @@ _PLACES = ", ".join(f"('{p}', {lat}, {lng}, '{code}')" for p, lat, lng, code in
 @query("geo_breakdown", over("sales", body=f"""
     WITH places AS (SELECT * FROM (VALUES {_PLACES}) AS t(place, lat, lng, code)),
     g AS (SELECT region AS name, count(*) AS n, {M['total_revenue']} AS v FROM sales
-          GROUP BY region ORDER BY v DESC, name LIMIT 50)
+          GROUP BY region)
     SELECT name AS region_name, coalesce(code, upper(substr(name, 1, 3))) AS region_code,
            CAST(coalesce(lat, 20.0) AS DOUBLE) AS latitude, CAST(coalesce(lng, 0.0) AS DOUBLE) AS longitude,
            'total_revenue' AS metric_id, round(v, 2) AS metric_value, format('${{:,.2f}}', v) AS formatted_value,
-           round(v / (SELECT sum(v) FROM g) * 100, 1) AS share_percentage, n AS order_count
-    FROM g LEFT JOIN places ON lower(trim(name)) = place"""))
+           round(v / (SELECT sum(v) FROM g) * 100, 1) AS share_percentage,
+           round(v / sum(v) OVER () * 100, 1) AS share_of_shown, n AS order_count
+    FROM (SELECT * FROM g ORDER BY v DESC, name LIMIT 3) AS g LEFT JOIN places ON lower(trim(name)) = place"""))
 def _(spark, sf):
     df = V.sales(spark, sf, ["region", "quantity", "sale_price"])
-    return rounded(geo_breakdown(df, V.SALES_MODEL), metric_value=2)
+    return rounded(geo_breakdown(df, V.SALES_MODEL, limit=3), metric_value=2)
 
 
 _COORDINATES = "n_nationkey * 2.5 - 30 + c_custkey % 10 / 10.0 AS latitude, n_regionkey * 40.0 - 80 AS longitude"
@@ -221,7 +224,8 @@ def _(spark, sf):
     SELECT country AS region_name, upper(substr(country, 1, 3)) AS region_code, round(lat, 4) AS latitude,
            round(lng, 4) AS longitude, 'total_revenue' AS metric_id, round(v, 2) AS metric_value,
            format('${:,.2f}', v) AS formatted_value,
-           round(v / sum(v) OVER () * 100, 1) AS share_percentage, n AS order_count FROM g""")
+           round(v / sum(v) OVER () * 100, 1) AS share_percentage,
+           round(v / sum(v) OVER () * 100, 1) AS share_of_shown, n AS order_count FROM g""")
 def _(spark, sf):
     customer, nation = V.table(spark, sf, "customer"), V.table(spark, sf, "nation")
     df = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(

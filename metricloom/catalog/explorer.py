@@ -52,6 +52,22 @@ def _(spark, sf):
     return page(V.table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey", 10_000_000, 15)
 
 
+@query("record_page_text", """
+    SELECT c_name, c_custkey FROM customer ORDER BY c_name, c_custkey
+    LIMIT 40 OFFSET (SELECT CAST(floor(count(*) / 80) AS BIGINT) * 40 FROM customer)""")
+def _(spark, sf):
+    df = V.table(spark, sf, "customer").select("c_name", "c_custkey")
+    return page(df, "c_name", df.count() // 80 + 1)
+
+
+@query("record_page_date", """
+    SELECT CAST(CAST(d AS DATE) AS VARCHAR) AS day FROM (SELECT o_orderdate AS d FROM orders ORDER BY d
+    LIMIT 40 OFFSET (SELECT CAST(least(12000, (ceil(count(*) / 40) - 1) * 40) AS BIGINT) FROM orders))""")
+def _(spark, sf):
+    rows = V.table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("day"))
+    return page(rows, "day", 301).select(F.col("day").cast("string").alias("day"))
+
+
 @query("record_page_after", """
     SELECT c_custkey, c_name FROM customer WHERE c_custkey > 99 ORDER BY c_custkey LIMIT 40""")
 def _(spark, sf):

@@ -141,6 +141,16 @@ def _(spark, sf):
     return rows.agg(F.count(F.lit(1)).alias("row_count"), F.round(F.sum("revenue"), 2).alias("revenue"))
 
 
+@query("filter_value_pairs_many", over("sales", body="""
+    SELECT count(*) AS row_count, round(sum(revenue), 2) AS revenue FROM sales
+    WHERE country IN ('CHINA', 'FRANCE', 'INDIA', 'JAPAN', 'KENYA', 'PERU', 'BRAZIL') AND status IN ('O')"""))
+def _(spark, sf):
+    wanted = ("CHINA", "FRANCE", "INDIA", "JAPAN", "KENYA", "PERU", "BRAZIL")
+    filters = value_filters([*(("country", c) for c in wanted), ("status", "O")])
+    rows = apply_filters(V.sales(spark, sf, ["country", "status", "revenue"]), filters)
+    return rows.agg(F.count(F.lit(1)).alias("row_count"), F.round(F.sum("revenue"), 2).alias("revenue"))
+
+
 # -- custom KPIs ------------------------------------------------------------------------------
 
 def _kpi_sql(measure: str, dimension: str | None, order: str = "metric_value DESC NULLS LAST, dimension_value",
@@ -211,6 +221,26 @@ def _(spark, sf):
                       KpiSpec("rate", "status", "region", Condition(40, "gte", "quantity")))
 
 
+@query("custom_kpi_rate_flag", """
+    SELECT round(100.0 * count(CASE WHEN o_orderstatus = 'F' THEN 1 END) / nullif(count(*), 0), 2) AS as_number,
+           round(100.0 * count(CASE WHEN o_orderstatus = 'F' THEN 1 END) / nullif(count(*), 0), 2) AS as_flag
+    FROM orders""")
+def _(spark, sf):
+    rows = V.table(spark, sf, "orders").select((F.col("o_orderstatus") == "F").alias("flag"),
+                                               (F.col("o_orderstatus") == "F").cast("int").alias("number"))
+    number = custom_kpi(rows, KpiSpec("rate", "number", condition=Condition(True))).select(
+        F.col("metric_value").alias("as_number"))
+    flag = custom_kpi(rows, KpiSpec("rate", "flag", condition=Condition(1))).select(
+        F.col("metric_value").alias("as_flag"))
+    return number.crossJoin(flag)  # one row each
+
+
+@query("custom_kpi_max_date", """
+    SELECT CAST(NULL AS DOUBLE) AS metric_value FROM (SELECT max(o_orderdate) FROM orders)""")
+def _(spark, sf):
+    return custom_kpi(V.table(spark, sf, "orders"), KpiSpec("max", "o_orderdate")).select("metric_value")
+
+
 @query("custom_kpi_percent_of_total", _kpi_sql(
     "round(sum(revenue) * 100.0 / nullif(sum(sum(revenue)) OVER (), 0), 2)", "category", text=_PERCENT_TEXT))
 def _(spark, sf):

@@ -193,22 +193,24 @@ def _(spark, sf):
 
 # -- forecasts --------------------------------------------------------------------------------
 
-def _forecast_sql(grain: str, months: int, horizon: int, by: str | None) -> str:
-    key, part, join = (f"{by}, ", f"PARTITION BY {by} ", f"USING ({by})") if by else ("", "", "ON TRUE")
+def _forecast_sql(grain: str, months: int, horizon: int, by: str | None, group_by: str | None = None) -> str:
+    key, part = (f"{by}, ", f"PARTITION BY {by} ") if by else ("", "")
+    join = lambda a: f"ON {a}.{by} IS NOT DISTINCT FROM f.{by}" if by else "ON TRUE"
+    first, own, fit = (f"{group_by or by} AS {by}, ", f"f.{by}, ", f"GROUP BY f.{by}") if by else ("", "", "")
     group = f"GROUP BY {by}" if by else ""
     label = {"month": "strftime(d, '%Y-%m')", "quarter": "'Q' || quarter(d) || ' ' || year(d)"}[grain]
     return over("sales", body=f"""
-        WITH h AS (SELECT {key}date_trunc('{grain}', order_date) AS p, {M['total_revenue']} AS y FROM sales
+        WITH h AS (SELECT {first}date_trunc('{grain}', order_date) AS p, {M['total_revenue']} AS y FROM sales
                    WHERE order_date IS NOT NULL GROUP BY ALL),
         x AS (SELECT *, row_number() OVER ({part}ORDER BY p) - 1 AS t FROM h),
         f AS (SELECT {key}count(*) AS n, regr_slope(y, t) AS b, regr_intercept(y, t) AS a, max(p) AS last_p,
                      arg_max(y, p) AS last_y FROM x {group}),
-        e AS (SELECT {key}sqrt(sum((y - a - b * t) * (y - a - b * t)) / any_value(greatest(1, n - 2))) AS se
-              FROM x JOIN f {join} {group}),
+        e AS (SELECT {own}sqrt(sum((y - a - b * t) * (y - a - b * t)) / any_value(greatest(1, n - 2))) AS se
+              FROM x JOIN f {join("x")} {fit}),
         s AS (SELECT f.*, se, step, greatest(0.0, a + b * (n - 1 + step)) AS yhat, se * sqrt(1 + step / n) AS w,
                      greatest(0.0, a + b * (n - 1 + {horizon})) AS final,
                      CAST(last_p AS DATE) + to_months(CAST({months} * step AS INTEGER)) AS d
-              FROM f JOIN e {join} CROSS JOIN (SELECT unnest(range(1, {horizon} + 1)) AS step))
+              FROM f JOIN e {join("e")} CROSS JOIN (SELECT unnest(range(1, {horizon} + 1)) AS step))
         SELECT {key}CAST(step AS INTEGER) AS step, strftime(d, '%Y-%m-%d') AS period_start, {label} AS period_label,
                n AS history_periods, round(yhat, 2) AS predicted_value,
                round(greatest(0.0, yhat - 1.28 * w), 2) AS lower_80, round(yhat + 1.28 * w, 2) AS upper_80,
@@ -236,6 +238,13 @@ def forecast_products(spark, sf):
     return forecast(df, V.SALES_MODEL, "total_revenue", 6, ["product"], "quarter")
 
 
+@query("forecast_null_segment", _forecast_sql("quarter", 3, 2, "region", "CASE WHEN region <> 'ASIA' THEN region END"))
+def _(spark, sf):
+    df = V.sales(spark, sf, ["region", *_AMOUNTS]).withColumn("region", F.when(F.col("region") != "ASIA",
+                                                                               F.col("region")))
+    return forecast(df, V.SALES_MODEL, "total_revenue", 2, ["region"], "quarter")
+
+
 @query("forecast_sentence", "SELECT region, 'Forecast projects a ' || direction || ' trajectory with an estimated ' "
        "|| format('{:.1f}', abs(growth_projected_pct)) || '% shift over the next 3 periods reaching ~$' "
        "|| format('{:,.2f}', predicted_value) || '.' AS summary FROM ("

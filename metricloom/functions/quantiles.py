@@ -144,10 +144,10 @@ def _searched(df: DataFrame, items: list[_Item]) -> list[_Item]:
 def value_at_rank(df: DataFrame, column: str, rank: int) -> float | None:
     """The value at a rank (from 0) of a numeric column, nulls left out; None past the end.
 
-    None as well when the column holds whole numbers too large for an exact double.
+    Values are compared as doubles, so whole numbers beyond 2**53 may share one.
     """
     items = _columns(df, [column], [])
-    if not items or rank >= items[0].size or max(abs(items[0].low), abs(items[0].high)) >= 2 ** 53:
+    if not items or rank >= items[0].size:
         return None
     items = _searched(df, [replace(items[0], targets=((0.0, float(rank), rank),))])
     return _in_order(df, items).first()["quantile"]
@@ -177,7 +177,8 @@ def _in_order(df: DataFrame, items: list[_Item]) -> DataFrame:
     part = F.col("position") - F.floor("position")
     return (hits.withColumn("column_name", F.element_at(names, F.col("item") + 1))
             .groupBy("column_name", "prob", "position").agg(F.min("num").alias("low"), F.max("num").alias("high"))
-            .select("column_name", "prob", (F.col("low") + part * (F.col("high") - F.col("low"))).alias("quantile")))
+            .select("column_name", "prob", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(
+                F.col("low") + part * (F.col("high") - F.col("low"))).alias("quantile")))
 
 
 def spread_quantiles(quantiles: DataFrame, names: dict[float, str]) -> DataFrame:

@@ -168,6 +168,15 @@ def _kpi_aggregate(df: DataFrame, spec: KpiSpec) -> Column:
     raise ValueError(f"unsupported aggregation {how!r}")
 
 
+def _as_number(df: DataFrame, spec: KpiSpec, value: Column) -> Column:
+    """The value of a KPI as a double; the least or greatest of a date is no number and shows as missing."""
+    if spec.aggregation not in ("min", "max"):
+        return value.cast("double")
+    dtype = df.schema[resolve_column(df, spec.column)].dataType
+    numeric = isinstance(dtype, (T.NumericType, T.StringType, T.BooleanType))
+    return value.try_cast("double") if numeric else F.lit(None).cast("double")
+
+
 def is_time_like(df: DataFrame, dimension: str) -> bool:
     """Date or time type, or a name that says so."""
     dtype = df.schema[dimension].dataType
@@ -190,8 +199,7 @@ def custom_kpi(df: DataFrame, spec: KpiSpec, filters: Iterable[Filter] = ()) ->
             value = F.round(ratio(F.col("total") * 100.0, F.col("total")), 2)
             rows = total.select(value.alias("metric_value"))
         else:
-            rows = df.agg(measure.try_cast("double").alias("metric_value")
-                          if spec.aggregation in ("min", "max") else measure.cast("double").alias("metric_value"))
+            rows = df.agg(_as_number(df, spec, measure).alias("metric_value"))
         return rows.withColumn("formatted_value",
                                kpi_text(F.col("metric_value"), spec.text_style, spec.unit))
 
@@ -203,10 +211,8 @@ def custom_kpi(df: DataFrame, spec: KpiSpec, filters: Iterable[Filter] = ()) ->
         # The total is a one-row aggregate of the groups, not a window over all of them.
         total = grouped.agg(F.sum(F.when(F.col("dimension_value").isNotNull(), F.col("metric_value")))).scalar()
         grouped = grouped.withColumn("metric_value", F.round(ratio(F.col("metric_value") * 100.0, total), 2))
-    elif spec.aggregation in ("min", "max"):
-        grouped = grouped.withColumn("metric_value", F.col("metric_value").try_cast("double"))
     else:
-        grouped = grouped.withColumn("metric_value", F.col("metric_value").cast("double"))
+        grouped = grouped.withColumn("metric_value", _as_number(df, spec, F.col("metric_value")))
     by_time = is_time_like(df, name) and spec.output_type in ("auto", "line_chart")
     keys = [F.col("dimension_value").asc()] if by_time else ordered("metric_value", ascending=False)
     value = F.coalesce(F.col("metric_value"), F.lit(0.0))
@@ -269,17 +275,27 @@ def breakdown_dimensions(df: DataFrame, model: SemanticModel, most: int = 6) ->
 
 def multi_breakdown(df: DataFrame, model: SemanticModel, metric: str,
                     dimensions: Iterable[str] | None = None, top: int = 8) -> DataFrame:
-    """One metric over several dimensions at once, with the share among the shown rows."""
+    """One metric over several dimensions at once, ``top`` groups of each.
+
+    ``share_percentage`` is of all groups of the dimension, ``share_of_shown`` of the rows returned.
+    """
+    if not 1 <= top <= 1000:
+        raise ValueError("top must be between 1 and 1000")
     known = computable_metrics(model)
     chosen = known.get(metric) or record_count()
     dimensions = list(dimensions) if dimensions else breakdown_dimensions(df, model)
-    best = top_per_dimension(grouping_rows(df, dimensions, [chosen]), chosen.id, top)
+    rows = grouping_rows(df, dimensions, [chosen])
     value = F.coalesce(F.col(chosen.id), F.lit(0.0))
-    total = F.sum(value).over(W.partitionBy("dim_order"))
-    share = F.when(total > 0, F.round(value / total * 100.0, 1)).otherwise(0.0)
+    totals = rows.groupBy("dim_order").agg(F.sum(value).alias("total"))  # a row per dimension
+    best = top_per_dimension(rows, chosen.id, top).join(F.broadcast(totals), "dim_order")
+
+    def share(total: Column) -> Column:
+        return F.when(total > 0, F.round(value / total * 100.0, 1)).otherwise(0.0)
+
     return best.select("dimension", "rank", "dimension_value", F.round(value, 2).alias("value"),
                        metric_text(value, chosen.format).alias("formatted_value"),
-                       F.lit(chosen.kind).alias("metric_type"), share.alias("share_percentage"))
+                       F.lit(chosen.kind).alias("metric_type"), share(F.col("total")).alias("share_percentage"),
+                       share(F.sum(value).over(W.partitionBy("dim_order"))).alias("share_of_shown"))
 
 
 # -- C10, C14 ---------------------------------------------------------------------------------
@@ -293,8 +309,10 @@ def dimension_values(df: DataFrame, dimension: str, limit: int = 100) -> DataFra
 
 
 def hero_stats(df: DataFrame, dimensions: Iterable[str], status: str | None = None) -> DataFrame:
-    """Record count, distinct values of up to two dimensions (null counts) and the on-time share."""
-    dimensions = [resolve_column(df, d) for d in list(dimensions)[:2]]
+    """Record count, distinct values of one or two dimensions (null counts) and the on-time share."""
+    dimensions = [resolve_column(df, d) for d in dimensions]
+    if len(dimensions) > 2:
+        raise ValueError("at most two dimensions")
     columns = [F.count(F.lit(1)).alias("records")]
     for n, name in enumerate(dimensions, 1):
         column = F.col(quoted(name))

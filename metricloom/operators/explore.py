@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,34 +19,86 @@ def page_count(df: DataFrame, size: int = 40) -> DataFrame:
         "records", F.greatest(F.lit(1), F.ceil(F.col("records") / size)).cast("long").alias("pages"))
 
 
-# Rows that may be passed over by sorting; beyond, a numeric key is searched by counting.
-SHALLOW = 10_000
+#: Rows that a task may pass over by sorting; what lies before them is skipped by counting.
+PASSED = 10_000
+#: Characters by which a search among text keys goes on.
+PREFIX = 2
+
+
+def _text_start(df: DataFrame, name: str, rank: int) -> tuple[Column, int]:
+    """(condition of the rows from a key prefix on, rows before them) for the text key at a rank.
+
+    Each round counts the rows by a few more characters after what the keys in question share.
+    """
+    column, inside, passed = F.col(quoted(name)), F.col(quoted(name)).isNotNull(), 0
+    while True:
+        low, high, rows = df.filter(inside).agg(F.min(column), F.max(column), F.count(F.lit(1))).first()
+        if rows == 0:
+            return column.isNull(), passed
+        if rows <= PASSED or low == high or rank - passed <= PASSED:
+            return column >= F.lit(low), passed
+        shared = next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
+        prefix = F.substring(column, 1, shared + PREFIX)
+        counts = df.filter(inside).groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(W.orderBy("prefix"))  # a row per pair of characters
+        found = (counts.withColumn("upto", upto).filter(F.col("upto") > rank - passed).orderBy("prefix")
+                 .limit(1).first())
+        if found is None:
+            return column.isNull(), passed + rows
+        passed += found["upto"] - found["n"]
+        inside = inside & (prefix == F.lit(found["prefix"]))
+
+
+def _start(df: DataFrame, name: str, rank: int) -> tuple[Column | None, int]:
+    """Where to read from so that few rows come before a rank of the key: (condition, rows left out)."""
+    column, dtype = F.col(quoted(name)), df.schema[name].dataType
+    if isinstance(dtype, T.StringType):
+        return _text_start(df, name, rank)
+    if isinstance(dtype, T.DateType):
+        number = F.unix_date(column)
+    elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        number = F.unix_micros(column.cast("timestamp"))
+    elif isinstance(dtype, (T.NumericType, T.BooleanType)):
+        number = column.cast("double")
+    else:
+        return None, 0
+    keys = df.select(number.alias("key"))
+    first = value_at_rank(keys, "key", rank)
+    if first is None:  # among the nulls
+        return column.isNull(), df.filter(column.isNotNull()).count()
+    number = number.cast("double")
+    return (number >= F.lit(first)) | column.isNull(), df.filter(number < F.lit(first)).count()
 
 
 def page(df: DataFrame, key: str, number: int = 1, size: int = 40) -> DataFrame:
     """One page of the rows in key order; a number past the end gives the last page.
 
-    Near either end top-k keeps only the rows up to the page. In between, the key at the
-    page's first rank is found by counting (numeric keys) and the rows are read from
-    there. To walk through a table use :func:`page_after`, which needs no ranks.
+    Rows of equal keys are ordered by a hash of the whole row, so that pages neither repeat nor lose any. The key at the
+    page's first rank is found by counting and the rows are read from there; many equal keys are searched by that hash.
+    To walk through a table use :func:`page_after`, which needs no ranks.
     """
     key = resolve_column(df, key)
+    tie = "_tie"
+    # 52 bits: exact as a double, so that ranks of it can be searched.
+    rows = df.withColumn(tie, F.shiftrightunsigned(F.xxhash64(*[F.col(quoted(c)) for c in df.columns]), 12))
     shape = page_count(df, size).first()
     records, pages = shape["records"], shape["pages"]
-    number = min(max(1, number), pages)
-    start, end = (number - 1) * size, min(number * size, records)
+    start = (min(max(1, number), pages) - 1) * size
     column = F.col(quoted(key))
-    if min(start, records - end) > SHALLOW and isinstance(df.schema[key].dataType, T.NumericType):
-        first = value_at_rank(df, key, start)
-        if first is not None:
-            ahead = df.filter(column < F.lit(first)).count()  # ties of the first key may start earlier
-            return (df.filter((column >= F.lit(first)) | column.isNull()).orderBy(column.asc_nulls_last())
-                    .offset(start - ahead).limit(end - start))
-    if end <= records - start:
-        return df.orderBy(column.asc_nulls_last()).offset(start).limit(end - start)
-    # Past the middle: take from the end, then restore the order of one page.
-    tail = df.orderBy(column.desc_nulls_first()).offset(records - end).limit(end - start)
-    return tail.orderBy(column.asc_nulls_last())
+    order = [column.asc_nulls_last(), F.col(tie), *[F.col(quoted(c)) for c in df.columns if c != key and isinstance(
+        df.schema[c].dataType, T.AtomicType)]]
+    if start > PASSED:
+        condition, passed = _start(df, key, start)
+        if condition is not None:
+            rows, start = rows.filter(condition), start - passed
+        if start > PASSED:  # many rows of one key
+            first = rows.orderBy(column.asc_nulls_last()).select(column.alias("key")).first()["key"]
+            same = column.eqNullSafe(F.lit(first).cast(df.schema[key].dataType))
+            least = value_at_rank(rows.filter(same), tie, start)
+            if least is not None:
+                start -= rows.filter(same & (F.col(tie) < F.lit(least))).count()
+                rows = rows.filter(~same | (F.col(tie) >= F.lit(least)))
+    return rows.orderBy(*order).offset(start).limit(size).drop(tie)
 
 
 def page_after(df: DataFrame, key: str, last_key: Any = None, size: int = 40) -> DataFrame:

@@ -31,6 +31,9 @@ def _comparable(df: DataFrame, name: str, value: Any) -> tuple[Column, Column]:
         return column, F.lit(value)
     if isinstance(value, str):
         return column, F.lit(value).try_cast(dtype)
+    if isinstance(dtype, T.BooleanType) != isinstance(value, bool):
+        # true is 1 and false is 0; a flag compares as a number, a number with the flag's number.
+        return (column.cast("int"), F.lit(value)) if isinstance(dtype, T.BooleanType) else (column, F.lit(int(value)))
     return column, F.lit(value)
 
 
@@ -78,12 +81,12 @@ def equality_filters(model: SemanticModel, wanted: Mapping[str, Any]) -> list[Fi
     return [Filter(column, "eq", value) for column, value in wanted.items()]
 
 
-def value_filters(pairs: Iterable[tuple[str, Any]], per_column: int = 5) -> list[Filter]:
-    """(column, value) pairs as one IN filter per column, with at most ``per_column`` values each."""
+def value_filters(pairs: Iterable[tuple[str, Any]]) -> list[Filter]:
+    """(column, value) pairs as one IN filter per column; every value counts."""
     grouped: dict[str, list[Any]] = {}
     for column, value in pairs:
         values = grouped.setdefault(column, [])
-        if value not in values and len(values) < per_column:
+        if value not in values:
             values.append(value)
     return [Filter(column, "in", values) for column, values in grouped.items()]
 

@@ -32,22 +32,19 @@ def trend(series: DataFrame, metric: str, by: Iterable[str] = ()) -> DataFrame:
     fit = points.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.regr_slope("y", "t").alias("raw_slope"),
         F.regr_intercept("y", "t").alias("raw_intercept"), F.avg("y").alias("mean"),
+        F.regr_syy("y", "t").alias("syy"), F.regr_sxy("y", "t").alias("sxy"), F.regr_sxx("y", "t").alias("sxx"),
         F.max_by("y", "period").alias("last_value"), F.max("period").alias("last_period"))
     fit = (fit.withColumn("slope", F.when(F.col("n") >= 2, F.col("raw_slope")).otherwise(0.0))
            .withColumn("intercept", F.when(F.col("n") >= 2, F.col("raw_intercept")).otherwise(F.col("last_value"))))
-    keys = ["n", "slope", "intercept", "mean", "last_value", "last_period"]
-    joined = (points.join(fit.select(*by, *keys), by) if by
-              else points.crossJoin(F.broadcast(fit.select(*keys))))
-    miss = F.col("y") - (F.col("intercept") + F.col("slope") * F.col("t"))
-    errors = joined.groupBy(*by, *keys).agg(F.sum(miss * miss).alias("sse"))
-    variance = F.col("sse") / F.greatest(F.lit(1), F.col("n") - 2)
+    left = F.when(F.col("n") >= 2, F.col("syy") - F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx"))).otherwise(0.0)
+    variance = F.greatest(left, F.lit(0.0)) / F.greatest(F.lit(1), F.col("n") - 2)
     # An exact fit leaves only float noise, which counts as zero residual.
-    noise = F.col("mean") * F.col("mean") * 1e-18
+    noise = F.greatest(F.col("mean") * F.col("mean") * 1e-18, F.col("syy") * 1e-12)
     tenth = F.col("mean") * 0.1
     std_err = (F.when(F.col("n") < 2, F.col("intercept") * 0.15)
                .when(variance > noise, F.sqrt(variance))
                .when(tenth != 0, tenth).otherwise(10.0))
-    return errors.select(*by, "n", "slope", "intercept", std_err.alias("std_err"), "last_period", "last_value")
+    return fit.filter("n > 0").select(*by, "n", "slope", "intercept", std_err.alias("std_err"), "last_period", "last_value")
 
 
 def forecast(df: DataFrame, model: SemanticModel, metric: str, horizon: int = 3,

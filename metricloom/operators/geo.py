@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from metricloom.functions.formats import grouped_number
 from metricloom.functions.metrics import computable_metrics, record_count
 from metricloom.model import Filter, SemanticModel, quoted
-from metricloom.operators.aggregate import breakdown
+from metricloom.operators.aggregate import breakdown, grouped_metrics
+from metricloom.operators.filters import apply_filters
 
 # Place levels, most detailed first.
 LEVELS = ("city", "state", "province", "region", "country", "market", "territory", "nation")
@@ -89,23 +90,27 @@ def centroids(df: DataFrame, place: str, latitude: str, longitude: str) -> DataF
 
 
 def geo_breakdown(df: DataFrame, model: SemanticModel, metric: str = "total_revenue",
-                  filters: Iterable[Filter] = (), places: DataFrame | None = None) -> DataFrame:
-    """Top 50 places by a metric with share, row count and coordinates.
+                  filters: Iterable[Filter] = (), places: DataFrame | None = None, limit: int = 50) -> DataFrame:
+    """Top ``limit`` places by a metric with share, row count and coordinates.
+
+    ``share_percentage`` is of all places, ``share_of_shown`` of the rows returned.
 
     Coordinates come from the data's own columns if it has them, else from ``places``
     (place_key, known_lat, known_lng, known_code; the built-in table by default), else
-    (20, 0). All joins run on at most 50 rows.
+    (20, 0). All joins run on at most ``limit`` rows.
     """
     column = geo_column(df.columns, model)
     if column is None:
         raise ValueError("no geographic column")
     chosen = computable_metrics(model).get(metric) or record_count()
-    top = breakdown(df, model, column, [chosen.id], filters, limit=50)
+    top = breakdown(df, model, column, [chosen.id], filters, limit=limit)
     # The null group is shown under the name 'None'.
     name = F.coalesce(F.col("dimension_value").cast("string"), F.lit("None"))
     top = top.select(name.alias("place"), F.lower(F.trim(name)).alias("place_key"),
                      F.coalesce(chosen.id, F.lit(0.0)).alias("value"), "_row_count")
-    top = top.withColumn("total", F.sum("value").over(W.partitionBy()))  # at most 50 rows
+    every = grouped_metrics(apply_filters(df, filters), column, [chosen])
+    top = top.withColumn("total", every.agg(F.sum(F.coalesce(chosen.id, F.lit(0.0)))).scalar())
+    top = top.withColumn("shown", F.sum("value").over(W.partitionBy()))  # at most ``limit`` rows
     known = places if places is not None else gazetteer(df.sparkSession)
     rows = top.join(known, "place_key", "left")
     latitude, longitude = coordinate_columns(df.columns)
@@ -122,9 +127,13 @@ def geo_breakdown(df: DataFrame, model: SemanticModel, metric: str = "total_reve
     money = any(word in metric for word in ("rev", "profit", "price"))
     text = (F.concat(F.lit("$"), grouped_number(F.col("value"), 2)) if money
             else grouped_number(F.col("value"), 0))
-    share = F.when(F.col("total") > 0, F.round(F.col("value") / F.col("total") * 100.0, 1)).otherwise(0.0)
+
+    def share(total: str) -> Column:
+        return F.when(F.col(total) > 0, F.round(F.col("value") / F.col(total) * 100.0, 1)).otherwise(0.0)
+
     return rows.select(
         F.col("place").alias("region_name"), code.alias("region_code"), lat.alias("latitude"),
         lng.alias("longitude"), F.lit(chosen.id).alias("metric_id"), F.col("value").alias("metric_value"),
-        text.alias("formatted_value"), share.alias("share_percentage"), F.col("_row_count").alias("order_count")
+        text.alias("formatted_value"), share("total").alias("share_percentage"),
+        share("shown").alias("share_of_shown"), F.col("_row_count").alias("order_count")
     ).orderBy(F.col("metric_value").desc(), "region_name")

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from metricloom.functions.formats import grouped_number, plain_number
 from metricloom.functions.metrics import computable_metrics
+from metricloom.functions.quantiles import value_at_rank
 from metricloom.model import SemanticModel
 from metricloom.operators.aggregate import grouping_rows, top_per_dimension
 
 _SHAPE = ("insight_order int, type string, title string, description string, metric string, "
-          "dimension string, impact_score double, recommendation string")
+          "dimension string, impact_score double")
 
 
 def candidate_dimensions(model: SemanticModel) -> list[str]:
@@ -22,37 +23,43 @@ def candidate_dimensions(model: SemanticModel) -> list[str]:
     return list(dict.fromkeys(d for d in wanted if d))
 
 
-def pareto(df: DataFrame, model: SemanticModel, dimensions: list[str] | None = None) -> DataFrame:
+_PARETO = ("dimension string, groups long, top_count int, top_names string, top_revenue double, total_revenue double, "
+           "concentration_pct double, best_name string, best_revenue double, best_share double")
+
+
+def pareto(df: DataFrame, model: SemanticModel, dimensions: list[str] | None = None, names: int = 20) -> DataFrame:
     """Share of revenue of the top fifth of groups, on the first dimension with two groups.
 
-    One grouping-sets aggregate serves all candidate dimensions; at most 100 groups of
-    each go on. Columns: dimension, groups, top_count, top_names, top_revenue,
+    All groups count. The revenue at which the top fifth begins is found by counting, so no task orders all groups; only
+    the first ``names`` of them are listed. Columns: dimension, groups, top_count, top_names, top_revenue,
     total_revenue, concentration_pct, best_name, best_revenue, best_share.
     """
     dimensions = dimensions or candidate_dimensions(model)
     revenue = computable_metrics(model)["total_revenue"]
-    best = top_per_dimension(grouping_rows(df, dimensions, [revenue]), "total_revenue", 100)
-    value = F.coalesce("total_revenue", F.lit(0.0))
-    groups = F.count(F.lit(1)).over(W.partitionBy("dim_order"))
-    best = (best.withColumn("value", value).withColumn("groups", groups)
-            .withColumn("top_count", F.greatest(F.lit(1), F.floor(F.col("groups") * 0.2)).cast("int")))
-    is_top = F.col("rank") <= F.col("top_count")
+    rows = grouping_rows(df, dimensions, [revenue]).withColumn("value", F.coalesce("total_revenue", F.lit(0.0)))
+    shape = (rows.groupBy("dim_order", "dimension").agg(F.count(F.lit(1)).alias("groups"), F.sum("value").alias("total"))
+             .filter((F.col("total") > 0) & (F.col("groups") >= 2)).orderBy("dim_order").first())
+    if shape is None:
+        return df.sparkSession.createDataFrame([], _PARETO)
+    own = rows.filter(F.col("dim_order") == shape["dim_order"])
+    top_count = max(1, shape["groups"] // 5)
+    cut = value_at_rank(own, "value", shape["groups"] - top_count)
+    above = F.col("value") > F.lit(cut)
+    # Groups that tie with the cut fill up the top fifth.
+    sums = own.agg(F.sum(F.when(above, F.col("value"))).alias("above"), F.count(F.when(above, 1)).alias("n"))
+    top_revenue = F.coalesce("above", F.lit(0.0)) + F.lit(cut) * (top_count - F.col("n"))
     name = F.coalesce("dimension_value", F.lit("None"))
-    # At most 20 names: a fifth of 100 groups.
-    names = F.array_sort(F.collect_list(F.when(is_top, F.struct("rank", name.alias("name")))))
-    stats = (best.groupBy("dim_order", "dimension", "groups", "top_count").agg(
-                 F.sum("value").alias("total_revenue"),
-                 F.sum(F.when(is_top, F.col("value"))).alias("top_revenue"),
-                 F.array_join(F.transform(names, lambda n: n["name"]), ", ").alias("top_names"),
-                 F.max(F.when(F.col("rank") == 1, name)).alias("best_name"),
-                 F.max(F.when(F.col("rank") == 1, F.col("value"))).alias("best_revenue"))
-             .filter((F.col("total_revenue") > 0) & (F.col("groups") >= 2)))
-    first = stats.orderBy("dim_order").limit(1)
-    return first.select(
-        "dimension", "groups", "top_count", "top_names", "top_revenue", "total_revenue",
-        F.round(F.col("top_revenue") / F.col("total_revenue") * 100.0, 1).alias("concentration_pct"),
-        "best_name", "best_revenue",
-        F.round(F.col("best_revenue") / F.col("total_revenue") * 100.0, 1).alias("best_share"))
+    listed = top_per_dimension(own, "total_revenue", min(names, top_count)).agg(
+        F.array_sort(F.collect_list(F.struct("rank", name.alias("name"), "value"))).alias("listed"))
+    total = F.lit(shape["total"])
+    return sums.withColumn("listed", listed.scalar()).select(
+        F.lit(shape["dimension"]).alias("dimension"), F.lit(shape["groups"]).cast("long").alias("groups"),
+        F.lit(top_count).cast("int").alias("top_count"),
+        F.array_join(F.transform("listed", lambda n: n["name"]), ", ").alias("top_names"),
+        top_revenue.alias("top_revenue"), total.alias("total_revenue"),
+        F.round(top_revenue / total * 100.0, 1).alias("concentration_pct"),
+        F.col("listed")[0]["name"].alias("best_name"), F.col("listed")[0]["value"].alias("best_revenue"),
+        F.round(F.col("listed")[0]["value"] / total * 100.0, 1).alias("best_share"))
 
 
 def lowest_margin(df: DataFrame, model: SemanticModel, dimensions: list[str] | None = None,
@@ -71,20 +78,16 @@ def lowest_margin(df: DataFrame, model: SemanticModel, dimensions: list[str] | N
 WORDS = {
     "concentration": (
         "Revenue Concentration: Top {count} {dimension}s Generate {share}% of Sales",
-        "The top {count} of {groups} {dimension}s ({names}) account for ${top} out of ${total} total revenue.",
-        "Secure supply and customer care for {names}."),
+        "The top {count} of {groups} {dimension}s ({names}) account for ${top} out of ${total} total revenue."),
     "growth_driver": (
         "Dominant Segment: '{best}' Captures {best_share}% Market Share in {dimension}",
-        "'{best}' is the single largest performance driver in {dimension} with ${best_revenue} in total revenue.",
-        "Look for related sales that start from {best}."),
+        "'{best}' is the single largest performance driver in {dimension} with ${best_revenue} in total revenue."),
     "risk": (
         "Margin Compression Alert: '{name}' Operating at {margin}% Margin in {dimension}",
-        "'{name}' exhibits low profitability with a margin of {margin}% (${profit} profit from ${revenue} revenue).",
-        "Review prices, discounts and purchase costs of {name}."),
+        "'{name}' exhibits low profitability with a margin of {margin}% (${profit} profit from ${revenue} revenue)."),
     "summary": (
         "Automated Analytics Active",
-        "Dataset successfully normalized into columnar format. Real-time deterministic aggregations are enabled.",
-        "Look at the breakdowns by dimension."),
+        "Dataset successfully normalized into columnar format. Real-time deterministic aggregations are enabled."),
 }
 
 
@@ -97,11 +100,11 @@ def _text(template: str, figures: dict[str, Column]) -> Column:
 
 def _insight(order: int, kind: str, metric: str, dimension: Column, impact: Column,
              figures: dict[str, Column]) -> Column:
-    title, description, recommendation = (_text(w, figures) for w in WORDS[kind])
+    title, description = (_text(w, figures) for w in WORDS[kind])
     return F.struct(
         F.lit(order).alias("insight_order"), F.lit(kind).alias("type"), title.alias("title"),
         description.alias("description"), F.lit(metric).alias("metric"), dimension.alias("dimension"),
-        impact.cast("double").alias("impact_score"), recommendation.alias("recommendation"))
+        impact.cast("double").alias("impact_score"))
 
 
 def insights(df: DataFrame, model: SemanticModel) -> DataFrame:

@@ -2,51 +2,89 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Mapping
+import uuid
+from collections.abc import Iterator, Mapping
 from typing import Any
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
-
-# Words that may not appear outside of quotes.
-FORBIDDEN_WORDS = (
-    "drop", "delete", "update", "insert", "alter", "attach", "copy", "vacuum", "load", "install", "create",
-    "truncate", "grant", "revoke", "pragma", "export", "import", "call",
-)
-_QUOTED = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/", re.DOTALL)
-
-
-def check_sql(sql: str) -> str:
-    """The single SELECT / WITH statement, or ValueError. Quoted text and comments are not judged."""
-    bare = _QUOTED.sub(lambda m: "`q`" if m.group()[0] in "`\"" else " ", sql).strip()
-    if not re.match(r"(?i)(select|with)\b", bare):
-        raise ValueError("Only read-only SELECT queries are permitted.")
-    for word in FORBIDDEN_WORDS:
-        if re.search(rf"(?i)\b{word}\b", bare):
-            raise ValueError("Only read-only SELECT queries are permitted. "
-                             f"Prohibited SQL operation detected: '{word.upper()}'.")
-    if len([part for part in bare.split(";") if part.strip()]) > 1:
-        raise ValueError("Multiple SQL statements are not permitted.")
-    # FROM inside EXTRACT(.. FROM ..) and IS DISTINCT FROM names no table.
-    bare = re.sub(r"(?i)\b(extract|trim|substring|overlay)\s*\(([^()]*?)\bfrom\b", r"\1(\2,", bare)
-    bare = re.sub(r"(?i)\bdistinct\s+from\b", "<>", bare)
-    named = {n.lower() for n in re.findall(r"(?i)(?:\bwith|,)\s+(\w+)\s+as\s*\(", bare)}
-    if re.search(r"(?i)\bfrom\s+\w+(\s+(as\s+)?\w+)?\s*,", bare):
-        raise ValueError("List tables with JOIN, not with commas.")
-    for table in re.findall(r"(?i)\b(?:from|join)\s+([\w.`]+)", bare):
-        if table.lower() not in {"data", "lateral", *named}:
-            raise ValueError(f"Unknown table '{table}'; the data set is called 'data'.")
-    if not re.search(r"(?i)\bfrom\b", bare):
+from pyspark.sql import DataFrame, SparkSession
+
+# Functions that run any code of the JVM.
+CODE_FUNCTIONS = ("reflect", "try_reflect", "java_method")
+
+
+def _each(sequence) -> Iterator:
+    return (sequence.apply(i) for i in range(sequence.size()))
+
+
+def _used(plan, known: frozenset[str]) -> Iterator[tuple[str, str]]:
+    """("table" or "function", name) of all that a parsed plan reads and calls, common table expressions left out.
+
+    Tables that are ``known`` come as "data".
+    """
+    kind = plan.getClass().getSimpleName()
+    if kind == "UnresolvedWith":
+        for entry in _each(plan.cteRelations()):
+            name = entry._1().lower()
+            yield from _used(entry._2(), known | {name} if plan.allowRecursion() else known)
+            known |= {name}
+        yield from _used(plan.child(), known)
+        return
+    if kind == "UnresolvedRelation":
+        name = ".".join(_each(plan.multipartIdentifier()))
+        yield "table", "data" if name.lower() in known else name
+    elif kind in ("UnresolvedTableValuedFunction", "RelationTimeTravel"):
+        yield "table", kind
+    open_ = list(_each(plan.expressions()))
+    while open_:
+        expression = open_.pop()
+        if expression.getClass().getSimpleName() == "UnresolvedFunction":
+            yield "function", list(_each(expression.nameParts()))[-1].lower()
+        open_ += _each(expression.children())
+    for part in (*_each(plan.children()), *_each(plan.subqueries())):
+        yield from _used(part, known)
+
+
+def check_sql(spark: SparkSession, sql: str) -> str:
+    """The single query, or ValueError. Spark's own parser reads it; only ``data`` may be queried."""
+    statement = sql.strip().rstrip(";")
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
+    except PySparkException as error:
+        raise ValueError(f"SQL cannot be read: {error}") from error
+    logical = "org.apache.spark.sql.catalyst.plans.logical"
+    jvm = spark._jvm
+    for kind in ("Command", "ParsedStatement", "V2WriteCommand"):
+        if jvm.java.lang.Class.forName(f"{logical}.{kind}").isInstance(plan):
+            raise ValueError("Only read-only SELECT queries are permitted.")
+    used = set(_used(plan, frozenset({"data"})))
+    others = sorted(name for kind, name in used if kind == "table" and name != "data")
+    if others:
+        raise ValueError(f"Unknown table {others}; the data set is called 'data'.")
+    called = sorted(name for kind, name in used if kind == "function" and name in CODE_FUNCTIONS)
+    if called:
+        raise ValueError(f"Function {called} is not permitted.")
+    if ("table", "data") not in used:
         raise ValueError("SQL query must specify a FROM clause.")
-    return sql.strip().rstrip(";")
+    return statement
 
 
 def safe_sql(df: DataFrame, sql: str, args: Mapping[str, Any] | list | None = None) -> DataFrame:
-    """Run one read-only statement; unknown columns fail at once, before any data is read."""
-    statement = check_sql(sql)
-    df.createOrReplaceTempView("data")
+    """Run one read-only query; unknown columns fail at once, before any data is read.
+
+    It runs in a session of its own, which sees no view but ``data``; a view of that name elsewhere stays as it is.
+    """
+    spark = df.sparkSession
+    statement = check_sql(spark, sql)
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"data_{uuid.uuid4().hex}"
+    df.createGlobalTempView(name)
     try:
-        return df.sparkSession.sql(statement, args=args)
+        own.table(f"global_temp.{name}").createOrReplaceTempView("data")
+        return own.sql(statement, args=args)
     except PySparkException as error:
         raise ValueError(f"SQL Execution Error: {error}") from error
+    finally:
+        spark.catalog.dropGlobalTempView(name)

@@ -159,7 +159,7 @@ def _standard(df: DataFrame, model: SemanticModel, widgets: list[Widget]) -> Dat
 def suggest_charts(df: DataFrame, dimensions: Iterable[str], with_table: bool = False) -> DataFrame:
     """(dimension, distinct_count, chart): line for time-like, pie for 2-5 values, else bar.
 
-    ``with_table`` shows more than twenty values as a table.
+    ``with_table`` shows more than twenty values as a table and a single one as a pie.
     """
     dimensions = [resolve_column(df, d) for d in dimensions]
     cells = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(quoted(d)).cast("string").alias("v"))
@@ -168,7 +168,7 @@ def suggest_charts(df: DataFrame, dimensions: Iterable[str], with_table: bool =
               .groupBy("dimension").agg(F.count("v").alias("distinct_count")))
     timed = [d for d in dimensions if is_time_like(df, d)]
     chart = F.when(F.col("dimension").isin(*timed) if timed else F.lit(False), "line_chart").when(
-        F.col("distinct_count").between(2, 5), "pie_chart")
+        F.col("distinct_count").between(1 if with_table else 2, 5), "pie_chart")
     if with_table:
         chart = chart.when(F.col("distinct_count") > 20, "table")
     return counts.select("dimension", "distinct_count", chart.otherwise("bar_chart").alias("chart"))

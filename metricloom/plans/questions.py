@@ -36,10 +36,10 @@ def listing(df: DataFrame, dimension: str, values: Iterable[tuple[str, Any]] = (
 
 def ranking(df: DataFrame, model: SemanticModel, metric: str, dimension: str,
             values: Iterable[tuple[str, Any]] = (), top: int = 5) -> DataFrame:
-    """Best groups of a dimension by a metric; ``top`` goes up to 100."""
+    """Best ``top`` groups of a dimension by a metric."""
     chosen = _metric(model, metric)
     rows = grouped_metrics(apply_filters(df, value_filters(values)), dimension, [chosen])
-    return rows.orderBy(*ordered(chosen.id, False)).limit(min(top, 100)).select("dimension_value", chosen.id)
+    return rows.orderBy(*ordered(chosen.id, False)).limit(top).select("dimension_value", chosen.id)
 
 
 def scalar(df: DataFrame, model: SemanticModel, metric: str, values: Iterable[tuple[str, Any]] = ()) -> DataFrame:

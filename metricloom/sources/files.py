@@ -11,9 +11,6 @@ from metricloom.model import quoted
 # Text that stands for a missing value.
 NULL_TOKENS = ("", "NA", "N/A", "null", "NULL", "none", "NONE", "NaN", "nan", "-")
 
-# Rows looked at to choose column types; later values that do not fit become null.
-INFERENCE_ROWS = 10_000
-
 
 def blank_to_null(df: DataFrame) -> DataFrame:
     """Null tokens of every text column become null."""
@@ -36,8 +33,8 @@ def _readers(text: Column) -> dict[str, Column]:
     return {"long": whole, "double": number, "boolean": truth, "date": day, "timestamp": moment}
 
 
-def typed(df: DataFrame, sample: DataFrame | None = None) -> DataFrame:
-    """Text columns to the narrowest type that reads every sampled value; misfits become null."""
+def typed(df: DataFrame) -> DataFrame:
+    """Text columns to the narrowest type that reads all of their values; one aggregate over the whole data decides."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not texts:
         return df
@@ -47,18 +44,21 @@ def typed(df: DataFrame, sample: DataFrame | None = None) -> DataFrame:
         column = F.col(quoted(name))
         aggregates.append(F.count(column).alias(f"n{i}"))
         aggregates += [F.count(reader).alias(f"{kind}{i}") for kind, reader in _readers(column).items()]
-    counts = (sample if sample is not None else df).agg(*aggregates).first()
+    counts = df.agg(*aggregates).first()
     chosen = {name: next((k for k in kinds if counts[f"n{i}"] and counts[f"{k}{i}"] == counts[f"n{i}"]), None)
               for i, name in enumerate(texts)}
     return df.select(*[
         _readers(F.col(quoted(c)))[chosen[c]].alias(c) if chosen.get(c) else F.col(quoted(c)) for c in df.columns])
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header: null tokens, types from the first rows, extra fields cut, misfits null."""
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"').csv(path)
-    rows = blank_to_null(raw)
-    return typed(rows, rows.limit(INFERENCE_ROWS))
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """CSV with a header: null tokens, types that fit every value, extra fields cut.
+
+    ``multi_line`` also reads line breaks inside quotes; such a file can't be split, so each is read by one task.
+    """
+    raw = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"')
+           .option("multiLine", multi_line).csv(path))
+    return typed(blank_to_null(raw))
 
 
 def read_explorer_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -3,11 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
+from metricloom.functions.quantiles import column_quantiles
 from metricloom.model import SemanticModel
 from metricloom.operators import aggregate as A
 from metricloom.operators import cleaning as cl
 from metricloom.operators import quality as q
 from metricloom.operators import timeseries as ts
+from metricloom.operators.explore import page
 from metricloom.operators.anomaly import anomalies, root_causes
 from metricloom.operators.forecast import forecast
 from metricloom.operators.geo import geo_breakdown
@@ -77,3 +79,30 @@ def test_hot_key(spark):
     assert duplicate_rows(df).first()["duplicate_rows"] == 10000 - 20
     causes = root_causes(df, MODEL, "units_sold", "month", "city")
     assert all(r["value"] == "hot" for r in causes.collect())
+
+
+def test_infinite_values_have_quantiles(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("inf"),), (float("inf"),)], "v double")
+    rows = {r["prob"]: r["quantile"] for r in column_quantiles(df, ["v"], [0.25, 1.0]).collect()}
+    assert rows == {0.25: 1.75, 1.0: float("inf")}
+
+
+def test_pages_of_any_key_hold_each_row_once(spark):
+    df = spark.range(30_000).selectExpr("id", "'k' || lpad(id % 700, 5, '0') AS t", "id % 3 AS few",
+                                        "date_add(DATE'2000-01-01', CAST(id % 9000 AS INT)) AS d")
+    for key in ("t", "few", "d"):
+        wanted = [r[0] for r in df.orderBy(key).select(key).collect()]
+        seen = []
+        for number in (1, 2, 350, 351, 750):
+            rows = page(df, key, number).collect()
+            assert [r[key] for r in rows] == wanted[(number - 1) * 40:number * 40]
+            seen += [r["id"] for r in rows]
+        assert len(seen) == len(set(seen)) == 200
+
+
+def test_null_segment_keeps_its_forecast(spark):
+    df = spark.createDataFrame([(f"2024-0{m}-01", s, m * (2 if s else 1)) for m in (1, 2, 3) for s in ("a", None)],
+                               "day string, seg string, v int").selectExpr("CAST(day AS DATE) AS d", "seg", "v AS revenue")
+    model = SemanticModel(mappings={"date": "d", "revenue": "revenue"}, dimensions=("seg",), time_dimensions=("d",))
+    rows = forecast(df, model, "total_revenue", 1, ["seg"], "month").collect()
+    assert {r["seg"]: r["predicted_value"] for r in rows} == {"a": 8.0, None: 4.0}

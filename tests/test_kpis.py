@@ -101,7 +101,7 @@ def test_equality_and_value_filters(sales):
     with pytest.raises(ValueError):
         equality_filters(MODEL, {"Quantity": 1})
     filters = value_filters([("City", c) for c in "abcdefg"] + [("Product", "Desk")])
-    assert [len(f.value) for f in filters] == [5, 1]
+    assert [len(f.value) for f in filters] == [7, 1]
 
 
 def test_toggle_filter():
@@ -240,10 +240,40 @@ def test_safe_sql(spark):
     assert safe_sql(df, "SELECT SUM(val) AS s, COUNT(*) AS n FROM data").first().asDict() == {"s": 300, "n": 2}
     assert safe_sql(df, "select count(*) n from data where 'drop table' <> ''").first()["n"] == 2
     for sql in ("DROP TABLE data", "SELECT 1; SELECT 2 FROM data", "SELECT * FROM other", "SELECT nothing FROM data",
-                "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "SELECT * FROM data, other", "SELECT 1"):
+                "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "SELECT * FROM data, other", "SELECT 1",
+                "SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM data",
+                "WITH x AS (TABLE secret) SELECT * FROM x", "WITH secret AS (SELECT * FROM secret) SELECT * FROM secret",
+                "SELECT * FROM data a JOIN data b ON a.id = b.id, secret s",
+                "SELECT (SELECT max(val) FROM secret) FROM data", "SELECT id FROM data UNION TABLE secret"):
         with pytest.raises(ValueError):
             safe_sql(df, sql)
-    check_sql("SELECT EXTRACT(YEAR FROM d) FROM data WHERE a IS DISTINCT FROM b;")
+    check_sql(spark, "SELECT EXTRACT(YEAR FROM d) FROM data WHERE a IS DISTINCT FROM b;")
+
+
+def test_safe_sql_leaves_views_and_names_alone(spark):
+    df = spark.createDataFrame([(1, 100), (2, 200)], "copy long, load long")
+    spark.createDataFrame([(7,)], "x long").createOrReplaceTempView("data")
+    assert safe_sql(df, "SELECT sum(load) AS s FROM data WHERE copy > 1").first()["s"] == 200
+    assert safe_sql(df, "WITH x AS (SELECT copy FROM data) SELECT count(*) AS n FROM x, data").first()["n"] == 4
+    assert spark.table("data").first()["x"] == 7
+
+
+def test_rates_and_extremes_of_any_type(spark):
+    df = spark.createDataFrame([(1, True, day("2024-01-01")), (0, False, day("2024-03-01")), (1, True, None)],
+                               "n int, b boolean, d date")
+    for condition in (A.Condition(True, column="n"), A.Condition(1, column="b"), A.Condition(True, column="b")):
+        assert A.custom_kpi(df, A.KpiSpec("rate", "n", condition=condition)).first()["metric_value"] == 66.67
+    assert apply_filters(df, [Filter("n", "eq", True)]).count() == 2
+    assert apply_filters(df, [Filter("b", "in", [0])]).count() == 1
+    assert A.custom_kpi(df, A.KpiSpec("max", "d")).first()["metric_value"] is None
+
+
+def test_pareto_counts_all_groups(spark):
+    df = spark.range(1000).selectExpr("'p' || id AS Product", "1L AS Quantity", "1.0D AS Sale_Price")
+    model = SemanticModel(mappings={"quantity": "Quantity", "sale_price": "Sale_Price", "product": "Product"})
+    top = pareto(df, model, ["Product"]).first()
+    assert (top["groups"], top["total_revenue"], top["top_revenue"], top["best_share"]) == (1000, 1000.0, 200.0, 0.1)
+    assert len(top["top_names"].split(", ")) == 20
 
 
 def test_dashboard_matches_single_operators(sales):

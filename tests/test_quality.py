@@ -42,10 +42,13 @@ def test_csv_round_trip(spark, tmp_path):
     assert files.schema_rows(again).filter("is_text").count() == 2
 
 
-def test_malformed_values_beyond_the_sample_become_null(spark):
-    df = spark.createDataFrame([("1",), ("2",), ("oops",)], "v string")
-    typed = files.typed(df, df.limit(2))
-    assert [r["v"] for r in typed.collect()] == [1, 2, None]
+def test_types_fit_every_value(spark, tmp_path):
+    df = spark.range(20_000).selectExpr("CASE WHEN id < 15000 THEN CAST(id AS STRING) ELSE 'x' || id END AS v")
+    assert files.typed(df).filter("v IS NULL").count() == 0
+    source = tmp_path / "in.csv"
+    source.write_text('a,b\n1,"two\nlines"\n2,x\n')
+    assert [tuple(r) for r in files.read_csv(spark, str(source), multi_line=True).orderBy("a").collect()] == [
+        (1, "two\nlines"), (2, "x")]
 
 
 def test_explorer_csv(spark, tmp_path):
@@ -211,7 +214,7 @@ def test_paging(spark):
 
 
 def test_deep_page(spark, monkeypatch):
-    monkeypatch.setattr(explore, "SHALLOW", 10)
+    monkeypatch.setattr(explore, "PASSED", 10)
     monkeypatch.setattr(quantile_module, "FEW_ROWS", 20)
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"), (F.col("id") % 10).alias("tens"))
     assert [r["k"] for r in page(df, "k", 40, 10).collect()] == list(range(390, 400))
