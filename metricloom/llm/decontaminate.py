@@ -15,12 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.llm.common import saved
+from metricloom.llm.bits import filter_of, passes
+from metricloom.llm.common import in_arrow, saved
 from metricloom.llm.words import Words, portions
 
 WINDOW, GRAM = 10, 5
-#: Bits of the filter: 8 MB, whatever the benchmark's size.
-FILTER_BITS = 26
 CANDIDATE = pa.struct([("kind", pa.int32()), ("hash", pa.int64()), ("at", pa.int64()), ("middle", pa.string()),
                        ("before", pa.list_(pa.string())), ("after", pa.list_(pa.string()))])
 FOUND = ("row long, id {kind}, n_words long, found array<struct<kind: int, hash: long, at: long, middle: string, "
@@ -55,11 +54,6 @@ def _candidates(words: Words, texts: np.ndarray, at: np.ndarray, hashes: np.ndar
     return out
 
 
-def _passes(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    place = hashes >> np.uint64(64 - FILTER_BITS)
-    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-
-
 def _find(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None, kinds: list[int]) -> Iterator[pa.RecordBatch]:
     """A row per text with its number of words and its fingerprints: of items (no bits) all, else those that pass."""
     for batch in portions(batches):
@@ -76,7 +70,7 @@ def _find(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None, kinds: lis
             else:
                 at, hashes = winnowed(words)
             if bits is not None:
-                passed = _passes(hashes, bits)
+                passed = passes(hashes, bits)
                 at, hashes = at[passed], hashes[passed]
             for text, candidate in _candidates(words, words.text[at], at, hashes, kind):
                 found[text].append(candidate)
@@ -85,16 +79,6 @@ def _find(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None, kinds: lis
              pa.array(found, type=pa.list_(CANDIDATE))], ["row", "id", "n_words", "found"])
 
 
-def _filter_bits(items: DataFrame) -> np.ndarray:
-    """The Bloom filter of all item fingerprints, put together by words of 64 bits."""
-    place = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
-    bit = F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(hash, {64 - FILTER_BITS}) & 63 AS INT))")
-    rows = items.groupBy(F.shiftright(place, 6).alias("slot")).agg(F.bit_or(bit).alias("bits")).collect()
-    bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
-    bits[[r["slot"] for r in rows]] = [r["bits"] for r in rows]
-    return bits.view(np.uint64)
-
-
 def _equal_run(mine: str, theirs: str, reach: int) -> Column:
     """How many words agree from the nearest on."""
     run = F.lit(0)
@@ -118,15 +102,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
 
     short = list(range(1, WINDOW))
     questions = located(benchmark, item_text, item_id)
-    items = saved(questions.mapInArrow(lambda b: _find(b, None, short),
-                                       FOUND.format(kind=questions.schema["id"].dataType.simpleString()))
+    items = saved(in_arrow(questions, lambda b: _find(b, None, short),
+                           FOUND.format(kind=questions.schema["id"].dataType.simpleString()))
                   .select(F.col("id").cast("string").alias("item"), F.explode("found").alias("f"))
                   .select("item", "f.*"), "benchmark-fingerprints")
     kinds = sorted(r[0] for r in items.where("kind > 0").select("kind").distinct().collect())
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(items))
+    bits = docs.sparkSession.sparkContext.broadcast(filter_of(items, F.col("hash")))
     rows = located(docs, text, doc_id)
-    scanned = saved(rows.mapInArrow(lambda b: _find(b, bits.value, kinds),
-                                    FOUND.format(kind=rows.schema["id"].dataType.simpleString())), "fingerprints")
+    scanned = saved(in_arrow(rows, lambda b: _find(b, bits.value, kinds),
+                             FOUND.format(kind=rows.schema["id"].dataType.simpleString())), "fingerprints")
     mine = scanned.select("row", F.explode("found").alias("f")).select("row", "f.*")
     theirs = items.select("item", "kind", "hash", F.col("middle").alias("middle_"), F.col("before").alias("before_"),
                           F.col("after").alias("after_"))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from metricloom.llm.common import in_arrow
 from metricloom.llm.words import portions
 
 #: Characters that are looked up at once, and texts of one presence matrix.
@@ -168,6 +169,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 [*batch.schema.names, "lang_pred", "score"])
 
     known = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    return kept.mapInArrow(predict, schema).withColumns(
+    return in_arrow(kept, predict, schema).withColumns(
         {"lang_pred": F.when(known, F.col("lang_pred")).otherwise("und"),
          "score": F.when(known, F.col("score")).otherwise(0.0)})

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from metricloom.llm.common import in_arrow
 from metricloom.llm.words import portions
 
 #: The model writes a space as U+2581 and takes that sign in a text for a space.
@@ -63,5 +64,5 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, text: str
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
     schema = StructType([*rows.drop("text").schema.fields, StructField("n_tokens", LongType())])
-    return rows.mapInArrow(lambda batches: _count(batches, model_path), schema).withColumn(
+    return in_arrow(rows, lambda batches: _count(batches, model_path), schema).withColumn(
         "over_limit", F.col("n_tokens") > limit)
