@@ -10,6 +10,7 @@ from metricloom.operators import quality as q
 from metricloom.operators.concepts import tag_concepts
 from metricloom.operators.profile import DATE_SHAPES, behaviour_roles, duplicate_rows, profile, type_roles
 from metricloom.sources import views as V
+from metricloom.sources.files import blank_to_null, typed
 
 _LINEITEM_NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
                      "l_discount", "l_tax")
@@ -25,6 +26,43 @@ def profile_lineitem(spark, sf):
     return rows.select("column_name", "min", "max", "mean", "median", "std_dev", "q25", "q75")
 
 
+_MONEY = ("o_totalprice", "negative_price")
+
+
+@query("profile_decimal", " UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, 'numeric' AS detected_type, round(CAST(min({v}) AS DOUBLE), 4) AS min,
+        round(CAST(max({v}) AS DOUBLE), 4) AS max, round(avg(CAST({v} AS DOUBLE)), 4) AS mean FROM orders"""
+    for c, v in zip(_MONEY, ("CAST(o_totalprice AS DECIMAL(12, 2))", "CAST(-o_totalprice AS DECIMAL(12, 2))"))))
+def _(spark, sf):
+    rows = V.table(spark, sf, "orders").select(
+        F.col("o_totalprice").cast("decimal(12,2)").alias("o_totalprice"),
+        (-F.col("o_totalprice")).cast("decimal(12,2)").alias("negative_price"))
+    return profile(rows).select("column_name", "detected_type", "min", "max", "mean")
+
+
+@query("warnings_decimal", """
+    SELECT 'negative_price' AS column_name, 'negative_values' AS warning_type,
+           round(CAST(min(CAST(-o_totalprice AS DECIMAL(12, 2))) AS DOUBLE), 4) AS metric_value FROM orders""")
+def _(spark, sf):
+    rows = V.table(spark, sf, "orders").select((-F.col("o_totalprice")).cast("decimal(12,2)").alias("negative_price"))
+    found = q.quality_warnings(profile(rows), duplicate_rows(rows))
+    return found.filter("warning_type = 'negative_values'").select("column_name", "warning_type", "metric_value")
+
+
+@query("csv_typed", """
+    SELECT o_orderkey AS key, round(o_totalprice, 2) AS price, CAST(o_orderdate AS DATE) AS day,
+           CASE WHEN o_orderkey > (SELECT 0.9 * max(o_orderkey) FROM orders) THEN 'x' ELSE '' END
+             || CAST(o_orderkey AS VARCHAR) AS code FROM orders""")
+def _(spark, sf):
+    orders = V.table(spark, sf, "orders")
+    late = F.col("o_orderkey") > orders.agg(F.max("o_orderkey") * 0.9).scalar()
+    text = orders.select(
+        F.col("o_orderkey").cast("string").alias("key"), F.round("o_totalprice", 2).cast("string").alias("price"),
+        F.col("o_orderdate").cast("date").cast("string").alias("day"),
+        F.concat(F.when(late, "x").otherwise(""), F.col("o_orderkey").cast("string")).alias("code"))
+    return typed(blank_to_null(text))
+
+
 _DIRTY = ("Cust ID", "Cust Name", "Sales Total ($)", "Unit Price", "Segment", "Joined", "State")
 
 

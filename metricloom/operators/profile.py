@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,7 +69,7 @@ def value_cells(df: DataFrame) -> DataFrame:
         whole, num, text = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
         if isinstance(f.dataType, T.IntegralType):
             whole = column.cast("long")
-        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        elif isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
             num = column.cast("double") + F.lit(0.0)  # -0.0 and 0.0 are one value
         elif _native_type(f.dataType) != "unknown":
             text = column.cast("string")
@@ -178,13 +180,55 @@ def _percent(part: str, whole: str) -> Column:
     return F.coalesce(F.round(F.try_divide(F.col(part) * 100.0, F.col(whole)), 2), F.lit(0.0))
 
 
+def _distinct_values(df: DataFrame, positions: list[int]) -> DataFrame:
+    """(position, unique_count) of columns; values travel as 128-bit hashes, a null counts as a value."""
+    cells = []
+    for n in positions:
+        column = F.col(quoted(df.columns[n - 1]))
+        if isinstance(df.schema.fields[n - 1].dataType, (T.DoubleType, T.FloatType)):
+            column = column + F.lit(0.0)  # -0.0 and 0.0 are one value
+        cells.append(F.struct(F.lit(n).alias("position"), F.xxhash64(column).alias("a"),
+                              F.xxhash64(column, F.lit(n)).alias("b"), column.isNull().alias("missing")))
+    return (df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").distinct()
+            .groupBy("position").agg(F.count(F.lit(1)).alias("unique_count")))
+
+
 def type_roles(df: DataFrame) -> DataFrame:
-    """(column_name, position, detected_type, role) without the statistics."""
-    counts = value_cells(df).groupBy("position").agg(*_counts())
-    typed = (counts.withColumn("column_name", _named(df)).withColumn(
-        "detected_type", detected_type(_natives(df), F.col("shaped"), F.col("filled"))))
+    """(column_name, position, detected_type, role) without the statistics.
+
+    Types come from the schema and, for text, from one global aggregate. Distinct values are counted only for columns
+    whose role depends on them: dates, flags and columns named like an id or a measure do not.
+    """
+    fields = df.schema.fields
+    natives = [_native_type(f.dataType) for f in fields]
+    shapes = []
+    for n, (f, native) in enumerate(zip(fields, natives), 1):
+        if native is None:
+            text = F.col(quoted(f.name))
+            has = F.trim(text) != ""
+            shapes += [F.count(F.when(has & _date_like(text), 1)).alias(f"shaped{n}"),
+                       F.count(F.when(has, 1)).alias(f"filled{n}")]
+    zero = F.lit(0).cast("long")
+    columns = F.explode(F.array(*[F.struct(
+        F.lit(f.name).alias("column_name"), F.lit(n).alias("position"), F.lit(native).cast("string").alias("native"),
+        (F.col(f"shaped{n}") if native is None else zero).alias("shaped"),
+        (F.col(f"filled{n}") if native is None else zero).alias("filled"), F.col("rows").alias("row_count"))
+        for n, (f, native) in enumerate(zip(fields, natives), 1)]))
+    rows = df.agg(F.count(F.lit(1)).alias("rows"), *shapes).filter("rows > 0").select(columns.alias("c")).select("c.*")
+
+    def depends(name: str, native: str | None) -> bool:
+        named = re.search(ID_NAMES, name.strip()) or (native == "numeric" and re.search(MEASURE_NAMES, name.strip()))
+        return native in (None, "numeric") and not named
+
+    open_ = [n for n, (f, native) in enumerate(zip(fields, natives), 1) if depends(f.name, native)]
+    if open_:
+        rows = rows.join(_distinct_values(df, open_), "position", "left")  # a row per column
+    else:
+        rows = rows.withColumn("unique_count", zero)
+    kind = detected_type(F.col("native"), F.col("shaped"), F.col("filled"))
+    typed = rows.withColumn("detected_type", kind)
     return typed.select("column_name", "position", "detected_type", role_of(
-        F.col("column_name"), F.col("detected_type"), F.col("row_count"), F.col("unique_count")).alias("role"))
+        F.col("column_name"), F.col("detected_type"), F.col("row_count"), F.coalesce("unique_count", zero)).alias("role"))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
