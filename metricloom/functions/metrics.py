@@ -77,6 +77,8 @@ def record_count() -> Metric:
     return _rows("count", "Record Count", "")
 
 
+# Fixed values in what follows: ids, labels, units and formats of the metrics.
+
 def _sales(i: _Inputs) -> list[Metric]:
     out: list[Metric] = []
     revenue, cost, profit = i.revenue(), i.cost(), i.profit()

@@ -113,6 +113,7 @@ def explained_anomalies(df: DataFrame, model: SemanticModel, metric: str, granul
     rows = flagged.join(main, "period_start", "left")
     size = plain_number(F.abs("pct"), 1)
     label = metric.replace("_", " ").title()
+    # The sentences of the explanation.
     text = F.when(F.col("main").isNotNull(), F.concat(
         F.lit("Metric "), F.when(F.col("delta") > 0, "increase").otherwise("drop"), F.lit(" of "), size,
         F.lit("% in "), F.substring("period_start", 1, 7), F.lit(" was primarily driven by '"),

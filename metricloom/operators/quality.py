@@ -30,6 +30,7 @@ def _issue_rows(counts: DataFrame, items: list[tuple[str, str, str]], total: str
         F.col("kind"))
     rows = rows.withColumn("issue_type", kind)
     count, share = F.col("affected_rows").cast("string"), F.col("affected_percentage").cast("string")
+    # The sentences of the issues.
     text = (F.when(F.col("kind") == "negative_measure", F.concat(
                 F.lit("Measure '"), "column_name", F.lit("' contains "), count, F.lit(" negative values ("),
                 share, F.lit("%).")))
@@ -214,6 +215,7 @@ def quality_warnings(profile_rows: DataFrame, duplicates: DataFrame) -> DataFram
             (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"),
             message.alias("message"), value.cast("double").alias("metric_value")))
 
+    # Bounds and sentences of the warnings.
     high = null_pct > 50
     checks = [
         warn(null_pct >= 5, F.when(high, "high_missing_values").otherwise("missing_values"),

@@ -85,6 +85,7 @@ def metric_names(series: DataFrame) -> list[str]:
 
 # -- F4, F5, D7 -------------------------------------------------------------------------------
 
+# The note for a single period.
 NO_HISTORY = "Insufficient history for trend comparison — at least 2 periods of data are required."
 
 
@@ -129,11 +130,11 @@ def sparkline(series: DataFrame, points: int = 8) -> DataFrame:
 # -- F7 ---------------------------------------------------------------------------------------
 
 def _daily_amounts(df: DataFrame, model: SemanticModel, metric: Metric, segment: str) -> DataFrame:
-    """(day, segment, amount) of a metric that is a plain sum."""
+    """(day, segment, amount, rows) of a metric that is a plain sum."""
     day = F.col(quoted(_date_column(df, model))).cast("date")
     name = F.col(quoted(resolve_column(df, segment)))
     return (df.filter(day.isNotNull()).groupBy(day.alias("day"), name.cast("string").alias("segment"))
-            .agg(F.sum(metric.row()).cast("double").alias("amount")))
+            .agg(F.sum(metric.row()).cast("double").alias("amount"), F.count(F.lit(1)).alias("rows")))
 
 
 def segment_windows(df: DataFrame, model: SemanticModel, metric: Metric, segment: str) -> DataFrame:
@@ -142,9 +143,8 @@ def segment_windows(df: DataFrame, model: SemanticModel, metric: Metric, segment
     Rows are summed by (day, segment) first. The quartiles come from the counts per day,
     of which there are only as many as calendar days, so `percentile` is safe here.
     """
-    day = F.col(quoted(_date_column(df, model))).cast("date")
     daily = _daily_amounts(df, model, metric, segment).withColumn("day_no", F.unix_date("day"))
-    bounds = (df.filter(day.isNotNull()).groupBy(F.unix_date(day).alias("day_no")).agg(F.count(F.lit(1)).alias("rows"))
+    bounds = (daily.groupBy("day_no").agg(F.sum("rows").alias("rows"))
               .agg(F.percentile("day_no", [0.25, 0.75], F.col("rows")).alias("q")))
     marked = daily.filter(F.col("segment").isNotNull()).crossJoin(F.broadcast(bounds))
     current = F.col("day_no") >= F.col("q")[1]
@@ -176,6 +176,7 @@ def headline(df: DataFrame, model: SemanticModel, metric_id: str, granularity: s
         series = (_daily_amounts(df, model, metric, segment).groupBy(start.alias("period_start"))
                   .agg(F.sum("amount").alias(metric_id)))
     latest = growth(series).select("metric_id", "growth_percentage", "note")
+    # The sentences of the headline.
     flat = F.lit(f"{metric.label} remained essentially flat versus the prior period.")
     is_flat = F.col("growth_percentage").isNull() | (F.abs("growth_percentage") < 0.5)
     if segment is None or metric.row is None:
@@ -223,6 +224,7 @@ def confidence(context: DataFrame) -> DataFrame:
     weighted = (F.col("size_score") * 0.30 + F.col("completeness_score") * 0.35
                 + F.col("quality_score") * 0.20 + F.col("depth_score") * 0.15)
     score = F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), weighted)), 1)
+    # The bounds and labels of the score.
     return (scored.withColumn("confidence_score", score)
             .withColumn("confidence_label",
                         F.when(F.col("confidence_score") >= 80, "High confidence")

@@ -32,6 +32,12 @@ class Widget:
     limit: int = 20
     kpi: KpiSpec | None = None
 
+    def __post_init__(self):
+        if not 1 <= self.limit <= 1000:
+            raise ValueError("limit must be between 1 and 1000")
+        if self.kind == "kpi_card" and len(self.metrics) > 1:
+            raise ValueError("a card shows one metric")
+
 
 def dashboard_data(df: DataFrame, model: SemanticModel, widgets: Iterable[Widget],
                    filters: Iterable[Filter] = ()) -> DataFrame:
@@ -76,12 +82,14 @@ def _standard(df: DataFrame, model: SemanticModel, widgets: list[Widget]) -> Dat
     plan = []  # (widget, kind of set, key name, metrics)
     for w in widgets:
         metrics = [m for m in dict.fromkeys(w.metrics) if m in known] or ["count"]
+        if w.kind in ("line_chart", "area_chart") and date is None:
+            raise ValueError(f"widget {w.id!r} needs a date column")
         if w.kind == "kpi_card":
-            metrics = metrics[:1]
             plan.append((w, "card", None, metrics))
             if date:
-                keys.setdefault(f"_{automatic}", period_start(F.col(quoted(date)), automatic))
-                plan.append((w, "trend", f"_{automatic}", metrics))
+                grain = w.granularity or automatic
+                keys.setdefault(f"_{grain}", period_start(F.col(quoted(date)), grain))
+                plan.append((w, "trend", f"_{grain}", metrics))
         elif w.kind in ("line_chart", "area_chart"):
             grain = w.granularity or automatic
             keys.setdefault(f"_{grain}", period_start(F.col(quoted(date)), grain))
