@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from metricloom.catalog.base import SALES_FORMATS, SALES_METRICS, metric_rows, over, query, rounded
-from metricloom.functions.formats import compact_text, hinted_text, kpi_text
+from metricloom.functions.formats import compact_text, hinted_text, kpi_text, name_tokens, spaced_words
 from metricloom.functions.formulas import formula_metric
-from metricloom.model import Filter
+from metricloom.model import Filter, SemanticModel
 from metricloom.operators.aggregate import (
     Condition, KpiSpec, compare, custom_kpi, hero_stats, kpi_sparkline, kpi_summary, what_if)
 from metricloom.operators.filters import apply_filters, equality_filters, value_filters
 from metricloom.plans.dashboard import scorecard
 from metricloom.sources import views as V
+from metricloom.sources.files import schema_rows
 
 
 def _summary(df):
@@ -377,3 +378,56 @@ def _(spark, sf):
         ("average_salary", "Average Salary"), ("turnover_rate", "Turnover Rate"))]))
 def _(spark, sf):
     return scorecard(V.workforce(spark, sf), V.WORKFORCE_MODEL)
+
+
+# -- measures and fallbacks without a table of their own ---------------------------------------
+
+@query("kpi_summary_staff_averages", """
+    WITH m AS (SELECT avg(p_size) AS age, avg(p_retailprice / 100) AS rating, avg(p_size / 4.0) AS tenure FROM part)
+    SELECT 'avg_performance_rating' AS metric_id, round(rating, 4) AS value FROM m
+    UNION ALL SELECT 'average_age', round(age, 4) FROM m UNION ALL SELECT 'average_tenure', round(tenure, 4) FROM m""")
+def _(spark, sf):
+    rows = V.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("employee_id"), F.col("p_size").alias("age"),
+        (F.col("p_retailprice") / 100).alias("rating"), (F.col("p_size") / 4.0).alias("tenure"))
+    model = SemanticModel(mappings={"employee_id": "employee_id", "age": "age", "performance_rating": "rating",
+                                    "tenure": "tenure"}, domain="human_resources")
+    wanted = ["avg_performance_rating", "average_age", "average_tenure"]
+    return rounded(kpi_summary(rows, model, metrics=wanted).select("metric_id", "value"), value=4)
+
+
+@query("kpi_summary_fallback", """
+    SELECT 'total_records' AS metric_id, CAST(count(*) AS DOUBLE) AS value FROM part
+    UNION ALL SELECT 'distinct_p_brand', CAST(count(DISTINCT p_brand) AS DOUBLE) FROM part
+    UNION ALL SELECT 'avg_p_size', round(avg(p_size), 4) FROM part""")
+def _(spark, sf):
+    model = SemanticModel(dimensions=("p_brand",), measures=("p_size",))
+    wanted = ["total_records", "distinct_p_brand", "avg_p_size"]
+    rows = kpi_summary(V.table(spark, sf, "part"), model, metrics=wanted)
+    return rounded(rows.select("metric_id", "value"), value=4)
+
+
+@query("name_words", """
+    WITH t AS (SELECT p_partkey AS key, 'Order' || replace(initcap_name, ' ', '') || 'USDPrice' AS name FROM (
+        SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '),
+               lambda x: upper(x[1]) || lower(x[2:])), ' ') AS initcap_name FROM part))
+    SELECT key, trim(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'),
+                                    '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')) AS spaced,
+           array_to_string(list_filter(string_split_regex(lower(trim(regexp_replace(regexp_replace(
+               name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'))),
+               '[^a-z0-9]+'), lambda w: w <> ''), '|') AS tokens FROM t""")
+def _(spark, sf):
+    name = F.concat(F.lit("Order"), F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")), F.lit("USDPrice"))
+    return V.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("key"), spaced_words(name).alias("spaced"),
+        F.array_join(name_tokens(name), "|").alias("tokens"))
+
+
+@query("schema_columns", " UNION ALL ".join(
+    f"SELECT {n} AS position, '{c}' AS column_name, count({c}) AS filled FROM customer"
+    for n, c in enumerate(("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), 1)))
+def _(spark, sf):
+    table = V.table(spark, sf, "customer")
+    counts = table.agg(*[F.count(c).alias(c) for c in table.columns]).unpivot(
+        [], table.columns, "column_name", "filled")
+    return schema_rows(table).select("position", "column_name").join(counts, "column_name")
