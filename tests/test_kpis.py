@@ -160,6 +160,11 @@ def test_formula_rules(sales):
     model = model.with_metric(formula_metric("rev", "Rev", "SUM(Sale_Price * Quantity) / (COUNT(*) - 3)", sales))
     assert A.kpi_summary(sales, model, metrics=["rev"]).first()["value"] is None  # zero denominator
     assert len(model.custom_metrics) == 1
+    odd = sales.withColumnsRenamed({"Sale_Price": "Sale Price", "Quantity": "class"})
+    metric = formula_metric("t", "T", "ROUND(SUM(`Sale Price` * class) - 0.5, 1)", odd)
+    assert odd.agg(metric.column()).first()["t"] == 2974.5
+    with pytest.raises(ValueError):
+        formula_metric("t", "T", "SUM((SELECT 1))", odd)
 
 
 def test_what_if_and_compare(spark):
