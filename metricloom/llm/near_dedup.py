@@ -3,7 +3,8 @@
 A document's shingles of five words, weighted 1 + ln(count), are Poisson processes: each draws exponential arrivals at
 its rate, every arrival falls into a register, and a register keeps the shingle that came first. A shingle stops once
 its next arrival is later than all registers of its document. Two registers agree with the probability Jaccard of the
-weighted sets. Bands of registers give candidates; these are verified by the Jaccard similarity of their shingle sets.
+weighted sets. Bands of registers give buckets; every document is compared with the centre of each of its buckets, by the
+Jaccard similarity of their shingle sets. Where that leaves a bucket unconnected, a prefix join finds the rest.
 """
 
 from __future__ import annotations
@@ -12,18 +13,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricloom.llm.common import saved
+from metricloom.llm.bits import filter_of, passes
+from metricloom.llm.common import in_arrow, saved
 from metricloom.llm.words import MIX, Words, mixed, portions
 
 SHINGLE = 5
 REGISTERS, BANDS, ROWS = 128, 25, 5
 #: Shingles that one round of arrivals handles at once.
 SLICE = 1 << 20
-#: Components of a bucket up to which its members are compared directly; larger ones are split by further bands.
-DIRECT = 32
 
 
 def shingles(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,9 +107,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["row", "mark", "mark2", "bands"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row and its distinct shingles."""
+def _sets(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """row and its distinct shingles, of the rows that pass the filter."""
     for batch in portions(batches):
+        batch = batch.filter(pa.array(passes(batch["hash"].to_numpy().view(np.uint64), bits)))
         texts = [t or "" for t in batch["text"].to_pylist()]
         text, value, _ = shingles(Words(texts))
         offsets = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(texts)))]).astype(np.int32)
@@ -152,32 +153,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             .select("a", "b"))
 
 
-def _across(members: DataFrame, bands: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket that lie in different components.
+def _left_over(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of members (row, root) in different components that can be similar, by prefixes.
 
-    members: bucket, row, root. A bucket with more than DIRECT components is split: its members must agree in a later
-    band as well, which similar ones do; that repeats until buckets are small or bands end.
+    With shingles in order of rarity, two sets of similarity ``least`` share one so early that what is left behind it on
+    both sides still reaches the overlap they need. A shingle's main component is not compared with itself, so a group
+    that is linked already makes no pairs.
     """
-    members, pairs = members.withColumn("band", F.col("bucket.band")), []
-    members = members.withColumn("bucket", F.xxhash64("bucket.band", "bucket.hash"))
-    for depth in range(BANDS):
-        kinds = members.groupBy("bucket", "band").agg(F.countDistinct("root").alias("roots"))
-        members = saved(members.join(kinds.where("roots > 1"), ["bucket", "band"]), "members")
-        small = members.where(F.col("roots") <= DIRECT) if depth < BANDS - 1 else members
-        other = small.select("bucket", "band", F.col("row").alias("b"), F.col("root").alias("other"))
-        pairs.append(small.join(other, ["bucket", "band"]).where("row > b AND root <> other")
-                     .select(F.col("row").alias("a"), "b").distinct())
-        large = members.where(F.col("roots") > DIRECT).drop("roots")
-        if large.isEmpty():
-            break
-        later = bands.select("row", F.col("bucket.band").alias("next"), F.col("bucket.hash").alias("hash"))
-        members = (large.join(later, "row").where("next > band")
-                   .select(F.xxhash64("bucket", "next", "hash").alias("bucket"), F.col("next").alias("band"), "row",
-                           "root"))
-    out = pairs[0]
-    for p in pairs[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    rows = members.join(sets, "row").select("row", "root", F.size("shingles").alias("n"),
+                                            F.explode("shingles").alias("shingle"))
+    common = rows.groupBy("shingle").agg(F.count("*").alias("rows"))
+    place = F.row_number().over(Window.partitionBy("row").orderBy("rows", "shingle"))
+    early = saved(rows.join(common, "shingle").withColumn("place", place)
+                  .where((F.col("place") <= F.floor(F.col("n") * (1 - least) + 1e-9) + 1) & (F.col("rows") > 1)),
+                  "prefixes")
+    sizes = early.groupBy("shingle", "root").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("shingle").agg(F.max(F.struct("size", "root"))["root"].alias("main"),
+                                        F.count("*").alias("roots")).where("roots > 1")
+    met = early.join(main, "shingle")
+    other = met.select("shingle", F.col("row").alias("row_"), F.col("root").alias("root_"), F.col("n").alias("n_"),
+                       F.col("place").alias("place_"))
+    needed = least / (1 + least) * (F.col("n") + F.col("n_")) - 1e-9
+    rest = F.least(F.col("n") - F.col("place"), F.col("n_") - F.col("place_")) + 1
+    pairs = met.where("root <> main").join(other, "shingle").where((F.col("root") != F.col("root_")) & (rest >= needed))
+    return pairs.select(F.greatest("row", "row_").alias("a"), F.least("row", "row_").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -194,8 +193,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, text: str = "text", doc
 
 def classes(rows: DataFrame, least: float = 0.8) -> DataFrame:
     """The same for rows (row, id, text) of a table that is written down, with a number of its own for each."""
-    sketch = saved(rows.select("row", "text").mapInArrow(
-        _sketch, "row long, mark long, mark2 long, bands array<long>"), "sketch")
+    sketch = saved(in_arrow(
+        rows.select("row", "text"), _sketch, "row long, mark long, mark2 long, bands array<long>"), "sketch")
     wordless = rows.join(sketch.where("size(bands) = 0").select("row"), "row").select(
         "row", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("plain"), F.col("text").isNull().alias("missing"))
     keyed = sketch.select("row", "mark", "mark2").join(wordless, "row", "left").na.fill(
@@ -206,22 +205,29 @@ def classes(rows: DataFrame, least: float = 0.8) -> DataFrame:
     first = sketch.join(heads.where("row = head").select("row"), "row", "left_semi")
     bands = first.select("row", F.posexplode("bands").alias("band", "hash")).select(
         "row", F.struct("band", "hash").alias("bucket"))
-    buckets = bands.groupBy("bucket").agg(F.min("row").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    members = saved(bands.join(buckets.select("bucket", "centre"), "bucket"), "buckets")
-    star = saved(members.where("row <> centre").select(F.col("row").alias("a"), F.col("centre").alias("b"))
-                 .distinct(), "pairs")
+    # The centre of a bucket is the document that meets most others, so that it links as many as one can.
+    sizes = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = saved(bands.join(sizes, "bucket"), "buckets")
+    met = members.groupBy("row").agg(F.sum("n").alias("met"))
+    centres = members.join(met, "row").groupBy("bucket").agg(
+        F.max_by("row", F.struct("met", -F.col("row"))).alias("centre"))
+    around = saved(members.join(centres, "bucket").where("row <> centre").select("bucket", "row", "centre"), "around")
+    star = saved(around.select(F.greatest("row", "centre").alias("a"), F.least("row", "centre").alias("b")).distinct(),
+                 "pairs")
+    # A filter of fixed size keeps most other documents in the scan; the join drops those that it lets through.
     wanted = members.select("row").distinct()
-    sets = saved(rows.select("row", "text").join(wanted, "row", "left_semi").mapInArrow(
-        _sets, "row long, shingles array<long>"), "sets")
+    bits = rows.sparkSession.sparkContext.broadcast(filter_of(wanted, F.xxhash64("row")))
+    sets = saved(in_arrow(rows.select("row", F.xxhash64("row").alias("hash"), "text"), lambda b: _sets(b, bits.value),
+                          "row long, shingles array<long>").join(wanted, "row", "left_semi"), "sets")
     links = saved(_verified(star, sets, least), "links")
     roots = components(links)
 
-    placed = members.select("bucket", "row").join(roots.withColumnRenamed("node", "row"), "row", "left").select(
-        "bucket", "row", F.coalesce("root", "row").alias("root"))
-    more = _across(placed, members.select("row", "bucket"))
-    # Pairs with a centre have been compared.
-    more = more.join(star, ["a", "b"], "left_anti")
-    found = saved(_verified(more, sets, least), "links")
+    # Documents of one bucket that met its centre but not each other, where they are not connected yet.
+    rooted = around.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn(
+        "root", F.coalesce("root", "row"))
+    several = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    open_ = saved(rooted.join(several, "bucket").select("row", "root").distinct(), "open")
+    found = saved(_verified(_left_over(open_, sets, least), sets, least), "links")
     if not found.isEmpty():
         roots = components(links.unionByName(found))
 
