@@ -265,7 +265,7 @@ def top_per_dimension(rows: DataFrame, key: str, limit: int, ascending: bool = F
 
 
 def breakdown_dimensions(df: DataFrame, model: SemanticModel, most: int = 6) -> list[str]:
-    """Employee name, category, product, model dimensions, then other text columns."""
+    """Employee name, category, product, model dimensions, then other text columns; the first ``most`` of them."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     names = {"employee_name", "employee_name_full", "full_name", "name"}
     employee = model.column("employee_name") or next((c for c in texts if c.lower() in names), None)
@@ -412,12 +412,13 @@ def _number(column: Column, dtype: T.DataType) -> Column:
 
 def explorer_kpi(df: DataFrame, measure: str, column: str | None = None, how: str = "avg",
                  dimension: str | None = None, equals: tuple[str, Any] | None = None,
-                 lenient: bool = False) -> DataFrame:
+                 lenient: bool = False, limit: int | None = None) -> DataFrame:
     """KPI of the record explorer: measure is count, rate or value (sum, avg, min, max).
 
     The strict form skips text that is no number, counts a rate where the value equals 1,
-    drops empty groups and keeps 15 groups. The lenient form reads non-numeric values
-    as 0, takes any true word as a hit, names the empty group 'Unknown' and keeps 30.
+    and drops empty groups. The lenient form reads non-numeric values as 0, takes any
+    true word as a hit, names the empty group 'Unknown' and sorts by time a text column
+    whose values are all dates. ``limit`` groups are returned (strict 15, lenient 30).
     Rows: (name, value, count), plus ``total_groups`` when grouped.
     """
     if equals:
@@ -453,8 +454,11 @@ def explorer_kpi(df: DataFrame, measure: str, column: str | None = None, how: st
     grouped = df.groupBy(key.alias("name")).agg(value.alias("value"), rows.alias("count"))
     if not lenient:
         grouped = grouped.filter(F.col("value").isNotNull())
-    if lenient and isinstance(df.schema[name].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        keys = [F.col("name").asc()]
+    if lenient:
+        # Dates of any form sort by time, the rest by value: one text that is no date decides for all groups.
+        moment = F.col("name").try_cast("timestamp")
+        dated = grouped.agg(F.coalesce(F.bool_and(moment.isNotNull() & (F.length("name") >= 8)), F.lit(False))).scalar()
+        keys = [F.when(dated, moment).asc(), F.when(~dated, F.col("value")).desc_nulls_last(), F.col("name").asc()]
     elif not lenient and name in ("Month", "DayOfWeek", "Year"):
         names = {"Month": MONTHS, "DayOfWeek": WEEKDAYS}.get(name)
         keys = ([calendar_rank(F.col("name"), names)] if names else []) + [F.col("name").asc()]
@@ -462,5 +466,5 @@ def explorer_kpi(df: DataFrame, measure: str, column: str | None = None, how: st
         keys = [F.col("value").desc_nulls_last(), F.col("name").asc()]
     whole_row = F.struct("name", "value", "count")
     total = grouped.agg(F.count(F.when(F.col("name").isNotNull(), whole_row)).alias("n"))
-    return (grouped.orderBy(*keys).limit(30 if lenient else 15)
+    return (grouped.orderBy(*keys).limit(limit or (30 if lenient else 15))
             .withColumn("total_groups", total.scalar()))
