@@ -1,10 +1,10 @@
 """Removal of byte strings that occur more than once, anywhere, by run-length indexes.
 
-Any two equal strings of LENGTH bytes share an anchor: the least hash of GRAM bytes in them. Anchors that occur once
-can't lie in a repeat. Around the others, the bytes that such a string can reach are a context; equal contexts collapse
-to one, and the different contexts of an anchor meet in the same bin, whose run-length index tells which of their
-strings repeat. An anchor with too many different contexts for a bin is split: its strings are dealt by the bytes that
-neighbouring ones share, down to single strings, which counting alone decides.
+Every string of LENGTH bytes belongs to one anchor, the least hash of GRAM bytes in it, so equal strings have equal
+anchors. The strings of an anchor are dealt to cells of neighbouring starts, keyed by the bytes that all of a cell's
+strings share: strings whose key occurs once can't repeat. Equal cells repeat as a whole. Different cells of one key are
+met in a bin, whose run-length index tells which of their strings repeat; a key with too many of them is dealt to
+smaller cells, down to single strings, which counting alone decides.
 """
 
 from __future__ import annotations
@@ -17,19 +17,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.llm.common import saved
+from metricloom.llm.bits import filter_of, passes
+from metricloom.llm.common import in_arrow, saved
 from metricloom.llm.run_index import build, repeated
 from metricloom.llm.words import MIX, mixed, portions
 
 GRAM = 32
 #: Bytes that are hashed at once, and bytes of a bin on the average.
 SLICE, BIN = 1 << 21, 1 << 20
-#: Different contexts that an anchor may bring into a bin; one with more is split.
-CONTEXTS = 2048
-#: Each split cuts the range of starts into so many parts.
-PARTS = 8
+#: Different cells that a key may bring into a bin; one with more is dealt to smaller cells.
+KINDS = 2048
+#: Starts of a cell, level by level.
+WIDTHS = (64, 8, 1)
 
-CONTEXT = "anchor long, mark long, row long, starts array<int>, before int, low int, high int, context binary"
+CELL = "key long, mark long, row long, place int, start int, size int"
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -51,9 +52,10 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(keys[:len(keys) - (width - size)], keys[width - size:]) if width > size else keys
 
 
-def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, place and hash of the anchors of all texts; texts below ``length`` bytes have none."""
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """Text number, place and hash of the anchors of all texts, and the first and last start of the strings that each
+    is the anchor of. Texts below ``length`` bytes have none."""
+    out: list[tuple[np.ndarray, ...]] = []
     width, low_bits = length - GRAM + 1, np.uint64((1 << 22) - 1)
 
     def flush(numbers: list[int], offsets: list[int], parts: list[bytes]) -> None:
@@ -61,18 +63,17 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
         if len(data) < length:
             return
         hashes = _gram_hashes(data)
-        keys = (hashes & ~low_bits) | np.arange(len(hashes), dtype=np.uint64)
-        least = _least(keys, width)
+        least = _least((hashes & ~low_bits) | np.arange(len(hashes), dtype=np.uint64), width)
         ends = np.cumsum([len(p) for p in parts])
-        text = np.searchsorted(ends, np.arange(len(least)), side="right")
-        inside = np.arange(len(least)) + length <= ends[text]
-        chosen = least[inside]
-        place = np.unique((chosen[np.concatenate([[True], chosen[1:] != chosen[:-1]])] & low_bits).astype(np.int64)
-                          ) if len(chosen) else np.zeros(0, dtype=np.int64)
-        own = np.searchsorted(ends, place, side="right")
-        begin = ends - [len(p) for p in parts]
-        out.append((np.array(numbers)[own], place - begin[own] + np.array(offsets)[own],
-                    hashes[place].view(np.int64)))
+        part = np.searchsorted(ends, np.arange(len(least)), side="right")
+        start = np.flatnonzero(np.arange(len(least)) + length <= ends[part])
+        place = (least[start] & low_bits).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        last = np.append(first[1:], len(start)) - 1
+        own = part[start[first]]
+        move = np.array(offsets)[own] - (ends - [len(p) for p in parts])[own]
+        out.append((np.array(numbers)[own], place[first] + move, hashes[place[first]].view(np.int64),
+                    start[first] + move, start[last] + move))
 
     numbers, offsets, parts, total = [], [], [], 0
     for i, t in enumerate(texts):
@@ -88,13 +89,8 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
             parts.append(part)
             total += len(part)
     flush(numbers, offsets, parts)
-    if not out:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none
-    text, place, value = (np.concatenate(x) for x in zip(*out))
-    _, first = np.unique(np.stack([text, place]), axis=1, return_index=True) if any(
-        len(t) > SLICE for t in texts) else (None, np.arange(len(text)))
-    return text[first], place[first], value[first]
+    none = np.zeros(0, dtype=np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (none,) * 5
 
 
 def _bytes(batch: pa.RecordBatch) -> list[bytes]:
@@ -103,135 +99,113 @@ def _bytes(batch: pa.RecordBatch) -> list[bytes]:
 
 def _find_anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in portions(batches):
-        text, place, value = anchors(_bytes(batch), length)
+        text, place, value, first, last = anchors(_bytes(batch), length)
         yield pa.RecordBatch.from_arrays(
-            [batch["row"].take(pa.array(text)), pa.array(value), pa.array(place.astype(np.int32))],
-            ["row", "anchor", "place"])
+            [batch["row"].take(pa.array(text)), pa.array(value),
+             *(pa.array(x.astype(np.int32)) for x in (place, first, last))],
+            ["row", "anchor", "place", "first", "last"])
 
 
-def _mark(context: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(context, digest_size=8).digest(), "little", signed=True)
-
-
-class _Contexts:
-    """Rows of CONTEXT in the making; equal contexts of one text and anchor share a row."""
+def _passing(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = pa.array(passes(batch["hash"].to_numpy().view(np.uint64), bits))
+        yield batch.select(["row", "text"]).filter(keep)
 
-    def __init__(self):
-        self.rows: dict[tuple, list] = {}
 
-    def add(self, row: int, anchor: int, before: int, low: int, high: int, context: bytes, starts: list[int]) -> None:
-        mark = _mark(context)
-        kept = self.rows.setdefault((row, anchor, mark, before), [before, low, high, context, []])
-        kept[4] += starts
+def _mark(content: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little", signed=True)
 
-    def batch(self) -> pa.RecordBatch:
-        keys, values = list(self.rows), list(self.rows.values())
-        column = lambda items, kind: pa.array(items, type=kind)
-        return pa.RecordBatch.from_arrays(
-            [column([k[1] for k in keys], pa.int64()), column([k[2] for k in keys], pa.int64()),
-             column([k[0] for k in keys], pa.int64()), column([v[4] for v in values], pa.list_(pa.int32())),
-             column([v[0] for v in values], pa.int32()), column([v[1] for v in values], pa.int32()),
-             column([v[2] for v in values], pa.int32()), column([v[3] for v in values], pa.binary())],
-            ["anchor", "mark", "row", "starts", "before", "low", "high", "context"])
 
+def _cells(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Deal the strings of each spot (place, first and last start) to cells of ``width`` starts.
 
-def _cut_contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Contexts of the anchors of each text. before: the anchor's place in the context; low, high: the range of starts
-    from the anchor that the context stands for."""
+    Cells lie on a grid from the anchor on. key: hash of the bytes that all strings of a whole cell share; mark: hash of
+    the bytes that the spot's own strings in the cell cover, ``size`` bytes from ``start``.
+    """
     reach = length - GRAM
+    names = ("key", "mark", "row", "place", "start", "size")
     for batch in portions(batches):
-        made, size = _Contexts(), 0
+        made: dict[str, list[int]] = {n: [] for n in names}
         for row, text, spots in zip(batch["row"].to_pylist(), _bytes(batch), batch["spots"].to_pylist()):
             for spot in spots:
-                low = max(0, spot["place"] - reach)
-                context = text[low:spot["place"] + length]
-                made.add(row, spot["anchor"], spot["place"] - low, -reach, 0, context, [low])
-                size += len(context)
-            if size > 1 << 24:
-                yield made.batch()
-                made, size = _Contexts(), 0
-        yield made.batch()
-
-
-def _split_contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Cut each context's range of starts into PARTS; the new anchor hashes the bytes common to all strings of one."""
-    for batch in batches:
-        made = _Contexts()
-        for r in batch.to_pylist():
-            context, zero = r["context"], r["before"]
-            step = -(-(r["high"] - r["low"] + 1) // PARTS)
-            for low in range(r["low"], r["high"] + 1, step):
-                high = min(low + step - 1, r["high"])
-                first, last = max(low, -zero), min(high, len(context) - length - zero)
-                if first > last:
-                    continue
-                core = context[zero + high:zero + low + length]
-                anchor = _mark(r["anchor"].to_bytes(8, "little", signed=True) + low.to_bytes(4, "little", signed=True)
-                               + core)
-                at = zero + first
-                made.add(r["row"], anchor, -first, low, high, context[at:zero + last + length],
-                         [s + at for s in r["starts"]])
-        yield made.batch()
+                place, start = spot["place"], spot["first"]
+                while start <= spot["last"]:
+                    low = (start - place + reach) // width * width - reach
+                    high = min(low + width - 1, 0)
+                    stop = min(spot["last"], place + high)
+                    core = text[place + high:place + low + length]
+                    for name, value in zip(names, (_mark(core + low.to_bytes(4, "little", signed=True)),
+                                                   _mark(text[start:stop + length]), row, place, start,
+                                                   stop + length - start)):
+                        made[name].append(value)
+                    start = stop + 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(made[n], pa.int64() if n in ("key", "mark", "row") else pa.int32()) for n in names], list(names))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of each text's cells."""
+    for batch in portions(batches):
+        bins, rows, starts, contents = [], [], [], []
+        for row, text, pieces in zip(batch["row"].to_pylist(), _bytes(batch), batch["pieces"].to_pylist()):
+            for p in pieces:
+                bins.append(p["bin"])
+                rows.append(row)
+                starts.append(p["start"])
+                contents.append(text[p["start"]:p["start"] + p["size"]])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(bins, pa.int64()), pa.array(rows, pa.int64()), pa.array(starts, pa.int32()),
+             pa.array(contents, pa.binary())], ["bin", "row", "start", "content"])
 
 
 def _index_bin(table: pa.Table, length: int) -> pa.Table:
-    """For each context of a bin, the stretches of it that repeat (from, to)."""
-    rows = table.select(["anchor", "mark", "row", "start", "context"]).to_pylist()
-    rows.sort(key=lambda r: (r["row"], r["start"]))
+    """(row, a, b): the stretches of a bin's cells that repeat."""
+    cells = sorted(zip(table["row"].to_pylist(), table["start"].to_pylist(), table["content"].to_pylist()))
     segments: list[bytearray] = []
     first: list[tuple[int, int, int]] = []  # row, where the segment starts in its text, where in the index
     where, total = [], 0
-    for r in rows:  # contexts of one text that overlap become one segment, so nothing matches itself
+    for row, start, content in cells:  # cells of one text that overlap become one segment, so nothing meets itself
         end = first[-1][1] + len(segments[-1]) if first else -1
-        if not first or first[-1][0] != r["row"] or r["start"] > end:
+        if not first or first[-1][0] != row or start > end:
             total += len(segments[-1]) + 1 if segments else 0
-            segments.append(bytearray(r["context"]))
-            first.append((r["row"], r["start"], total))
-        elif r["start"] + len(r["context"]) > end:
-            segments[-1] += r["context"][end - r["start"]:]
-        where.append(first[-1][2] + r["start"] - first[-1][1])
+            segments.append(bytearray(content))
+            first.append((row, start, total))
+        elif start + len(content) > end:
+            segments[-1] += content[end - start:]
+        where.append(first[-1][2] + start - first[-1][1])
     start, stop = repeated(build([bytes(s) for s in segments]), length)
-    anchor, mark, spans = [], [], []
-    for r, at in zip(rows, where):
-        last = at + len(r["context"]) - length + 1
-        a, b = np.searchsorted(stop, at, side="right"), np.searchsorted(start, last, side="left")
-        own = [{"a": int(max(start[i], at) - at), "b": int(min(stop[i], last) - 1 - at + length)} for i in range(a, b)]
-        if own:
-            anchor.append(r["anchor"])
-            mark.append(r["mark"])
-            spans.append(own)
-    return pa.table([pa.array(anchor, pa.int64()), pa.array(mark, pa.int64()),
-                     pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))],
-                    names=["anchor", "mark", "spans"])
-
-
-def _marked(contexts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """(row, a, b) of the repeated stretches in contexts, and the contexts of anchors that must be split."""
-    kinds = saved(contexts.groupBy("anchor", "mark").agg(
-        F.sum(F.size("starts")).alias("n"), F.min(F.struct("row", F.col("starts")[0].alias("start"))).alias("first"),
-        F.max(F.octet_length("context")).alias("size")), "context-kinds")
-    per_anchor = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("size").alias("most"))
-    several = saved(per_anchor.where("kinds > 1"), "anchors-met")
-    met = several.where(F.col("kinds") <= CONTEXTS).select("anchor")
-    volume = several.where(F.col("kinds") <= CONTEXTS).agg(F.sum(F.col("kinds") * F.col("most"))).first()[0] or 0
+    out: dict[str, list[int]] = {"row": [], "a": [], "b": []}
+    for (row, begin, content), at in zip(cells, where):
+        last = at + len(content) - length + 1
+        for i in range(np.searchsorted(stop, at, side="right"), np.searchsorted(start, last, side="left")):
+            out["row"].append(row)
+            out["a"].append(int(max(start[i], at)) - at + begin)
+            out["b"].append(int(min(stop[i], last)) - 1 - at + begin + length)
+    return pa.table({"row": pa.array(out["row"], pa.int64()), "a": pa.array(out["a"], pa.int32()),
+                     "b": pa.array(out["b"], pa.int32())})
+
+
+def _repeats(cells: DataFrame, texts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """(row, a, b) of the repeated stretches in cells, and the texts with the spots that need smaller cells."""
+    kinds = saved(cells.groupBy("key", "mark").agg(
+        F.count("*").alias("n"), F.min(F.struct("row", "place", "start", "size")).alias("first")), "cell-kinds")
+    alike = kinds.where("n > 1").select("key", "mark")
+    whole = cells.join(alike, ["key", "mark"]).select("row", F.col("start").alias("a"),
+                                                      (F.col("start") + F.col("size")).alias("b"))
+    # Cells of a kind that occurs twice are done; for the others the first of each kind speaks.
+    several = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    met = saved(kinds.join(several, "key").select("key", "kinds", "first.*"), "cells-met")
+    volume = met.where(F.col("kinds") <= KINDS).agg(F.sum("size")).first()[0] or 0
     bins = max(1, -(-volume // BIN))
-    chosen = kinds.join(met, "anchor").select("anchor", "mark", F.col("first.row").alias("row"),
-                                              F.col("first.start").alias("start"))
-    # Of the contexts of a kind only the first goes into its bin, with its bytes.
-    held = contexts.select("anchor", "mark", "row", F.col("starts")[0].alias("start"), "context").join(
-        chosen, ["anchor", "mark", "row", "start"])
-    part = held.withColumn("bin", F.pmod(F.xxhash64("anchor"), F.lit(bins)))
-    found = part.groupBy("bin").applyInArrow(lambda t: _index_bin(t, length),
-                                             "anchor long, mark long, spans array<struct<a: int, b: int>>")
-    whole = kinds.where((F.col("n") > 1) & (F.col("size") >= length)).select("anchor", "mark", F.array(
-        F.struct(F.lit(0).alias("a"), F.col("size").alias("b"))).alias("spans"))
-    marks = found.unionByName(whole)
-    spans = (contexts.select("anchor", "mark", "row", "starts").join(marks, ["anchor", "mark"])
-             .select("row", "spans", F.explode("starts").alias("start"))
-             .select("row", "start", F.explode("spans").alias("s"))
-             .select("row", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b")))
-    many = contexts.join(several.where(F.col("kinds") > CONTEXTS).select("anchor"), "anchor")
-    return saved(spans.distinct(), "repeats"), many
+    pieces = met.where(F.col("kinds") <= KINDS).groupBy("row").agg(F.collect_list(F.struct(
+        F.pmod(F.xxhash64("key"), F.lit(bins)).alias("bin"), "start", "size")).alias("pieces"))
+    found = in_arrow(texts.select("row", "text").join(pieces, "row"), _pieces,
+                     "bin long, row long, start int, content binary")
+    # A key lies in one bin and brings KINDS cells at most, so bins are bounded.
+    found = found.groupBy("bin").applyInArrow(lambda t: _index_bin(t, length), "row long, a int, b int")
+    spots = met.where(F.col("kinds") > KINDS).groupBy("row").agg(F.collect_list(F.struct(
+        "place", F.col("start").alias("first"), (F.col("start") + F.col("size") - length).alias("last"))).alias("spots"))
+    return saved(found.unionByName(whole).distinct(), "repeats"), spots
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,21 +244,29 @@ def without_repeats(docs: DataFrame, length: int = 400, text: str = "text", doc_
                               F.sha2("text", 256).alias("digest")), "repeat-facts")
     heads = saved(facts.groupBy("digest").agg(F.min("row").alias("head"), F.count("*").alias("copies"),
                                               F.min("n_bytes").alias("n_bytes")), "repeat-heads")
-    found = saved(rows.select("row", "text").mapInArrow(lambda b: _find_anchors(b, length),
-                                                        "row long, anchor long, place int"), "anchors")
+    found = saved(in_arrow(rows.select("row", "text"), lambda b: _find_anchors(b, length),
+                           "row long, anchor long, place int, first int, last int"), "anchors")
     single = found.join(heads.select(F.col("head").alias("row")), "row", "left_semi")
     twice = single.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    spots = single.join(twice, "anchor").groupBy("row").agg(F.collect_list(F.struct("anchor", "place")).alias("spots"))
-    near = saved(rows.select("row", "text").join(spots, "row"), "repeat-texts")
-    contexts = saved(near.mapInArrow(lambda b: _cut_contexts(b, length), CONTEXT), "contexts")
-    spans, many = _marked(contexts, length)
-    while not many.isEmpty():
-        contexts = saved(many.mapInArrow(lambda b: _split_contexts(b, length), CONTEXT), "contexts")
-        more, many = _marked(contexts, length)
+    spots = saved(single.join(twice, "anchor").groupBy("row").agg(
+        F.collect_list(F.struct("place", "first", "last")).alias("spots")), "spots")
+    # A filter of fixed size keeps most texts without such anchors in the scan.
+    bits = docs.sparkSession.sparkContext.broadcast(filter_of(spots, F.xxhash64("row")))
+    likely = in_arrow(rows.select("row", F.xxhash64("row").alias("hash"), "text"), lambda b: _passing(b, bits.value),
+                      "row long, text binary")
+    near = saved(likely.join(spots, "row"), "repeat-texts")
+    cells = saved(in_arrow(near, lambda b: _cells(b, length, WIDTHS[0]), CELL), "cells")
+    spans, many = _repeats(cells, near, length)
+    for width in WIDTHS[1:]:
+        many = saved(near.select("row", "text").join(many, "row"), "repeat-spots")
+        if many.isEmpty():
+            break
+        cells = saved(in_arrow(many, lambda b, w=width: _cells(b, length, w), CELL), "cells")
+        more, many = _repeats(cells, near, length)
         spans = spans.unionByName(more)
     by_row = spans.groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    cut = near.select("row", "text").join(by_row, "row").mapInArrow(
-        _removed, "row long, n_removed long, n_spans long, kept_sha256 string")
+    cut = in_arrow(near.select("row", "text").join(by_row, "row"), _removed, (
+        "row long, n_removed long, n_spans long, kept_sha256 string"))
     none = F.lit(0).cast("long")
     copied = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     judged = heads.join(cut.withColumnRenamed("row", "head"), "head", "left").select(
