@@ -79,7 +79,7 @@ def _parts(counts: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row, two hashes of the shingle multiset, band hashes (none for a text without words)."""
+    """row, two hashes of the shingle multiset, band hashes. A text without words has no bands, and its plain hash."""
     for batch in portions(batches):
         texts = [t or "" for t in batch["text"].to_pylist()]
         words = Words(texts)
@@ -100,6 +100,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         h = mixed(h * MIX + owner[:, column])
                     bands[a:b, band] = h
         has = sizes > 0
+        marks[1] = np.where(has, marks[1], batch["plain"].to_numpy().view(np.uint64))
         offsets = np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [batch["row"], pa.array(marks[0].view(np.int64)), pa.array(marks[1].view(np.int64)),
@@ -193,18 +194,16 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, text: str = "text", doc
 
 def classes(rows: DataFrame, least: float = 0.8) -> DataFrame:
     """The same for rows (row, id, text) of a table that is written down, with a number of its own for each."""
+    plain = F.when(F.col("text").isNull(), F.lit(-1)).otherwise(F.xxhash64("text")).alias("plain")
     sketch = saved(in_arrow(
-        rows.select("row", "text"), _sketch, "row long, mark long, mark2 long, bands array<long>"), "sketch")
-    wordless = rows.join(sketch.where("size(bands) = 0").select("row"), "row").select(
-        "row", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("plain"), F.col("text").isNull().alias("missing"))
-    keyed = sketch.select("row", "mark", "mark2").join(wordless, "row", "left").na.fill(
-        {"plain": 0, "missing": False})
-    groups = keyed.groupBy("mark", "mark2", "plain", "missing").agg(F.min("row").alias("head"))
-    heads = saved(keyed.join(groups, ["mark", "mark2", "plain", "missing"]).select("row", "head"), "heads")
+        rows.select("row", plain, "text"), _sketch, "row long, mark long, mark2 long, bands array<long>"), "sketch")
+    keyed = sketch.select("row", "mark", "mark2")
+    # Written down, so that the join below is one of two plain tables, whose hot keys Spark can split.
+    groups = saved(keyed.groupBy("mark", "mark2").agg(F.min("row").alias("head")), "equal")
+    heads = saved(keyed.join(groups, ["mark", "mark2"]).select("row", "head"), "heads")
 
     first = sketch.join(heads.where("row = head").select("row"), "row", "left_semi")
-    bands = first.select("row", F.posexplode("bands").alias("band", "hash")).select(
-        "row", F.struct("band", "hash").alias("bucket"))
+    bands = first.select("row", F.explode("bands").alias("bucket"))  # a band's number is part of its hash
     # The centre of a bucket is the document that meets most others, so that it links as many as one can.
     sizes = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = saved(bands.join(sizes, "bucket"), "buckets")
