@@ -247,7 +247,8 @@ def without_repeats(docs: DataFrame, length: int = 400, text: str = "text", doc_
     found = saved(in_arrow(rows.select("row", "text"), lambda b: _find_anchors(b, length),
                            "row long, anchor long, place int, first int, last int"), "anchors")
     single = found.join(heads.select(F.col("head").alias("row")), "row", "left_semi")
-    twice = single.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Written down, so that the join below is one of two plain tables, whose hot keys Spark can split.
+    twice = saved(single.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors-met")
     spots = saved(single.join(twice, "anchor").groupBy("row").agg(
         F.collect_list(F.struct("place", "first", "last")).alias("spots")), "spots")
     # A filter of fixed size keeps most texts without such anchors in the scan.
