@@ -45,10 +45,11 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: Sequence[flo
     """Words that a mix of sources takes from every document.
 
     ``quality``: (doc_id, quality) with a positive weight, its mean where an id has several; without one it is 1. Gives
-    doc_id, size (words of the text; null: 0), source_size, target (of its source), taken (words), copies (how often the document is taken whole).
-    Sources weigh ``weights`` in turn by code point, the null source last. A document is taken whole: the one in which
-    a target ends counts if that brings the sum nearer. Keys come from hashes, so reruns agree; only rows alike in id
-    and text tie, which are interchangeable. Empty texts take 0; an empty table gives an empty result.
+    doc_id, size (words of the text; null: 0), source_size, target (of its source), taken (words), copies (how often the
+    document is taken whole). Sources weigh ``weights`` in turn by code point, the null source last. The document in
+    which a target ends counts if that brings the sum nearer. Keys come from hashes, so reruns agree; only rows alike
+    in id and text tie, which are interchangeable. Empty texts take 0; an empty table gives an empty result; other
+    columns are ignored.
     """
     base = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
