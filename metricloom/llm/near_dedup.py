@@ -1,9 +1,10 @@
 """Near-duplicates by ProbMinHash, banding and verification.
 
-A document's shingles of five words, weighted 1 + ln(count), are Poisson processes: each draws exponential arrivals at
-its rate, every arrival falls into a register, and a register keeps the shingle that came first. A shingle stops once
-its next arrival is later than all registers of its document. Two registers agree with the probability Jaccard of the
-weighted sets. Bands of registers give buckets; every document is compared with the centre of each of its buckets, by the
+A document's distinct shingles of five words are Poisson processes: each draws exponential arrivals at its rate, every
+arrival falls into a register, and a register keeps the shingle that came first. A shingle stops once its next arrival
+is later than all registers of its document. Two registers agree with the probability Jaccard of the weighted sets; all
+weigh the same here, however often they repeat, so that it is the Jaccard similarity of the sets, by which pairs are
+accepted. Bands of registers give buckets; every document is compared with the centre of each of its buckets, by the
 Jaccard similarity of their shingle sets. Where that leaves a bucket unconnected, a prefix join finds the rest.
 """
 
@@ -93,7 +94,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.add.at(marks[i], text, mixed(value * MIX + np.uint64(salt)) * count.astype(np.uint64))
             for a, b in _parts(sizes):
                 own = slice(edge[a], edge[b])
-                owner = registers(text[own] - a, value[own], 1 + np.log(count[own]), b - a)
+                owner = registers(text[own] - a, value[own], np.ones(edge[b] - edge[a]), b - a)
                 for band in range(BANDS):
                     h = np.full(b - a, band, dtype=np.uint64)
                     for column in range(band * ROWS, (band + 1) * ROWS):

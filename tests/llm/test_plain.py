@@ -405,6 +405,18 @@ def test_near_duplicates_in_a_dense_group(spark):
     check_classes(rows, near_duplicates(frame).collect())
 
 
+def test_near_duplicates_that_repeat_a_passage(spark):
+    # Pairs of a clean copy and one with a passage of it 200 times; none may be missed.
+    rows = []
+    for k in range(40):
+        base = prose(100 + k, 110).split()
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + base[40:70] * 200))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    tops = brute_classes(rows)
+    assert all(tops[i] == tops[i + 1] for i in range(0, 80, 2)) and len(set(tops)) == 40
+    check_classes(rows, near_duplicates(frame).collect())
+
+
 def test_signatures_estimate_probability_jaccard():
     import numpy as np
 
