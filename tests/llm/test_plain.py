@@ -256,6 +256,18 @@ def test_lm_scores(docs, none, rows, ranks):
     assert {(r["base_score"], r["n_known"], r["train_tokens"]) for r in only_held} == {(0.0, 0, 0)}
 
 
+def test_lm_scores_learn_from_every_row(spark, ranks):
+    # A long text behind 6,100 short ones: the model must know it, wherever it lies.
+    long = prose(4, 6000)
+    short = spark.createDataFrame([(i, f"note {i}", False) for i in range(6100)] + [(-1, long[9000:12000], True)],
+                                  "doc_id long, text string, held_out boolean")
+    every = short.unionByName(spark.createDataFrame([(-2, long, False)], short.schema))
+    score = [lm_scores(d, *ranks, steps=5).where("doc_id = -1").first()["score"] for d in (short, every)]
+    assert len(long) > 20_000 and score[1] > 0.7 * score[0]
+    again = lm_scores(every.repartition(5), *ranks, steps=5).where("doc_id = -1").first()["score"]
+    assert abs(again - score[1]) < 0.01
+
+
 def test_attention_is_causal_and_normalised(ranks):
     import numpy as np
 
