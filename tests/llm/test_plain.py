@@ -256,6 +256,20 @@ def test_lm_scores(docs, none, rows, ranks):
     assert {(r["base_score"], r["n_known"], r["train_tokens"]) for r in only_held} == {(0.0, 0, 0)}
 
 
+def test_ids_of_a_long_text_are_those_of_the_whole(ranks, monkeypatch):
+    from metricloom.llm import lm_score
+
+    encoding, _ = lm_score._tokenizer(*ranks)
+    text = prose(11, 400) + " we're   far " + "straße" * 40 + " " * 150 + "12345 ...!!\n\n  end" + "x" * 230
+    whole = encoding.encode_ordinary(text)
+    for piece in (1, 7, 50, 101):
+        monkeypatch.setattr(lm_score, "PIECE", piece)
+        assert lm_score._ids(text, encoding).tolist() == whole
+    monkeypatch.undo()
+    blank = "a" + " " * 1_000_000 + "b"  # too long a match for the tokenizer's pattern
+    assert encoding.decode(lm_score._ids(blank, encoding).tolist()) == blank
+
+
 def test_lm_scores_learn_from_every_row(spark, ranks):
     # A long text behind 6,100 short ones: the model must know it, wherever it lies.
     long = prose(4, 6000)
