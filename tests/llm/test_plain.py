@@ -479,6 +479,22 @@ def test_pipeline(spark, docs, none, rows, sf):
         assert stage(spark, none, benchmark).count() == 0
 
 
+def test_language_stage_judges_by_the_model(spark, monkeypatch):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)["language ID"]
+    rows = [(i, prose(i, 40, "abcdefgh" if i % 2 else "qrstuvwx"), "one" if i % 2 else "two") for i in range(40)]
+    rows += [(50, prose(50, 40), None), (51, "ЖЩЪЫЮЯЖЩ" * 9, None), (52, "12 %", "one"),
+             (53, "ЖЩЪЫ ЮЯЖЩ " * 9 + "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    # 51 shares no n-gram with a language; 53 few, which shows with labelled documents enough.
+    assert {r["doc_id"] for r in stage(spark, docs, "").collect()} == {*range(40), 50, 53}
+    monkeypatch.setattr(corpus_pipeline, "ENOUGH", 40)
+    assert {r["doc_id"] for r in stage(spark, docs, "").collect()} == {*range(40), 50}
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in stage(spark, bare, "").collect()} == {*range(40), 50, 51, 53}
+
+
 def test_pipeline_on_a_table(spark, sf):
     import corpus_pipeline
 
