@@ -41,7 +41,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], cap: float) -> Da
 
 
 def mix(docs: DataFrame, quality: DataFrame | None = None, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0,
-        seed: int = 17, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+        seed: int = 17, text: str = "text", doc_id: str = "doc_id", source: str = "source",
+        drawn_by: str | None = None) -> DataFrame:
     """Words that a mix of sources takes from every document.
 
     ``quality``: (doc_id, quality) with a positive weight, its mean where an id has several; without one it is 1. Gives
@@ -49,13 +50,13 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: Sequence[flo
     document is taken whole). Sources weigh ``weights`` in turn by code point, the null source last. The document in
     which a target ends counts if that brings the sum nearer. Keys come from hashes, so reruns agree; only rows alike
     in id and text tie, which are interchangeable. Empty texts take 0; an empty table gives an empty result; other
-    columns are ignored.
+    columns are ignored. ``drawn_by``: the column that is drawn by in place of the id, which then only orders ties.
     """
     base = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
         F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("source_key"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(SPACE_WORDS)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("draw"))
+        F.xxhash64(F.lit(seed), F.col(drawn_by or doc_id), F.col(text)).alias("draw"))
     if quality is not None:
         known = quality.where("quality > 0").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
         base = base.join(known, "doc_id", "left")
@@ -80,7 +81,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: Sequence[flo
             .withColumn("before", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0))))
     rows = base.join(plan, ["source_key", "bucket"])
     cut = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("bucket_size") > F.col("rest"))
-    running = F.sum("size").over(Window.partitionBy("source_key", "bucket").orderBy("key", "draw", "size")
+    running = F.sum("size").over(Window.partitionBy("source_key", "bucket").orderBy("key", "draw", "size", "doc_id")
                                  .rowsBetween(Window.unboundedPreceding, 0))
     whole = rows.where(~cut).withColumn("chosen", F.col("before") + F.col("bucket_size") <= F.col("rest"))
     ended = rows.where(cut).withColumn("chosen", F.col("before") + running - F.col("size") / 2 <= F.col("rest"))

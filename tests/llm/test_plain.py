@@ -15,7 +15,7 @@ from metricloom.llm.language_id import fit, identify
 from metricloom.llm.lm_score import lm_scores
 from metricloom.llm.mixing import mix
 from metricloom.llm.near_dedup import near_duplicates
-from metricloom.llm.queries import QUERIES, SQL, held_out
+from metricloom.llm.queries import QUERIES, SQL, held_out, quality_weights
 from metricloom.llm.repeats import without_repeats
 from metricloom.llm.sharding import shard
 from metricloom.llm.token_counts import count_tokens
@@ -495,6 +495,18 @@ def test_language_stage_judges_by_the_model(spark, monkeypatch):
     assert {r["doc_id"] for r in stage(spark, bare, "").collect()} == {*range(40), 50, 51, 53}
 
 
+def test_mixing_stage_draws_by_document(spark, sf):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)["mixing"]
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    one, other = ([r["doc_id"] for r in stage(spark, d, sf).select("doc_id").collect()]
+                  for d in (table, table.repartition(5)))
+    assert collections.Counter(one) == collections.Counter(other)
+    copies = mix(table, quality_weights(spark, sf)).where("copies > 0").collect()
+    assert collections.Counter(one) == collections.Counter({r["doc_id"]: r["copies"] for r in copies})
+
+
 def test_pipeline_on_a_table(spark, sf):
     import corpus_pipeline
 
