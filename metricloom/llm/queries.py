@@ -16,6 +16,7 @@ from metricloom.llm.lm_score import lm_scores
 from metricloom.llm.mixing import mix
 from metricloom.llm.near_dedup import near_duplicates
 from metricloom.llm.repeats import without_repeats
+from metricloom.llm.resample import resample
 from metricloom.llm.sharding import shard
 from metricloom.llm.token_counts import count_tokens
 from metricloom.llm.url_filters import apply_rules
@@ -145,3 +146,49 @@ def remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("held_out", held_out(7))
     return lm_scores(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+#: CRC-32 of a word in DuckDB: each byte is followed by eight shifts (-1), over the distinct words only.
+_CRC = """
+    word_list AS (SELECT word FROM doc_words UNION SELECT word FROM item_words),
+    hashed AS (
+        SELECT word, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(
+            generate_series(1, octet_length(encode(word))),
+            lambda i: [CAST('0x' || substr(hex(encode(word)), 2 * i - 1, 2) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+            lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END),
+            4294967295) % 10000 AS bucket FROM word_list)"""
+
+
+@query("op11_target_resampling", sql=rf"""
+    WITH docs AS (
+        SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    doc_words AS (SELECT row, unnest(w) AS word FROM docs),
+    item_words AS (
+        SELECT unnest(regexp_extract_all(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+    {_CRC.strip()},
+    s AS (SELECT bucket, count(*) AS s FROM doc_words JOIN hashed USING (word) GROUP BY bucket),
+    t AS (SELECT bucket, count(*) AS t FROM item_words JOIN hashed USING (word) GROUP BY bucket),
+    sums AS (SELECT (SELECT coalesce(sum(s), 0) FROM s) AS all_s, (SELECT coalesce(sum(t), 0) FROM t) AS all_t),
+    gains AS (
+        SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000)::DOUBLE
+            / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE))) AS BIGINT) AS gain
+        FROM s LEFT JOIN t USING (bucket), sums),
+    weights AS (
+        SELECT row, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight
+        FROM doc_words JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY row),
+    scored AS (
+        SELECT doc_id, row, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+               coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8)
+                   AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+        FROM docs LEFT JOIN weights USING (row)),
+    placed AS (
+        SELECT row, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n
+        FROM scored WHERE n_features >= 20)
+    SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+    FROM scored LEFT JOIN placed USING (row)""")
+def target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
