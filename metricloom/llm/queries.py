@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import public_tokenizers
@@ -17,6 +18,7 @@ from metricloom.llm.mixing import mix
 from metricloom.llm.near_dedup import near_duplicates
 from metricloom.llm.repeats import without_repeats
 from metricloom.llm.resample import resample
+from metricloom.llm.secrets import LEAST_BITS, WINDOW, scan_secrets
 from metricloom.llm.sharding import shard
 from metricloom.llm.token_counts import count_tokens
 from metricloom.llm.url_filters import apply_rules
@@ -192,3 +194,62 @@ _CRC = """
     FROM scored LEFT JOIN placed USING (row)""")
 def target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+#: The assignment pattern for a regex library that folds letters beyond ASCII.
+_ASSIGN = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
+_ASSIGN = rf"""({_ASSIGN})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+#: Largest sums of c * log2(c) for the least entropy of each class.
+_MOST = {k: math.floor((math.log2(WINDOW) - v) * WINDOW * 1_000_000) for k, v in LEAST_BITS.items()}
+
+
+@query("op12_secret_scan", sql=rf"""
+    WITH texts AS (
+        SELECT row_number() OVER () AS row, doc_id,
+               translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) AS t FROM documents),
+    patterns(kind, name, pattern) AS (VALUES (0, 'assign', '{_ASSIGN}'), (1, 'access', 'AKIA[A-Z0-9]{{16,}}'),
+        (2, 'hex', '[0-9a-f]{{24,}}'), (3, 'entropy', '[A-Za-z0-9+/_=-]{{{WINDOW},}}')),
+    cut AS (
+        SELECT row, kind, string_split_regex(regexp_replace(t, pattern, chr(1) || '\0' || chr(2), 'g'),
+                                             '[\x01\x02]') AS parts FROM texts, patterns),
+    pieces AS (SELECT row, kind, unnest(parts) AS p, generate_subscripts(parts, 1) AS i FROM cut WHERE len(parts) > 1),
+    placed AS (
+        SELECT row, kind, p, i, coalesce(sum(length(p)) OVER (
+            PARTITION BY row, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM pieces),
+    matches AS (
+        SELECT row, kind, p, start FROM placed
+        WHERE i % 2 = 0 AND (kind <> 0 OR length(regexp_extract(p, '{_ASSIGN}', 2)) >= 6)),
+    candidates AS (
+        SELECT row, p, start FROM matches WHERE kind = 3
+          AND NOT regexp_matches(p, '(?i)abcdefghij|0123456789|1234567890|qwertyuiop|example|placeholder|lorem')
+          AND NOT starts_with(p, '//')
+          AND NOT regexp_full_match(p, '[0-9A-Fa-f]{{8}}(-[0-9A-Fa-f]{{4}}){{3}}-[0-9A-Fa-f]{{12}}')
+          AND NOT list_bool_and(list_transform(string_split_regex(p, '[+/_=-]+'),
+                  lambda x: regexp_full_match(x, '[A-Z]?[a-z]*|[A-Z]+|[0-9]+')))),
+    starts AS (SELECT row, p, start, unnest(generate_series(0, length(p) - {WINDOW})) AS o FROM candidates),
+    windows AS (SELECT row, start, o, substr(p, o + 1, {WINDOW}) AS w FROM starts),
+    characters AS (SELECT row, start, o, w, unnest(string_split(w, '')) AS c FROM windows),
+    counts AS (SELECT row, start, o, w, c, count(*) AS n FROM characters GROUP BY ALL),
+    sums AS (
+        SELECT row, start, o, w, sum(CAST(round(n * log2(n) * 1000000) AS BIGINT)) AS s FROM counts GROUP BY ALL),
+    passed AS (
+        SELECT row, start, o, coalesce(o > lag(o) OVER (PARTITION BY row, start ORDER BY o) + {WINDOW}, true) AS fresh
+        FROM sums WHERE s <= CASE WHEN NOT regexp_matches(w, '[A-Za-z]') THEN -1
+            WHEN NOT regexp_matches(w, '[0-9]') THEN {_MOST["letters"]}
+            WHEN NOT regexp_matches(w, '[^0-9A-Fa-f]') THEN {_MOST["hex"]} ELSE {_MOST["mixed"]} END),
+    runs AS (
+        SELECT row, start, o, sum(CAST(fresh AS INT)) OVER (PARTITION BY row, start ORDER BY o) AS run FROM passed),
+    spans AS (
+        SELECT row, kind, start AS s, start + length(p) AS e FROM matches WHERE kind < 3
+        UNION ALL SELECT row, 3, start + min(o), start + max(o) + {WINDOW} FROM runs GROUP BY row, start, run),
+    per_row AS (
+        SELECT row, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
+               count(*) FILTER (kind = 2) AS n_hex,
+               string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (kind < 3) AS base,
+               string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) AS spans
+        FROM spans JOIN patterns USING (kind) GROUP BY row)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM texts LEFT JOIN per_row USING (row)""")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(read(spark, sf_dir, "documents"))
