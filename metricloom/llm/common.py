@@ -18,9 +18,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), one of our own, set for the session."""
+    """The folder of spark.checkpoint.dir; where that is unset (tests), one of our own, set for the session.
+
+    On a cluster it must be set: executors don't see a folder of the driver's machine, and rows would be lost.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.split("[")[0] == "local":
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master: {master})")
         folder = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -38,11 +44,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: its lineage ends there, and every executor sees it."""
+def saved(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write a frame to the shared folder and read it back: its lineage ends there, and every executor sees it.
+
+    With ``by``, reads that ask for a value of that column read its files only.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.partitionBy(*([by] if by else [])).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metricloom.llm.collocations import collocations
 from metricloom.llm.common import read
 from metricloom.llm.decontaminate import contamination
 from metricloom.llm.fingerprints import fingerprints
@@ -253,3 +254,41 @@ _MOST = {k: math.floor((math.log2(WINDOW) - v) * WINDOW * 1_000_000) for k, v in
     FROM texts LEFT JOIN per_row USING (row)""")
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read(spark, sf_dir, "documents"))
+
+
+@query("op13_collocations", sql=r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents),
+    words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    starts AS (
+        SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i
+        FROM words, (SELECT unnest(generate_series(1, 5)) AS m) WHERE len(w) >= m),
+    f AS (
+        SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS a FROM starts GROUP BY ALL),
+    totals AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+    candidates AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS w, a FROM f WHERE m >= 2 AND a >= 100),
+    cuts AS (SELECT lang, m, phrase, w, a, unnest(generate_series(1, m - 1)) AS k FROM candidates),
+    scored AS (
+        SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, n,
+               CAST((1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+        FROM cuts AS c JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ')
+        JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ')
+        JOIN totals ON totals.lang = c.lang),
+    best AS (
+        SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM scored),
+    longer AS (
+        SELECT lang, w, a, j, unnest(generate_series(1, m - j + 1)) AS i
+        FROM candidates, (SELECT unnest(generate_series(2, 4)) AS j) WHERE j < m),
+    inside AS (
+        SELECT lang, array_to_string(w[i:i + j - 1], ' ') AS phrase, max(a) AS most FROM longer GROUP BY ALL),
+    kept AS (
+        SELECT best.* FROM best LEFT JOIN inside ON inside.lang = best.lang AND inside.phrase = best.phrase
+        WHERE place = 1 AND (most IS NULL OR 100 * most < 100 * a)),
+    ordered AS (
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+               phrase, a, l, r, n, score FROM kept)
+    SELECT * FROM ordered WHERE rank <= 2000""")
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))

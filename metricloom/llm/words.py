@@ -46,11 +46,12 @@ def portions(batches: Iterator[pa.RecordBatch], text: str = "text", size: int =
 class Words:
     """The words of many texts: their bytes, where they start and end, their text and a hash of each.
 
-    Words are runs of digits, letters and non-ASCII, or, if ``spaced``, whatever white space leaves. A-Z are lower-cased.
+    Words are runs of digits, letters and non-ASCII, or, if ``spaced``, whatever white space leaves, or of the bytes that
+    ``member`` marks, a space not among them. A-Z are lower-cased.
     """
 
-    def __init__(self, texts: list[str], spaced: bool = False):
-        self.member = _NO_SPACE if spaced else _IN_WORD
+    def __init__(self, texts: list[str], spaced: bool = False, member: np.ndarray | None = None):
+        self.member = member if member is not None else _NO_SPACE if spaced else _IN_WORD
         parts = [t.encode() for t in texts]
         self.bytes = _LOWER[np.frombuffer(b" ".join(parts), dtype=np.uint8)]
         inside = np.concatenate([[False], self.member[self.bytes], [False]]).astype(np.int8)
