@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricloom.llm.bits import filter_of, passes
+from metricloom.llm.bits import bits_for, filter_of, passes
 from metricloom.llm.common import in_arrow, saved
 from metricloom.llm.words import MIX, PORTION, Words, mixed, portions
 
@@ -74,8 +75,8 @@ def _counts(words: Words, names: np.ndarray, code: np.ndarray, words_too: bool,
             whole = (piece[:last] == piece[n - 1:]) & (words.text[:last] == words.text[n - 1:])
             active = begun[:-1] & begun[1:] & whole & (going_on[:-1] | going_on[1:])
         at = np.flatnonzero(active)
-        found, first, count = np.unique(keys[at], return_index=True, return_counts=True)
-        yield n, at[first], found, count
+        found, first, times = np.unique(keys[at], return_index=True, return_counts=True)
+        yield n, at[first], found, times
         if reached is None:
             return
         begun, going_on = passes(keys, reached), passes(keys, recent)
@@ -89,13 +90,13 @@ def _scan(batches: Iterator[pa.RecordBatch], words_too: bool, longest: int, reac
             words = Words(texts, member=_IN_WORD)
             names, code = np.unique(langs, return_inverse=True)
             raw = words.bytes.tobytes()
-            for n, first, found, count in _counts(words, names, code, words_too, longest, reached, recent):
+            for n, first, found, times in _counts(words, names, code, words_too, longest, reached, recent):
                 start, end = words.start[first].tolist(), words.end[first + n - 1].tolist()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([langs[t] for t in words.text[first].tolist()], type=pa.string()),
                      pa.array(np.full(len(first), n, dtype=np.int32)),
                      pa.array([raw[a:b] for a, b in zip(start, end)], type=pa.binary()).cast(pa.string()),
-                     pa.array(found.view(np.int64)), pa.array(count.astype(np.int64))], columns)
+                     pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))], columns)
             if words_too:  # all words of a language: how often the empty phrase occurs
                 every = np.bincount(code, weights=words.counts, minlength=len(names)).astype(np.int64)
                 zero = np.zeros(len(names), dtype=np.int64)
@@ -134,17 +135,13 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int, shards: int) ->
     dealt = saved(docs.withColumn("shard", (F.monotonically_increasing_id() % shards).cast("int")), "phrase-shards",
                   by="shard")
     context = docs.sparkSession.sparkContext
-    table, scan, fresh = None, 0, []
-    while True:
-        scan += 1
-        bits = None
-        if table is not None:
-            bits = context.broadcast((np.bitwise_or.reduce(fresh), np.bitwise_or.reduce(fresh[-shards:])))
+    table, filters = None, (None, None)
+    for scan in count(1):
+        bits = context.broadcast(filters)
         # Defaults bind what this scan is to use; the frames are only run when they are written.
         counted = in_arrow(
             dealt.where(F.col("shard") == (scan - 1) % shards).select("lang", "text"),
-            lambda batches, words_too=scan <= shards, bits=bits: _scan(
-                batches, words_too, longest, *(bits.value if bits else (None, None))), COUNTED)
+            lambda batches, words_too=scan <= shards, bits=bits: _scan(batches, words_too, longest, *bits.value), COUNTED)
         counted = counted.groupBy("lang", "length", "phrase").agg(F.first("hash").alias("hash"), F.sum("n").alias("n"))
         if table is None:
             grown = counted.withColumn("start", F.lit(1)).withColumn("reach", F.lit(None).cast("int"))
@@ -158,10 +155,14 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int, shards: int) ->
         # A phrase whose cycle has ended below the threshold is forgotten.
         table = saved(grown.withColumn("reach", reach).where(
             (F.col("length") == 0) | F.col("reach").isNotNull() | (F.col("start") + shards > scan + 1)), "phrases")
-        fresh.append(filter_of(table.where(F.col("reach") == scan).where(F.col("length") < longest), F.col("hash")))
-        if scan >= shards and not any(part.any() for part in fresh[-shards:]):
+        bits.destroy()
+        reached = table.where(F.col("reach").isNotNull() & (F.col("length") < longest))
+        recent = reached.where(F.col("reach") > scan - shards)
+        if scan >= shards and recent.isEmpty():  # no cycle is going on, and none begins
             return table.where("length = 0 OR reach IS NOT NULL").select(
                 "lang", "length", "phrase", F.col("n").alias("a"))
+        size = bits_for(reached.count())
+        filters = filter_of(reached, F.col("hash"), size), filter_of(recent, F.col("hash"), size)
 
 
 def collocations(docs: DataFrame, longest: int = 5, least: int = 100, share: int = 100, top: int = 2000,
