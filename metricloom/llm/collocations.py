@@ -2,23 +2,23 @@
 
 The documents are dealt to shards, which are scanned in a cycle. Phrases of all lengths are counted at once: words from
 the first scan on, a longer phrase from the scan after both of its subphrases (all words but the last, all but the
-first) have reached the threshold, and each for one full cycle of shards, so every count that ends above the threshold
-is complete. Tasks know the subphrases that have reached it by filters of fixed size; what the filters let through
-wrongly is dropped by a join with the phrases themselves. Counts stay in tables that tasks write and read.
+first) have reached the threshold, and each for one full cycle of shards, so that its count is complete.
+
+Tasks know when a subphrase reached it from a table of bounded size with a slot for many phrases: that of the first one
+that did. A phrase may so begin its cycle earlier, or be counted though it can't be frequent, but its cycle is a full
+one all the same. Counts stay in tables that tasks write and read.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricloom.llm.bits import bits_for, filter_of, passes
 from metricloom.llm.common import in_arrow, saved
 from metricloom.llm.words import MIX, PORTION, Words, mixed, portions
 
@@ -29,7 +29,13 @@ _CODES = np.arange(256)
 _IS_BREAK = np.isin(_CODES, np.frombuffer(b".,;:!?\x0A\x0B\x0C\x0D", dtype=np.uint8))
 _IN_WORD = ~_IS_BREAK & (_CODES != 0x20) & (_CODES != 0x09)
 
-COUNTED = "lang string, length int, phrase string, hash long, n long"
+#: Between a language and a phrase; no word holds one.
+TAB = "\t"
+COUNTED = "key string, start int, n long"
+#: A slot that no phrase of the threshold has.
+NEVER = 255
+#: The table has 2**22 slots at most, whatever the number of phrases.
+MOST_SLOTS = 22
 
 
 def _parts(langs: list[str], texts: list[str | None]) -> Iterator[tuple[list[str], list[str]]]:
@@ -52,79 +58,88 @@ def _parts(langs: list[str], texts: list[str | None]) -> Iterator[tuple[list[str
         yield some_langs, some
 
 
-def _counts(words: Words, names: np.ndarray, code: np.ndarray, words_too: bool, longest: int,
-            reached: np.ndarray | None, recent: np.ndarray | None
-            ) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(length, first word, hash, count) of the phrases that are being counted.
+def _salt(langs: np.ndarray) -> np.ndarray:
+    """A hash of each language."""
+    return Words([f"x{lang.encode().hex()}" for lang in langs]).hash
 
-    A phrase is, where both its subphrases pass ``reached`` and one of them ``recent``: its cycle has begun and not ended.
-    """
-    salt = Words([f"x{name.encode().hex()}" for name in names]).hash[code][words.text]
+
+def _slot(total: np.ndarray, salt: np.ndarray, n: int, slots: int) -> np.ndarray:
+    return (mixed(total * MIX + salt + np.uint64(n)) & np.uint64(slots - 1)).astype(np.int64)
+
+
+def _counts(words: Words, salt: np.ndarray, scan: int, shards: int, longest: int, times: np.ndarray | None
+            ) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(length, first word, start of its cycle, count) of the phrases that are counted in this scan."""
     piece = np.cumsum(_IS_BREAK[words.bytes], dtype=np.int64)[words.start]
+    salt = salt[words.text]
     total = np.zeros(len(words.start), dtype=np.uint64)
-    active = np.full(len(words.start), words_too)
-    begun = going_on = active  # of the phrases shorter by a word
+    start = np.ones(len(words.start), dtype=np.int32)  # words are counted from the first scan on
     for n in range(1, longest + 1):
         last = len(words.start) - n + 1
         if last < 1:
             return
         with np.errstate(over="ignore"):
             total = total[:last] * MIX + words.hash[n - 1:]
-            keys = mixed(total * MIX + salt[:last] + np.uint64(n))
-        if n > 1:
-            whole = (piece[:last] == piece[n - 1:]) & (words.text[:last] == words.text[n - 1:])
-            active = begun[:-1] & begun[1:] & whole & (going_on[:-1] | going_on[1:])
-        at = np.flatnonzero(active)
-        found, first, times = np.unique(keys[at], return_index=True, return_counts=True)
-        yield n, at[first], found, times
-        if reached is None:
+            keys = mixed(total + salt[:last])
+            slots = _slot(total, salt[:last], n, len(times)) if times is not None else None
+        whole = (piece[:last] == piece[n - 1:]) & (words.text[:last] == words.text[n - 1:])
+        at = np.flatnonzero(whole & (start <= scan) & (start + shards > scan))
+        _, first, times_ = np.unique(keys[at], return_index=True, return_counts=True)
+        yield n, at[first], start[at[first]], times_
+        if times is None:
             return
-        begun, going_on = passes(keys, reached), passes(keys, recent)
+        reached = times[slots].astype(np.int32)
+        start = np.maximum(reached[:-1], reached[1:]) + 1
 
 
-def _scan(batches: Iterator[pa.RecordBatch], words_too: bool, longest: int, reached: np.ndarray | None,
-          recent: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    columns = ["lang", "length", "phrase", "hash", "n"]
+def _scan(batches: Iterator[pa.RecordBatch], scan: int, shards: int, longest: int, times: np.ndarray | None
+          ) -> Iterator[pa.RecordBatch]:
+    columns = ["key", "start", "n"]
     for batch in portions(batches):
         for langs, texts in _parts(batch["lang"].to_pylist(), batch["text"].to_pylist()):
             words = Words(texts, member=_IN_WORD)
             names, code = np.unique(langs, return_inverse=True)
+            heads = [(lang + TAB).encode() for lang in langs]
             raw = words.bytes.tobytes()
-            for n, first, found, times in _counts(words, names, code, words_too, longest, reached, recent):
-                start, end = words.start[first].tolist(), words.end[first + n - 1].tolist()
+            for n, first, start, found in _counts(words, _salt(names)[code], scan, shards, longest, times):
+                spans = zip(words.text[first].tolist(), words.start[first].tolist(), words.end[first + n - 1].tolist())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([langs[t] for t in words.text[first].tolist()], type=pa.string()),
-                     pa.array(np.full(len(first), n, dtype=np.int32)),
-                     pa.array([raw[a:b] for a, b in zip(start, end)], type=pa.binary()).cast(pa.string()),
-                     pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))], columns)
-            if words_too:  # all words of a language: how often the empty phrase occurs
+                    [pa.array([heads[t] + raw[a:b] for t, a, b in spans], type=pa.binary()).cast(pa.string()),
+                     pa.array(start), pa.array(found.astype(np.int64))], columns)
+            if scan <= shards:  # all words of a language: how often the empty phrase occurs
                 every = np.bincount(code, weights=words.counts, minlength=len(names)).astype(np.int64)
-                zero = np.zeros(len(names), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names.tolist(), type=pa.string()), pa.array(zero.astype(np.int32)),
-                     pa.array([""] * len(names)), pa.array(zero), pa.array(every)], columns)
-
-
-def _head(phrase: Column, k: Column) -> Column:
-    return F.call_function("substring_index", phrase, F.lit(" "), k)
+                    [pa.array([name + TAB for name in names.tolist()], type=pa.string()),
+                     pa.array(np.ones(len(names), dtype=np.int32)), pa.array(every)], columns)
+
+
+def _slots(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.RecordBatch]:
+    """The slot of each phrase, as _counts() works it out."""
+    for batch in batches:
+        langs, texts = (batch[c].to_pylist() for c in ("lang", "phrase"))
+        words = Words(texts, member=_IN_WORD)
+        names, code = np.unique(langs, return_inverse=True)
+        out, salt = np.zeros(len(texts), dtype=np.int64), _salt(names)[code]
+        total = np.zeros(len(texts), dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for n in range(1, int(words.counts.max(initial=0)) + 1):
+                on = np.flatnonzero(words.counts >= n)
+                total[on] = total[on] * MIX + words.hash[words.first[on] + n - 1]
+                ends = np.flatnonzero(words.counts == n)
+                out[ends] = _slot(total[ends], salt[ends], n, slots)
+        yield pa.RecordBatch.from_arrays([pa.array(out)], ["slot"])
 
 
-def _behind(phrase: Column, head: Column) -> Column:
-    """What follows ``head`` and a space."""
-    return F.substring(phrase, F.length(head) + 2, F.length(phrase))
+def _phrase(key: Column) -> Column:
+    return F.substring_index(key, TAB, -1)
 
 
-def _dated(counted: DataFrame, reached: DataFrame, scan: int, shards: int) -> DataFrame:
-    """Give each phrase the scan at which its cycle begins; drop those whose cycle has not begun, or has ended."""
-    short = counted.where("length < 2").withColumn("start", F.lit(1))
-    long = (counted.where("length > 1").withColumn("head", _head(F.col("phrase"), F.col("length") - 1))
-            .withColumn("tail", _behind(F.col("phrase"), _head(F.col("phrase"), F.lit(1)))))
-    dates = reached.select("lang", F.col("phrase").alias("part"), "reach")
-    for side in ("head", "tail"):
-        long = long.join(dates.select("lang", F.col("part").alias(side), F.col("reach").alias(f"{side}_reach")),
-                         ["lang", side])
-    return short.unionByName(long.withColumn("start", F.greatest("head_reach", "tail_reach") + 1).where(
-        F.col("start") + shards > scan).select(short.columns))
+def _named(table: DataFrame) -> DataFrame:
+    """lang, phrase and length (in words) from the key."""
+    phrase = _phrase(F.col("key"))
+    return table.withColumns({
+        "phrase": phrase, "lang": F.substring(F.col("key"), F.lit(1), F.length("key") - F.length(phrase) - 1),
+        "length": F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " ")))}).drop("key")
 
 
 def frequent_phrases(docs: DataFrame, longest: int, least: int, shards: int) -> DataFrame:
@@ -135,38 +150,44 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int, shards: int) ->
     dealt = saved(docs.withColumn("shard", (F.monotonically_increasing_id() % shards).cast("int")), "phrase-shards",
                   by="shard")
     context = docs.sparkSession.sparkContext
-    table, filters = None, (None, None)
-    for scan in count(1):
-        bits = context.broadcast(filters)
+    table, times, latest = None, None, 0
+    for scan in range(1, NEVER):
+        known = context.broadcast(times)
         # Defaults bind what this scan is to use; the frames are only run when they are written.
-        counted = in_arrow(
-            dealt.where(F.col("shard") == (scan - 1) % shards).select("lang", "text"),
-            lambda batches, words_too=scan <= shards, bits=bits: _scan(batches, words_too, longest, *bits.value), COUNTED)
-        counted = counted.groupBy("lang", "length", "phrase").agg(F.first("hash").alias("hash"), F.sum("n").alias("n"))
-        if table is None:
-            grown = counted.withColumn("start", F.lit(1)).withColumn("reach", F.lit(None).cast("int"))
-        else:
-            begun = _dated(counted, table.where("reach IS NOT NULL"), scan, shards)
-            grown = (table.unionByName(begun.withColumn("reach", F.lit(None).cast("int")))
-                     .groupBy("lang", "length", "phrase").agg(
-                         F.first("hash").alias("hash"), F.sum("n").alias("n"), F.min("start").alias("start"),
-                         F.min("reach").alias("reach")))
-        reach = F.coalesce("reach", F.when((F.col("n") >= least) & (F.col("length") > 0), F.lit(scan)))
+        counted = in_arrow(dealt.where(F.col("shard") == (scan - 1) % shards).select("lang", "text"),
+                           lambda batches, scan=scan, known=known: _scan(batches, scan, shards, longest, known.value),
+                           COUNTED).withColumn("reach", F.lit(None).cast("int"))
+        grown = ((table.unionByName(counted) if table is not None else counted).groupBy("key").agg(
+            F.sum("n").alias("n"), F.min("start").alias("start"), F.min("reach").alias("reach")))
+        reach = F.coalesce("reach", F.when((F.col("n") >= least) & (_phrase(F.col("key")) != ""), F.lit(scan)))
         # A phrase whose cycle has ended below the threshold is forgotten.
         table = saved(grown.withColumn("reach", reach).where(
-            (F.col("length") == 0) | F.col("reach").isNotNull() | (F.col("start") + shards > scan + 1)), "phrases")
-        bits.destroy()
-        reached = table.where(F.col("reach").isNotNull() & (F.col("length") < longest))
-        recent = reached.where(F.col("reach") > scan - shards)
-        if scan >= shards and recent.isEmpty():  # no cycle is going on, and none begins
-            return table.where("length = 0 OR reach IS NOT NULL").select(
-                "lang", "length", "phrase", F.col("n").alias("a"))
-        size = bits_for(reached.count())
-        filters = filter_of(reached, F.col("hash"), size), filter_of(recent, F.col("hash"), size)
+            (_phrase(F.col("key")) == "") | F.col("reach").isNotNull() | (F.col("start") + shards > scan + 1)), "phrases")
+        known.destroy()
+        if times is None:  # so many slots that few phrases share one
+            times = np.full(1 << min(MOST_SLOTS, max(12, (16 * table.count()).bit_length())), NEVER, dtype=np.uint8)
+        fresh = _named(table.where(F.col("reach") == scan)).where(F.col("length") < longest).select("lang", "phrase")
+        found = in_arrow(fresh, lambda batches, n=len(times): _slots(batches, n), "slot long").distinct().toArrow()
+        slots = found["slot"].to_numpy()
+        times[slots] = np.minimum(times[slots], scan)
+        latest = scan if len(slots) else latest
+        if scan >= max(shards, latest + shards):  # no cycle is going on, and none begins
+            break
+    return _named(table.where("reach IS NOT NULL OR start = 1")).where("reach IS NOT NULL OR length = 0").select(
+        "lang", "length", "phrase", F.col("n").alias("a"))
+
+
+def _head(phrase: Column, k: Column) -> Column:
+    return F.call_function("substring_index", phrase, F.lit(" "), k)
+
+
+def _behind(phrase: Column, head: Column) -> Column:
+    """What follows ``head`` and a space."""
+    return F.substring(phrase, F.length(head) + 2, F.length(phrase))
 
 
 def collocations(docs: DataFrame, longest: int = 5, least: int = 100, share: int = 100, top: int = 2000,
-                 shards: int = 4, text: str = "text", lang: str = "lang") -> DataFrame:
+                 shards: int = 2, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the ``top`` phrases of each language.
 
     Of a phrase's cuts the one of lowest score counts, the first of equal ones. Phrases that lie inside a longer one
