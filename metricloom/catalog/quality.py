@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from metricloom.catalog.base import over, query, rounded
+from metricloom.functions.quantiles import column_quantiles
 from metricloom.operators import cleaning as cl
 from metricloom.operators import quality as q
 from metricloom.operators.concepts import tag_concepts
@@ -425,3 +426,19 @@ def _(spark, sf):
 def _(spark, sf):
     df = V.dirty(spark, sf)
     return q.quality_warnings(profile(df), duplicate_rows(df)).drop("message")
+
+
+@query("quantiles_infinite", """
+    WITH v AS (SELECT CASE WHEN l_discount > 0 THEN CAST(l_extendedprice AS DOUBLE) / CAST(l_discount AS DOUBLE)
+                           WHEN l_linenumber = 1 THEN CAST('-Infinity' AS DOUBLE)
+                           ELSE CAST('Infinity' AS DOUBLE) END AS price FROM lineitem)
+    SELECT 'price' AS column_name, 0.2 AS prob, round(quantile_cont(price, 0.2), 4) AS quantile FROM v
+    UNION ALL SELECT 'price', 0.5, round(quantile_cont(price, 0.5), 4) FROM v
+    UNION ALL SELECT 'price', 0.75, round(quantile_cont(price, 0.75), 4) FROM v""")
+def _(spark, sf):
+    """Quotients by a discount that can be none, so that the column holds infinities of both signs."""
+    lines = V.table(spark, sf, "lineitem").select(F.when(
+        F.col("l_discount") > 0, F.try_divide(F.col("l_extendedprice").cast("double"), F.col("l_discount").cast("double")))
+        .when(F.col("l_linenumber") == 1, F.lit(float("-inf"))).otherwise(F.lit(float("inf"))).alias("price"))
+    return column_quantiles(lines, ["price"], [0.2, 0.5, 0.75]).select(
+        "column_name", "prob", F.round("quantile", 4).alias("quantile"))

@@ -9,12 +9,13 @@ inside that cell until few enough rows are left to be put in order.
 Only the bounds of the current cells, a few numbers per column, come to the driver.
 Every round is one scan that shuffles counters, not rows, for all columns at once. As
 ranks come from counts, the result is exact for any distribution; a skewed one only
-takes another round.
+takes another round. Infinities have cells of their own.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -26,7 +27,9 @@ from pyspark.sql import types as T
 
 from metricloom.model import quoted
 
+#: Cells of a range; the first and the last are for the infinities.
 CELLS = 1024
+MOST = sys.float_info.max
 FEW_ROWS = 20_000
 
 _SHAPE = "item int, prob double, position double, rank long"
@@ -44,7 +47,11 @@ class _Item:
     whole: bool = False
 
     def is_open(self) -> bool:
-        return self.size > FEW_ROWS and self.low < self.high and math.isfinite(self.high - self.low)
+        return self.size > FEW_ROWS and self.low / 2 < self.high / 2
+
+    def finite(self) -> tuple[float, float]:
+        """Half of each bound, infinite ones replaced: their difference is always a number."""
+        return max(self.low, -MOST) / 2, min(self.high, MOST) / 2
 
 
 def _value(df: DataFrame, column: str) -> Column:
@@ -107,19 +114,21 @@ def _by_item(numbers: Iterable[float]) -> Column:
 
 def _narrower(df: DataFrame, items: list[_Item]) -> list[_Item]:
     """The cells of the items' ranges that hold their ranks, as new items."""
-    scale = _by_item(CELLS / (i.high - i.low) for i in items)
-    cell = F.least(F.lit(CELLS - 1), F.floor((F.col("num") - _by_item(i.low for i in items)) * scale).cast("int"))
+    low, high = (_by_item(i.finite()[side] for i in items) for side in (0, 1))
+    place = F.least(F.floor((F.col("num") / 2 - low) / (high - low) * (CELLS - 2)), F.lit(CELLS - 3)) + 1
+    cell = (F.when(F.col("num") == math.inf, CELLS - 1).when(F.col("num") == -math.inf, 0)
+            .otherwise(place).cast("int"))
     counts = (_cells(df, items).groupBy("item", cell.alias("cell"))
               .agg(F.count(F.lit(1)).alias("size"), F.min("num").alias("low"), F.max("num").alias("high")))
     # At most CELLS rows per item.
     upto = F.sum("size").over(W.partitionBy("item").orderBy("cell").rowsBetween(W.unboundedPreceding, W.currentRow))
-    placed = counts.withColumn("upto", upto)
-    ranks = {n: sorted({t[2] for t in item.targets}) for n, item in enumerate(items)}
-    holds = reduce(Column.__or__, [
-        (F.col("item") == n) & (F.col("upto") > rank) & (F.col("upto") - F.col("size") <= rank)
-        for n, wanted in ranks.items() for rank in wanted])
+    wanted = df.sparkSession.createDataFrame(
+        sorted({(n, t[2]) for n, item in enumerate(items) for t in item.targets}), "item int, rank long")
+    placed = (counts.withColumn("upto", upto).join(F.broadcast(wanted), "item")
+              .filter((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("size") <= F.col("rank")))
+              .drop("rank").distinct())
     out = []
-    for row in placed.filter(holds).collect():
+    for row in placed.collect():
         old, before = items[row["item"]], row["upto"] - row["size"]
         targets = tuple((p, q, rank - before) for p, q, rank in old.targets if before <= rank < row["upto"])
         out.append(_Item(old.column, row["low"], row["high"], row["size"], targets))
@@ -175,10 +184,12 @@ def _in_order(df: DataFrame, items: list[_Item]) -> DataFrame:
         return spark.createDataFrame([], "column_name string, prob double, quantile double")
     # Both neighbours of a position may lie in different items of the same column.
     part = F.col("position") - F.floor("position")
+    width = F.col("high") - F.col("low")
     return (hits.withColumn("column_name", F.element_at(names, F.col("item") + 1))
             .groupBy("column_name", "prob", "position").agg(F.min("num").alias("low"), F.max("num").alias("high"))
             .select("column_name", "prob", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(
-                F.col("low") + part * (F.col("high") - F.col("low"))).alias("quantile")))
+                F.when(width < math.inf, F.col("low") + part * width)
+                .otherwise(F.col("low") * (1 - part) + F.col("high") * part)).alias("quantile")))
 
 
 def spread_quantiles(quantiles: DataFrame, names: dict[float, str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,8 @@ def page_count(df: DataFrame, size: int = 40) -> DataFrame:
         "records", F.greatest(F.lit(1), F.ceil(F.col("records") / size)).cast("long").alias("pages"))
 
 
+#: The column of a row's hash while pages are cut.
+TIE = "_tie"
 #: Rows that a task may pass over by sorting; what lies before them is skipped by counting.
 PASSED = 10_000
 #: Characters by which a search among text keys goes on.
@@ -70,6 +73,17 @@ def _start(df: DataFrame, name: str, rank: int) -> tuple[Column | None, int]:
     return (number >= F.lit(first)) | column.isNull(), df.filter(number < F.lit(first)).count()
 
 
+def _with_tie(df: DataFrame) -> DataFrame:
+    """Add a hash of the row, of 52 bits: exact as a double, so that ranks of it can be searched."""
+    return df.withColumn(TIE, F.shiftrightunsigned(F.xxhash64(*[F.col(quoted(c)) for c in df.columns]), 12))
+
+
+def _row_order(df: DataFrame, key: str) -> list[Column]:
+    """By key, then by hash; rows that share both are ordered by their cells, after which only equal rows are left."""
+    return [F.col(quoted(key)).asc_nulls_last(), F.col(TIE), *[F.col(quoted(c)) for c in df.columns if c != key and
+            isinstance(df.schema[c].dataType, T.AtomicType)]]
+
+
 def page(df: DataFrame, key: str, number: int = 1, size: int = 40) -> DataFrame:
     """One page of the rows in key order; a number past the end gives the last page.
 
@@ -78,15 +92,12 @@ def page(df: DataFrame, key: str, number: int = 1, size: int = 40) -> DataFrame:
     To walk through a table use :func:`page_after`, which needs no ranks.
     """
     key = resolve_column(df, key)
-    tie = "_tie"
-    # 52 bits: exact as a double, so that ranks of it can be searched.
-    rows = df.withColumn(tie, F.shiftrightunsigned(F.xxhash64(*[F.col(quoted(c)) for c in df.columns]), 12))
+    tie, rows = TIE, _with_tie(df)
     shape = page_count(df, size).first()
     records, pages = shape["records"], shape["pages"]
     start = (min(max(1, number), pages) - 1) * size
     column = F.col(quoted(key))
-    order = [column.asc_nulls_last(), F.col(tie), *[F.col(quoted(c)) for c in df.columns if c != key and isinstance(
-        df.schema[c].dataType, T.AtomicType)]]
+    order = _row_order(df, key)
     if start > PASSED:
         condition, passed = _start(df, key, start)
         if condition is not None:
@@ -101,16 +112,56 @@ def page(df: DataFrame, key: str, number: int = 1, size: int = 40) -> DataFrame:
     return rows.orderBy(*order).offset(start).limit(size).drop(tie)
 
 
-def page_after(df: DataFrame, key: str, last_key: Any = None, size: int = 40) -> DataFrame:
-    """The page that follows the row with ``last_key``; the key filter is pushed to the scan."""
-    column = F.col(quoted(resolve_column(df, key)))
-    rows = df if last_key is None else df.filter(column > F.lit(last_key))
-    return rows.orderBy(column.asc_nulls_last()).limit(size)
+@dataclass(frozen=True)
+class Cursor:
+    """The last row of a page: its key, the hash of the row, and how many rows up to it bear both."""
+
+    key: Any
+    tie: int
+    seen: int
+
+
+def page_after(df: DataFrame, key: str, last_key: Any = None, size: int = 40,
+               cursor: Cursor | None = None) -> DataFrame:
+    """The page that follows a row, in order of the key (nulls last) and, for equal keys, of a hash of the row.
+
+    After ``last_key`` alone come the rows of other keys. To walk through all rows, of equal and of no keys too, take the
+    ``cursor`` of the page before from :func:`cursor_after`. The key's condition is pushed to the scan.
+    """
+    key = resolve_column(df, key)
+    column, rows, skipped = F.col(quoted(key)), _with_tie(df), 0
+    if cursor is not None:
+        here = F.col(TIE) >= F.lit(cursor.tie)
+        skipped = cursor.seen
+        if cursor.key is None:
+            rows = rows.filter(column.isNull() & here)
+        else:
+            # The first condition follows from the second; it is the one that reaches the scan.
+            last = F.lit(cursor.key).cast(df.schema[key].dataType)
+            rows = rows.filter((column >= last) | column.isNull()).filter((column != last) | column.isNull() | here)
+    elif last_key is not None:
+        rows = rows.filter((column > F.lit(last_key)) | column.isNull())
+    rows = rows.orderBy(*_row_order(df, key))
+    return (rows.offset(skipped) if skipped else rows).limit(size).drop(TIE)
+
+
+def cursor_after(page: DataFrame, key: str, cursor: Cursor | None = None) -> Cursor | None:
+    """The cursor of a page's last row, where the page itself follows ``cursor``; None for a page without rows."""
+    key = resolve_column(page, key)
+    place = F.struct(F.col(quoted(key)).isNull().alias("none"), F.col(quoted(key)).alias("key"), F.col(TIE))
+    last = (_with_tie(page).select(place.alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("seen"))
+            .orderBy(F.desc("place")).first())
+    if last is None:
+        return None
+    found = Cursor(last["place"]["key"], last["place"][TIE], last["seen"])
+    again = cursor is not None and (found.key, found.tie) == (cursor.key, cursor.tie)
+    return replace(found, seen=found.seen + cursor.seen) if again else found
 
 
 def inspect_record(df: DataFrame, key: str, value: Any) -> DataFrame:
-    """One record as rows (position, field, value, is_numeric, is_null)."""
-    row = df.filter(F.col(quoted(resolve_column(df, key))) == F.lit(value)).limit(1)
+    """One record as rows (position, field, value, is_numeric, is_null): of several with this key the first page's first."""
+    key = resolve_column(df, key)
+    row = _with_tie(df.filter(F.col(quoted(key)) == F.lit(value))).orderBy(*_row_order(df, key)).limit(1)
     cells = F.explode(F.array(*[
         F.struct(F.lit(n).alias("position"), F.lit(f.name).alias("field"),
                  F.col(quoted(f.name)).cast("string").alias("value"),

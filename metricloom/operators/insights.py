@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from metricloom.functions.formats import grouped_number, plain_number
 from metricloom.functions.metrics import computable_metrics
-from metricloom.functions.quantiles import value_at_rank
 from metricloom.model import SemanticModel
 from metricloom.operators.aggregate import grouping_rows, top_per_dimension
 
@@ -23,43 +22,53 @@ def candidate_dimensions(model: SemanticModel) -> list[str]:
     return list(dict.fromkeys(d for d in wanted if d))
 
 
-_PARETO = ("dimension string, groups long, top_count int, top_names string, top_revenue double, total_revenue double, "
-           "concentration_pct double, best_name string, best_revenue double, best_share double")
+#: The top fifth, how near to it an approximate percentile is asked for, and how exact that is (both as shares). With
+#: FEW groups or less all are put in order.
+TOP, AROUND, EXACT, FEW = 0.8, 1e-4, 100_000, 10_000
 
 
 def pareto(df: DataFrame, model: SemanticModel, dimensions: list[str] | None = None, names: int = 20) -> DataFrame:
     """Share of revenue of the top fifth of groups, on the first dimension with two groups.
 
-    All groups count. The revenue at which the top fifth begins is found by counting, so no task orders all groups; only
-    the first ``names`` of them are listed. Columns: dimension, groups, top_count, top_names, top_revenue,
-    total_revenue, concentration_pct, best_name, best_revenue, best_share.
+    All groups count. Two approximate percentiles, of bounded state, enclose the revenue at which the top fifth begins;
+    only the few groups between them are put in order, so the share is exact and no task orders all groups. It is one
+    plan: all its parts read the same grouped rows. Only the first ``names`` of the top fifth are listed. Columns:
+    dimension, groups, top_count, top_names, top_revenue, total_revenue, concentration_pct, best_name, best_revenue,
+    best_share.
     """
     dimensions = dimensions or candidate_dimensions(model)
     revenue = computable_metrics(model)["total_revenue"]
     rows = grouping_rows(df, dimensions, [revenue]).withColumn("value", F.coalesce("total_revenue", F.lit(0.0)))
-    shape = (rows.groupBy("dim_order", "dimension").agg(F.count(F.lit(1)).alias("groups"), F.sum("value").alias("total"))
-             .filter((F.col("total") > 0) & (F.col("groups") >= 2)).orderBy("dim_order").first())
-    if shape is None:
-        return df.sparkSession.createDataFrame([], _PARETO)
-    own = rows.filter(F.col("dim_order") == shape["dim_order"])
-    top_count = max(1, shape["groups"] // 5)
-    cut = value_at_rank(own, "value", shape["groups"] - top_count)
-    above = F.col("value") > F.lit(cut)
-    # Groups that tie with the cut fill up the top fifth.
-    sums = own.agg(F.sum(F.when(above, F.col("value"))).alias("above"), F.count(F.when(above, 1)).alias("n"))
-    top_revenue = F.coalesce("above", F.lit(0.0)) + F.lit(cut) * (top_count - F.col("n"))
+    near = F.percentile_approx("value", [TOP - AROUND, TOP + 2 * AROUND], EXACT)
+    few = F.col("groups") <= FEW
+    shape = (rows.groupBy("dim_order", "dimension").agg(
+        F.count(F.lit(1)).alias("groups"), F.sum("value").alias("total"), near.alias("near"))
+        .filter((F.col("total") > 0) & (F.col("groups") >= 2)).orderBy("dim_order").limit(1)
+        .select("dim_order", "dimension", "groups", "total",
+                F.greatest(F.lit(1), F.expr("groups div 5")).alias("top_count"),
+                F.when(few, F.lit(float("-inf"))).otherwise(F.col("near")[0]).alias("low"),
+                F.when(few, F.lit(float("inf"))).otherwise(F.col("near")[1]).alias("high")))
+    own = rows.join(F.broadcast(shape.drop("dimension", "total")), "dim_order")
+    # One row for all groups above, one for each revenue between.
+    between = F.when(F.col("value") <= F.col("high"), F.col("value"))
+    steps = own.filter(F.col("value") >= F.col("low")).groupBy(between.alias("step")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value").alias("sum"), F.first("top_count").alias("top_count"))
+    before = F.sum("n").over(W.orderBy(F.desc_nulls_first("step")).rowsBetween(W.unboundedPreceding, -1))
+    left = F.greatest(F.col("top_count") - F.coalesce(before, F.lit(0)), F.lit(0))
+    # Groups that tie where the top fifth ends fill it up.
+    taken = F.when(left >= F.col("n"), F.col("sum")).otherwise(F.col("step") * left)
+    top_revenue = steps.select(taken.alias("taken")).agg(F.sum("taken"))
     name = F.coalesce("dimension_value", F.lit("None"))
-    listed = top_per_dimension(own, "total_revenue", min(names, top_count)).agg(
+    listed = top_per_dimension(own, "total_revenue", names).filter(F.col("rank") <= F.col("top_count")).agg(
         F.array_sort(F.collect_list(F.struct("rank", name.alias("name"), "value"))).alias("listed"))
-    total = F.lit(shape["total"])
-    return sums.withColumn("listed", listed.scalar()).select(
-        F.lit(shape["dimension"]).alias("dimension"), F.lit(shape["groups"]).cast("long").alias("groups"),
-        F.lit(top_count).cast("int").alias("top_count"),
+    found = shape.withColumns({"top_revenue": top_revenue.scalar(), "listed": listed.scalar()})
+    return found.select(
+        "dimension", F.col("groups").cast("long").alias("groups"), F.col("top_count").cast("int").alias("top_count"),
         F.array_join(F.transform("listed", lambda n: n["name"]), ", ").alias("top_names"),
-        top_revenue.alias("top_revenue"), total.alias("total_revenue"),
-        F.round(top_revenue / total * 100.0, 1).alias("concentration_pct"),
+        "top_revenue", F.col("total").alias("total_revenue"),
+        F.round(F.col("top_revenue") / F.col("total") * 100.0, 1).alias("concentration_pct"),
         F.col("listed")[0]["name"].alias("best_name"), F.col("listed")[0]["value"].alias("best_revenue"),
-        F.round(F.col("listed")[0]["value"] / total * 100.0, 1).alias("best_share"))
+        F.round(F.col("listed")[0]["value"] / F.col("total") * 100.0, 1).alias("best_share"))
 
 
 def lowest_margin(df: DataFrame, model: SemanticModel, dimensions: list[str] | None = None,

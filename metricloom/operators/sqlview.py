@@ -9,40 +9,89 @@ from typing import Any
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-# Functions that run any code of the JVM.
+#: Kinds of plan nodes that a query may hold as it is written. Others are refused, whatever they are.
+WRITTEN_PLANS = frozenset(
+    "Project Filter Aggregate Sort Distinct Deduplicate GlobalLimit LocalLimit Offset Join LateralJoin Union Except "
+    "Intersect SubqueryAlias UnresolvedWith UnresolvedRelation UnresolvedHaving UnresolvedInlineTable LocalRelation "
+    "OneRowRelation WithWindowDefinition Window Pivot Unpivot Generate UnresolvedSubqueryColumnAliases Sample Tail "
+    "ResolvedInlineTable UnionLoop".split())
+#: Expressions that only names and parameters not yet looked up need. All others are Spark's own, of the package below.
+WRITTEN_NAMES = frozenset(
+    "UnresolvedAttribute UnresolvedFunction UnresolvedStar UnresolvedAlias UnresolvedOrdinal UnresolvedExtractValue "
+    "UnresolvedRegex MultiAlias UnresolvedGenerator NamedParameter PosParameter UnresolvedInlineTable".split())
+#: Kinds of plan nodes that have no input and may stand in a query once names are looked up; ``data`` apart.
+LEAVES = frozenset("OneRowRelation LocalRelation CTERelationRef UnionLoopRef".split())
+EXPRESSIONS = "org.apache.spark.sql.catalyst.expressions."
+#: Functions, and the expressions they become, that run any code of the JVM or of users.
 CODE_FUNCTIONS = ("reflect", "try_reflect", "java_method")
+CODE_EXPRESSIONS = frozenset(
+    "CallMethodViaReflection ScalaUDF ScalaUDAF ScalaAggregator PythonUDF PythonUDAF PythonUDTF UserDefinedExpression "
+    "ApplyFunctionExpression V2Aggregator".split())
 
 
 def _each(sequence) -> Iterator:
     return (sequence.apply(i) for i in range(sequence.size()))
 
 
-def _used(plan, known: frozenset[str]) -> Iterator[tuple[str, str]]:
-    """("table" or "function", name) of all that a parsed plan reads and calls, common table expressions left out.
+def _expressions(plan) -> Iterator:
+    open_ = list(_each(plan.expressions()))
+    while open_:
+        expression = open_.pop()
+        yield expression
+        open_ += _each(expression.children())
 
-    Tables that are ``known`` come as "data".
-    """
+
+def _is_code(expression, name: str) -> bool:
+    return name in CODE_EXPRESSIONS or not expression.getClass().getName().startswith(EXPRESSIONS)
+
+
+def _check_written(plan, known: frozenset[str]) -> bool:
+    """Whether a parsed plan reads ``data``; ValueError for any node, table or function that a query may not hold."""
     kind = plan.getClass().getSimpleName()
+    if kind not in WRITTEN_PLANS:
+        raise ValueError(f"Only read-only SELECT queries over 'data' are permitted, not {kind}.")
+    reads = False
     if kind == "UnresolvedWith":
         for entry in _each(plan.cteRelations()):
             name = entry._1().lower()
-            yield from _used(entry._2(), known | {name} if plan.allowRecursion() else known)
+            reads |= _check_written(entry._2(), known | {name} if plan.allowRecursion() else known)
             known |= {name}
-        yield from _used(plan.child(), known)
-        return
+        return _check_written(plan.child(), known) | reads
     if kind == "UnresolvedRelation":
         name = ".".join(_each(plan.multipartIdentifier()))
-        yield "table", "data" if name.lower() in known else name
-    elif kind in ("UnresolvedTableValuedFunction", "RelationTimeTravel"):
-        yield "table", kind
-    open_ = list(_each(plan.expressions()))
-    while open_:
-        expression = open_.pop()
-        if expression.getClass().getSimpleName() == "UnresolvedFunction":
-            yield "function", list(_each(expression.nameParts()))[-1].lower()
-        open_ += _each(expression.children())
+        if name.lower() not in known | {"data"}:
+            raise ValueError(f"Unknown table {name}; the data set is called 'data'.")
+        reads = name.lower() == "data"
+    for expression in _expressions(plan):
+        name = expression.getClass().getSimpleName()
+        if name not in WRITTEN_NAMES and _is_code(expression, name):
+            raise ValueError(f"{name} is not permitted.")
+        if name == "UnresolvedFunction" and list(_each(expression.nameParts()))[-1].lower() in CODE_FUNCTIONS:
+            raise ValueError(f"Function {list(_each(expression.nameParts()))[-1]} is not permitted.")
     for part in (*_each(plan.children()), *_each(plan.subqueries())):
-        yield from _used(part, known)
+        reads |= _check_written(part, known)
+    return reads
+
+
+def _check_resolved(plan) -> None:
+    """ValueError unless a resolved plan ends in ``data`` alone and calls built-in functions alone."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "View":
+        if plan.desc().identifier().table() != "data":
+            raise ValueError(f"Unknown table {plan.desc().identifier().table()}; the data set is called 'data'.")
+        return
+    parts = [*_each(plan.children()), *_each(plan.subqueries()), *_each(plan.innerChildren())]
+    if kind == "WithCTE":
+        parts += _each(plan.cteDefs())
+    if not parts and kind not in LEAVES:
+        raise ValueError(f"{kind} is not permitted.")
+    for expression in _expressions(plan):
+        name = expression.getClass().getSimpleName()
+        if _is_code(expression, name):
+            raise ValueError(f"{name} is not permitted.")
+    for part in parts:
+        if hasattr(part, "subqueries"):
+            _check_resolved(part)
 
 
 def check_sql(spark: SparkSession, sql: str) -> str:
@@ -52,19 +101,7 @@ def check_sql(spark: SparkSession, sql: str) -> str:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
     except PySparkException as error:
         raise ValueError(f"SQL cannot be read: {error}") from error
-    logical = "org.apache.spark.sql.catalyst.plans.logical"
-    jvm = spark._jvm
-    for kind in ("Command", "ParsedStatement", "V2WriteCommand"):
-        if jvm.java.lang.Class.forName(f"{logical}.{kind}").isInstance(plan):
-            raise ValueError("Only read-only SELECT queries are permitted.")
-    used = set(_used(plan, frozenset({"data"})))
-    others = sorted(name for kind, name in used if kind == "table" and name != "data")
-    if others:
-        raise ValueError(f"Unknown table {others}; the data set is called 'data'.")
-    called = sorted(name for kind, name in used if kind == "function" and name in CODE_FUNCTIONS)
-    if called:
-        raise ValueError(f"Function {called} is not permitted.")
-    if ("table", "data") not in used:
+    if not _check_written(plan, frozenset()):
         raise ValueError("SQL query must specify a FROM clause.")
     return statement
 
@@ -72,7 +109,9 @@ def check_sql(spark: SparkSession, sql: str) -> str:
 def safe_sql(df: DataFrame, sql: str, args: Mapping[str, Any] | list | None = None) -> DataFrame:
     """Run one read-only query; unknown columns fail at once, before any data is read.
 
-    It runs in a session of its own, which sees no view but ``data``; a view of that name elsewhere stays as it is.
+    It runs in a session of its own, which sees no view but ``data``; a view of that name elsewhere stays as it is. The
+    query is judged as written, before anything in it is looked up, and again as Spark resolved it: only known kinds of
+    nodes pass, all of them end in ``data``, and all functions are built in.
     """
     spark = df.sparkSession
     statement = check_sql(spark, sql)
@@ -83,7 +122,9 @@ def safe_sql(df: DataFrame, sql: str, args: Mapping[str, Any] | list | None = No
     df.createGlobalTempView(name)
     try:
         own.table(f"global_temp.{name}").createOrReplaceTempView("data")
-        return own.sql(statement, args=args)
+        found = own.sql(statement, args=args)
+        _check_resolved(found._jdf.queryExecution().analyzed())
+        return found
     except PySparkException as error:
         raise ValueError(f"SQL Execution Error: {error}") from error
     finally:

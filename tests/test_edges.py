@@ -3,10 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from metricloom.functions import quantiles
 from metricloom.functions.quantiles import column_quantiles
 from metricloom.model import SemanticModel
 from metricloom.operators import aggregate as A
 from metricloom.operators import cleaning as cl
+from metricloom.operators import insights
 from metricloom.operators import quality as q
 from metricloom.operators import timeseries as ts
 from metricloom.operators.explore import page
@@ -87,6 +89,39 @@ def test_infinite_values_have_quantiles(spark):
     assert rows == {0.25: 1.75, 1.0: float("inf")}
 
 
+def test_infinite_and_huge_values_are_searched(spark):
+    """Columns of more values than a task orders, with infinities and ranges beyond the largest double."""
+    n, inf = quantiles.FEW_ROWS * 2, float("inf")
+    value = F.col("id").cast("double")
+    df = spark.range(n).select(
+        F.when(F.col("id") == 7, inf).otherwise(value).alias("one"),
+        F.when(F.col("id") % 3 == 0, -inf).when(F.col("id") % 3 == 1, inf).otherwise(value).alias("many"),
+        ((value - n / 2) * (1.7e308 / (n / 2))).alias("huge"), (value * 5e-324).alias("tiny"))
+    items = quantiles._columns(df, df.columns, [0.5])
+    assert all(i.is_open() for i in items)
+    assert all(not i.is_open() for i in quantiles._searched(df, items))
+    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = {(r[0], r[1]): r[2] for r in column_quantiles(df, df.columns, probs).collect()}
+    data = df.toPandas()
+    for name in df.columns:
+        ordered = sorted(data[name])
+        for p in probs:
+            low, part = int(p * (n - 1)), p * (n - 1) % 1
+            a, b = ordered[low], ordered[min(low + 1, n - 1)]
+            wanted = a if part == 0 or a == b else a * (1 - part) + b * part
+            assert got[name, p] == wanted or abs(got[name, p] - wanted) <= max(1e-12 * abs(wanted), 1e-323), (name, p)
+
+
+def test_pareto_of_many_groups_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(insights, "FEW", 100)
+    df = spark.range(30_000).selectExpr("concat('c', id) AS city", "CAST(pmod(hash(id), 5000) AS DOUBLE) AS revenue")
+    model = SemanticModel(mappings={"revenue": "revenue"}, dimensions=("city",))
+    row = insights.pareto(df, model).first()
+    values = sorted((r["revenue"] for r in df.collect()), reverse=True)
+    assert (row["groups"], row["top_count"]) == (30_000, 6000)
+    assert abs(row["top_revenue"] - sum(values[:6000])) < 1e-3 and row["best_revenue"] == values[0]
+
+
 def test_pages_of_any_key_hold_each_row_once(spark):
     df = spark.range(30_000).selectExpr("id", "'k' || lpad(id % 700, 5, '0') AS t", "id % 3 AS few",
                                         "date_add(DATE'2000-01-01', CAST(id % 9000 AS INT)) AS d")

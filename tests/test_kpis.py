@@ -255,6 +255,42 @@ def test_safe_sql(spark):
     check_sql(spark, "SELECT EXTRACT(YEAR FROM d) FROM data WHERE a IS DISTINCT FROM b;")
 
 
+def test_safe_sql_refuses_what_it_does_not_know(spark, tmp_path):
+    df = spark.createDataFrame([(1, 100), (2, 200)], "id long, val long")
+    df.write.parquet(str(tmp_path / "files"))
+    df.createOrReplaceGlobalTempView("hidden")
+    for sql in ("SELECT * FROM data, IDENTIFIER('global_temp.' || 'hidden')",
+                f"SELECT * FROM data, IDENTIFIER('parquet.`{tmp_path}/files`')", f"SELECT * FROM data, parquet.`{tmp_path}/files`",
+                "SELECT IDENTIFIER('ref' || 'lect')('java.lang.System', 'getProperty', 'user.home') FROM data",
+                "SELECT IDENTIFIER(reflect('java.lang.System', 'getProperty', 'user.home')) FROM data",
+                "SELECT try_reflect('java.lang.System', 'getProperty', 'user.home') FROM data",
+                "EXECUTE IMMEDIATE 'SELECT * FROM global_temp.hidden'", "FROM data |> SELECT IDENTIFIER('i' || 'd')",
+                "SELECT * FROM data, range(3)", "SELECT * FROM data, LATERAL (SELECT * FROM global_temp.hidden)",
+                "SELECT id FROM data WHERE id IN (SELECT id FROM IDENTIFIER('global_temp.hidden'))",
+                "SELECT TRANSFORM(id) USING 'cat' AS (x string) FROM data", "FROM data INSERT INTO t SELECT id",
+                "SELECT transform(array(1), x -> reflect('java.lang.System', 'getProperty', 'a')) FROM data"):
+        with pytest.raises(ValueError):
+            safe_sql(df, sql).collect()
+
+
+def test_safe_sql_takes_queries_of_all_shapes(spark):
+    df = spark.createDataFrame([(1, 100), (2, 200)], "id long, val long")
+    for sql, wanted in (
+            ("SELECT max(val) OVER (PARTITION BY id % 2 ORDER BY id) AS x FROM data ORDER BY id", [100, 200]),
+            ("SELECT id AS x FROM data WHERE id IN (SELECT max(id) FROM data)", [2]),
+            ("WITH a AS (SELECT id FROM data), b AS (SELECT * FROM a) SELECT sum(b.id) AS x FROM b JOIN a USING (id)", [3]),
+            ("SELECT count(*) AS x FROM data GROUP BY ROLLUP (id) HAVING count(*) > 1", [2]),
+            ("SELECT v AS x FROM data LATERAL VIEW explode(array(id, val)) AS v ORDER BY 1 LIMIT 2 OFFSET 1", [2, 100]),
+            ("SELECT d.id AS x FROM data d LEFT ANTI JOIN (VALUES (1)) AS t(id) ON d.id = t.id", [2]),
+            ("SELECT id AS x FROM data EXCEPT SELECT 1 UNION ALL SELECT DISTINCT 7 FROM data", [2, 7]),
+            ("SELECT aggregate(transform(array(id, val), v -> v + 1), 0L, (a, b) -> a + b) AS x FROM data ORDER BY x", [103, 204]),
+            ("SELECT CASE WHEN val BETWEEN :low AND 150 THEN date_format(DATE'2024-01-01', 'yyyy') ELSE 'b' END AS x "
+             "FROM data ORDER BY id", ["2024", "b"]),
+            ("SELECT x FROM data PIVOT (sum(val) AS s FOR id IN (1 AS x))", [100]),
+            ("SELECT s.x FROM data, LATERAL (SELECT data.id * 2 AS x) AS s ORDER BY x", [2, 4])):
+        assert [r["x"] for r in safe_sql(df, sql, {"low": 1} if ":low" in sql else None).collect()] == wanted, sql
+
+
 def test_safe_sql_leaves_views_and_names_alone(spark):
     df = spark.createDataFrame([(1, 100), (2, 200)], "copy long, load long")
     spark.createDataFrame([(7,)], "x long").createOrReplaceTempView("data")

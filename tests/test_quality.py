@@ -14,7 +14,7 @@ from metricloom.functions.quantiles import column_quantiles
 from metricloom.operators import cleaning as cl
 from metricloom.operators import quality as q
 from metricloom.operators.concepts import CONCEPTS, build_model, concept_candidates, tag_concepts
-from metricloom.operators.explore import inspect_record, page, page_after
+from metricloom.operators.explore import cursor_after, inspect_record, page, page_after
 from metricloom.operators.profile import behaviour_roles, duplicate_rows, profile, type_roles
 from metricloom.sources import files
 
@@ -213,6 +213,23 @@ def test_paging(spark):
         ("k", "5", True, False), ("n", None, False, True)]
 
 
+@pytest.mark.parametrize("size", [2, 7, 1000])
+def test_walk_gives_every_row_once(spark, size):
+    rows = [(1, "a")] * 9 + [(1, "b")] * 3 + [(None, "c")] * 4 + [(None, "d")] + [(k, "e") for k in (-5, 2, 2, 3)]
+    df = spark.createDataFrame(rows, "k long, v string").repartition(3)
+    seen, cursor = [], None
+    while True:
+        part = page_after(df, "k", size=size, cursor=cursor)
+        cursor = cursor_after(part, "k", cursor)
+        if cursor is None:
+            break
+        seen += [tuple(r) for r in part.collect()]
+    assert sorted(seen, key=str) == sorted(rows, key=str)
+    assert [r[0] for r in seen] == sorted((r[0] for r in rows), key=lambda k: (k is None, k or 0))
+    assert [r["k"] for r in page_after(df, "k", 2).collect()] == [3] + [None] * 5
+    assert page_after(df.limit(0), "k").count() == 0
+
+
 def test_deep_page(spark, monkeypatch):
     monkeypatch.setattr(explore, "PASSED", 10)
     monkeypatch.setattr(quantile_module, "FEW_ROWS", 20)
