@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +38,9 @@ def _count(batches: Iterator[pa.RecordBatch], model_path: str) -> Iterator[pa.Re
     known: dict[str, int] = {}
     for batch in portions(batches):
         split = [PRE_TOKEN.findall(" " + t) if t else [] for t in batch["text"].to_pylist()]
-        codes, distinct = pd.factorize(np.fromiter(chain.from_iterable(split), dtype=object))
+        numbers: dict[str, int] = {}  # by the whole pre-token: characters behind a NUL count too
+        codes = np.fromiter((numbers.setdefault(p, len(numbers)) for p in chain.from_iterable(split)), dtype=np.int64)
+        distinct = list(numbers)
         if len(known) > REMEMBERED:
             known = {}
         new = [p for p in distinct if p not in known]

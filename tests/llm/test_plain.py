@@ -3,9 +3,11 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,6 +233,24 @@ def test_token_counts(docs, none, rows):
     assert count_tokens(none, path).count() == 0
 
 
+def test_token_counts_with_nul():
+    """Pre-tokens that differ only behind a NUL are different ones; whole batches of random texts, NUL among them."""
+    import public_tokenizers
+    import sentencepiece
+
+    from metricloom.llm.token_counts import _count
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(3)
+    texts = [".", ".\0x", " .", " .\0x", "a\0", "a", "a\0b \0 a\0"]
+    texts += ["".join(rng.choices("\0ab. \n▁é", k=rng.randrange(12))) for _ in range(30_000)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(len(part))), "text": part, "n_bytes": [0] * len(part)})
+               for part in (texts[:7], texts[7:15_000], texts[15_000:])]
+    found = [n for out in _count(iter(batches), path) for n in out["n_tokens"].to_pylist()]
+    assert found == [len(ids) for ids in model.encode(texts)]
+
+
 @pytest.fixture(scope="module")
 def ranks():
     import public_tokenizers
@@ -487,9 +507,9 @@ def test_language_stage_judges_by_the_model(spark, monkeypatch):
     rows += [(50, prose(50, 40), None), (51, "ЖЩЪЫЮЯЖЩ" * 9, None), (52, "12 %", "one"),
              (53, "ЖЩЪЫ ЮЯЖЩ " * 9 + "a", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    # 51 shares no n-gram with a language; 53 few, which shows with labelled documents enough.
+    # 51 shares no n-gram with a language; 53 few, which shows where the labelled documents count for much.
     assert {r["doc_id"] for r in stage(spark, docs, "").collect()} == {*range(40), 50, 53}
-    monkeypatch.setattr(corpus_pipeline, "ENOUGH", 40)
+    monkeypatch.setattr(corpus_pipeline, "HALFWAY", 1)
     assert {r["doc_id"] for r in stage(spark, docs, "").collect()} == {*range(40), 50}
     bare = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r["doc_id"] for r in stage(spark, bare, "").collect()} == {*range(40), 50, 51, 53}
