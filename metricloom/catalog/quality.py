@@ -11,7 +11,7 @@ from metricloom.operators import quality as q
 from metricloom.operators.concepts import tag_concepts
 from metricloom.operators.profile import DATE_SHAPES, behaviour_roles, duplicate_rows, profile, type_roles
 from metricloom.sources import views as V
-from metricloom.sources.files import blank_to_null, typed
+from metricloom.sources.files import blank_to_null, explorer_typed, typed
 
 _LINEITEM_NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
                      "l_discount", "l_tax")
@@ -442,3 +442,21 @@ def _(spark, sf):
         .when(F.col("l_linenumber") == 1, F.lit(float("-inf"))).otherwise(F.lit(float("inf"))).alias("price"))
     return column_quantiles(lines, ["price"], [0.2, 0.5, 0.75]).select(
         "column_name", "prob", F.round("quantile", 4).alias("quantile"))
+
+
+@query("explorer_csv_typed", """
+    SELECT c_custkey AS number, CAST(c_custkey % 2 = 0 AS DOUBLE) AS flag,
+           CASE WHEN c_custkey % 5 > 0 THEN CAST(c_custkey % 3 = 0 AS DOUBLE) ELSE c_acctbal END AS both,
+           nullif(CASE WHEN c_custkey % 7 = 0 THEN 'n/a' ELSE CAST(c_acctbal AS VARCHAR) END, '') AS mixed,
+           CASE WHEN c_custkey % 4 > 0 THEN c_name END AS name FROM (
+        SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, CAST(c_acctbal AS DOUBLE) AS c_acctbal, c_name FROM customer)""")
+def _(spark, sf):
+    """Customers as cells of text with blanks, true and false, read back by the explorer's rules."""
+    key, balance = F.col("c_custkey"), F.col("c_acctbal").cast("double")
+    flag = lambda condition: F.when(condition, " TRUE ").otherwise("false")
+    cells = V.table(spark, sf, "customer").select(
+        F.concat(F.lit(" "), key.cast("string")).alias("number"), flag(key % 2 == 0).alias("flag"),
+        F.when(key % 5 > 0, flag(key % 3 == 0)).otherwise(balance.cast("string")).alias("both"),
+        F.when(key % 7 == 0, "n/a").otherwise(balance.cast("string")).alias("mixed"),
+        F.when(key % 4 > 0, F.col("c_name")).otherwise("  ").alias("name"))
+    return explorer_typed(cells)

@@ -70,6 +70,11 @@ def read_explorer_csv(spark: SparkSession, path: str) -> DataFrame:
            .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
            # All columns are parsed, so that rows of the wrong length are seen whatever is selected.
            .option("columnPruning", False).csv(path))
+    return explorer_typed(raw)
+
+
+def explorer_typed(raw: DataFrame) -> DataFrame:
+    """Text columns as the record explorer types them: blank cells null, columns of numbers and true/false as doubles."""
     rows = raw.select(*[F.nullif(F.trim(F.col(quoted(c))), F.lit("")).alias(c) for c in raw.columns])
 
     def number(name: str) -> Column:
