@@ -274,6 +274,14 @@ _DASHBOARD = f"""
     UNION ALL SELECT 'card', 2, 'prior_value', 'total_revenue', (SELECT v FROM q WHERE age = 2), NULL
     UNION ALL SELECT 'card', 3, 'growth_percentage', 'total_revenue',
         (SELECT round(round(c.v - b.v, 2) / b.v * 100, 2) FROM q c, q b WHERE c.age = 1 AND b.age = 2), NULL
+    UNION ALL SELECT 'card', 12, 'trend', 'total_revenue', NULL,
+        (SELECT CASE WHEN round(c.v - b.v, 2) > 0 THEN 'up' WHEN round(c.v - b.v, 2) < 0 THEN 'down' ELSE 'flat' END
+         FROM q c, q b WHERE c.age = 1 AND b.age = 2)
+    UNION ALL SELECT 'card', 13, 'current_period', 'total_revenue', NULL, (SELECT p FROM q WHERE age = 1)
+    UNION ALL SELECT 'card', 14, 'prior_period', 'total_revenue', NULL, (SELECT p FROM q WHERE age = 2)
+    UNION ALL SELECT 'single', 1, 'value', 'single', round(sum(quantity), 2), format('{{:,.0f}}', sum(quantity))
+        FROM sales {_WHERE}
+    UNION ALL SELECT 'broken', 0, 'error', NULL, NULL, 'column ''no_such'' does not exist'
     UNION ALL SELECT 'card', i + 3, 'spark_' || i, 'total_revenue', v, NULL FROM last8
     UNION ALL SELECT 'line', i, p, 'units_sold', v, format('{{:,.0f}} units', v) FROM yearly
     UNION ALL {_top('bar', 'category', ['total_profit'], 4, _WHERE)}
@@ -288,19 +296,22 @@ _DASHBOARD = f"""
 
 @query("dashboard_data", over("sales", body=_DASHBOARD))
 def dashboard(spark, sf):
-    """A cross-filtered dashboard: card, line, bar, table and a custom KPI."""
+    """A cross-filtered dashboard: card, line, bar, table, two custom KPIs and a widget that cannot be shown."""
     widgets = [
         Widget("card", "kpi_card", ("total_revenue",)),
         Widget("line", "line_chart", ("units_sold",), granularity="year"),
         Widget("bar", "bar_chart", ("total_profit",), "category", limit=4),
         Widget("table", "table", ("total_orders", "profit_margin"), "product", limit=6),
         Widget("custom", "bar_chart", kpi=KpiSpec("avg", "quantity", "region")),
+        Widget("single", "kpi_card", kpi=KpiSpec("sum", "quantity")),
+        Widget("broken", "bar_chart", dimension="no_such"),
     ]
     # A second pick on the same column replaces the first.
     picks = toggle_filter(toggle_filter([], "segment", "MACHINERY"), "segment", "BUILDING")
     df = V.sales(spark, sf, ["order_id", "order_date", "quantity", "sale_price", "cost_price", "product", "category",
                              "segment", "region"])
-    return rounded(dashboard_data(df, V.SALES_MODEL, widgets, picks), value=2)
+    rows = rounded(dashboard_data(df, V.SALES_MODEL, widgets, picks), value=2)
+    return rows.withColumn("formatted_value", F.regexp_replace("formatted_value", "; columns are .*", ""))
 
 
 @query("chart_suggestion", over("sales", body="""
@@ -313,7 +324,29 @@ def dashboard(spark, sf):
            ELSE 'bar_chart' END AS chart FROM c"""))
 def _(spark, sf):
     dims = ["order_date", "category", "product", "region"]
-    return suggest_charts(V.sales(spark, sf, dims), dims, with_table=True)
+    return suggest_charts(V.sales(spark, sf, dims), dims, with_table=True).drop("reason")
+
+
+@query("chart_reasons", over("sales", body="""
+    WITH c AS (SELECT 'order_date' AS dimension, count(DISTINCT order_date) AS n FROM sales
+               UNION ALL SELECT 'category', count(DISTINCT category) FROM sales
+               UNION ALL SELECT 'region', count(DISTINCT region) FROM sales
+               UNION ALL SELECT 'status', count(DISTINCT status) FROM sales)
+    SELECT 'auto' AS asked, dimension, n AS distinct_count,
+           CASE WHEN dimension = 'order_date' THEN 'line_chart' WHEN n BETWEEN 2 AND 5 THEN 'pie_chart'
+                ELSE 'bar_chart' END AS chart,
+           CASE WHEN dimension = 'order_date'
+                THEN format('Line chart (dimension ''{}'' represents chronological progression)', dimension)
+                WHEN n BETWEEN 2 AND 5
+                THEN format('Donut/Pie chart (dimension ''{}'' has low cardinality: {} segments)', dimension, n)
+                ELSE format('Comparative Bar chart (dimension ''{}'' has {} distinct categories)', dimension, n)
+                END AS reason FROM c
+    UNION ALL SELECT 'area_chart', dimension, n, 'area_chart', 'User selected area chart' FROM c"""))
+def _(spark, sf):
+    dims = ["order_date", "category", "region", "status"]
+    df = V.sales(spark, sf, dims)
+    parts = [suggest_charts(df, dims, chosen=c).withColumn("asked", F.lit(c)) for c in ("auto", "area_chart")]
+    return parts[0].unionByName(parts[1])
 
 
 # -- SQL and questions ------------------------------------------------------------------------

@@ -9,7 +9,8 @@ from metricloom.functions.quantiles import column_quantiles
 from metricloom.operators import cleaning as cl
 from metricloom.operators import quality as q
 from metricloom.operators.concepts import tag_concepts
-from metricloom.operators.profile import DATE_SHAPES, behaviour_roles, duplicate_rows, profile, type_roles
+from metricloom.operators.concepts import CONCEPTS, DATE_CONCEPTS, NUMERIC_CONCEPTS
+from metricloom.operators.profile import dataset_summary, DATE_SHAPES, behaviour_roles, duplicate_rows, profile, type_roles
 from metricloom.sources import views as V
 from metricloom.sources.files import blank_to_null, explorer_typed, typed
 
@@ -202,9 +203,74 @@ def _(spark, sf):
     return behaviour_roles(V.dirty(spark, sf)).drop("style")
 
 
-@query("concept_tags")
+_TAGGED = {
+    "sales": _SALES_TYPES,
+    "workforce": [("employee_id", "numeric"), ("department", "text"), ("salary", "numeric"), ("city", "text"),
+                  ("hire_date", "datetime"), ("status", "text")],
+    "subscriptions": [("user_id", "numeric"), ("plan", "text"), ("mrr", "numeric"), ("churn", "text"),
+                      ("event_time", "datetime")],
+    "shipments": [("shipment_id", "text"), ("carrier", "text"), ("weight", "numeric")],
+    "encounters": [("patient_id", "numeric"), ("diagnosis", "text")],
+    "clean": [("cust_id", "numeric"), ("cust_name", "text"), ("sales_total", "numeric"), ("unit_price", "numeric"),
+              ("segment", "text"), ("joined", "text"), ("state", "text")],
+}
+
+
+def _concepts_sql() -> str:
+    """Concepts take their best free column in turn: a recursive CTE over each data set's concepts."""
+    roles = " UNION ALL ".join(f"SELECT '{v}' AS dataset_id, * FROM ({_roles_sql(v, c)})" for v, c in _TAGGED.items())
+    patterns = ", ".join(
+        f"({n}, '{concept}', {m}, '{pattern}', {base}, "
+        f"'{'numeric' if concept in NUMERIC_CONCEPTS else 'date' if concept in DATE_CONCEPTS else 'any'}')"
+        for n, (concept, found) in enumerate(CONCEPTS) for m, (pattern, base) in enumerate(found))
+    has = lambda *names: f"list_has_any(concepts, {list(names)})"
+    sales, goods = has("sale_price", "quantity", "revenue"), has("product", "category")
+    staff = has("department", "employee_id", "job_title", "hire_date", "salary")
+    return over(*_TAGGED, body=f"""
+    WITH roles AS ({roles}),
+    patterns(priority, concept, pattern_no, pattern, base, needs) AS (VALUES {patterns}),
+    fits AS (SELECT dataset_id, position, column_name, priority, concept, pattern_no,
+                    least(1.0, base + CASE WHEN role = 'measure' AND needs = 'numeric' THEN 0.02
+                                           WHEN role = 'dimension' AND needs <> 'numeric' THEN 0.02
+                                           WHEN role = 'time_dimension' AND needs = 'date' THEN 0.02 ELSE 0 END) AS conf
+             FROM roles JOIN patterns ON regexp_matches(lower(trim(column_name)), pattern)
+              AND (needs = 'any' OR (needs = 'numeric' AND detected_type = 'numeric')
+                   OR (needs = 'date' AND (detected_type IN ('date', 'datetime') OR role = 'time_dimension')))),
+    options AS (SELECT dataset_id, position, column_name, priority, concept,
+                       CAST(round(arg_min(conf, pattern_no), 2) AS DOUBLE) AS conf FROM fits GROUP BY ALL),
+    turns AS (SELECT dataset_id, concept, row_number() OVER (PARTITION BY dataset_id ORDER BY priority) AS turn,
+                     list({{'name': column_name, 'conf': conf}} ORDER BY conf DESC, position) AS choice
+              FROM options GROUP BY dataset_id, priority, concept),
+    picks AS (SELECT DISTINCT dataset_id, CAST(0 AS BIGINT) AS turn, '' AS concept, '' AS name,
+                     CAST(NULL AS DOUBLE) AS conf, CAST([] AS VARCHAR[]) AS taken FROM turns
+              UNION ALL
+              SELECT dataset_id, turn, concept, best.name, best.conf,
+                     CASE WHEN best IS NULL THEN taken ELSE list_append(taken, best.name) END
+              FROM (SELECT t.dataset_id, t.turn, t.concept, p.taken,
+                           [c FOR c IN t.choice IF NOT list_contains(p.taken, c.name)][1] AS best
+                    FROM picks p JOIN turns t ON t.dataset_id = p.dataset_id AND t.turn = p.turn + 1)),
+    kept AS (SELECT dataset_id, concept, name, conf FROM picks WHERE turn > 0 AND name IS NOT NULL),
+    kinds AS (SELECT dataset_id, list(concept) AS concepts FROM kept GROUP BY dataset_id),
+    named AS (SELECT dataset_id, concepts,
+                     CASE WHEN {staff} AND NOT {sales} THEN 'human_resources'
+                          WHEN {has("user_id", "subscription_plan", "mrr", "churn")} AND NOT {goods}
+                          THEN 'saas_subscription'
+                          WHEN {has("shipment_id", "carrier", "weight")} AND NOT {sales} THEN 'logistics_supply_chain'
+                          WHEN {has("patient_id", "diagnosis")} THEN 'healthcare'
+                          WHEN {sales} AND {goods} THEN 'sales' WHEN {sales} THEN 'financial_transactions'
+                          WHEN {goods} THEN 'inventory' ELSE 'generic_analytics' END AS domain FROM kinds)
+    SELECT dataset_id, concept, name AS column_name, conf AS confidence, domain,
+           CASE domain WHEN 'human_resources' THEN 'hr_workforce' WHEN 'saas_subscription' THEN 'saas_analytics'
+                WHEN 'logistics_supply_chain' THEN 'logistics_analytics' WHEN 'healthcare' THEN 'patient_records'
+                WHEN 'sales' THEN CASE WHEN {has("order_id")} THEN 'ecommerce_sales' ELSE 'retail_sales' END
+                WHEN 'financial_transactions' THEN 'financial_sales' WHEN 'inventory' THEN 'product_inventory'
+                ELSE 'tabular_data' END AS dataset_type
+    FROM kept JOIN named USING (dataset_id)""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("concept_tags", _concepts_sql())
 def _(spark, sf):
-    """Concepts of six data sets in one job (tested by brute force, the choice is sequential)."""
+    """Concepts of six data sets in one job."""
     views = {"sales": V.sales(spark, sf), "workforce": V.workforce(spark, sf),
              "subscriptions": V.subscriptions(spark, sf), "shipments": V.shipments(spark, sf),
              "encounters": V.encounters(spark, sf), "clean": cl.clean(V.dirty(spark, sf))}
@@ -370,6 +436,50 @@ def _(spark, sf):
         "quality_score", "malformed_numerics", "invalid_dates")
 
 
+def _actions_sql(*more: str) -> str:
+    """The first two actions, and selects of (place, sentence) behind them."""
+    rows = " UNION ALL ".join(f"SELECT * FROM ({m})" for m in more)
+    return over("clean", body=f"""
+    WITH k AS (SELECT * REPLACE ({{}}) FROM clean), a AS (
+        SELECT 1 AS place, 'Standardized 7 column names to snake_case.' AS action
+        UNION ALL SELECT 2, 'Coerced formatted strings in measure column ''sales_total'' to numeric Float64.'
+        UNION ALL {rows})
+    SELECT CAST(row_number() OVER (ORDER BY place) AS INTEGER) AS position, action FROM a""")
+
+
+_ACTIONS = {
+    "abs": ("Converted ", " to absolute values.", "abs({0})"),
+    "nullify": ("Nullified ", ".", "CASE WHEN {0} >= 0 THEN {0} END"),
+}
+
+
+def _actions_query(policy: str) -> None:
+    before, behind, change = _ACTIONS[policy]
+    counted = [f"SELECT {n} AS place, '{before}' || count(*) || ' negative values in ''{c}''{behind}' AS action "
+               f"FROM clean WHERE {c} < 0 HAVING count(*) > 0" for n, c in ((3, "sales_total"), (4, "unit_price"))]
+    changed = ", ".join(f"{change.format(c)} AS {c}" for c in ("sales_total", "unit_price"))
+
+    @query(f"cleaning_actions_{policy}", _actions_sql(*counted, """
+        SELECT 5 AS place, 'Removed ' || (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM k)))
+               || ' exact duplicate records.' AS action FROM k
+        HAVING count(*) > (SELECT count(*) FROM (SELECT DISTINCT * FROM k))""").replace("{}", changed))
+    def _(spark, sf):
+        return q.cleaning_actions(V.dirty(spark, sf), cl.CleaningPolicy(negatives=policy, drop_duplicates=True))
+
+
+for _policy in _ACTIONS:
+    _actions_query(_policy)
+
+
+@query("dataset_summary", over("dirty", body="""
+    SELECT count(*) AS row_count, 7 AS column_count,
+           count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) AS duplicate_rows,
+           round(100.0 * (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty))) / count(*), 2)
+               AS duplicate_percentage FROM dirty"""))
+def _(spark, sf):
+    return dataset_summary(V.dirty(spark, sf))
+
+
 def _outlier_sql(column: str, table: str) -> str:
     return f"""
     SELECT '{column}' AS column_name, 'IQR' AS method, round(lo, 4) AS lower_bound, round(hi, 4) AS upper_bound,

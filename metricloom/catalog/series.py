@@ -191,6 +191,71 @@ def _(spark, sf):
         "confidence_score", "confidence_label")
 
 
+_DEPTH = """
+    WITH v AS (SELECT order_id, order_date, quantity, sale_price, cost_price, category FROM sales),
+    p AS (SELECT count(*) AS n,
+                 (100.0 * (count(*) - count(order_id)) + 100.0 * (count(*) - count(order_date))
+                + 100.0 * (count(*) - count(quantity)) + 100.0 * (count(*) - count(sale_price))
+                + 100.0 * (count(*) - count(cost_price)) + 100.0 * (count(*) - count(category))) / count(*) / 6 AS nulls,
+                 CAST((SELECT count(*) FROM (SELECT DISTINCT * FROM v)) < count(*) AS INTEGER) AS warnings FROM v),
+    c AS (SELECT n, nulls, warnings, CASE WHEN n >= 10000 THEN 100.0 WHEN n >= 1000 THEN 85.0 WHEN n >= 200 THEN 70.0
+                         WHEN n >= 50 THEN 50.0 WHEN n > 0 THEN 30.0 ELSE 0.0 END AS a,
+                 CASE WHEN nulls <= 1 THEN 100.0 WHEN nulls <= 5 THEN 90.0 WHEN nulls <= 15 THEN 70.0
+                      WHEN nulls <= 30 THEN 50.0 ELSE 25.0 END AS b, 100.0 - 12.0 * warnings AS q FROM p),"""
+_DEPTH_COLUMNS = ["order_id", *_AMOUNTS, "cost_price", "category"]
+
+
+@query("metric_trends", over("sales", body=_DEPTH + _WINDOWS.strip().removeprefix("WITH ") + f""",
+    r AS (SELECT segment, round((c - p) / nullif(p, 0) * 100.0, 1) AS pct,
+                 row_number() OVER (ORDER BY abs(c - p) DESC, segment) AS k FROM s WHERE c <> 0 OR p <> 0),
+    one AS (SELECT segment, pct FROM r WHERE k = 1),
+    two AS (SELECT segment, pct FROM r WHERE k IN (2, 3) AND abs(pct) >= 1.0 ORDER BY k LIMIT 1),
+    y AS (SELECT {_start('quarter')} AS p, {M['total_revenue']} AS v, {M['profit_margin']} AS w FROM sales GROUP BY 1),
+    l AS (SELECT 'total_revenue' AS metric_id, 'Total Revenue' AS label, p, v FROM y
+          UNION ALL SELECT 'profit_margin', 'Profit Margin', p, w FROM y),
+    g AS (SELECT *, lag(v) OVER (PARTITION BY metric_id ORDER BY p) AS pv,
+                 lag(p) OVER (PARTITION BY metric_id ORDER BY p) AS pp,
+                 row_number() OVER (PARTITION BY metric_id ORDER BY p DESC) AS age FROM l),
+    h AS (SELECT *, round(v - pv, 2) AS d, round(round(v - pv, 2) / pv * 100, 2) AS pct FROM g WHERE age = 1),
+    t AS (SELECT round(a * 0.30 + b * 0.35 + q * 0.20 + 15.0, 1) AS score FROM c)
+    SELECT metric_id, p AS current_period, pp AS prior_period, round(v, 2) AS current_value,
+           round(pv, 2) AS prior_value, d AS absolute_change, h.pct AS growth_percentage,
+           CASE WHEN d > 0 THEN 'up' WHEN d < 0 THEN 'down' ELSE 'flat' END AS trend, true AS has_periods,
+           CAST(NULL AS VARCHAR) AS note,
+           CASE WHEN abs(h.pct) < 0.5 THEN label || ' remained essentially flat versus the prior period.'
+                WHEN metric_id = 'total_revenue'
+                THEN 'Driven by a ' || CASE WHEN one.pct >= 0 THEN 'lift' ELSE 'decline' END || ' of '
+                     || format('{{:.1f}}', abs(one.pct)) || '% in ' || one.segment
+                     || coalesce((SELECT '; ' || two.segment || CASE WHEN two.pct >= 0 THEN ' up ' ELSE ' down ' END
+                                         || format('{{:.1f}}', abs(two.pct)) || '%' FROM two), '') || '.'
+                END AS headline,
+           CAST(score AS DOUBLE) AS confidence_score,
+           CASE WHEN score >= 80 THEN 'High confidence' WHEN score >= 60 THEN 'Moderate confidence'
+                WHEN score >= 40 THEN 'Limited confidence' ELSE 'Low confidence' END AS confidence_label
+    FROM h CROSS JOIN one CROSS JOIN t"""))
+def _(spark, sf):
+    """Growth, headline and confidence of a sum and a ratio, by the automatic granularity."""
+    df = V.sales(spark, sf, _DEPTH_COLUMNS)
+    columns = profile(df)
+    context = confidence_context(columns, quality_warnings(columns, duplicate_rows(df)))
+    return ts.metric_trends(df, V.SALES_MODEL, ["total_revenue", "profit_margin"], context)
+
+
+@query("confidence_factors", over("sales", body=_DEPTH.strip().rstrip(",") + """
+    SELECT 1 AS factor, 'Sample size' AS label, CAST(a AS DOUBLE) AS score, format('{:,}', n) || ' rows' AS detail FROM c
+    UNION ALL SELECT 2, 'Data completeness', CAST(b AS DOUBLE),
+        CASE WHEN nulls = 0 THEN 'Complete' ELSE 'Avg ' || format('{:.1f}', nulls) || '% nulls' END FROM c
+    UNION ALL SELECT 3, 'Data quality', CAST(q AS DOUBLE),
+        CASE WHEN warnings = 0 THEN 'No warnings' ELSE warnings || ' warning(s)' END FROM c
+    UNION ALL SELECT 4, 'Trend depth', 25.0::DOUBLE, 'Single period only' FROM c"""))
+def _(spark, sf):
+    df = V.sales(spark, sf, _DEPTH_COLUMNS)
+    columns = profile(df)
+    context = confidence_context(columns, quality_warnings(columns, duplicate_rows(df)))
+    return ts.confidence_factors(context.withColumn("has_periods", F.lit(False))).select(
+        "factor", "label", "score", "detail")
+
+
 # -- forecasts --------------------------------------------------------------------------------
 
 def _forecast_sql(grain: str, months: int, horizon: int, by: str | None, group_by: str | None = None) -> str:

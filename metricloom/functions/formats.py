@@ -104,13 +104,15 @@ def calendar_rank(name: Column, names: tuple[str, ...]) -> Column:
     return F.array_position(F.array(*[F.lit(n) for n in names]), name)
 
 
-def period_start(date: Column, granularity: str) -> Column:
-    """First day of the period a date falls in (weeks start on Monday)."""
+def period_start(date: Column, granularity: str | Column) -> Column:
+    """First day of the period a date falls in (weeks start on Monday); the granularity may be a column."""
     day = date.cast("date")
-    return day if granularity == "day" else F.trunc(day, granularity)
+    if isinstance(granularity, str):
+        return day if granularity == "day" else F.trunc(day, granularity)
+    return F.when(granularity == "day", day).otherwise(F.call_function("trunc", day, granularity))
 
 
-def period_label(start: Column, granularity: str) -> Column:
+def _label(start: Column, granularity: str) -> Column:
     if granularity == "year":
         return F.date_format(start, "yyyy")
     if granularity == "quarter":
@@ -118,3 +120,12 @@ def period_label(start: Column, granularity: str) -> Column:
     if granularity == "month":
         return F.date_format(start, "yyyy-MM")
     return start.cast("string")
+
+
+def period_label(start: Column, granularity: str | Column) -> Column:
+    if isinstance(granularity, str):
+        return _label(start, granularity)
+    text = start.cast("string")
+    for unit in ("year", "quarter", "month"):
+        text = F.when(granularity == unit, _label(start, unit)).otherwise(text)
+    return text

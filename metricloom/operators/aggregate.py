@@ -148,7 +148,8 @@ def _rate_hit(df: DataFrame, spec: KpiSpec) -> Column:
             "lt": left < right, "lte": left <= right}[condition.op]
 
 
-def _kpi_aggregate(df: DataFrame, spec: KpiSpec) -> Column:
+def custom_measure(df: DataFrame, spec: KpiSpec) -> Column:
+    """The aggregate behind a custom KPI."""
     how = spec.aggregation
     if how == "rate":
         hits = F.count(F.when(_rate_hit(df, spec), 1))
@@ -168,7 +169,7 @@ def _kpi_aggregate(df: DataFrame, spec: KpiSpec) -> Column:
     raise ValueError(f"unsupported aggregation {how!r}")
 
 
-def _as_number(df: DataFrame, spec: KpiSpec, value: Column) -> Column:
+def custom_number(df: DataFrame, spec: KpiSpec, value: Column) -> Column:
     """The value of a KPI as a double; the least or greatest of a date is no number and shows as missing."""
     if spec.aggregation not in ("min", "max"):
         return value.cast("double")
@@ -185,6 +186,11 @@ def is_time_like(df: DataFrame, dimension: str) -> bool:
             or any(w in dimension.lower() for w in words))
 
 
+def by_time(df: DataFrame, spec: KpiSpec) -> bool:
+    """Whether the groups of a custom KPI are shown in the order of their dimension."""
+    return is_time_like(df, resolve_column(df, spec.dimension)) and spec.output_type in ("auto", "line_chart")
+
+
 def custom_kpi(df: DataFrame, spec: KpiSpec, filters: Iterable[Filter] = ()) -> DataFrame:
     """Scalar KPI: one row (metric_value, formatted_value). Grouped: one row per group.
 
@@ -192,14 +198,14 @@ def custom_kpi(df: DataFrame, spec: KpiSpec, filters: Iterable[Filter] = ()) ->
     itself, anything else by value, nulls last. A null group value shows as 0.
     """
     df = apply_filters(df, filters)
-    measure = _kpi_aggregate(df, spec)
+    measure = custom_measure(df, spec)
     if spec.dimension is None:
         if spec.aggregation == "percent_of_total":
             total = df.agg(measure.alias("total"))
             value = F.round(ratio(F.col("total") * 100.0, F.col("total")), 2)
             rows = total.select(value.alias("metric_value"))
         else:
-            rows = df.agg(_as_number(df, spec, measure).alias("metric_value"))
+            rows = df.agg(custom_number(df, spec, measure).alias("metric_value"))
         return rows.withColumn("formatted_value",
                                kpi_text(F.col("metric_value"), spec.text_style, spec.unit))
 
@@ -212,9 +218,8 @@ def custom_kpi(df: DataFrame, spec: KpiSpec, filters: Iterable[Filter] = ()) ->
         total = grouped.agg(F.sum(F.when(F.col("dimension_value").isNotNull(), F.col("metric_value")))).scalar()
         grouped = grouped.withColumn("metric_value", F.round(ratio(F.col("metric_value") * 100.0, total), 2))
     else:
-        grouped = grouped.withColumn("metric_value", _as_number(df, spec, F.col("metric_value")))
-    by_time = is_time_like(df, name) and spec.output_type in ("auto", "line_chart")
-    keys = [F.col("dimension_value").asc()] if by_time else ordered("metric_value", ascending=False)
+        grouped = grouped.withColumn("metric_value", custom_number(df, spec, F.col("metric_value")))
+    keys = [F.col("dimension_value").asc()] if by_time(df, spec) else ordered("metric_value", ascending=False)
     value = F.coalesce(F.col("metric_value"), F.lit(0.0))
     return (grouped.orderBy(*keys).limit(spec.limit)
             .select(F.col("dimension_value").cast("string").alias("dimension_value"),
@@ -226,7 +231,7 @@ def kpi_sparkline(df: DataFrame, spec: KpiSpec, date_column: str, points: int =
     """First months of a scalar KPI, oldest first: rows (period_start, metric_value)."""
     date = F.col(quoted(resolve_column(df, date_column)))
     rows = (df.filter(date.isNotNull()).groupBy(period_start(date, "month").alias("period"))
-            .agg(_kpi_aggregate(df, spec).cast("double").alias("metric_value")))
+            .agg(custom_measure(df, spec).cast("double").alias("metric_value")))
     return (rows.orderBy("period").limit(points)
             .select(F.col("period").cast("string").alias("period_start"), "metric_value"))
 

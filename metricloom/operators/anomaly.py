@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -53,7 +53,7 @@ def _report(rows: DataFrame, *extra) -> DataFrame:
         F.when(F.col("delta") > 0, "spike").otherwise("drop").alias("anomaly_type"), *extra)
 
 
-def _causes(df: DataFrame, model: SemanticModel, metric: str, granularity: str,
+def _causes(df: DataFrame, model: SemanticModel, metric: str, granularity: str | Column,
             dimension: str) -> tuple[DataFrame, DataFrame]:
     chosen = computable_metrics(model)[metric]
     segments = (period_metrics(df, model, [chosen], granularity, [dimension])

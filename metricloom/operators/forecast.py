@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,6 +18,18 @@ _STEP_MONTHS = {"month": 1, "quarter": 3, "year": 12}
 _STEP_DAYS = {"day": 1, "week": 7}
 
 
+def _ahead(start: Column, steps: Column, granularity: str | Column) -> Column:
+    """The start of the period some steps after another's."""
+    def moved(unit: str) -> Column:
+        if unit in _STEP_DAYS:
+            return F.date_add(start, (steps * _STEP_DAYS[unit]).cast("int"))
+        return F.add_months(start, (steps * _STEP_MONTHS[unit]).cast("int"))
+
+    if isinstance(granularity, str):
+        return moved(granularity)
+    return F.coalesce(*[F.when(granularity == unit, moved(unit)) for unit in (*_STEP_DAYS, *_STEP_MONTHS)])
+
+
 def trend(series: DataFrame, metric: str, by: Iterable[str] = ()) -> DataFrame:
     """Least-squares line per series over the period index 0..n-1.
 
@@ -65,10 +77,7 @@ def forecast(df: DataFrame, model: SemanticModel, metric: str, horizon: int = 3,
     raw = F.col("intercept") + F.col("slope") * (F.col("n") - 1 + F.col("step"))
     predicted = F.greatest(F.lit(0.0), raw)
     band = F.col("std_err") * F.sqrt(1 + F.col("step") / F.greatest(F.lit(1), F.col("n")))
-    if granularity in _STEP_DAYS:
-        period = F.date_add("last_period", (F.col("step") * _STEP_DAYS[granularity]).cast("int"))
-    else:
-        period = F.add_months("last_period", (F.col("step") * _STEP_MONTHS[granularity]).cast("int"))
+    period = _ahead(F.col("last_period"), F.col("step"), granularity)
     base = F.when(F.col("last_value") > 0, F.col("last_value")).otherwise(1.0)
     final = F.greatest(F.lit(0.0), F.col("intercept") + F.col("slope") * (F.col("n") - 1 + horizon))
     change = F.round((final - base) / base * 100.0, 1)

@@ -242,6 +242,12 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
                          .alias("duplicate_percentage"))
 
 
+def dataset_summary(df: DataFrame) -> DataFrame:
+    """One row (row_count, column_count, duplicate_rows, duplicate_percentage)."""
+    return duplicate_rows(df).select("row_count", F.lit(len(df.columns)).alias("column_count"), "duplicate_rows",
+                                     "duplicate_percentage")
+
+
 # -- C20 --------------------------------------------------------------------------------------
 
 # Words of a yes/no flag, and name hints for units.

@@ -151,6 +151,43 @@ def cleaning_report(raw: DataFrame, policy: CleaningPolicy | None = None) -> Dat
                        "negative_measures", "missing_values", "malformed_numerics", "invalid_dates")
 
 
+def cleaning_actions(raw: DataFrame, policy: CleaningPolicy | None = None) -> DataFrame:
+    """Rows (position, action): what cleaning by a policy does to a table, in the order in which it is done.
+
+    Counts come from one aggregate over the renamed, coerced table; removed copies from the
+    row counts before and after. Actions that change nothing are not listed.
+    """
+    policy = policy or CleaningPolicy()
+    names = clean_names(raw.columns) if policy.standardize_column_names else list(raw.columns)
+    named = raw.toDF(*names)
+    money = [c for c in text_columns(named) if is_money_name(c)] if policy.coerce_currency else []
+    coerced = coerce_money(trim_text(named) if policy.trim_whitespace else named, money)
+    negatives = negative_columns(coerced) if policy.negatives != "flag" else []
+    # The sentences of the actions.
+    sentence = {"abs": ("Converted ", " negative values in '{}' to absolute values."),
+                "nullify": ("Nullified ", " negative values in '{}'."),
+                "drop_row": ("Dropped ", " rows with negative values in '{}'.")}
+    counts = coerced.agg(F.count(F.lit(1)).alias("rows"), *[
+        F.count(F.when(F.col(quoted(c)) < 0, 1)).alias(f"n{i}") for i, c in enumerate(negatives)])
+    actions = []
+    if policy.standardize_column_names:
+        actions.append(F.lit(f"Standardized {len(names)} column names to snake_case."))
+    actions += [F.lit(f"Coerced formatted strings in measure column '{c}' to numeric Float64.") for c in money]
+    for i, c in enumerate(negatives):
+        before, behind = sentence[policy.negatives]
+        n = F.col(f"n{i}")
+        actions.append(F.when(n > 0, F.concat(F.lit(before), n.cast("string"), F.lit(behind.format(c)))))
+    if policy.drop_duplicates:
+        kept = handle_negatives(coerced, policy.negatives)
+        copies = duplicate_rows(kept).select("duplicate_rows")
+        counts = counts.crossJoin(F.broadcast(copies))  # two single rows
+        n = F.col("duplicate_rows")
+        actions.append(F.when(n > 0, F.concat(F.lit("Removed "), n.cast("string"), F.lit(" exact duplicate records."))))
+    listed = F.array_compact(F.array(*actions)) if actions else F.array().cast("array<string>")
+    return counts.select(F.posexplode(listed).alias("position", "action")).select(
+        (F.col("position") + 1).alias("position"), "action")
+
+
 # -- K9 ---------------------------------------------------------------------------------------
 
 def outliers(df: DataFrame, columns: list[str]) -> DataFrame:

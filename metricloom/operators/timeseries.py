@@ -39,18 +39,18 @@ def auto_granularity(df: DataFrame, model: SemanticModel) -> DataFrame:
                        days.alias("span_days"), granularity_from_span(days).alias("granularity"))
 
 
-def choose_granularity(df: DataFrame, model: SemanticModel, granularity: str | None) -> str:
-    """The given granularity, else the automatic one (one metadata row comes to the driver)."""
+def choose_granularity(df: DataFrame, model: SemanticModel, granularity: str | Column | None) -> str | Column:
+    """The given granularity, else the automatic one as a scalar subquery: nothing runs while a plan is built."""
     if granularity is None:
-        return auto_granularity(df, model).first()["granularity"]
-    if granularity not in GRANULARITIES:
+        return auto_granularity(df, model).select("granularity").scalar()
+    if not isinstance(granularity, Column) and granularity not in GRANULARITIES:
         raise ValueError(f"granularity must be one of {GRANULARITIES}")
     return granularity
 
 
 # -- F1, F3 -----------------------------------------------------------------------------------
 
-def period_metrics(df: DataFrame, model: SemanticModel, metrics: Iterable[Metric], granularity: str,
+def period_metrics(df: DataFrame, model: SemanticModel, metrics: Iterable[Metric], granularity: str | Column,
                    by: Iterable[str] = ()) -> DataFrame:
     """Unordered (period date, by..., metrics...) with null dates left out."""
     date = F.col(quoted(_date_column(df, model)))
@@ -61,7 +61,7 @@ def period_metrics(df: DataFrame, model: SemanticModel, metrics: Iterable[Metric
 
 
 def timeseries(df: DataFrame, model: SemanticModel, metrics: Iterable[str] = (),
-               granularity: str | None = None, filters: Iterable[Filter] = ()) -> DataFrame:
+               granularity: str | Column | None = None, filters: Iterable[Filter] = ()) -> DataFrame:
     """(period_start, period_label, metric columns), oldest first. Gaps are not filled."""
     df = apply_filters(df, filters)
     granularity = choose_granularity(df, model, granularity)
@@ -129,68 +129,59 @@ def sparkline(series: DataFrame, points: int = 8) -> DataFrame:
 
 # -- F7 ---------------------------------------------------------------------------------------
 
-def _daily_amounts(df: DataFrame, model: SemanticModel, metric: Metric, segment: str) -> DataFrame:
-    """(day, segment, amount, rows) of a metric that is a plain sum."""
+def _daily_amounts(df: DataFrame, model: SemanticModel, metrics: Iterable[Metric], segment: str) -> DataFrame:
+    """(day, segment, rows, a column for each metric) of metrics that are plain sums."""
     day = F.col(quoted(_date_column(df, model))).cast("date")
     name = F.col(quoted(resolve_column(df, segment)))
     return (df.filter(day.isNotNull()).groupBy(day.alias("day"), name.cast("string").alias("segment"))
-            .agg(F.sum(metric.row()).cast("double").alias("amount"), F.count(F.lit(1)).alias("rows")))
+            .agg(F.count(F.lit(1)).alias("rows"), *[F.sum(m.row()).cast("double").alias(m.id) for m in metrics]))
 
 
-def segment_windows(df: DataFrame, model: SemanticModel, metric: Metric, segment: str) -> DataFrame:
-    """(segment, curr_val, prior_val, pct_delta): dates from Q3 on against dates in [Q1, Q3).
+def _segment_sides(daily: DataFrame, metrics: list[str]) -> DataFrame:
+    """(metric_id, segment, curr_val, prior_val, pct_delta) from daily sums.
 
-    Rows are summed by (day, segment) first. The quartiles come from the counts per day,
-    of which there are only as many as calendar days, so `percentile` is safe here.
+    The quartiles come from the counts per day, of which there are only as many as
+    calendar days, so `percentile` is safe here.
     """
-    daily = _daily_amounts(df, model, metric, segment).withColumn("day_no", F.unix_date("day"))
-    bounds = (daily.groupBy("day_no").agg(F.sum("rows").alias("rows"))
+    numbered = daily.withColumn("day_no", F.unix_date("day"))
+    bounds = (numbered.groupBy("day_no").agg(F.sum("rows").alias("rows"))
               .agg(F.percentile("day_no", [0.25, 0.75], F.col("rows")).alias("q")))
-    marked = daily.filter(F.col("segment").isNotNull()).crossJoin(F.broadcast(bounds))
+    marked = numbered.filter(F.col("segment").isNotNull()).crossJoin(F.broadcast(bounds))  # a single row
     current = F.col("day_no") >= F.col("q")[1]
     prior = (F.col("day_no") < F.col("q")[1]) & (F.col("day_no") >= F.col("q")[0])
-    sums = marked.groupBy("segment").agg(
-        F.coalesce(F.sum(F.when(current, F.col("amount"))), F.lit(0.0)).alias("curr_val"),
-        F.coalesce(F.sum(F.when(prior, F.col("amount"))), F.lit(0.0)).alias("prior_val"))
+
+    def side(test: Column, metric: str) -> Column:
+        return F.coalesce(F.sum(F.when(test, F.col(quoted(metric)))), F.lit(0.0))
+
+    sums = marked.groupBy("segment").agg(*[
+        F.struct(F.lit(m).alias("metric_id"), side(current, m).alias("curr_val"), side(prior, m).alias("prior_val"))
+        .alias(f"s{i}") for i, m in enumerate(metrics)])
+    rows = sums.select("segment", F.explode(F.array(*[f"s{i}" for i in range(len(metrics))])).alias("s")).select(
+        "s.metric_id", "segment", "s.curr_val", "s.prior_val")
     change = F.col("curr_val") - F.col("prior_val")
     pct = F.round(F.try_divide(change, F.col("prior_val")) * 100.0, 1)
-    return (sums.filter((F.col("curr_val") != 0) | (F.col("prior_val") != 0))
-            .withColumn("pct_delta", pct))
+    return rows.filter((F.col("curr_val") != 0) | (F.col("prior_val") != 0)).withColumn("pct_delta", pct)
 
 
-def headline(df: DataFrame, model: SemanticModel, metric_id: str, granularity: str | None = None,
-             filters: Iterable[Filter] = ()) -> DataFrame:
-    """One row (metric_id, growth_percentage, headline): which segment drove the latest change.
+def segment_windows(df: DataFrame, model: SemanticModel, metric: Metric, segment: str) -> DataFrame:
+    """(segment, curr_val, prior_val, pct_delta): dates from Q3 on against dates in [Q1, Q3).
 
-    The text is null for metrics that are not plain sums and when no segment column exists.
+    Rows are summed by (day, segment) first.
     """
-    df = apply_filters(df, filters)
-    metric = computable_metrics(model)[metric_id]
-    granularity = choose_granularity(df, model, granularity)
-    segment = model.segment_column("category", "product", "department")
-    if segment is None or metric.row is None:
-        series = timeseries(df, model, [metric_id], granularity)
-    else:
-        # The same daily sums serve the series and the segment windows.
-        start = period_start(F.col("day"), granularity).cast("string")
-        series = (_daily_amounts(df, model, metric, segment).groupBy(start.alias("period_start"))
-                  .agg(F.sum("amount").alias(metric_id)))
-    latest = growth(series).select("metric_id", "growth_percentage", "note")
-    # The sentences of the headline.
-    flat = F.lit(f"{metric.label} remained essentially flat versus the prior period.")
-    is_flat = F.col("growth_percentage").isNull() | (F.abs("growth_percentage") < 0.5)
-    if segment is None or metric.row is None:
-        text = F.when(F.col("note").isNotNull(), F.col("note")).when(is_flat, flat)
-        return latest.select("metric_id", "growth_percentage", text.cast("string").alias("headline"))
-
-    top = (segment_windows(df, model, metric, segment)
-           .orderBy(F.abs(F.col("curr_val") - F.col("prior_val")).desc(), F.col("segment").asc()).limit(3))
-    listed = top.agg(F.array_sort(F.collect_list(F.struct(
-        (-F.abs(F.col("curr_val") - F.col("prior_val"))).alias("key"), F.col("segment"),
-        F.col("pct_delta")))).alias("top"))
+    return _segment_sides(_daily_amounts(df, model, [metric], segment), [metric.id]).drop("metric_id")
+
+
+def _drivers(daily: DataFrame, metrics: list[str]) -> DataFrame:
+    """(metric_id, driver): which segments changed most, as a sentence."""
+    move = F.abs(F.col("curr_val") - F.col("prior_val"))
+    largest = W.partitionBy("metric_id").orderBy(move.desc(), F.col("segment").asc())
+    top = _segment_sides(daily, metrics).withColumn("place", F.row_number().over(largest)).filter("place <= 3")
+    listed = top.groupBy("metric_id").agg(F.array_sort(F.collect_list(F.struct("place", "segment", "pct_delta")))
+                                          .alias("top"))  # three segments a metric
     first = F.get("top", F.lit(0))
     others = F.filter(F.slice("top", 2, 2), lambda s: s["pct_delta"].isNotNull() & (F.abs(s["pct_delta"]) >= 1.0))
     second = F.get(others, F.lit(0))
+    # The sentence of a driver.
     clause = F.when(second.isNotNull(), F.concat(
         F.lit("; "), second["segment"],
         F.when(second["pct_delta"] >= 0, F.lit(" up ")).otherwise(F.lit(" down ")),
@@ -199,9 +190,67 @@ def headline(df: DataFrame, model: SemanticModel, metric_id: str, granularity: s
         F.lit("Driven by a "), F.when(first["pct_delta"] >= 0, F.lit("lift")).otherwise(F.lit("decline")),
         F.lit(" of "), plain_number(F.abs(first["pct_delta"]), 1), F.lit("% in "), first["segment"],
         clause, F.lit(".")))
-    text = F.when(F.col("note").isNotNull(), F.col("note")).when(is_flat, flat).otherwise(driver)
-    return (latest.crossJoin(F.broadcast(listed))
-            .select("metric_id", "growth_percentage", text.alias("headline")))
+    return listed.select("metric_id", driver.alias("driver"))
+
+
+def headlines(df: DataFrame, model: SemanticModel, metric_ids: Iterable[str], granularity: str | None = None,
+              filters: Iterable[Filter] = ()) -> DataFrame:
+    """The columns of ``growth`` and a headline, a row per metric: which segment drove the latest change.
+
+    Metrics that are plain sums share one aggregate by day and segment: their series, the
+    segment windows and an automatic granularity all come from it. The others share one
+    series; their headline, as that of a model without a segment column, only tells a
+    flat or missing trend. Without any dated row there is no row.
+    """
+    df = apply_filters(df, filters)
+    known = computable_metrics(model)
+    wanted = [known[m] for m in dict.fromkeys(metric_ids)]
+    segment = model.segment_column("category", "product", "department")
+    sums = [m for m in wanted if segment is not None and m.row is not None]
+    others = [m.id for m in wanted if m not in sums]
+    parts = []
+    if sums:
+        ids = [m.id for m in sums]
+        daily = _daily_amounts(df, model, sums, segment)
+        if granularity is None:
+            span = daily.agg(F.date_diff(F.max("day"), F.min("day")).alias("days"))
+            unit = span.select(granularity_from_span(F.col("days"))).scalar()
+        else:
+            unit = choose_granularity(df, model, granularity)
+        start = period_start(F.col("day"), unit).cast("string")
+        series = (daily.withColumn("period_start", start).groupBy("period_start")
+                  .agg(*[F.sum(quoted(m)).alias(m) for m in ids]))
+        # A handful of rows on either side: one for each metric.
+        parts.append(growth(series).join(F.broadcast(_drivers(daily, ids)), "metric_id", "left"))
+    if others:
+        series = timeseries(df, model, others, choose_granularity(df, model, granularity))
+        parts.append(growth(series).withColumn("driver", F.lit(None).cast("string")))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    name = F.lit(None).cast("string")
+    for m in wanted:
+        name = F.when(F.col("metric_id") == m.id, m.label).otherwise(name)
+    # The sentence of a flat trend.
+    flat = F.concat(name, F.lit(" remained essentially flat versus the prior period."))
+    is_flat = F.col("growth_percentage").isNull() | (F.abs("growth_percentage") < 0.5)
+    text = F.when(F.col("note").isNotNull(), F.col("note")).when(is_flat, flat).otherwise(F.col("driver"))
+    return rows.withColumn("headline", text).drop("driver")
+
+
+def headline(df: DataFrame, model: SemanticModel, metric_id: str, granularity: str | None = None,
+             filters: Iterable[Filter] = ()) -> DataFrame:
+    """One row (metric_id, growth_percentage, headline): which segment drove the latest change."""
+    return headlines(df, model, [metric_id], granularity, filters).select("metric_id", "growth_percentage", "headline")
+
+
+def metric_trends(df: DataFrame, model: SemanticModel, metric_ids: Iterable[str], context: DataFrame,
+                  granularity: str | None = None, filters: Iterable[Filter] = ()) -> DataFrame:
+    """Growth, headline, confidence_score and confidence_label of several metrics, a row per metric.
+
+    ``context`` is the single row of ``confidence_context``; the trend depth is each metric's own.
+    """
+    rows = headlines(df, model, metric_ids, granularity, filters)
+    scored = confidence(rows.crossJoin(F.broadcast(context)))  # a single row
+    return scored.select(*rows.columns, "confidence_score", "confidence_label")
 
 
 # -- F6 ---------------------------------------------------------------------------------------
@@ -231,3 +280,24 @@ def confidence(context: DataFrame) -> DataFrame:
                         .when(F.col("confidence_score") >= 60, "Moderate confidence")
                         .when(F.col("confidence_score") >= 40, "Limited confidence")
                         .otherwise("Low confidence")))
+
+
+def confidence_factors(context: DataFrame) -> DataFrame:
+    """The four factors behind a confidence score: the columns of ``context`` and (factor, label, score, detail)."""
+    scored = confidence(context)
+    rows, nulls = F.coalesce("row_count", F.lit(0)), F.coalesce("avg_null_percentage", F.lit(0.0))
+    warnings = F.coalesce("warnings", F.lit(0))
+    # Names and details of the factors.
+    factors = (
+        ("Sample size", "size_score", F.when(rows == 0, "No data").otherwise(
+            F.concat(F.format_number(rows, 0), F.lit(" rows")))),
+        ("Data completeness", "completeness_score", F.when(nulls == 0, "Complete").otherwise(
+            F.concat(F.lit("Avg "), plain_number(nulls, 1), F.lit("% nulls")))),
+        ("Data quality", "quality_score", F.when(warnings == 0, "No warnings").otherwise(
+            F.concat(warnings.cast("string"), F.lit(" warning(s)")))),
+        ("Trend depth", "depth_score", F.when(F.coalesce("has_periods", F.lit(True)), "Multi-period history")
+         .otherwise("Single period only")))
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(n).alias("factor"), F.lit(label).alias("label"), F.col(score).alias("score"),
+                 detail.alias("detail")) for n, (label, score, detail) in enumerate(factors, 1)]))
+    return scored.select(*context.columns, cells.alias("f")).select(*context.columns, "f.*")

@@ -9,13 +9,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from metricloom.functions.formats import metric_text, period_start
+from metricloom.functions.formats import kpi_text, metric_text, period_start
 from metricloom.functions.metrics import computable_metrics, record_count
 from metricloom.model import Filter, SemanticModel, quoted, resolve_column
-from metricloom.operators.aggregate import KpiSpec, custom_kpi, is_time_like, kpi_summary
+from metricloom.operators.aggregate import (
+    KpiSpec, by_time, custom_kpi, custom_measure, custom_number, is_time_like, kpi_summary)
 from metricloom.operators.filters import apply_filters
-from metricloom.operators.timeseries import choose_granularity
+from metricloom.operators.timeseries import choose_granularity, metric_trends
 
 KINDS = ("kpi_card", "line_chart", "area_chart", "bar_chart", "pie_chart", "table")
 
@@ -40,134 +42,239 @@ class Widget:
 
 
 def dashboard_data(df: DataFrame, model: SemanticModel, widgets: Iterable[Widget],
-                   filters: Iterable[Filter] = ()) -> DataFrame:
+                   filters: Iterable[Filter] = (), context: DataFrame | None = None) -> DataFrame:
     """Rows (widget_id, position, key, metric_id, value, formatted_value) for all widgets.
 
-    Cards, series and breakdowns share one grouping-sets aggregate of the filtered data
-    (the empty set for cards, one set per granularity and per dimension), so the number
-    of scans does not grow with the number of widgets.
-    A KPI card also yields ``<metric>`` rows keyed 'prior_value', 'growth_percentage'
-    and 'spark_1'..'spark_8'. Custom KPIs are aggregates of their own.
+    Cards, series, breakdowns and custom KPIs share one grouping-sets aggregate of the
+    filtered data (the empty set for single values, one set per granularity and per
+    dimension), so the number of scans does not grow with the number of widgets. An
+    automatic granularity is a subquery on the date column. Only custom shares of a total
+    are aggregates of their own, as each group needs the sum of the groups.
+    A KPI card also yields ``<metric>`` rows keyed 'prior_value', 'growth_percentage',
+    'spark_1'..'spark_8', 'trend', 'current_period' and 'prior_period', the last three as
+    text. With ``context`` (the row of ``confidence_context``) a card also has 'headline'
+    and 'confidence'. A widget that cannot be planned (an unknown column, a series without
+    dates) yields one row keyed 'error' with the reason as text; the others are shown.
     """
     widgets = list(widgets)
     df = apply_filters(df, filters)
-    standard = [w for w in widgets if w.kpi is None]
-    parts = [_custom(df, w) for w in widgets if w.kpi is not None]
-    if standard:
-        parts.append(_standard(df, model, standard))
+    plan = _Plan(df, model)
+    apart, failed = [], []
+    for w in widgets:
+        try:
+            if w.kpi is not None and w.kpi.aggregation == "percent_of_total":
+                apart.append(_share(df, w))
+            else:
+                plan.add(w)
+        except ValueError as reason:
+            failed.append((w.id, 0, "error", None, None, str(reason)))
+    parts = [*apart]
+    if plan.shown:
+        parts.append(plan.rows())
+        cards = [(s.widget, s.metrics[0]) for s in plan.shown if s.kind == "trend" and s.metrics != ("count",)]
+        if context is not None and cards:
+            parts += _card_details(df, model, cards, context)
+    if failed or not parts:
+        parts.append(df.sparkSession.createDataFrame(
+            failed, "widget_id string, position int, key string, metric_id string, value double, formatted_value string"))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _custom(df: DataFrame, widget: Widget) -> DataFrame:
+def _share(df: DataFrame, widget: Widget) -> DataFrame:
+    """A custom KPI that is a share of the total."""
     rows = custom_kpi(df, widget.kpi)
-    key = F.col("dimension_value") if widget.kpi.dimension else F.lit("value")
+    key, order = F.lit("value"), [F.lit(1)]
+    if widget.kpi.dimension:
+        key = F.col("dimension_value")
+        order = [F.col("metric_value").desc_nulls_last(), key.asc()]
+        if by_time(df, widget.kpi):
+            order = [key.asc()]
     # At most `limit` rows, so ranking them in one partition is harmless.
-    order = [F.col("metric_value").desc_nulls_last(), F.col("dimension_value").asc()] if widget.kpi.dimension else [key]
-    if widget.kpi.dimension and is_time_like(df, resolve_column(df, widget.kpi.dimension)):
-        order = [F.col("dimension_value").asc()]
     return rows.select(F.lit(widget.id).alias("widget_id"),
                        F.row_number().over(W.orderBy(*order)).alias("position"), key.alias("key"),
                        F.lit(widget.id).alias("metric_id"), F.col("metric_value").alias("value"), "formatted_value")
 
 
-def _standard(df: DataFrame, model: SemanticModel, widgets: list[Widget]) -> DataFrame:
-    known = {**computable_metrics(model), "count": record_count()}
-    date = resolve_column(df, model.date_column) if model.date_column else None
-    automatic = None
-    if date and any(w.granularity is None and w.kind not in ("bar_chart", "pie_chart", "table") for w in widgets):
-        automatic = choose_granularity(df, model, None)
+def _card_details(df: DataFrame, model: SemanticModel, cards: list[tuple[Widget, str]],
+                  context: DataFrame) -> list[DataFrame]:
+    """Headline and confidence of cards, one aggregate for each granularity in use."""
+    parts = []
+    for grain in dict.fromkeys(w.granularity for w, _ in cards):
+        shown = [(w.id, m) for w, m in cards if w.granularity == grain]
+        rows = metric_trends(df, model, dict.fromkeys(m for _, m in shown), context, grain)
+        targets = F.explode(F.filter(F.array(*[
+            F.struct(F.lit(i).alias("widget_id"), F.lit(m).alias("m")) for i, m in shown]),
+            lambda t: t["m"] == F.col("metric_id")))
+        cells = F.explode(F.array(
+            F.struct(F.lit(15).alias("position"), F.lit("headline").alias("key"),
+                     F.lit(None).cast("double").alias("value"), F.col("headline").alias("formatted_value")),
+            F.struct(F.lit(16).alias("position"), F.lit("confidence").alias("key"),
+                     F.col("confidence_score").alias("value"), F.col("confidence_label").alias("formatted_value"))))
+        parts.append(rows.withColumn("t", targets).select("t.widget_id", "metric_id", cells.alias("c")).select(
+            "widget_id", "c.position", "c.key", "metric_id", "c.value", "c.formatted_value"))
+    return parts
 
-    # Grouping keys: one per granularity in use and one per dimension in use.
-    keys: dict[str, Column] = {}
-    plan = []  # (widget, kind of set, key name, metrics)
-    for w in widgets:
-        metrics = [m for m in dict.fromkeys(w.metrics) if m in known] or ["count"]
-        if w.kind in ("line_chart", "area_chart") and date is None:
-            raise ValueError(f"widget {w.id!r} needs a date column")
-        if w.kind == "kpi_card":
-            plan.append((w, "card", None, metrics))
-            if date:
-                grain = w.granularity or automatic
-                keys.setdefault(f"_{grain}", period_start(F.col(quoted(date)), grain))
-                plan.append((w, "trend", f"_{grain}", metrics))
+
+@dataclass(frozen=True)
+class _Shown:
+    """A widget's use of a grouping set; ``name`` is the set's key, None for the whole data."""
+
+    widget: Widget
+    kind: str  # card, trend, series, groups; custom KPIs: single, custom
+    name: str | None
+    metrics: tuple[str, ...]
+    in_order: bool = False  # groups by key rather than by value
+
+
+class _Plan:
+    """Grouping sets and measures that the widgets of a dashboard share."""
+
+    def __init__(self, df: DataFrame, model: SemanticModel):
+        self.df, self.model = df, model
+        self.known = {**computable_metrics(model), "count": record_count()}
+        self.date = resolve_column(df, model.date_column) if model.date_column else None
+        self.keys: dict[str, Column] = {}
+        self.shown: list[_Shown] = []
+        self.customs: dict[str, tuple[KpiSpec, Column]] = {}
+
+    def metrics(self, w: Widget) -> tuple[str, ...]:
+        return tuple(m for m in dict.fromkeys(w.metrics) if m in self.known) or ("count",)
+
+    def period(self, grain: str | None) -> str:
+        name = f"_{grain or 'auto'}"
+        if name not in self.keys:
+            unit = choose_granularity(self.df, self.model, grain)
+            self.keys[name] = period_start(F.col(quoted(self.date)), unit)
+        return name
+
+    def dimension(self, name: str) -> str:
+        name = resolve_column(self.df, name)
+        self.keys.setdefault(name, F.col(quoted(name)))
+        return name
+
+    def add(self, w: Widget) -> None:
+        if w.kpi is not None:
+            measure = custom_measure(self.df, w.kpi)
+            name = self.dimension(w.kpi.dimension) if w.kpi.dimension else None
+            self.customs[w.id] = (w.kpi, measure)
+            self.shown.append(_Shown(w, "custom" if name else "single", name, (f"_kpi_{w.id}",),
+                                     name is not None and by_time(self.df, w.kpi)))
+        elif w.kind == "kpi_card":
+            trend = self.period(w.granularity) if self.date else None
+            self.shown.append(_Shown(w, "card", None, self.metrics(w)))
+            if trend:
+                self.shown.append(_Shown(w, "trend", trend, self.metrics(w)))
         elif w.kind in ("line_chart", "area_chart"):
-            grain = w.granularity or automatic
-            keys.setdefault(f"_{grain}", period_start(F.col(quoted(date)), grain))
-            plan.append((w, "series", f"_{grain}", metrics))
+            if self.date is None:
+                raise ValueError(f"widget {w.id!r} needs a date column")
+            self.shown.append(_Shown(w, "series", self.period(w.granularity), self.metrics(w)))
         else:
-            name = resolve_column(df, w.dimension or model.dimensions[0])
-            keys.setdefault(name, F.col(quoted(name)))
-            plan.append((w, "groups", name, metrics))
-
-    used = {m: known[m] for _, _, _, metrics in plan for m in metrics}
-    base = df.withColumns({f"_k{n}": c for n, c in enumerate(keys.values())})
-    slots = [F.col(f"_k{n}") for n in range(len(keys))]
-    sets = [[s] for s in slots]
-    if any(kind == "card" for _, kind, _, _ in plan):
-        sets.append([])
-    grouped = base.groupingSets(sets, *slots).agg(
-        F.grouping_id().alias("_gid"), *[m.column() for m in used.values()])
-    ids = {name: sum(1 << (len(keys) - 1 - j) for j in range(len(keys)) if j != n) for n, name in enumerate(keys)}
-    everything = (1 << len(keys)) - 1
-
-    # Each aggregated row goes to every widget that shows its grouping set.
-    targets = F.explode(F.filter(F.array(*[
-        F.struct(F.lit(w.id).alias("widget_id"), F.lit(kind).alias("part"), F.lit(n).alias("plan_no"),
-                 F.lit(everything if name is None else ids[name]).cast("long").alias("gid"), F.lit(w.limit).alias("most"),
-                 F.lit(metrics[0]).alias("main"), F.col(quoted(metrics[0])).alias("main_value"))
-        for n, (w, kind, name, metrics) in enumerate(plan)]), lambda t: t["gid"] == F.col("_gid")))
-    key = F.coalesce(*[F.when(F.col("_gid") == ids[name], F.col(f"_k{n}").cast("string"))
-                       for n, name in enumerate(keys)]) if keys else F.lit(None).cast("string")
-    part, value, age = F.col("t.part"), F.col("t.main_value"), F.col("age")
-    timed = part.isin("trend", "series")
-    rows = grouped.withColumn("key", key).withColumn("t", targets).filter(~timed | F.col("key").isNotNull())
-
-    # A dimension may have very many groups: their rank is cut at a constant, which Spark
-    # applies in every task before the shuffle. Periods are partitions of their own and all pass.
-    best = W.partitionBy("t.plan_no", F.when(timed, F.col("key"))).orderBy(
-        value.desc_nulls_last(), F.col("key").asc_nulls_last())
-    most = max([w.limit for w, kind, _, _ in plan if kind == "groups"], default=1)
-    rows = (rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most)
-            .filter((part != "groups") | (F.col("rank") <= F.col("t.most"))))
-    # Left are the top groups and one row per period, for each widget.
-    by_plan = W.partitionBy("t.plan_no")
-    in_time = by_plan.orderBy(F.col("key").asc_nulls_last())
-    rows = (rows.withColumn("place", F.row_number().over(in_time))
-            .withColumn("age", F.row_number().over(by_plan.orderBy(F.col("key").desc_nulls_first())))
-            .withColumn("prior", F.lag(F.coalesce(value, F.lit(0.0))).over(in_time))
-            .withColumn("shown", F.least(F.lit(8), F.count(F.lit(1)).over(by_plan)).cast("int"))
-            .filter((part != "trend") | (age <= 8)))
-
-    def cell(position: Column, name: Column, metric: Column, number: Column, text: Column) -> Column:
-        return F.struct(position.cast("int").alias("position"), name.alias("key"), metric.alias("metric_id"),
-                        number.alias("value"), text.alias("formatted_value"))
-
-    main, blank = F.col("t.main"), F.lit(None).cast("string")
-    position = F.when(part == "groups", F.col("rank")).otherwise(F.col("place"))
-    name = F.when(part == "card", "value").otherwise(F.col("key"))
-    wanted = {m: [w.id for w, kind, _, metrics in plan if kind != "trend" and m in metrics] for m in used}
-    cells = [F.when((part != "trend") & F.col("t.widget_id").isin(wanted[m]),
-                    cell(position, name, F.lit(m), F.col(quoted(m)), metric_text(F.col(quoted(m)), used[m].format)))
-             for m in used]
-    # A card's trend: the last values, and from the newest period its growth.
-    spark_no = F.col("shown") - age + 1
-    change = F.round(F.coalesce(value, F.lit(0.0)) - F.col("prior"), 2)
-    growth = F.round(F.try_divide(change, F.col("prior")) * 100.0, 2)
-    newest = (part == "trend") & (age == 1)
-    cells += [
-        F.when(part == "trend", cell(spark_no + 3, F.concat(F.lit("spark_"), spark_no.cast("string")), main, value, blank)),
-        F.when(newest, cell(F.lit(2), F.lit("prior_value"), main, F.round("prior", 2), blank)),
-        F.when(newest, cell(F.lit(3), F.lit("growth_percentage"), main, growth, blank))]
-    return rows.select(F.col("t.widget_id").alias("widget_id"), F.explode(F.array_compact(F.array(*cells))).alias("c")).select(
-        "widget_id", "c.position", "c.key", "c.metric_id", "c.value", "c.formatted_value")
+            if not (w.dimension or self.model.dimensions):
+                raise ValueError(f"widget {w.id!r} needs a dimension")
+            self.shown.append(_Shown(w, "groups", self.dimension(w.dimension or self.model.dimensions[0]),
+                                     self.metrics(w)))
+
+    def rows(self) -> DataFrame:
+        keys, shown = self.keys, self.shown
+        used = {m: self.known[m] for s in shown if s.widget.kpi is None for m in s.metrics}
+        measures = [m.column() for m in used.values()]
+        measures += [c.alias(f"_kpi_{i}") for i, (_, c) in self.customs.items()]
+        base = self.df.withColumns({f"_k{n}": c for n, c in enumerate(keys.values())})
+        slots = [F.col(f"_k{n}") for n in range(len(keys))]
+        sets = [[s] for s in slots]
+        if any(s.name is None for s in shown):
+            sets.append([])
+        grouped = base.groupingSets(sets, *slots).agg(F.grouping_id().alias("_gid"), *measures)
+        ids = {name: sum(1 << (len(keys) - 1 - j) for j in range(len(keys)) if j != n) for n, name in enumerate(keys)}
+        everything = (1 << len(keys)) - 1
+
+        # Each aggregated row goes to every widget that shows its grouping set.
+        targets = F.explode(F.filter(F.array(*[
+            F.struct(F.lit(s.widget.id).alias("widget_id"), F.lit(s.kind).alias("part"), F.lit(n).alias("plan_no"),
+                     F.lit(everything if s.name is None else ids[s.name]).cast("long").alias("gid"),
+                     F.lit(s.widget.kpi.limit if s.widget.kpi else s.widget.limit).alias("most"),
+                     F.lit(s.widget.id if s.widget.kpi else s.metrics[0]).alias("main"),
+                     self._place(s).alias("place_value"), self._number(s).alias("main_value"))
+            for n, s in enumerate(shown)]), lambda t: t["gid"] == F.col("_gid")))
+        key = F.coalesce(*[F.when(F.col("_gid") == ids[name], F.col(f"_k{n}").cast("string"))
+                           for n, name in enumerate(keys)]) if keys else F.lit(None).cast("string")
+        part, value, age = F.col("t.part"), F.col("t.main_value"), F.col("age")
+        timed, ranked = part.isin("trend", "series"), part.isin("groups", "custom")
+        rows = (grouped.withColumn("key", key).withColumn("t", targets)
+                .filter(~(timed | (part == "custom")) | F.col("key").isNotNull()))
+
+        # A dimension may have very many groups: their rank is cut at a constant, which Spark
+        # applies in every task before the shuffle. Periods are partitions of their own and all pass.
+        best = W.partitionBy("t.plan_no", F.when(timed, F.col("key"))).orderBy(
+            F.col("t.place_value").desc_nulls_last(), F.col("key").asc_nulls_last())
+        most = max([s.widget.kpi.limit if s.widget.kpi else s.widget.limit
+                    for s in shown if s.kind in ("groups", "custom")], default=1)
+        rows = (rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most)
+                .filter(~ranked | (F.col("rank") <= F.col("t.most"))))
+        # Left are the top groups and one row per period, for each widget.
+        by_plan = W.partitionBy("t.plan_no")
+        in_time = by_plan.orderBy(F.col("key").asc_nulls_last())
+        rows = (rows.withColumn("place", F.row_number().over(in_time))
+                .withColumn("age", F.row_number().over(by_plan.orderBy(F.col("key").desc_nulls_first())))
+                .withColumn("prior", F.lag(F.coalesce(value, F.lit(0.0))).over(in_time))
+                .withColumn("prior_key", F.lag("key").over(in_time))
+                .withColumn("shown", F.least(F.lit(8), F.count(F.lit(1)).over(by_plan)).cast("int"))
+                .filter((part != "trend") | (age <= 8)))
+
+        def cell(position: Column, name: Column, metric: Column, number: Column, text: Column) -> Column:
+            return F.struct(position.cast("int").alias("position"), name.alias("key"), metric.alias("metric_id"),
+                            number.cast("double").alias("value"), text.cast("string").alias("formatted_value"))
+
+        main, blank = F.col("t.main"), F.lit(None)
+        position = F.when(ranked, F.col("rank")).otherwise(F.col("place"))
+        name = F.when(part.isin("card", "single"), "value").otherwise(F.col("key"))
+        wanted = {m: [s.widget.id for s in shown if s.widget.kpi is None and s.kind != "trend" and m in s.metrics]
+                  for m in used}
+        cells = [F.when((part != "trend") & F.col("t.widget_id").isin(wanted[m]),
+                        cell(position, name, F.lit(m), F.col(quoted(m)), metric_text(F.col(quoted(m)), used[m].format)))
+                 for m in used]
+        for i, (spec, _) in self.customs.items():
+            number = value if spec.dimension is None else F.coalesce(value, F.lit(0.0))
+            cells.append(F.when(part.isin("single", "custom") & (F.col("t.widget_id") == i), cell(
+                position, name, main, number, kpi_text(number, spec.text_style, spec.unit))))
+        # A card's trend: the last values, and from the newest period its growth.
+        spark_no = F.col("shown") - age + 1
+        change = F.round(F.coalesce(value, F.lit(0.0)) - F.col("prior"), 2)
+        growth = F.round(F.try_divide(change, F.col("prior")) * 100.0, 2)
+        word = F.when(change > 0, "up").when(change < 0, "down").otherwise("flat")
+        newest = (part == "trend") & (age == 1)
+        cells += [
+            F.when(part == "trend", cell(spark_no + 3, F.concat(F.lit("spark_"), spark_no.cast("string")), main, value,
+                                         blank)),
+            F.when(newest, cell(F.lit(2), F.lit("prior_value"), main, F.round("prior", 2), blank)),
+            F.when(newest, cell(F.lit(3), F.lit("growth_percentage"), main, growth, blank)),
+            F.when(newest, cell(F.lit(12), F.lit("trend"), main, blank, word)),
+            F.when(newest, cell(F.lit(13), F.lit("current_period"), main, blank, F.col("key"))),
+            F.when(newest, cell(F.lit(14), F.lit("prior_period"), main, blank,
+                                F.coalesce(F.col("prior_key"), F.lit(""))))]
+        return rows.select(F.col("t.widget_id").alias("widget_id"), F.explode(F.array_compact(F.array(*cells))).alias("c")
+                           ).select("widget_id", "c.position", "c.key", "c.metric_id", "c.value", "c.formatted_value")
+
+    def _number(self, s: _Shown) -> Column:
+        column = F.col(quoted(s.metrics[0]))
+        return custom_number(self.df, s.widget.kpi, column) if s.widget.kpi else column.cast("double")
+
+    def _place(self, s: _Shown) -> Column:
+        """What groups are ranked by, greatest first: their value, or a numeric key from below; other keys go as text."""
+        if not s.in_order:
+            return self._number(s)
+        numeric = isinstance(self.df.schema[s.name].dataType, NumericType)
+        return -F.col(f"_k{list(self.keys).index(s.name)}").cast("double") if numeric else F.lit(None).cast("double")
 
 
 # -- P2 ---------------------------------------------------------------------------------------
 
-def suggest_charts(df: DataFrame, dimensions: Iterable[str], with_table: bool = False) -> DataFrame:
-    """(dimension, distinct_count, chart): line for time-like, pie for 2-5 values, else bar.
+def suggest_charts(df: DataFrame, dimensions: Iterable[str], with_table: bool = False,
+                   chosen: str = "auto") -> DataFrame:
+    """(dimension, distinct_count, chart, reason): line for time-like, pie for 2-5 values, else bar.
 
-    ``with_table`` shows more than twenty values as a table and a single one as a pie.
+    ``with_table`` shows more than twenty values as a table and a single one as a pie. A
+    ``chosen`` kind of chart is taken as it is; a word that names none counts as "auto".
     """
     dimensions = [resolve_column(df, d) for d in dimensions]
     cells = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(quoted(d)).cast("string").alias("v"))
@@ -175,11 +282,24 @@ def suggest_charts(df: DataFrame, dimensions: Iterable[str], with_table: bool =
     counts = (df.select(cells.alias("c")).select("c.*").distinct()
               .groupBy("dimension").agg(F.count("v").alias("distinct_count")))
     timed = [d for d in dimensions if is_time_like(df, d)]
+    count = F.col("distinct_count")
     chart = F.when(F.col("dimension").isin(*timed) if timed else F.lit(False), "line_chart").when(
-        F.col("distinct_count").between(1 if with_table else 2, 5), "pie_chart")
+        count.between(1 if with_table else 2, 5), "pie_chart")
     if with_table:
-        chart = chart.when(F.col("distinct_count") > 20, "table")
-    return counts.select("dimension", "distinct_count", chart.otherwise("bar_chart").alias("chart"))
+        chart = chart.when(count > 20, "table")
+    chart = chart.otherwise("bar_chart")
+    # The sentences of the reasons.
+    name = F.concat(F.lit("dimension '"), "dimension", F.lit("'"))
+    reason = (F.when(chart == "line_chart", F.concat(
+                  F.lit("Line chart ("), name, F.lit(" represents chronological progression)")))
+              .when(chart == "pie_chart", F.concat(
+                  F.lit("Donut/Pie chart ("), name, F.lit(" has low cardinality: "), count.cast("string"),
+                  F.lit(" segments)")))
+              .otherwise(F.concat(F.when(chart == "table", "Table").otherwise("Comparative Bar chart"), F.lit(" ("), name,
+                                  F.lit(" has "), count.cast("string"), F.lit(" distinct categories)"))))
+    if chosen in KINDS:
+        chart, reason = F.lit(chosen), F.lit(f"User selected {chosen.replace('_', ' ')}")
+    return counts.select("dimension", "distinct_count", chart.alias("chart"), reason.alias("reason"))
 
 
 # -- P3 ---------------------------------------------------------------------------------------

@@ -325,3 +325,54 @@ def test_dashboard_matches_single_operators(sales):
     assert round(rows["k", "value"], 2) == 37.82 and rows["b", "Electronics"] == 7.0 and ("b", "Furniture") not in rows
     assert rows["l", "2024-01-01"] == 8.0 and rows["x", "New York"] == 5.0
     assert rows["k", "spark_1"] is not None and rows["k", "growth_percentage"] is not None
+
+
+def test_dashboard_explains_cards_and_survives_a_broken_tile(spark, sales):
+    widgets = [Widget("k", "kpi_card", ("total_revenue",)), Widget("m", "kpi_card", ("profit_margin",), granularity="month"),
+               Widget("s", "pie_chart", kpi=A.KpiSpec("percent_of_total", "Quantity", "Category")),
+               Widget("t", "bar_chart", kpi=A.KpiSpec("sum", "Quantity", "Order_Date")),
+               Widget("x", "bar_chart", dimension="nothing"), Widget("y", "bar_chart", kpi=A.KpiSpec("odd", "Quantity"))]
+    context = spark.createDataFrame([(5, 0.0, 1, 0)], "row_count long, avg_null_percentage double, warnings long, criticals long")
+    rows = dashboard_data(sales, MODEL, widgets, context=context).collect()
+    cells = {(r["widget_id"], r["key"]): r for r in rows}
+    assert cells["x", "error"]["formatted_value"].startswith("column 'nothing' does not exist")
+    assert cells["y", "error"]["formatted_value"] == "unsupported aggregation 'odd'"
+    assert ("k", "headline") in cells and cells["k", "trend"]["formatted_value"] in ("up", "down", "flat")
+    assert cells["m", "confidence"]["value"] == cells["k", "confidence"]["value"] == 30 * 0.3 + 35 + 88 * 0.2 + 15
+    assert cells["m", "confidence"]["formatted_value"] == "Moderate confidence"
+    assert abs(sum(r["value"] for r in rows if r["widget_id"] == "s") - 100) < 0.1
+    days = sorted((r["position"], r["key"]) for r in rows if r["widget_id"] == "t")
+    assert [k for _, k in days] == sorted(k for _, k in days)
+
+
+def test_numeric_time_keys_of_tiles_stay_in_numeric_order(spark):
+    df = spark.createDataFrame([(m, 1.0) for m in range(1, 13)], "month int, v double")
+    tile = Widget("t", "bar_chart", kpi=A.KpiSpec("sum", "v", "month", limit=11))
+    rows = dashboard_data(df, SemanticModel(), [tile]).orderBy("position").collect()
+    assert [r["key"] for r in rows] == [str(m) for m in range(1, 12)]
+
+
+def test_plans_are_built_without_a_job(spark, sales):
+    from metricloom.operators import anomaly, forecast, timeseries
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "plans")
+    try:
+        frames = [timeseries.timeseries(sales, MODEL), timeseries.headline(sales, MODEL, "total_revenue"),
+                  forecast.forecast(sales, MODEL, "total_revenue"), anomaly.anomalies(sales, MODEL),
+                  anomaly.explained_anomalies(sales, MODEL, "total_revenue"),
+                  dashboard_data(sales, MODEL, [Widget("k", "kpi_card"), Widget("l", "line_chart")])]
+        assert not tracker.getJobIdsForGroup("building")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert all(f.count() >= 0 for f in frames)
+
+
+def test_series_by_the_automatic_unit_equals_the_named_one(spark):
+    from metricloom.operators.forecast import forecast
+    from metricloom.operators.timeseries import timeseries
+    model = SemanticModel(mappings={"date": "d", "revenue": "v"}, domain="sales")
+    for days, unit in ((20, "day"), (60, "week"), (400, "month"), (1000, "quarter")):
+        df = spark.range(days + 1).selectExpr("date_add(date'2023-01-05', int(id)) AS d", "double(id) AS v")
+        for run in (lambda g: timeseries(df, model, ["total_revenue"], g),
+                    lambda g: forecast(df, model, "total_revenue", 2, granularity=g)):
+            assert run(None).collect() == run(unit).collect()
