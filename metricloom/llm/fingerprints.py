@@ -19,6 +19,8 @@ CELLS = 8
 ROUNDS = 10
 #: Documents are put in order by blocks of ids: at least so many documents each, and at most so many blocks.
 BLOCK, BLOCKS = 256, 1 << 18
+#: Characters by which texts of equal ids are ordered, before their hash.
+PREFIX = 32
 
 
 def digests(text: Column) -> Column:
@@ -168,38 +170,55 @@ def recovered(pairs: DataFrame, factor: float) -> DataFrame:
         F.coalesce("whole", F.lit(True)).alias("whole"))
 
 
+def _block(key: Column, bounds: Column) -> Column:
+    """How many of the sorted bounds are not above a key: first among every so many of them, then among those between."""
+    group = F.size(F.filter(bounds["heads"], lambda h: h <= key))
+    own = F.slice(bounds["all"], F.greatest(group - 1, F.lit(0)) * bounds["each"] + 1, bounds["each"])
+    return F.when(group == 0, 0).otherwise(
+        (group - 1) * bounds["each"] + F.size(F.filter(own, lambda h: h <= key))).cast("long")
+
+
 def with_next(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """row, id, text and the next document's text, by ascending id (null ids first, equal ones by text); the last's
-    next is the first.
+    """row, id, text and the next document's text, by ascending id (null ids first, equal ones by their first
+    characters, then by hash); the last's next is the first.
 
-    Ids are cut into blocks of equal width, and each block also gets the first document of the block behind it.
+    Documents are cut into blocks by rank, whatever their ids are: keys chosen by hash, about one for each block and
+    BLOCKS at most, are the bounds. They only balance the blocks; each also gets the first document of the block behind.
     """
-    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    low, high, n = rows.agg(F.min("id"), F.max("id"), F.count("*")).first()
-    each = max(BLOCK, -(-n // BLOCKS))
-    width = max(1, ((high or 0) - (low or 0) + 1) * each // max(n, 1))
-    block = F.coalesce(F.floor((F.col("id").cast("decimal(38,0)") - F.lit(low or 0)) / F.lit(width)).cast("long"),
-                       F.lit(-1).cast("long"))
-    rows = rows.withColumn("block", block)
-    places = ranked(rows.groupBy("block").agg(F.min("id").alias("first")), [F.col("block")], "place")
-    places = saved(places, "blocks")  # at most BLOCKS rows and a few
+    content = F.coalesce(F.col(text), F.lit(""))
+    # Equal rows are told apart by a number, so that many of them fill many blocks.
+    key = F.struct("id", F.substring("text", 1, PREFIX).alias("begin"), F.xxhash64("text").alias("hash"), "row")
+    rows = docs.select(F.col(doc_id).alias("id"), content.alias("text"),
+                       F.monotonically_increasing_id().alias("row")).withColumn("key", key)
+    n = docs.count()
+    share = max(1, max(BLOCK, -(-n // BLOCKS)))
+    chosen = rows.where(F.pmod(F.xxhash64(F.col("key.hash"), "row"), F.lit(share)) == 0).select("key")
+    listed = chosen.agg(F.array_sort(F.collect_list("key")).alias("all")).withColumn(
+        "each", F.greatest(F.ceil(F.sqrt(F.size("all"))).cast("int"), F.lit(1)))
+    heads = F.filter("all", lambda k, i: i % F.col("each") == 0)
+    bounds = saved(listed.select(F.struct("all", "each", heads.alias("heads")).alias("bounds")), "bounds").scalar()
+    rows = rows.withColumn("bounds", bounds).withColumn("block", _block(F.col("key"), F.col("bounds"))).drop("bounds")
+    firsts = rows.groupBy("block").agg(F.min("key").alias("first"))
+    places = saved(ranked(firsts, [F.col("block")], "place"), "blocks")  # one row for each block
     total = max(places.count(), 1)
     ahead = places.select(F.pmod(F.col("place") + 1, F.lit(total)).alias("place"), F.col("block").alias("target"))
     lead = places.join(ahead, "place").select(F.col("block").alias("from"), "first", "target")
-    guests = (rows.join(F.broadcast(lead), (F.col("block") == F.col("from")) & F.col("id").eqNullSafe(F.col("first")))
+    same = F.col("key.id").eqNullSafe(F.col("first.id")) & (F.col("key.hash") == F.col("first.hash"))
+    guests = (rows.join(F.broadcast(lead), (F.col("block") == F.col("from")) & same)
               .groupBy("target").agg(F.min("text").alias("text"))
-              .select(F.lit(None).cast(rows.schema["id"].dataType).alias("id"), "text", F.col("target").alias("block"),
+              .select(F.lit(None).cast(rows.schema["id"].dataType).alias("id"), "text",
+                      F.lit(None).cast(rows.schema["key"].dataType).alias("key"), F.col("target").alias("block"),
                       F.lit(1).alias("guest")))
-    every = rows.withColumn("guest", F.lit(0)).unionByName(guests)
-    order = Window.partitionBy("block").orderBy("guest", "id", "text")
-    return every.withColumn("next", F.lead("text").over(order)).where("guest = 0").drop("guest", "block")
+    every = rows.drop("row").withColumn("guest", F.lit(0)).unionByName(guests)
+    order = Window.partitionBy("block").orderBy("guest", "key")
+    return every.withColumn("next", F.lead("text").over(order)).where("guest = 0").drop("guest", "block", "key")
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last floor(n_chars / 2) characters replaced by as many of the next document's first ones,
-    or all. A null text counts as empty and has no paragraphs; likeness is the share of common paragraphs, 1 for two
+    or all. Ids may be of any type that sorts. A null text counts as empty and has no paragraphs; likeness is the share of common paragraphs, 1 for two
     documents without any. Repeated rows are kept each; an empty table gives an empty result; other columns are ignored.
     """
     half = F.floor(F.length("text") / 2).cast("int")
