@@ -1,7 +1,6 @@
 """Operators on texts against brute force, on small tables with nulls, empty and long texts, ties and repeated rows."""
 
 import collections
-import decimal
 import hashlib
 import math
 import random
@@ -120,25 +119,6 @@ def test_fingerprints(spark, docs, none, rows):
     assert fingerprints(none).count() == 0 and fingerprints(docs.where("doc_id = 14")).count() == 1
 
 
-@pytest.mark.parametrize("kind", ["outlier", "text", "half null", "decimal", "double"])
-def test_next_document_by_any_id(spark, monkeypatch, kind):
-    """Blocks go by rank: far ids, null ids and equal rows fill many blocks, and each document meets the next one."""
-    from metricloom.llm import fingerprints as module
-    monkeypatch.setattr(module, "BLOCK", 4)
-    ids = {"outlier": [*range(1, 200), 10 ** 15], "text": [f"doc {i:03d}" for i in range(200)],
-           "half null": [i if i % 2 else None for i in range(200)], "decimal": [decimal.Decimal(i) for i in range(200)],
-           "double": [i / 8 for i in range(200)]}[kind]
-    types = {"text": "string", "decimal": "decimal(20,0)", "double": "double"}.get(kind, "long")
-    rows = [(d, "same text" if d is None and i % 4 else f"text {i:03d} of the table") for i, d in enumerate(ids)]
-    frame = spark.createDataFrame(rows, f"doc_id {types}, text string").repartition(5)
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])) if kind != "text" else sorted(rows)
-    wanted = collections.Counter((a[0], a[1], b[1]) for a, b in zip(order, order[1:] + order[:1]))
-    found = module.with_next(frame, "text", "doc_id").select("id", "text", "next")
-    assert multiset(found.collect()) == wanted
-    dealt = module.with_next(frame, "text", "doc_id")._jdf.queryExecution().optimizedPlan().toString()
-    assert "crossjoin" not in dealt.lower().replace(" ", "")
-
-
 def test_large_differences_are_recovered(spark):
     text = lambda a, b: "\n".join(f"line {i}" for i in range(a, b))
     found = fingerprints(spark.createDataFrame([(1, text(0, 3000)), (2, text(1000, 4000)), (3, text(1005, 4000))],
