@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -379,6 +380,45 @@ def test_run_index():
     assert {i for a, b in zip(start, stop) for i in range(a, b)} == wanted
 
 
+def agreed(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("entry", [3, 1024])
+def test_matching_statistics_by_brute_force(monkeypatch, entry):
+    from metricloom.llm import run_index
+
+    monkeypatch.setattr(run_index, "ENTRY", entry)
+    random = np.random.default_rng(entry)
+    for _ in range(60):
+        segments = [bytes(random.choice([0, 97, 98], random.integers(0, 30)).tolist())
+                    for _ in range(random.integers(1, 6))]
+        segments += segments[:random.integers(0, 2)]  # a segment twice
+        longest, other = run_index.statistics(run_index.build(segments))
+        tails = [s[i:] for s in segments for i in range(len(s) + 1)]
+        for i, own in enumerate(tails):
+            assert longest[i] == max((agreed(own, t) for j, t in enumerate(tails) if j != i), default=0)
+            assert not longest[i] or (other[i] != i and agreed(own, tails[other[i]]) == longest[i])
+
+
+def test_runs_of_a_repetitive_corpus_are_few():
+    from metricloom.llm.run_index import build, repeated
+
+    random = np.random.default_rng(3)
+    base = random.integers(97, 123, 2000, dtype=np.uint8)
+    segments = []
+    for k in range(60):
+        version = base.copy()
+        version[[300 + k, 1000 + 5 * k]] = 46  # strings of 400 bytes across these places are rare or of one version
+        segments.append(version.tobytes())
+    index = build(segments)
+    assert index.size == 60 * 2001 and index.runs < index.size / 20
+    seen = collections.Counter(s[i:i + 400] for s in segments for i in range(1601))
+    start, stop = repeated(index, 400)
+    assert {i for a, b in zip(start, stop) for i in range(a, b)} == {
+        2001 * k + i for k, s in enumerate(segments) for i in range(1601) if seen[s[i:i + 400]] > 1}
+
+
 def test_shards(docs, none, rows):
     found = shard(docs, shards=4).collect()
     wanted = collections.Counter((r[0], len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in rows)
