@@ -1,11 +1,12 @@
 """Near-duplicates by ProbMinHash, banding and verification.
 
-A document's distinct shingles of five words are Poisson processes: each draws exponential arrivals at its rate, every
-arrival falls into a register, and a register keeps the shingle that came first. A shingle stops once its next arrival
-is later than all registers of its document. Two registers agree with the probability Jaccard of the weighted sets; all
-weigh the same here, however often they repeat, so that it is the Jaccard similarity of the sets, by which pairs are
-accepted. Bands of registers give buckets; every document is compared with the centre of each of its buckets, by the
-Jaccard similarity of their shingle sets. Where that leaves a bucket unconnected, a prefix join finds the rest.
+A document's distinct shingles of five words are Poisson processes: each draws exponential arrivals at the rate of its
+count, every arrival falls into a register, and a register keeps the shingle that came first. A shingle stops once its
+next arrival is later than all registers of its document. Two registers agree with the probability Jaccard of the
+weighted sets. Pairs are accepted by the Jaccard similarity of the plain sets, which a passage repeated often can set far
+apart from it; so texts whose shingles repeat also bring the bands of equal weights, and none of these pairs is lost. For
+all other texts the two are one. Bands of registers give buckets; every document is compared with the centre of each of
+its buckets. Where that leaves a bucket unconnected, a prefix join finds the rest.
 """
 
 from __future__ import annotations
@@ -79,6 +80,34 @@ def _parts(counts: np.ndarray) -> Iterator[tuple[int, int]]:
         yield start, len(counts)
 
 
+def _band_hashes(owner: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(owner), BANDS), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for band in range(BANDS):
+            h = np.full(len(owner), band, dtype=np.uint64)
+            for column in range(band * ROWS, (band + 1) * ROWS):
+                h = mixed(h * MIX + owner[:, column])
+            out[:, band] = h
+    return out
+
+
+def band_hashes(text: np.ndarray, value: np.ndarray, count: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes of each text by its counts, then by equal weights, and which of them it brings.
+
+    Bands of both kinds meet in the same buckets. A text without shingles brings none, one whose shingles occur once
+    each the first half, any other all that differ.
+    """
+    weighted = _band_hashes(registers(text, value, count.astype(np.float64), texts))
+    plain, some = weighted.copy(), np.bincount(text, minlength=texts) > 0
+    again = np.bincount(text, weights=count > 1, minlength=texts) > 0
+    if again.any():
+        own = again[text]
+        plain[again] = _band_hashes(registers((np.cumsum(again) - 1)[text[own]], value[own], np.ones(own.sum()),
+                                              int(again.sum())))
+    return (np.concatenate([weighted, plain], axis=1),
+            np.concatenate([np.repeat(some[:, None], BANDS, axis=1), weighted != plain], axis=1))
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """row, two hashes of the shingle multiset, band hashes. A text without words has no bands, and its plain hash."""
     for batch in portions(batches):
@@ -87,25 +116,20 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, value, count = shingles(words)
         sizes = np.bincount(text, minlength=len(texts))
         edge = np.concatenate([[0], np.cumsum(sizes)])
-        bands = np.zeros((len(texts), BANDS), dtype=np.uint64)
+        bands = np.zeros((len(texts), 2 * BANDS), dtype=np.uint64)
+        brought = np.zeros((len(texts), 2 * BANDS), dtype=bool)
         marks = np.zeros((2, len(texts)), dtype=np.uint64)
         with np.errstate(over="ignore"):
             for i, salt in enumerate((1, 2)):
                 np.add.at(marks[i], text, mixed(value * MIX + np.uint64(salt)) * count.astype(np.uint64))
-            for a, b in _parts(sizes):
-                own = slice(edge[a], edge[b])
-                owner = registers(text[own] - a, value[own], np.ones(edge[b] - edge[a]), b - a)
-                for band in range(BANDS):
-                    h = np.full(b - a, band, dtype=np.uint64)
-                    for column in range(band * ROWS, (band + 1) * ROWS):
-                        h = mixed(h * MIX + owner[:, column])
-                    bands[a:b, band] = h
-        has = sizes > 0
-        marks[1] = np.where(has, marks[1], batch["plain"].to_numpy().view(np.uint64))
-        offsets = np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))]).astype(np.int32)
+        for a, b in _parts(sizes):
+            own = slice(edge[a], edge[b])
+            bands[a:b], brought[a:b] = band_hashes(text[own] - a, value[own], count[own], b - a)
+        marks[1] = np.where(sizes > 0, marks[1], batch["plain"].to_numpy().view(np.uint64))
+        offsets = np.concatenate([[0], np.cumsum(brought.sum(axis=1))]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [batch["row"], pa.array(marks[0].view(np.int64)), pa.array(marks[1].view(np.int64)),
-             pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[has].ravel().view(np.int64)))],
+             pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[brought].view(np.int64)))],
             ["row", "mark", "mark2", "bands"])
 
 

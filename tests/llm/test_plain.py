@@ -518,6 +518,21 @@ def test_signatures_estimate_probability_jaccard():
     assert (owner != 0).all()
 
 
+def test_bands_by_counts_and_by_equal_weights():
+    from metricloom.llm.near_dedup import BANDS, band_hashes
+
+    # 0: each shingle once. 1: the same set, some very often. 2: the very counts of 1. 3: nothing.
+    value = np.arange(1, 61, dtype=np.uint64) * 977
+    count = np.where(np.arange(60) < 5, 300, 1)
+    bands, brought = band_hashes(np.repeat([0, 1, 2], 60), np.tile(value, 3),
+                                 np.concatenate([np.ones(60, dtype=np.int64), count, count]), 4)
+    assert (bands[1] == bands[2]).all() and (bands[0, :BANDS] == bands[0, BANDS:]).all()
+    assert brought[0].sum() == BANDS and not brought[3].any() and (brought[1] == brought[2]).all()
+    # By counts, 1 is far from 0 (5 shingles hold nearly all its weight); by equal weights they are one.
+    assert (bands[0, :BANDS] != bands[1, :BANDS]).all() and (bands[0, BANDS:] == bands[1, BANDS:]).all()
+    assert brought[1].sum() == 2 * BANDS
+
+
 def test_pipeline(spark, docs, none, rows, sf):
     import corpus_pipeline
 
