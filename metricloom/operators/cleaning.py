@@ -105,12 +105,12 @@ def handle_negatives(df: DataFrame, policy: str) -> DataFrame:
         return df
     if policy == "drop_row":
         counts = df.agg(*[F.count(F.when(F.col(quoted(c)) < 0, 1)).alias(f"n{i}") for i, c in enumerate(columns)])
+        negatives = counts.select(F.struct(*counts.columns)).scalar()
         keep = F.lit(True)
         for i, c in enumerate(columns):
             value = F.col(quoted(c))
-            keep = keep & (F.coalesce(value >= 0, F.lit(False)) | (F.col(f"_counts.n{i}") == 0))
-        packed = counts.select(F.struct(*counts.columns).alias("_counts"))
-        return df.crossJoin(F.broadcast(packed)).filter(keep).select(*[quoted(c) for c in df.columns])
+            keep = keep & (F.coalesce(value >= 0, F.lit(False)) | (negatives[f"n{i}"] == 0))
+        return df.filter(keep)
     changed = {c: F.abs(F.col(quoted(c))) if policy == "abs" else F.when(F.col(quoted(c)) >= 0, F.col(quoted(c)))
                for c in columns}
     return df.select(*[changed.get(c, F.col(quoted(c))).alias(c) for c in df.columns])
@@ -146,16 +146,15 @@ def handle_missing(df: DataFrame, policy: str) -> DataFrame:
                               for i, c in enumerate(columns)])
     else:
         fills = fill_modes(df, columns)
-    packed = fills.select(F.struct(*fills.columns).alias("_fill"))
+    fill = fills.select(F.struct(*fills.columns)).scalar()
     filled = {}
     for i, c in enumerate(columns):
         target = df.schema[c].dataType
         # A mean of whole numbers is fractional: such a column becomes double.
         if policy != "fill_mode" and not isinstance(target, (T.DoubleType, T.FloatType)):
             target = T.DoubleType()
-        filled[c] = F.coalesce(F.col(quoted(c)).cast(target), F.col(f"_fill.c{i}").cast(target)).alias(c)
-    # The fill values are a single row.
-    return df.crossJoin(F.broadcast(packed)).select(*[filled.get(c, F.col(quoted(c))) for c in df.columns])
+        filled[c] = F.coalesce(F.col(quoted(c)).cast(target), fill[f"c{i}"].cast(target)).alias(c)
+    return df.select(*[filled.get(c, F.col(quoted(c))) for c in df.columns])
 
 
 def parse_date(text: Column) -> Column:
