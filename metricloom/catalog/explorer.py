@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.catalog.base import over, query, rounded
 from metricloom.operators.aggregate import explorer_kpi
-from metricloom.operators.explore import cursor_after, inspect_record, page, page_after, page_count
+from metricloom.operators.explore import cursor_after, inspect_record, numbered_pages, page, page_after, page_count
 from metricloom.operators.filters import search, text_equals
 from metricloom.sources import views as V
 
@@ -82,16 +79,12 @@ def _(spark, sf):
            min(o_custkey) AS first_key, max(o_custkey) AS last_key
     FROM (SELECT *, (row_number() OVER (ORDER BY o_custkey) - 1) // 4000 AS page FROM orders) GROUP BY page""")
 def _(spark, sf):
-    """All orders, page after page by a key that many of them share."""
+    """All orders, page after page by a key that many of them share, and what the walk finds behind the last: nothing."""
     rows = V.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    cursor, pages = None, []
-    while True:
-        part = page_after(rows, "o_custkey", size=4000, cursor=cursor)
-        cursor = cursor_after(part, "o_custkey", cursor)
-        if cursor is None:
-            break
-        pages.append(part.withColumn("page", F.lit(len(pages)).cast("long")))
-    every = reduce(DataFrame.unionByName, pages)
+    pages = numbered_pages(rows, "o_custkey", size=4000)
+    end = cursor_after(pages.drop("page"), "o_custkey")
+    behind = page_after(rows, "o_custkey", size=4000, cursor=end).withColumn("page", F.lit(-1).cast("long"))
+    every = pages.unionByName(behind)
     return every.groupBy("page").agg(
         F.count(F.lit(1)).alias("records"), F.countDistinct("o_orderkey", "o_custkey").alias("orders"),
         F.min("o_custkey").alias("first_key"), F.max("o_custkey").alias("last_key"))

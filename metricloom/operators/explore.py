@@ -26,6 +26,9 @@ TIE = "_tie"
 PASSED = 10_000
 #: Characters by which a search among text keys goes on.
 PREFIX = 2
+#: Where all pages are cut at once: the column of a row's range, rows of a range, the most ranges, and rows picked for the
+#: bounds of each.
+PART, RANGE, RANGES, PICKED = "_part", 200_000, 512, 64
 
 
 def _text_start(df: DataFrame, name: str, rank: int) -> tuple[Column, int]:
@@ -89,7 +92,7 @@ def page(df: DataFrame, key: str, number: int = 1, size: int = 40) -> DataFrame:
 
     Rows of equal keys are ordered by a hash of the whole row, so that pages neither repeat nor lose any. The key at the
     page's first rank is found by counting and the rows are read from there; many equal keys are searched by that hash.
-    To walk through a table use :func:`page_after`, which needs no ranks.
+    To walk through a table use :func:`page_after`, which needs no ranks; for all pages :func:`numbered_pages`.
     """
     key = resolve_column(df, key)
     tie, rows = TIE, _with_tie(df)
@@ -145,6 +148,55 @@ def page_after(df: DataFrame, key: str, last_key: Any = None, size: int = 40,
     return (rows.offset(skipped) if skipped else rows).limit(size).drop(TIE)
 
 
+def _bounds(rows: DataFrame, key: str, records: int) -> list:
+    """(key, tie) at which ranges of about ``RANGE`` rows end, from a share of the rows picked by their hash."""
+    ranges = min(RANGES, records // RANGE + 1)
+    one_of = max(1, records // (ranges * PICKED))
+    picked = (rows.filter(F.xxhash64(TIE) % one_of == 0).groupBy(F.col(quoted(key)).alias("key"), F.col(TIE).alias("tie"))
+              .agg(F.count(F.lit(1)).alias("n")))
+    order = F.col("key").asc_nulls_last(), F.col("tie")
+    # About PICKED rows a range: few, however many there are.
+    upto = F.sum("n").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    cut = F.floor(upto / PICKED)
+    ends = picked.select("key", "tie", cut.alias("cut"), F.floor((upto - F.col("n")) / PICKED).alias("before"))
+    return ends.filter(F.col("cut") > F.col("before")).orderBy(*order).collect()
+
+
+def _range_of(bounds: list, column: Column, dtype: T.DataType, first: int = 0) -> Column:
+    """The number of bounds up to a row's (key, tie), as a search tree of conditions."""
+    if not bounds:
+        return F.lit(first)
+    at = len(bounds) // 2
+    bound, tie = bounds[at], F.col(TIE) < F.lit(bounds[at]["tie"])
+    if bound["key"] is None:
+        before = column.isNotNull() | tie
+    else:
+        value = F.lit(bound["key"]).cast(dtype)
+        before = F.coalesce((column < value) | ((column == value) & tie), F.lit(False))
+    return (F.when(before, _range_of(bounds[:at], column, dtype, first))
+            .otherwise(_range_of(bounds[at + 1:], column, dtype, first + at + 1)))
+
+
+def numbered_pages(df: DataFrame, key: str, size: int = 40) -> DataFrame:
+    """All rows with the number (``page``, from 0) of the page that holds them in a walk by :func:`page_after`.
+
+    One plan for all pages, where a walk reads the table anew for each. Rows are dealt to ranges of the walk's order, by
+    bounds that only decide how even the ranges are; each numbers its own rows and starts at the count of those before it.
+    """
+    key = resolve_column(df, key)
+    rows = _with_tie(df)
+    part = _range_of(_bounds(rows, key, df.count()), F.col(quoted(key)), df.schema[key].dataType)
+    rows = rows.withColumn(PART, part)
+    counts = {r[PART]: r["n"] for r in rows.groupBy(PART).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per range
+    starts, passed = [], 0
+    for n in range(max(counts, default=0) + 1):
+        starts.append(passed)
+        passed += counts.get(n, 0)
+    place = F.row_number().over(W.partitionBy(PART).orderBy(*_row_order(df, key))).cast("long") - 1
+    start = F.get(F.array(*[F.lit(s).cast("long") for s in starts]), F.col(PART))
+    return rows.withColumn("page", F.floor((place + start) / F.lit(size)).cast("long")).drop(TIE, PART)
+
+
 def cursor_after(page: DataFrame, key: str, cursor: Cursor | None = None) -> Cursor | None:
     """The cursor of a page's last row, where the page itself follows ``cursor``; None for a page without rows."""
     key = resolve_column(page, key)

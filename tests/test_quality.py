@@ -14,7 +14,7 @@ from metricloom.functions.quantiles import column_quantiles
 from metricloom.operators import cleaning as cl
 from metricloom.operators import quality as q
 from metricloom.operators.concepts import CONCEPTS, build_model, concept_candidates, tag_concepts
-from metricloom.operators.explore import cursor_after, inspect_record, page, page_after
+from metricloom.operators.explore import cursor_after, inspect_record, numbered_pages, page, page_after
 from metricloom.operators.profile import behaviour_roles, duplicate_rows, profile, type_roles
 from metricloom.sources import files
 
@@ -230,6 +230,44 @@ def test_walk_gives_every_row_once(spark, size):
     assert page_after(df.limit(0), "k").count() == 0
 
 
+@pytest.mark.parametrize("dtype", ["long", "string", "double", "date"])
+def test_all_pages_at_once_are_those_of_a_walk(spark, monkeypatch, dtype):
+    monkeypatch.setattr(explore, "RANGE", 6)
+    monkeypatch.setattr(explore, "PICKED", 2)
+    key = F.when(F.col("id") % 9 != 0, F.col("id") % 23)
+    key = F.date_add(F.lit("2024-01-01").cast("date"), key.cast("int")) if dtype == "date" else key.cast(dtype)
+    df = spark.range(200).select(key.alias("k"), (F.col("id") % 4).alias("v")).repartition(5)
+    seen, cursor = [], None
+    while True:
+        part = page_after(df, "k", size=30, cursor=cursor)
+        cursor = cursor_after(part, "k", cursor)
+        if cursor is None:
+            break
+        seen.append(sorted(map(tuple, part.collect()), key=str))
+    found = numbered_pages(df, "k", 30).collect()
+    pages = [sorted(((r["k"], r["v"]) for r in found if r["page"] == n), key=str) for n in range(7)]
+    assert pages == seen and len(found) == 200
+    assert numbered_pages(df.limit(0), "k").count() == 0
+
+
+def test_page_walk_takes_no_job_for_each_page(spark, tmp_path):
+    from metricloom.catalog import CATALOG
+
+    orders = spark.range(40_000).select(
+        F.col("id").alias("o_orderkey"), (F.col("id") % 700).alias("o_custkey"), F.lit("O").alias("o_orderstatus"),
+        F.lit(1.0).alias("o_totalprice"), F.lit("2024-01-01").cast("timestamp_ntz").alias("o_orderdate"),
+        F.lit("1-URGENT").alias("o_orderpriority"))
+    jobs = []
+    for rows in (8_000, 40_000):
+        orders.limit(rows).write.parquet(f"{tmp_path}/{rows}/orders.parquet")
+        group = f"walk-{rows}"
+        spark.sparkContext.setJobGroup(group, group)
+        found = CATALOG["record_page_walk"].run(spark, f"{tmp_path}/{rows}").collect()
+        assert sorted((r["page"], r["records"], r["orders"]) for r in found) == [(n, 4000, 4000) for n in range(rows // 4000)]
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+    assert jobs[1] <= jobs[0] + 3
+
+
 def test_deep_page(spark, monkeypatch):
     monkeypatch.setattr(explore, "PASSED", 10)
     monkeypatch.setattr(quantile_module, "FEW_ROWS", 20)
