@@ -3,11 +3,13 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from metricloom.model import SemanticModel
 from metricloom.operators import timeseries as ts
 from metricloom.operators.anomaly import anomalies, explained_anomalies, root_causes
 from metricloom.operators.forecast import forecast, forecast_summary
+from metricloom.sources.views import SALES_MODEL
 
 SHAPE = "Order_ID long, Order_Date date, Product string, Category string, Quantity long, Sale_Price double"
 MODEL = SemanticModel(mappings={"order_id": "Order_ID", "date": "Order_Date", "product": "Product", "category": "Category",
@@ -110,3 +112,27 @@ def test_segment_missing_in_one_period(spark):
     rows = {r["value"]: (r["prior_value"], r["current_value"])
             for r in root_causes(df, MODEL, "units_sold", "month").collect()}
     assert rows == {"Old": (10.0, 0.0), "New": (0.0, 4.0)}
+
+
+def test_headlines_read_a_table_once(spark, tmp_path):
+    # Null dates and null segments among the rows: they must stay out, though nothing is filtered before the aggregate.
+    days = F.when(F.col("id") % 7 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 200).cast("int")))
+    spark.range(600).select(
+        F.col("id").alias("order_id"), days.cast("timestamp_ntz").alias("order_date"), F.lit(2.0).alias("quantity"),
+        (F.col("id") % 5 + 1).cast("double").alias("sale_price"), F.lit(0.5).alias("cost_price"),
+        F.when(F.col("id") % 3 != 0, F.concat(F.lit("c"), (F.col("id") % 4).cast("string"))).alias("category")
+    ).write.parquet(str(tmp_path / "flat"))
+    flat = spark.read.parquet(str(tmp_path / "flat"))
+    ids = ["total_revenue", "profit_margin"]
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = ts.headlines(flat, SALES_MODEL, ids)
+        assert rows._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 2
+        found = {r["metric_id"]: r.asDict() for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    series = ts.timeseries(flat.filter("order_date IS NOT NULL"), SALES_MODEL, ids, "month")
+    wanted = {r["metric_id"]: r.asDict() for r in ts.growth(series).collect()}
+    assert {m: {k: r[k] for k in wanted[m]} for m, r in found.items()} == wanted and len(found) == 2
+    assert found["total_revenue"]["headline"].startswith("Driven by a ") and "None" not in found["total_revenue"]["headline"]
