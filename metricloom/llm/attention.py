@@ -194,18 +194,23 @@ def slopes(weights: dict[str, np.ndarray], tokens: np.ndarray, wanted: np.ndarra
 
 def descend(weights: dict[str, np.ndarray], draws, steps: int, rate: float, begin: float = 0.0, end: float = 1.0
             ) -> dict[str, np.ndarray]:
-    """Adam over ``steps`` of the (tokens, wanted) in draws; ``begin`` to ``end`` is the part of the whole training."""
-    weights = dict(weights)
+    """Adam over ``steps`` of the (tokens, wanted) in draws; ``begin`` to ``end`` is the part of the whole training.
+
+    A step costs what its batch holds: of the embedding only the tokens in the batch are looked at and moved.
+    """
+    weights = {k: v.copy() for k, v in weights.items()}
     first = {k: np.zeros_like(v) for k, v in weights.items()}
     second = {k: np.zeros_like(v) for k, v in weights.items()}
     for step, (tokens, wanted) in enumerate(draws, 1):
-        slope = slopes(weights, tokens, wanted)
+        seen, tokens = np.unique(tokens, return_inverse=True)
+        slope = slopes({**weights, "embed": weights["embed"][seen]}, tokens.reshape(wanted.shape), wanted)
         now = rate * min(1, step / 20) * (1 - (begin + (end - begin) * step / (steps + 1)))
         for k, g in slope.items():
-            first[k] += 0.1 * (g - first[k])
-            second[k] += 0.01 * (g * g - second[k])
-            weights[k] = weights[k] - (now * first[k] / (1 - 0.9 ** step)
-                                       / (np.sqrt(second[k] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
+            at = seen if k == "embed" else slice(None)
+            first[k][at] += 0.1 * (g - first[k][at])
+            second[k][at] += 0.01 * (g * g - second[k][at])
+            weights[k][at] -= (now * first[k][at] / (1 - 0.9 ** step)
+                               / (np.sqrt(second[k][at] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
     return weights
 
 

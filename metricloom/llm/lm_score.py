@@ -1,9 +1,9 @@
 """Language-model scores: a causal self-attention model over subword ids, beside a word unigram baseline.
 
-Both learn from all training rows. Classes and pair shares of tokens come from pairs counted over all of them. Windows
-for the gradient steps are chosen by hash, a fixed share of all windows or more, and dealt to shards; each round the
-shards start from common weights and take their steps, and the weights are averaged by tasks. Counts of the most frequent
-words go to every task in a table of fixed size, the others are joined.
+Both learn from all training rows. Classes and pair shares of tokens come from pairs counted over all of them. The
+gradient steps take every token of every training row: windows that cover each text without overlap are dealt by hash to
+rounds and shards; in a round the shards start from common weights and take their steps, and the weights are averaged by
+tasks. Counts of the most frequent words go to every task in a table of fixed size, the others are joined.
 """
 
 from __future__ import annotations
@@ -27,10 +27,10 @@ HELD = 1 << 18
 #: Characters that the tokenizer gets at once, so that its work on one very long text is bounded. Cuts are where a
 #: pre-token ends; one longer than this goes to the merges by itself, whole.
 PIECE = 200_000
-#: Windows learned from: at least one of so many, however many there are; windows of a shard; rounds of averaging.
-ONE_OF, SHARD, ROUNDS = 64, 16_384, 3
-#: Tokens whose weights are averaged together, and tokens whose pairs are counted at once.
-BLOCK, FLOW = 1024, 1 << 21
+#: Windows of a shard, rounds of averaging, and neighbouring windows that are dealt together.
+SHARD, ROUNDS, RUN = 1 << 16, 3, 64
+#: Tokens whose weights are averaged together, tokens whose pairs are counted at once, and pairs put in a table at once.
+BLOCK, FLOW, PAIRS = 1024, 1 << 21, 1 << 19
 SCORED = ("row long, id {kind}, held_out boolean, n_tokens long, known long, part double, score double, "
           "rest array<struct<hash: long, n: int>>")
 
@@ -137,9 +137,20 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[pa.Rec
 
 def _beside(batches: Iterator[pa.RecordBatch], kind: np.ndarray, classes: int) -> Iterator[pa.RecordBatch]:
     table = np.zeros(len(kind) * 2 * classes)
+
+    def add(held):
+        pair, n = (np.concatenate(x) for x in zip(*held))
+        return attention.beside(pair // len(kind), pair % len(kind), n, kind, classes)
+
+    held, rows = [], 0
     for batch in batches:
-        pair = batch["pair"].to_numpy()
-        table += attention.beside(pair // len(kind), pair % len(kind), batch["n"].to_numpy(), kind, classes)
+        held.append((batch["pair"].to_numpy(), batch["n"].to_numpy()))
+        rows += batch.num_rows
+        if rows >= PAIRS:
+            table += add(held)
+            held, rows = [], 0
+    if held:
+        table += add(held)
     cells = np.flatnonzero(table)
     for at in range(0, len(cells), 1 << 16):
         some = cells[at:at + (1 << 16)]
@@ -154,34 +165,47 @@ def _cells(batches: Iterator[pa.RecordBatch], before: np.ndarray, column: np.nda
         yield pa.RecordBatch.from_arrays([pa.array(cell), batch["n"]], ["cell", "n"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch], end: int, window: int, stride: int, share: float, shards: int
-             ) -> Iterator[pa.RecordBatch]:
-    """Windows as they are scored, chosen by a hash of text and place, from texts of any length. -1: behind the end."""
-    least = int(share * (1 << 52))
+def _runs(batches: Iterator[pa.RecordBatch], end: int, window: int, shards: int, turn: int | None
+          ) -> Iterator[pa.RecordBatch]:
+    """Each text between two ends, cut into runs of windows, with their shard; of one round only, if ``turn`` is given.
+
+    Neighbouring runs share the token at which they meet: it is predicted in the first and read in the second.
+    """
+    small = np.uint16 if end < 1 << 16 else np.int32
     for batch in batches:
+        shard, drawn, tokens = [], [], []
         for h, ids in zip(batch["hash"].to_numpy().view(np.uint64), _lists(batch)):
             with np.errstate(over="ignore"):
-                draw = mixed(h + MIX * np.arange(_number(len(ids), window, stride), dtype=np.uint64))
-                chosen = np.flatnonzero((draw >> np.uint64(12)) < least)
-                other = mixed(draw[chosen] + MIX)
-            if len(chosen):
-                flow = np.concatenate([[end], ids, [end], np.full(window, -1)]).astype(np.int32)
-                tokens = flow[chosen[:, None] * stride + np.arange(window + 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((other % np.uint64(shards)).astype(np.int32)), pa.array(draw[chosen].view(np.int64)),
-                     pa.array([t.tobytes() for t in tokens], pa.binary())], ["shard", "draw", "tokens"])
+                draw = mixed(h + MIX * np.arange(-(-(len(ids) + 1) // (window * RUN)), dtype=np.uint64))
+                other = mixed(draw + MIX)
+            flow = np.concatenate([[end], ids, [end]]).astype(small)
+            for n in range(len(draw)) if turn is None else np.flatnonzero(other % np.uint64(ROUNDS) == turn):
+                at = int(n) * window * RUN
+                shard.append(int(other[n] // np.uint64(ROUNDS)) % shards)
+                drawn.append(draw[n])
+                tokens.append(flow[at:at + window * RUN + 1].tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(shard, pa.int32()), pa.array(np.array(drawn, dtype=np.uint64).view(np.int64)),
+             pa.array(tokens, pa.binary())], ["shard", "draw", "tokens"])
 
 
-def _number(ids: int, window: int, stride: int) -> int:
-    return 1 + max(0, -(-(ids + 1 - window) // stride))
+def _windows(runs: list[bytes], end: int, window: int) -> np.ndarray:
+    """The windows of runs, each with the token that follows it; -1 behind the end."""
+    small, parts = np.uint16 if end < 1 << 16 else np.int32, []
+    for run in runs:
+        tokens = np.frombuffer(run, dtype=small).astype(np.int32)
+        number = -(-(len(tokens) - 1) // window)
+        flow = np.full(number * window + 1, -1, dtype=np.int32)
+        flow[:len(tokens)] = tokens
+        parts.append(flow[np.arange(number)[:, None] * window + np.arange(window + 1)])
+    return np.concatenate(parts)
 
 
 def _learned(shard: pa.Table, weights: dict[str, np.ndarray], kind: np.ndarray, end: int, batch: int, rate: float,
              epochs: int, steps: int, turn: int) -> pa.Table:
     """Weights after the steps of one shard, times how often it met them, in blocks."""
-    draw = shard["draw"].to_numpy()
-    flow = np.stack([np.frombuffer(t, dtype=np.int32) for t in shard["tokens"].to_pylist()])
-    flow = flow[np.lexsort((*flow.T, draw))]
+    runs = sorted(zip(shard["draw"].to_pylist(), shard["tokens"].to_pylist()))
+    flow = _windows([r for _, r in runs], end, len(weights["place"]))
     random = np.random.default_rng(turn)
     order = np.concatenate([random.permutation(len(flow)) for _ in range(epochs)])
     parts = np.array_split(order, min(steps, -(-len(order) // batch)))
@@ -200,14 +224,14 @@ def _learned(shard: pa.Table, weights: dict[str, np.ndarray], kind: np.ndarray,
             out.append((at // BLOCK, np.hstack([own * found["embed"][at:at + BLOCK], own]).ravel()))
     number = shard["shard"][0].as_py()
     return pa.table({"block": pa.array([b for b, _ in out], pa.int32()), "shard": pa.array([number] * len(out), pa.int32()),
-                     "sums": pa.array([v.tobytes() for _, v in out], pa.binary())})
+                     "sums": pa.array([v.astype(np.float32).tobytes() for _, v in out], pa.binary())})
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, value in zip(batch["block"].to_pylist(), batch["sums"].to_pylist()):
-            value = np.frombuffer(value)
+            value = np.frombuffer(value, dtype=np.float32).astype(np.float64)
             sums[block] = sums[block] + value if block in sums else value
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()],
                                                                                 pa.binary())], ["block", "sums"])
@@ -235,7 +259,7 @@ def _averaged(rows: list, weights: dict[str, np.ndarray]) -> dict[str, np.ndarra
 def fit(texts: DataFrame, vocabulary: int, end: int, classes: int = 32, width: int = 12, window: int = 32,
         overlap: int = 8, steps: int = 600, batch: int = 256, rate: float = 0.01, rows: int = 2000, columns: int = 6000,
         back_off: float = 8.0, seed: int = 5) -> Attention:
-    """Learn from texts (hash, ids). Windows of ``steps`` batches are learned from at least, more of more texts."""
+    """Learn from every token of the texts (hash, ids), in at least ``steps`` batches: few texts are read again."""
     context = texts.sparkSession.sparkContext
     pairs = saved(in_arrow(texts.select("ids"), lambda b: _count_pairs(b, end), "pair long, n long").groupBy("pair").agg(
         F.sum("n").alias("n")), "token-pairs")
@@ -264,18 +288,18 @@ def fit(texts: DataFrame, vocabulary: int, end: int, classes: int = 32, width: i
     pair = table(in_arrow(pairs, lambda b: _cells(b, *placed.value, wide), "cell long, n long"), high * wide)
     tables = attention.inside_classes(pair.reshape(high, wide), count, kind, classes, rows, columns, back_off)
 
-    stride = window - overlap
-    number = 1 + F.greatest(F.lit(0), F.ceil((F.size("ids") + 1 - window) / F.lit(stride)))
-    total = texts.agg(F.sum(number)).first()[0] or 0
+    total = texts.agg(F.sum(F.ceil((F.size("ids") + 1) / F.lit(window)))).first()[0] or 0
     weights = attention.starting(count, kind, classes, width, window, seed)
     if total:
-        share = min(1.0, max(1 / ONE_OF, steps * batch / (ROUNDS * total)))
-        epochs = max(1, min(steps, round(steps * batch / (ROUNDS * share * total))))
-        shards = max(1, round(share * total / SHARD))
-        drawn = saved(in_arrow(texts, lambda b: _windows(b, end, window, stride, share, shards),
-                               "shard int, draw long, tokens binary"), "windows")
+        # A window belongs to one round, or to all where that would leave the rounds fewer than their batches.
+        once = total >= steps * batch
+        number = total / ROUNDS if once else total
+        epochs = max(1, min(steps, round(steps * batch / (ROUNDS * number))))
+        shards = max(1, round(number / SHARD))
         for turn in range(ROUNDS):
             held = context.broadcast((weights, kind))
+            drawn = in_arrow(texts, lambda b: _runs(b, end, window, shards, turn if once else None),
+                             "shard int, draw long, tokens binary")
             moved = drawn.groupBy("shard").applyInArrow(learner(held, turn), "block int, shard int, sums binary")
             sums = in_arrow(moved.repartition("block").sortWithinPartitions("block", "shard"), _summed,
                             "block int, sums binary")
@@ -303,7 +327,7 @@ def lm_scores(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_
     learned = rows.where("NOT held_out")
     with small_batches(docs.sparkSession):
         # The first free id closes a text.
-        model = fit(learned.select(F.xxhash64("text").alias("hash"), "ids"), size + 1, size, **options)
+        model = fit(learned.select(F.xxhash64("ids").alias("hash"), "ids"), size + 1, size, **options)
     with small_batches(docs.sparkSession):
         counts = saved(in_arrow(learned.select("text"), _count_words, "hash long, n long").groupBy("hash").agg(
             F.sum("n").alias("n")), "word-counts")

@@ -303,6 +303,28 @@ def test_lm_scores_learn_from_every_row(spark, ranks):
     assert abs(again - score[1]) < 0.01
 
 
+@pytest.mark.parametrize("end", [60, 70_000])
+def test_every_token_is_learned_from_once(end):
+    import numpy as np
+    import pyarrow as pa
+
+    from metricloom.llm import lm_score
+
+    random = np.random.default_rng(3)
+    texts = [random.integers(0, end, n).astype(np.int32) for n in (0, 1, 6, 7, 8, 700, 5000, *range(40))]
+    hashes = random.integers(0, 1 << 62, len(texts))
+    batch = pa.RecordBatch.from_arrays([pa.array(hashes), pa.array([t.tolist() for t in texts], pa.list_(pa.int32()))],
+                                       ["hash", "ids"])
+    found = collections.Counter()
+    for turn in range(lm_score.ROUNDS):
+        rows = next(lm_score._runs(iter([batch]), end, 8, 3, turn))
+        assert set(rows["shard"].to_pylist()) <= {0, 1, 2}
+        flow = lm_score._windows(rows["tokens"].to_pylist(), end, 8)
+        found += collections.Counter((int(a), int(b)) for a, b in zip(flow[:, :-1].ravel(), flow[:, 1:].ravel()) if b >= 0)
+    flows = [[end, *map(int, t), end] for t in texts]
+    assert found == collections.Counter(pair for f in flows for pair in zip(f, f[1:]))
+
+
 def test_attention_is_causal_and_normalised(ranks):
     import numpy as np
 
