@@ -24,13 +24,14 @@ from metricloom.llm.words import MIX, PORTION, Words, mixed, portions
 
 # What ends a piece, and the bytes that are in no word.
 BREAK = re.compile("[.,;:!?\x0A-\x0D]")
-GAPS = re.compile("[\x20\x09]{2,}|\x09")
 _CODES = np.arange(256)
 _IS_BREAK = np.isin(_CODES, np.frombuffer(b".,;:!?\x0A\x0B\x0C\x0D", dtype=np.uint8))
 _IN_WORD = ~_IS_BREAK & (_CODES != 0x20) & (_CODES != 0x09)
 
 #: Between a language and a phrase; no word holds one.
 TAB = "\t"
+#: Keys that are put together at once.
+KEYS = 1 << 16
 COUNTED = "key string, start int, n long"
 #: A slot that no phrase of the threshold has.
 NEVER = 255
@@ -38,11 +39,19 @@ NEVER = 255
 MOST_SLOTS = 22
 
 
+def _one_space(text: str) -> str:
+    """The text with one space for each run of spaces and tabs; each pass halves the longest run."""
+    text = text.replace("\x09", " ")
+    while "  " in text:
+        text = text.replace("  ", " ")
+    return text
+
+
 def _parts(langs: list[str], texts: list[str | None]) -> Iterator[tuple[list[str], list[str]]]:
     """Texts with one space between words, gathered up to a portion; longer ones are cut where a piece ends."""
     some_langs, some, size = [], [], 0
     for lang, text in zip(langs, texts):
-        text = GAPS.sub(" ", text or "")
+        text = _one_space(text or "")
         at = 0
         while at < len(text):
             edge = BREAK.search(text, at + PORTION)
@@ -80,18 +89,27 @@ def _counts(words: Words, salt: np.ndarray, scan: int, shards: int, longest: int
             return
         with np.errstate(over="ignore"):
             total = total[:last] * MIX + words.hash[n - 1:]
-            keys = mixed(total + salt[:last])
-            slots = _slot(total, salt[:last], n, len(times)) if times is not None else None
         whole = (piece[:last] == piece[n - 1:]) & (words.text[:last] == words.text[n - 1:])
         at = np.flatnonzero(whole & (start <= scan) & (start + shards > scan))
-        _, first, times_ = np.unique(keys[at], return_index=True, return_counts=True)
+        with np.errstate(over="ignore"):
+            keys = mixed(total[at] + salt[at])
+        _, first, times_ = np.unique(keys, return_index=True, return_counts=True)
         yield n, at[first], start[at[first]], times_
-        if times is None:
+        if times is None or n == longest:
             return
-        reached = times[slots].astype(np.int32)
+        with np.errstate(over="ignore"):
+            reached = times[_slot(total, salt[:last], n, len(times))].astype(np.int32)
         start = np.maximum(reached[:-1], reached[1:]) + 1
 
 
+def _keys(source: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
+    """Strings of two stretches of the bytes each: starts and lengths of shape strings x 2."""
+    start, length = start.ravel(), length.ravel()
+    edges = np.concatenate([[0], np.cumsum(length)])
+    taken = source[np.repeat(start - edges[:-1], length) + np.arange(edges[-1])]
+    return pa.StringArray.from_buffers(len(start) // 2, pa.py_buffer(edges[::2].astype(np.int32)), pa.py_buffer(taken))
+
+
 def _scan(batches: Iterator[pa.RecordBatch], scan: int, shards: int, longest: int, times: np.ndarray | None
           ) -> Iterator[pa.RecordBatch]:
     columns = ["key", "start", "n"]
@@ -99,13 +117,17 @@ def _scan(batches: Iterator[pa.RecordBatch], scan: int, shards: int, longest: in
         for langs, texts in _parts(batch["lang"].to_pylist(), batch["text"].to_pylist()):
             words = Words(texts, member=_IN_WORD)
             names, code = np.unique(langs, return_inverse=True)
-            heads = [(lang + TAB).encode() for lang in langs]
-            raw = words.bytes.tobytes()
+            heads = [(name + TAB).encode() for name in names.tolist()]
+            size = np.array([len(head) for head in heads])
+            source = np.concatenate([np.frombuffer(b"".join(heads), dtype=np.uint8), words.bytes])
             for n, first, start, found in _counts(words, _salt(names)[code], scan, shards, longest, times):
-                spans = zip(words.text[first].tolist(), words.start[first].tolist(), words.end[first + n - 1].tolist())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([heads[t] + raw[a:b] for t, a, b in spans], type=pa.binary()).cast(pa.string()),
-                     pa.array(start), pa.array(found.astype(np.int64))], columns)
+                for at in range(0, len(first), KEYS):
+                    some = first[at:at + KEYS]
+                    lang, begin = code[words.text[some]], words.start[some]
+                    key = _keys(source, np.stack([(np.cumsum(size) - size)[lang], size.sum() + begin], axis=1),
+                                np.stack([size[lang], words.end[some + n - 1] - begin], axis=1))
+                    yield pa.RecordBatch.from_arrays([key, pa.array(start[at:at + KEYS]),
+                                                      pa.array(found[at:at + KEYS].astype(np.int64))], columns)
             if scan <= shards:  # all words of a language: how often the empty phrase occurs
                 every = np.bincount(code, weights=words.counts, minlength=len(names)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(

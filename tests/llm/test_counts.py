@@ -208,3 +208,23 @@ def test_scores_are_exact_beyond_64_bits(spark):
         "(CAST(1000 AS DECIMAL(4, 0)) * CAST(9007199254740993 AS DECIMAL(16, 0)) * CAST(9999999999999989 AS DECIMAL(16, 0)))"
         " div (CAST(9007199254740997 AS DECIMAL(19, 0)) * CAST(13 AS DECIMAL(18, 0)))").alias("x")).first()
     assert row["x"] == 1000 * 9007199254740993 * 9999999999999989 // (9007199254740997 * 13)
+
+
+def test_phrase_keys_from_bytes(monkeypatch):
+    """Keys are cut from the bytes of a portion, some at a time, whatever gaps and languages hold."""
+    monkeypatch.setattr(phrases, "KEYS", 3)
+    langs, texts = ["é", "", "und", "é"], [" Ä \t\t b   c\t\td. \t e ", "b", None, "b  c"]
+    batch = pa.RecordBatch.from_pydict({"lang": langs, "text": texts})
+    reached = np.ones(1 << 12, dtype=np.uint8)
+    found = collections.Counter()
+    for out in phrases._scan(iter([batch]), 2, 2, 3, reached):
+        assert out.num_rows <= 3
+        found.update(dict(zip(out["key"].to_pylist(), out["n"].to_pylist())))
+    wanted = collections.Counter()
+    for lang, text in zip(langs, texts):
+        for piece in re.split(r"[.]", (text or "").lower().replace("ä", "Ä")):
+            some = piece.split()
+            wanted[lang + "\t"] += len(some)
+            for n in (1, 2, 3):
+                wanted.update(lang + "\t" + " ".join(some[i:i + n]) for i in range(len(some) - n + 1))
+    assert {k: v for k, v in found.items() if v} == {k: v for k, v in wanted.items() if v}
