@@ -36,32 +36,36 @@ class Attention:
     def window(self) -> int:
         return len(self.place)
 
-    def hidden(self, tokens: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Inputs, attention weights and what they gather, for tokens of shape windows x positions."""
-        x = self.embed[tokens] + self.place
-        grown = np.matmul(x @ self.bilinear, x.transpose(0, 2, 1))
-        np.minimum(grown, 30, out=grown)
-        np.exp(grown, out=grown)
-        grown *= np.tri(self.window, dtype=np.float32)  # later positions weigh nothing
-        return x, grown
-
-    def log10_next(self, tokens: np.ndarray, following: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
-        """log10 p(following) at each position of each window, or at the ``wanted`` ones, given the tokens up to there."""
-        x, weight = self.hidden(tokens)
-        ones = np.ones((*x.shape[:2], 1), dtype=np.float32)
-        sums = np.matmul(weight, np.concatenate([x, ones], axis=2))
-        where = slice(None) if wanted is None else np.flatnonzero(wanted)
-        flat, after = tokens.ravel()[where], following.ravel()[where]
-        sums = sums.reshape(-1, sums.shape[2])[where]
-        both = np.concatenate([x.reshape(-1, x.shape[2])[where], sums[:, :-1] / sums[:, -1:]], axis=1)
-        logits = both @ self.out + self.bias
+    def log10_class(self, tokens: np.ndarray, kinds: np.ndarray, wanted: np.ndarray, skip: int = 0) -> np.ndarray:
+        """log10 p(class of the next token) at the ``wanted`` positions of windows, given the tokens up to there.
+
+        The first ``skip`` positions are only read: ``kinds`` and ``wanted`` begin behind them.
+        """
+        x = with_ones(np.take(self.embed, tokens, axis=0), self.place)
+        _, weight, _ = attended(x, self.bilinear, skip)
+        sums = np.matmul(weight, x)
+        both = np.empty((*sums.shape[:2], 2 * x.shape[2] - 1), dtype=np.float32)
+        both[:, :, :x.shape[2] - 1] = x[:, skip:, :-1]
+        np.divide(sums, sums[:, :, -1:], out=both[:, :, x.shape[2] - 1:])
+        both, kinds = both.reshape(-1, both.shape[2]), kinds.ravel()
+        if not wanted.all():
+            where = np.flatnonzero(wanted)
+            both, kinds = both[where], kinds[where]
+        logits = both @ np.vstack([self.out, self.bias])
         np.minimum(logits, 60, out=logits)
-        best = logits[np.arange(len(flat)), self.kind[after]]
+        best = logits[np.arange(len(kinds)), kinds]
         np.exp(logits, out=logits)
         total = logits @ np.ones(logits.shape[1], dtype=np.float32)
-        value = (best - np.log(total)) * np.float32(1 / np.log(10)) + (
-            self.inside[self.before[flat], self.column[after]] + self.alone[after])
-        return value.reshape(tokens.shape) if wanted is None else value
+        return (best - np.log(total)) * np.float32(1 / np.log(10))
+
+    def log10_inside(self, tokens: np.ndarray, following: np.ndarray) -> np.ndarray:
+        """log10 p(following | its class, the token before)."""
+        return self.inside[self.before[tokens], self.column[following]] + self.alone[following]
+
+    def log10_next(self, tokens: np.ndarray, following: np.ndarray) -> np.ndarray:
+        """log10 p(following) at each position of each window, given the tokens up to there."""
+        value = self.log10_class(tokens, self.kind[following], np.ones(tokens.shape, dtype=bool))
+        return value.reshape(tokens.shape) + self.log10_inside(tokens, following)
 
     def score(self, texts: list[np.ndarray], block: int = 64) -> np.ndarray:
         """log10 probability of each text (its tokens, then the end). Windows overlap; each token counts once."""
@@ -79,20 +83,43 @@ class Attention:
         start = bounds[:-1][owner] + nth * stride
         stop = bounds[1:][owner] - 1
         padded = np.concatenate([flat, np.full(self.window + 1, self.end)])
-        span = np.arange(self.window)
-        out = np.zeros(len(texts))
-        for at in range(0, len(start), block):
-            begin = start[at:at + block]
-            index = begin[:, None] + span
-            fresh = (span >= np.where(nth[at:at + block, None] > 0, self.overlap, 0)) & (index < stop[at:at + block, None])
-            value = self.log10_next(padded[index], padded[index + 1], fresh)
-            own = np.repeat(owner[at:at + block], fresh.sum(axis=1))
-            first = own[0]  # the owners of a block are neighbours
-            sums = np.bincount(own - first, weights=value)
-            out[first:first + len(sums)] += sums
+        kinds, span = self.kind[padded].astype(np.int64), np.arange(self.window)
+        inside = self.log10_inside(flat[:-1], flat[1:])
+        inside[bounds[1:-1] - 1] = 0  # from the end of a text to the next one's begin
+        out = np.bincount(np.repeat(np.arange(len(texts)), steps + 1)[:-1], weights=inside, minlength=len(texts))
+        # Behind the first window of a text, its overlap is only read.
+        for skip, chosen in ((0, np.flatnonzero(nth == 0)), (self.overlap, np.flatnonzero(nth))):
+            for at in range(0, len(chosen), block):
+                some = chosen[at:at + block]
+                index = start[some, None] + span
+                fresh = index[:, skip:] < stop[some, None]
+                value = self.log10_class(padded[index], kinds[index[:, skip:] + 1], fresh, skip)
+                own = np.repeat(owner[some], fresh.sum(axis=1))
+                first = own[0]  # the owners of a block are neighbours
+                sums = np.bincount(own - first, weights=value)
+                out[first:first + len(sums)] += sums
         return out
 
 
+def with_ones(embedded: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Inputs of windows, and a one behind each: what it is weighted with gives the sum of the weights."""
+    x = np.empty((*embedded.shape[:2], embedded.shape[2] + 1), dtype=np.float32)
+    np.add(embedded, place, out=x[:, :, :-1])
+    x[:, :, -1] = 1
+    return x
+
+
+def attended(x: np.ndarray, bilinear: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries of the positions from ``skip`` on, their weights of all positions (later ones weigh nothing), and the
+    inputs turned: products of many small matrices are several times as fast by a copy that lies in order."""
+    query, turned = x[:, skip:, :-1] @ bilinear, x.transpose(0, 2, 1).copy()
+    weight = np.matmul(query, turned[:, :-1])
+    np.minimum(weight, 30, out=weight)
+    np.exp(weight, out=weight)
+    weight *= np.tri(x.shape[1], dtype=np.float32)[skip:]
+    return query, weight, turned
+
+
 def token_classes(near, count: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray:
     """Classes of tokens by what stands before and after them: k-means on square roots of shares.
 
@@ -162,34 +189,46 @@ def starting(count: np.ndarray, kind: np.ndarray, classes: int, width: int, wind
 
 
 def slopes(weights: dict[str, np.ndarray], tokens: np.ndarray, wanted: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradients of the mean loss over windows; where ``wanted`` is negative nothing is predicted."""
-    width, classes = weights["embed"].shape[1], len(weights["bias"])
-    x = weights["embed"][tokens] + weights["place"]
-    weight = np.exp(np.minimum(np.matmul(x @ weights["bilinear"], x.transpose(0, 2, 1)), 30))
-    weight *= np.tri(tokens.shape[1], dtype=np.float32)
-    share = weight / weight.sum(axis=2, keepdims=True)
-    gathered = share @ x
-    both = np.concatenate([x, gathered], axis=2)
-    logits = both @ weights["out"] + weights["bias"]
-    logits -= logits.max(axis=2, keepdims=True)
-    p = np.exp(logits)
-    p /= p.sum(axis=2, keepdims=True)
-    valid = wanted >= 0
-    aim = np.maximum(wanted, 0)[:, :, None]
-    np.put_along_axis(p, aim, np.take_along_axis(p, aim, 2) - 1, 2)
-    p *= valid[:, :, None] / np.float32(max(valid.sum(), 1))
-    d_both = p @ weights["out"].T
-    d_x, d_gathered = d_both[:, :, :width].copy(), d_both[:, :, width:]
-    d_share = d_gathered @ x.transpose(0, 2, 1)
-    d_x += share.transpose(0, 2, 1) @ d_gathered
-    d_score = share * (d_share - (d_share * share).sum(axis=2, keepdims=True))
-    d_query = d_score @ x
-    d_x += d_score.transpose(0, 2, 1) @ (x @ weights["bilinear"]) + d_query @ weights["bilinear"].T
-    flat, size = tokens.ravel(), len(weights["embed"])
-    d_embed = np.stack([np.bincount(flat, weights=d_x[:, :, i].ravel(), minlength=size) for i in range(width)], axis=1)
-    return {"embed": d_embed.astype(np.float32), "place": d_x.sum(axis=0), "bias": p.sum(axis=(0, 1)),
-            "out": both.reshape(-1, 2 * width).T @ p.reshape(-1, classes),
-            "bilinear": x.reshape(-1, width).T @ d_query.reshape(-1, width)}
+    """Gradients of the mean loss over windows; where ``wanted`` is negative nothing is predicted.
+
+    Weights are not divided by their sums, cell by cell; the sums are divided out of what is gathered by them.
+    """
+    size, width = weights["embed"].shape
+    x = with_ones(np.take(weights["embed"], tokens, axis=0), weights["place"])
+    own = x[:, :, :-1]
+    query, weight, turned = attended(x, weights["bilinear"])
+    gathered = np.matmul(weight, x)
+    total = gathered[:, :, -1:].copy()
+    gathered /= total
+    both = np.concatenate([own, gathered], axis=2).reshape(-1, 2 * width + 1)
+    p = both @ np.vstack([weights["out"], weights["bias"]])
+    np.clip(p, -60, 60, out=p)
+    np.exp(p, out=p)
+    valid = wanted.ravel() >= 0
+    part = valid.astype(np.float32) / np.float32(max(valid.sum(), 1))
+    p *= (part / (p @ np.ones(p.shape[1], dtype=np.float32)))[:, None]
+    p[np.arange(len(p)), np.maximum(wanted.ravel(), 0)] -= part
+    d_out = both.T @ p
+    d_both = (p @ weights["out"].T).reshape(*tokens.shape, 2 * width)
+    # Slopes of what is gathered, and behind them what they lose to the sum of the weights.
+    pull = np.empty_like(x)
+    np.divide(d_both[:, :, width:], total, out=pull[:, :, :-1])
+    np.negative(np.einsum("wpi,wpi->wp", pull[:, :, :-1], gathered[:, :, :-1]), out=pull[:, :, -1])
+    d_score = np.matmul(pull, turned)
+    d_score *= weight
+    d_query = np.matmul(d_score, own)
+    d_x = (d_query.reshape(-1, width) @ weights["bilinear"].T).reshape(own.shape)
+    d_x += d_both[:, :, :width]
+    d_x += np.matmul(weight.transpose(0, 2, 1), pull[:, :, :-1])
+    d_x += np.matmul(d_score.transpose(0, 2, 1), query)
+    flat = tokens.ravel().astype(np.uint16 if size <= 1 << 16 else np.int64)
+    order = np.argsort(flat, kind="stable")
+    sorted_ = flat[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    d_embed = np.zeros((size, width), dtype=np.float32)
+    d_embed[sorted_[first]] = np.add.reduceat(d_x.reshape(-1, width)[order], first, axis=0)
+    return {"embed": d_embed, "place": d_x.sum(axis=0), "bias": d_out[-1], "out": d_out[:-1],
+            "bilinear": own.reshape(-1, width).T @ d_query.reshape(-1, width)}
 
 
 def descend(weights: dict[str, np.ndarray], draws, steps: int, rate: float, begin: float = 0.0, end: float = 1.0
@@ -207,10 +246,11 @@ def descend(weights: dict[str, np.ndarray], draws, steps: int, rate: float, begi
         now = rate * min(1, step / 20) * (1 - (begin + (end - begin) * step / (steps + 1)))
         for k, g in slope.items():
             at = seen if k == "embed" else slice(None)
-            first[k][at] += 0.1 * (g - first[k][at])
-            second[k][at] += 0.01 * (g * g - second[k][at])
-            weights[k][at] -= (now * first[k][at] / (1 - 0.9 ** step)
-                               / (np.sqrt(second[k][at] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
+            one, two = first[k][at], second[k][at]
+            one = one + 0.1 * (g - one)
+            two = two + 0.01 * (g * g - two)
+            first[k][at], second[k][at] = one, two
+            weights[k][at] -= now / (1 - 0.9 ** step) * one / (np.sqrt(two / (1 - 0.99 ** step)) + 1e-8)
     return weights
 
 

@@ -9,7 +9,7 @@ tasks. Counts of the most frequent words go to every task in a table of fixed si
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -80,14 +80,30 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["hash", "n"])
 
 
+def _places(hashes: np.ndarray) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """A function that gives where hashes stand among the sorted ones, and whether they do. It starts from where those
+    with the same leading bits begin, and takes few steps, for hashes are spread evenly."""
+    ends, shift = np.append(hashes, np.uint64((1 << 64) - 1)), np.uint64(64 - 18)
+    begins = np.searchsorted(hashes, np.arange(1 << 18, dtype=np.uint64) << shift)
+
+    def look(wanted):
+        at = begins[(wanted >> shift).astype(np.int64)]
+        low = np.flatnonzero(ends[at] < wanted)
+        while len(low):
+            at[low] += 1
+            low = low[ends[at[low]] < wanted[low]]
+        return at, (ends[at] == wanted) & (at < len(hashes))
+
+    return look
+
+
 def _score(batches: Iterator[pa.RecordBatch], model: Attention, hashes: np.ndarray, counts: np.ndarray, ends: int) -> Iterator[pa.RecordBatch]:
     """Each text's model score, its baseline over the words held (``hashes`` sorted) and its other words."""
-    logs = np.log10(counts + 1.0)
+    logs, look = np.log10(counts + 1.0), _places(hashes)
     for batch in portions(batches, size=1 << 20):
         texts = batch["text"].to_pylist()
         words = Words(texts, spaced=True)
-        at = np.minimum(np.searchsorted(hashes, words.hash), max(len(hashes) - 1, 0))
-        held = hashes[at] == words.hash if len(hashes) else np.zeros(len(words.hash), dtype=bool)
+        at, held = look(words.hash)
         part = np.bincount(words.text[held], weights=logs[at[held]], minlength=len(texts)) + np.log10(ends + 1)
         known = np.bincount(words.text[held], minlength=len(texts)) + (ends > 0)
         text, value, n = _distinct(words.text[~held], words.hash[~held])
@@ -96,37 +112,49 @@ def _score(batches: Iterator[pa.RecordBatch], model: Attention, hashes: np.ndarr
             [pa.array(value.view(np.int64)), pa.array(n.astype(np.int32))], ["hash", "n"]))
         yield pa.RecordBatch.from_arrays(
             [batch["row"], batch["id"], batch["held_out"], pa.array(words.counts.astype(np.int64) + 1),
-             pa.array(known), pa.array(part), pa.array(model.score(_lists(batch))), rest],
+             pa.array(known), pa.array(part), pa.array(model.score(_lists(batch, model.end))), rest],
             ["row", "id", "held_out", "n_tokens", "known", "part", "score", "rest"])
 
 
 def _tokenised(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    encoding, _ = _tokenizer(path, pattern)
+    encoding, end = _tokenizer(path, pattern)
     for batch in portions(batches, size=1 << 20):
         ids = [_ids(t, encoding) for t in batch["text"].to_pylist()]
         offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
         flat = np.concatenate(ids).astype(np.int32)
+        packed = [x.astype(_small(end)).tobytes() for x in ids]
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*batch.schema.names, "ids"])
+            [*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(packed, pa.binary())],
+            [*batch.schema.names, "list", "ids"])
 
 
-def _lists(batch: pa.RecordBatch) -> list[np.ndarray]:
+def _small(end: int) -> type:
+    """The type in which tokens travel, as bytes: Spark passes these on whole, but lists number by number."""
+    return np.uint16 if end < 1 << 16 else np.int32
+
+
+def _lists(batch: pa.RecordBatch, end: int) -> list[np.ndarray]:
     column = batch["ids"]
+    if pa.types.is_binary(column.type):
+        return [np.frombuffer(ids, dtype=_small(end)) for ids in column.to_pylist()]
     edges, flat = column.offsets.to_numpy(), column.values.to_numpy()
     return [flat[a:b] for a, b in zip(edges[:-1], edges[1:])]
 
 
 def _count_pairs(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[pa.RecordBatch]:
     """Neighbours in the texts, each between two ends, and how often they meet."""
+    kind = np.uint32 if (end + 1) ** 2 <= 1 << 32 else np.int64  # shorter numbers sort faster
+    edge = np.array([end], dtype=kind)
+
     def counted(flows):
-        codes = np.concatenate([f[:-1] * (end + 1) + f[1:] for f in flows])
+        codes = np.concatenate([f[:-1] * kind(end + 1) + f[1:] for f in flows])
         codes, n = np.unique(codes, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], ["pair", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], ["pair", "n"])
 
     flows, held = [], 0
     for batch in batches:
-        for ids in _lists(batch):
-            flows.append(np.concatenate([[end], ids, [end]]).astype(np.int64))
+        for ids in _lists(batch, end):
+            flows.append(np.concatenate([edge, ids.astype(kind), edge]))
             held += len(flows[-1])
             if held >= FLOW:
                 yield counted(flows)
@@ -171,29 +199,30 @@ def _runs(batches: Iterator[pa.RecordBatch], end: int, window: int, shards: int,
 
     Neighbouring runs share the token at which they meet: it is predicted in the first and read in the second.
     """
-    small = np.uint16 if end < 1 << 16 else np.int32
+    length, edge = window * RUN, np.array([end], dtype=_small(end)).tobytes()
     for batch in batches:
-        shard, drawn, tokens = [], [], []
-        for h, ids in zip(batch["hash"].to_numpy().view(np.uint64), _lists(batch)):
-            with np.errstate(over="ignore"):
-                draw = mixed(h + MIX * np.arange(-(-(len(ids) + 1) // (window * RUN)), dtype=np.uint64))
-                other = mixed(draw + MIX)
-            flow = np.concatenate([[end], ids, [end]]).astype(small)
-            for n in range(len(draw)) if turn is None else np.flatnonzero(other % np.uint64(ROUNDS) == turn):
-                at = int(n) * window * RUN
-                shard.append(int(other[n] // np.uint64(ROUNDS)) % shards)
-                drawn.append(draw[n])
-                tokens.append(flow[at:at + window * RUN + 1].tobytes())
+        texts, tokens = _lists(batch, end), []
+        number = np.array([-(-(len(t) + 1) // length) for t in texts], dtype=np.int64)
+        owner = np.repeat(np.arange(len(texts)), number)
+        start = (np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)) * length
+        with np.errstate(over="ignore"):
+            draw = mixed(batch["hash"].to_numpy().view(np.uint64)[owner] + MIX * (start // length).astype(np.uint64))
+            other = mixed(draw + MIX)
+        chosen = slice(None) if turn is None else other % np.uint64(ROUNDS) == turn
+        drawn, shard = draw[chosen], (other[chosen] // np.uint64(ROUNDS) % np.uint64(shards)).astype(np.int32)
+        for i, at in zip(owner[chosen], start[chosen]):
+            text = texts[i]
+            run = text[max(at - 1, 0):at + length].astype(_small(end), copy=False).tobytes()
+            tokens.append((b"" if at else edge) + run + (edge if len(text) < at + length else b""))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(shard, pa.int32()), pa.array(np.array(drawn, dtype=np.uint64).view(np.int64)),
-             pa.array(tokens, pa.binary())], ["shard", "draw", "tokens"])
+            [pa.array(shard), pa.array(drawn.view(np.int64)), pa.array(tokens, pa.binary())], ["shard", "draw", "tokens"])
 
 
 def _windows(runs: list[bytes], end: int, window: int) -> np.ndarray:
     """The windows of runs, each with the token that follows it; -1 behind the end."""
-    small, parts = np.uint16 if end < 1 << 16 else np.int32, []
+    parts: list[np.ndarray] = []
     for run in runs:
-        tokens = np.frombuffer(run, dtype=small).astype(np.int32)
+        tokens = np.frombuffer(run, dtype=_small(end)).astype(np.int32)
         number = -(-(len(tokens) - 1) // window)
         flow = np.full(number * window + 1, -1, dtype=np.int32)
         flow[:len(tokens)] = tokens
@@ -259,7 +288,7 @@ def _averaged(rows: list, weights: dict[str, np.ndarray]) -> dict[str, np.ndarra
 def fit(texts: DataFrame, vocabulary: int, end: int, classes: int = 32, width: int = 12, window: int = 32,
         overlap: int = 8, steps: int = 600, batch: int = 256, rate: float = 0.01, rows: int = 2000, columns: int = 6000,
         back_off: float = 8.0, seed: int = 5) -> Attention:
-    """Learn from every token of the texts (hash, ids), in at least ``steps`` batches: few texts are read again."""
+    """Learn from every token of the texts (hash, ids as bytes), in at least ``steps`` batches: few texts are read again."""
     context = texts.sparkSession.sparkContext
     pairs = saved(in_arrow(texts.select("ids"), lambda b: _count_pairs(b, end), "pair long, n long").groupBy("pair").agg(
         F.sum("n").alias("n")), "token-pairs")
@@ -288,7 +317,7 @@ def fit(texts: DataFrame, vocabulary: int, end: int, classes: int = 32, width: i
     pair = table(in_arrow(pairs, lambda b: _cells(b, *placed.value, wide), "cell long, n long"), high * wide)
     tables = attention.inside_classes(pair.reshape(high, wide), count, kind, classes, rows, columns, back_off)
 
-    total = texts.agg(F.sum(F.ceil((F.size("ids") + 1) / F.lit(window)))).first()[0] or 0
+    total = texts.agg(F.sum(F.ceil((F.octet_length("ids") / np.dtype(_small(end)).itemsize + 1) / F.lit(window)))).first()[0] or 0
     weights = attention.starting(count, kind, classes, width, window, seed)
     if total:
         # A window belongs to one round, or to all where that would leave the rounds fewer than their batches.
@@ -322,12 +351,13 @@ def lm_scores(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_
     size = _tokenizer(path, pattern)[1]
     kind = rows.schema["id"].dataType.simpleString()
     with small_batches(docs.sparkSession):
-        rows = saved(in_arrow(rows, lambda b: _tokenised(b, path, pattern),
-                              f"row long, id {kind}, held_out boolean, text string, ids array<int>"), "lm-ids")
+        rows = in_arrow(rows, lambda b: _tokenised(b, path, pattern),
+                        f"row long, id {kind}, held_out boolean, text string, list array<int>, ids binary")
+        rows = saved(rows.select("row", "id", "held_out", "text", F.xxhash64("list").alias("hash"), "ids"), "lm-ids")
     learned = rows.where("NOT held_out")
     with small_batches(docs.sparkSession):
         # The first free id closes a text.
-        model = fit(learned.select(F.xxhash64("ids").alias("hash"), "ids"), size + 1, size, **options)
+        model = fit(learned.select("hash", "ids"), size + 1, size, **options)
     with small_batches(docs.sparkSession):
         counts = saved(in_arrow(learned.select("text"), _count_words, "hash long, n long").groupBy("hash").agg(
             F.sum("n").alias("n")), "word-counts")

@@ -325,6 +325,68 @@ def test_every_token_is_learned_from_once(end):
     assert found == collections.Counter(pair for f in flows for pair in zip(f, f[1:]))
 
 
+def test_tokens_travel_as_bytes():
+    """Runs and pairs of packed ids are those of listed ones, for short and long numbers."""
+    from metricloom.llm import lm_score
+
+    random = np.random.default_rng(4)
+    for end in (60, 70_000):
+        texts = [random.integers(0, end, n) for n in (0, 1, 7, 600, *range(20))]
+        hashes = pa.array(random.integers(0, 1 << 62, len(texts)))
+        listed = pa.array([t.tolist() for t in texts], pa.list_(pa.int32()))
+        packed = pa.array([t.astype(np.uint16 if end < 1 << 16 else np.int32).tobytes() for t in texts], pa.binary())
+        one, two = (pa.RecordBatch.from_arrays([hashes, ids], ["hash", "ids"]) for ids in (listed, packed))
+        assert next(lm_score._runs(iter([one]), end, 8, 3, 1)) == next(lm_score._runs(iter([two]), end, 8, 3, 1))
+        pairs = next(lm_score._count_pairs(iter([two]), end))
+        wanted = collections.Counter(
+            a * (end + 1) + b for t in texts for f in [[end, *t.tolist(), end]] for a, b in zip(f, f[1:]))
+        assert dict(zip(pairs["pair"].to_pylist(), pairs["n"].to_pylist())) == wanted
+
+
+def test_places_of_hashes():
+    from metricloom.llm import lm_score
+
+    top = (1 << 64) - 1
+    held = np.array([0, 5, 6, 7, 1 << 46, (1 << 46) + 1, 1 << 63, top - 1], dtype=np.uint64)
+    for hashes in (held, held[:0], np.append(held, np.uint64(top))):
+        wanted = np.array([0, 1, 5, 7, 8, 1 << 46, (1 << 46) + 2, 1 << 63, top - 1, top], dtype=np.uint64)
+        at, found = lm_score._places(hashes)(wanted)
+        assert found.tolist() == np.isin(wanted, hashes).tolist()
+        assert (hashes[at[found]] == wanted[found]).all()
+
+
+def test_slopes_are_those_of_the_loss():
+    """Against differences of the loss, computed plainly in doubles."""
+    from metricloom.llm import attention
+
+    random = np.random.default_rng(2)
+    kind = random.integers(0, 4, 20).astype(np.int32)
+    weights = attention.starting(np.ones(20), kind, 4, 3, 6, 1)
+    weights["place"] += random.normal(0, 0.2, (6, 3)).astype(np.float32)
+    tokens, wanted = random.integers(0, 12, (5, 6)), random.integers(-1, 4, (5, 6))
+
+    def loss(w):
+        x = w["embed"][tokens] + w["place"]
+        share = np.exp(x @ w["bilinear"] @ x.transpose(0, 2, 1)) * np.tri(6)
+        both = np.concatenate([x, share / share.sum(axis=2, keepdims=True) @ x], axis=2)
+        p = np.exp(both @ w["out"] + w["bias"])
+        p /= p.sum(axis=2, keepdims=True)
+        return -np.log(np.take_along_axis(p, np.maximum(wanted, 0)[:, :, None], 2)[:, :, 0])[wanted >= 0].mean()
+
+    found = attention.slopes(weights, tokens, wanted)
+    exact = {k: v.astype(np.float64) for k, v in weights.items()}
+    for name, value in exact.items():
+        for at in np.ndindex(value.shape):
+            values = []
+            for step in (1e-4, -1e-4):
+                moved = value.copy()
+                moved[at] += step
+                values.append(loss({**exact, name: moved}))
+            assert abs(found[name][at] - (values[0] - values[1]) / 2e-4) < 1e-4
+    # Tokens that no window holds have no slope.
+    assert not found["embed"][12:].any()
+
+
 def test_attention_is_causal_and_normalised(ranks):
     import numpy as np
 
