@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from numpy.lib.stride_tricks import sliding_window_view
 
 
 @dataclass(frozen=True)
@@ -52,9 +53,8 @@ class Attention:
             where = np.flatnonzero(wanted)
             both, kinds = both[where], kinds[where]
         logits = both @ np.vstack([self.out, self.bias])
-        np.minimum(logits, 60, out=logits)
-        best = logits[np.arange(len(kinds)), kinds]
-        np.exp(logits, out=logits)
+        best = np.minimum(logits.ravel()[np.arange(0, logits.size, logits.shape[1]) + kinds], 60)
+        exp_below(logits, 60)
         total = logits @ np.ones(logits.shape[1], dtype=np.float32)
         return (best - np.log(total)) * np.float32(1 / np.log(10))
 
@@ -83,17 +83,20 @@ class Attention:
         start = bounds[:-1][owner] + nth * stride
         stop = bounds[1:][owner] - 1
         padded = np.concatenate([flat, np.full(self.window + 1, self.end)])
-        kinds, span = self.kind[padded].astype(np.int64), np.arange(self.window)
+        tokens = sliding_window_view(padded, self.window)
+        kinds = sliding_window_view(self.kind[padded].astype(np.int64), self.window)
         inside = self.log10_inside(flat[:-1], flat[1:])
         inside[bounds[1:-1] - 1] = 0  # from the end of a text to the next one's begin
         out = np.bincount(np.repeat(np.arange(len(texts)), steps + 1)[:-1], weights=inside, minlength=len(texts))
-        # Behind the first window of a text, its overlap is only read.
-        for skip, chosen in ((0, np.flatnonzero(nth == 0)), (self.overlap, np.flatnonzero(nth))):
+        # Behind the first window of a text, its overlap is only read. Windows that the text does not fill go apart.
+        full = start + self.window <= stop
+        for skip, chosen in ((0, (nth == 0) & full), (0, (nth == 0) & ~full),
+                             (self.overlap, (nth > 0) & full), (self.overlap, (nth > 0) & ~full)):
+            chosen = np.flatnonzero(chosen)
             for at in range(0, len(chosen), block):
                 some = chosen[at:at + block]
-                index = start[some, None] + span
-                fresh = index[:, skip:] < stop[some, None]
-                value = self.log10_class(padded[index], kinds[index[:, skip:] + 1], fresh, skip)
+                fresh = np.arange(skip, self.window) < (stop - start)[some, None]
+                value = self.log10_class(tokens[start[some]], kinds[start[some] + 1][:, skip:], fresh, skip)
                 own = np.repeat(owner[some], fresh.sum(axis=1))
                 first = own[0]  # the owners of a block are neighbours
                 sums = np.bincount(own - first, weights=value)
@@ -109,14 +112,22 @@ def with_ones(embedded: np.ndarray, place: np.ndarray) -> np.ndarray:
     return x
 
 
+def exp_below(x: np.ndarray, most: float) -> None:
+    """exp() in place, of ``most`` at the most; to look for the greatest first is faster than to cut each."""
+    if x.size and x.max() > most:
+        np.minimum(x, most, out=x)
+    np.exp(x, out=x)
+
+
 def attended(x: np.ndarray, bilinear: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Queries of the positions from ``skip`` on, their weights of all positions (later ones weigh nothing), and the
     inputs turned: products of many small matrices are several times as fast by a copy that lies in order."""
-    query, turned = x[:, skip:, :-1] @ bilinear, x.transpose(0, 2, 1).copy()
+    number, window, wide = x.shape
+    query = (x.reshape(-1, wide)[:, :-1] @ bilinear).reshape(number, window, wide - 1)[:, skip:]
+    turned = x.transpose(0, 2, 1).copy()
     weight = np.matmul(query, turned[:, :-1])
-    np.minimum(weight, 30, out=weight)
-    np.exp(weight, out=weight)
-    weight *= np.tri(x.shape[1], dtype=np.float32)[skip:]
+    exp_below(weight, 30)
+    weight *= np.tri(window, dtype=np.float32)[skip:]
     return query, weight, turned
 
 
@@ -195,29 +206,32 @@ def slopes(weights: dict[str, np.ndarray], tokens: np.ndarray, wanted: np.ndarra
     """
     size, width = weights["embed"].shape
     x = with_ones(np.take(weights["embed"], tokens, axis=0), weights["place"])
-    own = x[:, :, :-1]
+    own, rows = x[:, :, :-1], x.reshape(-1, width + 1)[:, :-1]
     query, weight, turned = attended(x, weights["bilinear"])
     gathered = np.matmul(weight, x)
     total = gathered[:, :, -1:].copy()
-    gathered /= total
-    both = np.concatenate([own, gathered], axis=2).reshape(-1, 2 * width + 1)
+    both = np.empty((*tokens.shape, 2 * width + 1), dtype=np.float32)
+    both[:, :, :width] = own
+    np.divide(gathered, total, out=both[:, :, width:])
+    gathered, both = both[:, :, width:-1], both.reshape(-1, 2 * width + 1)
     p = both @ np.vstack([weights["out"], weights["bias"]])
-    np.clip(p, -60, 60, out=p)
-    np.exp(p, out=p)
+    if p.size and p.min() < -60:
+        np.maximum(p, -60, out=p)
+    exp_below(p, 60)
     valid = wanted.ravel() >= 0
     part = valid.astype(np.float32) / np.float32(max(valid.sum(), 1))
     p *= (part / (p @ np.ones(p.shape[1], dtype=np.float32)))[:, None]
-    p[np.arange(len(p)), np.maximum(wanted.ravel(), 0)] -= part
+    p.ravel()[np.arange(0, p.size, p.shape[1]) + np.maximum(wanted.ravel(), 0)] -= part
     d_out = both.T @ p
     d_both = (p @ weights["out"].T).reshape(*tokens.shape, 2 * width)
     # Slopes of what is gathered, and behind them what they lose to the sum of the weights.
     pull = np.empty_like(x)
     np.divide(d_both[:, :, width:], total, out=pull[:, :, :-1])
-    np.negative(np.einsum("wpi,wpi->wp", pull[:, :, :-1], gathered[:, :, :-1]), out=pull[:, :, -1])
+    np.negative(np.einsum("wpi,wpi->wp", pull[:, :, :-1], gathered), out=pull[:, :, -1])
     d_score = np.matmul(pull, turned)
     d_score *= weight
-    d_query = np.matmul(d_score, own)
-    d_x = (d_query.reshape(-1, width) @ weights["bilinear"].T).reshape(own.shape)
+    d_query = np.matmul(d_score, own).reshape(-1, width)
+    d_x = (d_query @ weights["bilinear"].T).reshape(own.shape)
     d_x += d_both[:, :, :width]
     d_x += np.matmul(weight.transpose(0, 2, 1), pull[:, :, :-1])
     d_x += np.matmul(d_score.transpose(0, 2, 1), query)
@@ -226,9 +240,9 @@ def slopes(weights: dict[str, np.ndarray], tokens: np.ndarray, wanted: np.ndarra
     sorted_ = flat[order]
     first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
     d_embed = np.zeros((size, width), dtype=np.float32)
-    d_embed[sorted_[first]] = np.add.reduceat(d_x.reshape(-1, width)[order], first, axis=0)
+    d_embed[sorted_[first]] = np.add.reduceat(np.take(d_x.reshape(-1, width), order, axis=0), first, axis=0)
     return {"embed": d_embed, "place": d_x.sum(axis=0), "bias": d_out[-1], "out": d_out[:-1],
-            "bilinear": own.reshape(-1, width).T @ d_query.reshape(-1, width)}
+            "bilinear": rows.T @ d_query}
 
 
 def descend(weights: dict[str, np.ndarray], draws, steps: int, rate: float, begin: float = 0.0, end: float = 1.0
@@ -240,9 +254,12 @@ def descend(weights: dict[str, np.ndarray], draws, steps: int, rate: float, begi
     weights = {k: v.copy() for k, v in weights.items()}
     first = {k: np.zeros_like(v) for k, v in weights.items()}
     second = {k: np.zeros_like(v) for k, v in weights.items()}
+    met, number = np.zeros(len(weights["embed"]), dtype=bool), np.zeros(len(weights["embed"]), dtype=np.int64)
     for step, (tokens, wanted) in enumerate(draws, 1):
-        seen, tokens = np.unique(tokens, return_inverse=True)
-        slope = slopes({**weights, "embed": weights["embed"][seen]}, tokens.reshape(wanted.shape), wanted)
+        met[tokens] = True
+        seen = np.flatnonzero(met)
+        met[seen], number[seen] = False, np.arange(len(seen))
+        slope = slopes({**weights, "embed": np.take(weights["embed"], seen, axis=0)}, number[tokens], wanted)
         now = rate * min(1, step / 20) * (1 - (begin + (end - begin) * step / (steps + 1)))
         for k, g in slope.items():
             at = seen if k == "embed" else slice(None)

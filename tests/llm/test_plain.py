@@ -291,6 +291,34 @@ def test_ids_of_a_long_text_are_those_of_the_whole(ranks, monkeypatch):
     assert encoding.decode(lm_score._ids(blank, encoding).tolist()) == blank
 
 
+def test_ids_without_looking_ahead_are_the_same(ranks):
+    from metricloom.llm import lm_score
+
+    encoding, _ = lm_score._tokenizer(*ranks)
+    assert "(?!" not in lm_score._spread(encoding)._pat_str and encoding._special_tokens
+    assert lm_score._spread(lm_score._spread(encoding)) is lm_score._spread(encoding)
+    random.seed(3)
+    parts = ["a", "Wort", "é", "漢", "12", "'s", "..", " ", " ", "\n", "  ", "\t", "\u2003", "\x1c", "\0", "<|end|>"]
+    for text in ["", " ", "\n", *("".join(random.choices(parts, k=random.randrange(12))) for _ in range(5000))]:
+        assert lm_score._ids(text, encoding).tolist() == encoding.encode_ordinary(text)
+
+
+def test_words_hash_by_themselves(monkeypatch):
+    """Equal words have equal hashes wherever they stand, also across stretches and in words longer than one."""
+    from metricloom.llm import words
+
+    texts = ["", "ab c", prose(5, 300), " c  AB\n" + "x" * 90 + "é c", "x" * 90]
+    whole = words.Words(texts, spaced=True)
+    names = [w for i in range(len(texts)) for w in whole.words(whole.first[i], whole.first[i + 1])]
+    assert names == [w for t in texts for w in words.Words([t], spaced=True).words(0, len(t.split()))]
+    hashes = dict(zip(names, whole.hash.tolist()))
+    assert len(set(hashes.values())) == len(hashes) and [hashes[w] for w in names] == whole.hash.tolist()
+    words._powers.cache_clear()
+    monkeypatch.setattr(words, "STRETCH", 16)
+    assert (words.Words(texts, spaced=True).hash == whole.hash).all()
+    words._powers.cache_clear()
+
+
 def test_lm_scores_learn_from_every_row(spark, ranks):
     # A long text behind 6,100 short ones: the model must know it, wherever it lies.
     long = prose(4, 6000)
